@@ -137,9 +137,12 @@ def existing_keys(batch: DataFrame, target: DataFrame, key: str, batch_rows: int
 # --- D3: before image -------------------------------------------------------------------
 
 def before_image(batch: DataFrame, target: DataFrame, key: str, columns: list[str],
-                 batch_rows: int | None = None) -> DataFrame:
-    """Target's key + the changed columns, for keys the batch touches (old values)."""
-    keys = broadcast_if_small(batch.select(key).distinct(), batch_rows)
+                 batch_rows: int | None = None, carry: list[str] | None = None) -> DataFrame:
+    """Target's key + the changed columns, for keys the batch touches (old values).
+
+    ``carry`` brings batch columns along (e.g. ``row_no``); the batch must
+    then hold one row per key (see :func:`resolve_duplicates`)."""
+    keys = broadcast_if_small(batch.select(key, *(carry or [])).distinct(), batch_rows)
     return target.select(key, *[c for c in columns if c != key]).join(keys, key, "inner")
 
 

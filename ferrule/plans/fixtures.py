@@ -230,3 +230,69 @@ PUB_CUSTOMER = TableSpec(
     ),
     primary_key=("c_custkey",),
 )
+
+
+# --- locker (FIXTURES.md §5) ------------------------------------------------------------
+# One preserved row per order: day = order date, item = priority; the priority's
+# digit picks the item's table, mode, author and append hour.
+
+LOCKER_TABLES = ("pub.orders", "pub.part", "pub.events", "pub.customer", "pub.lineitem")
+LOCKER_PAYLOAD = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+EXPORT_DAY = "19971220"
+
+
+def locker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    p = F.substring("o_orderpriority", 1, 1).cast("int")
+    day = F.date_format("o_orderdate", "yyyyMMdd")
+    tables = F.array(*[F.lit(t) for t in LOCKER_TABLES])
+    payload = {"o_orderkey": F.col("o_orderkey").cast("string"), "o_custkey": F.col("o_custkey").cast("string"),
+               "o_orderstatus": F.col("o_orderstatus"),
+               "o_totalprice": F.col("o_totalprice").cast("decimal(18,2)").cast("string")}
+    return o.select(
+        day.alias("day"), F.element_at(tables, p).alias("target_table"), F.col("o_orderpriority").alias("item_id"),
+        F.concat(F.lit("changes_"), day, F.lit(".xlsx")).alias("file"),
+        F.concat(F.lit("team "), p.cast("string")).alias("authors"),
+        F.when(p <= 3, F.lit("Update")).otherwise(F.lit("Insert")).alias("mode"),
+        (F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), p)).alias("append_time"),
+        F.col("o_orderkey").alias("row_no"),
+        F.map_from_arrays(F.array(*[F.lit(k) for k in payload]), F.array(*payload.values())).alias("row"))
+
+
+LOCKER_SQL = """
+SELECT strftime(o_orderdate, '%Y%m%d') AS day,
+  ['pub.orders', 'pub.part', 'pub.events', 'pub.customer', 'pub.lineitem'][CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] AS target_table,
+  o_orderpriority AS item_id, 'changes_' || strftime(o_orderdate, '%Y%m%d') || '.xlsx' AS file,
+  'team ' || substr(o_orderpriority, 1, 1) AS authors,
+  CASE WHEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) <= 3 THEN 'Update' ELSE 'Insert' END AS mode,
+  CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) AS append_time,
+  o_orderkey AS row_no,
+  CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus,
+  CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS o_totalprice
+FROM orders
+"""
+
+
+# --- settings change requests -----------------------------------------------------------
+# Each event is a request: its user picks the table (the sixth choice does not
+# exist), its id the shelf life (some <= 0, invalid) and the auto-edit flag.
+
+SETTINGS_TABLES = ("pub.orders", "pub.part", "pub.events", "pub.customer", "pub.lineitem", "pub.nope")
+
+
+def settings_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    tables = F.array(*[F.lit(t) for t in SETTINGS_TABLES])
+    return e.select(
+        F.element_at(tables, (F.col("user_id") % 6 + 1).cast("int")).alias("target_table"),
+        (F.col("event_id") % 3 != 0).alias("auto_edit"),
+        ((F.col("event_id") % 45) - 5).cast("int").alias("shelf_life_days"),
+        F.col("ts").cast("timestamp_ntz").alias("updated_at"), "event_id")
+
+
+SETTINGS_REQUESTS_SQL = """
+SELECT ['pub.orders', 'pub.part', 'pub.events', 'pub.customer', 'pub.lineitem', 'pub.nope'][CAST(user_id % 6 + 1 AS INTEGER)] AS target_table,
+  (event_id % 3 <> 0) AS auto_edit, CAST(event_id % 45 - 5 AS INTEGER) AS shelf_life_days,
+  CAST(ts AS TIMESTAMP) AS updated_at, event_id
+FROM events
+"""
