@@ -28,13 +28,15 @@ NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-n
                "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
                "nan", "null")
 
-# Accepted date/time layouts (Spark pattern, DuckDB strptime format).
+# Accepted date/time layouts (exact shape, Spark pattern, DuckDB strptime
+# format).  The shape is tested first, so both engines only check the calendar.
 DATETIME_FORMATS = (
-    ("yyyy-MM-dd HH:mm:ss.SSSSSS", "%Y-%m-%d %H:%M:%S.%f"),
-    ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"),
-    ("yyyy-MM-dd", "%Y-%m-%d"),
-    ("MM/dd/yyyy", "%m/%d/%Y"),
-    ("yyyyMMdd", "%Y%m%d"),
+    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}[.][0-9]{6}$",
+     "yyyy-MM-dd HH:mm:ss.SSSSSS", "%Y-%m-%d %H:%M:%S.%f"),
+    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$", "yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"),
+    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "yyyy-MM-dd", "%Y-%m-%d"),
+    (r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$", "MM/dd/yyyy", "%m/%d/%Y"),
+    (r"^[0-9]{8}$", "yyyyMMdd", "%Y%m%d"),
 )
 
 DAY_KEY_FORMAT = "yyyyMMdd"
@@ -178,12 +180,14 @@ def fits_decimal_sql(c: str, precision: int, scale: int) -> str:
 
 def parse_datetime(c: Column | str) -> Column:
     c = F.trim(_col(c))
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(fmt)) for fmt, _ in DATETIME_FORMATS])
+    return F.coalesce(*[F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(fmt)))
+                        for shape, fmt, _ in DATETIME_FORMATS])
 
 
 def parse_datetime_sql(c: str) -> str:
     return "coalesce(" + ", ".join(
-        f"try_strptime(trim({c}), {sql_str(fmt)})" for _, fmt in DATETIME_FORMATS) + ")"
+        f"CASE WHEN regexp_matches(trim({c}), {sql_str(shape)}) THEN try_strptime(trim({c}), {sql_str(fmt)}) END"
+        for shape, _, fmt in DATETIME_FORMATS) + ")"
 
 
 def is_time(c: Column | str) -> Column:

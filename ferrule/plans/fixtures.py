@@ -296,3 +296,206 @@ SELECT ['pub.orders', 'pub.part', 'pub.events', 'pub.customer', 'pub.lineitem',
   CAST(ts AS TIMESTAMP) AS updated_at, event_id
 FROM events
 """
+
+
+# --- tenant catalog: one schema per customer (grows with the data) ------------------------
+# Each customer ``k`` owns schema ``c<k>`` with tables orders (PK o_orderkey),
+# lineitem (two-column PK), events (a UNIQUE constraint only, no PK) and, for
+# every 7th customer, a system table.  Every 11th customer's orders table has
+# no catalog columns.
+
+CATALOG_DB = "warehouse"
+TENANT_TABLES = ("orders", "lineitem", "events", "MSysObjects")
+# (table_name, column_name, ordinal, is_nullable, data_type, char_max_len, numeric_precision, numeric_scale)
+TENANT_COLUMNS = tuple(
+    [("orders", c.name, c.ordinal, "YES" if c.nullable else "NO", c.data_type, c.char_max_len, c.precision, c.scale)
+     for c in PUB_ORDERS.columns]
+    + [("lineitem", n, i + 1, nl, t, ln, p, s) for i, (n, nl, t, ln, p, s) in enumerate([
+        ("l_orderkey", "NO", "bigint", None, 19, 0), ("l_partkey", "YES", "bigint", None, 19, 0),
+        ("l_suppkey", "YES", "bigint", None, 19, 0), ("l_linenumber", "NO", "int", None, 10, 0),
+        ("l_quantity", "YES", "float", None, 53, None), ("l_extendedprice", "YES", "float", None, 53, None),
+        ("l_discount", "YES", "float", None, 53, None), ("l_tax", "YES", "float", None, 53, None),
+        ("l_returnflag", "YES", "nvarchar", -1, None, None), ("l_linestatus", "YES", "nvarchar", -1, None, None),
+        ("l_shipdate", "YES", "datetime2", None, None, None)])]
+    + [("events", n, i + 1, "YES", t, ln, p, s) for i, (n, t, ln, p, s) in enumerate([
+        ("event_id", "bigint", None, 19, 0), ("ts", "datetime2", None, None, None),
+        ("user_id", "bigint", None, 19, 0), ("event_type", "nvarchar", -1, None, None),
+        ("value", "float", None, 53, None), ("props", "nvarchar", -1, None, None)])]
+    + [("MSysObjects", "id", 1, "NO", "int", None, 10, 0), ("MSysObjects", "name", 2, "YES", "varchar", 64, None, None)])
+# (table_name, constraint_name, constraint_type, column_name)
+TENANT_KEYS = (("orders", "pk_orders", "PRIMARY KEY", "o_orderkey"),
+               ("lineitem", "pk_lineitem", "PRIMARY KEY", "l_orderkey"),
+               ("lineitem", "pk_lineitem", "PRIMARY KEY", "l_linenumber"),
+               ("events", "uq_events", "UNIQUE", "event_id"))
+
+
+def _lit(v):
+    return F.lit(v)
+
+
+def _sqlv(v) -> str:
+    if v is None:
+        return "NULL"
+    return f"'{v}'" if isinstance(v, str) else str(v)
+
+
+def tenant_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    k = F.col("c_custkey")
+    schema = F.concat(F.lit("c"), k.cast("string")).alias("table_schema")
+    keep_table = (F.col("table_name") != "MSysObjects") | (k % 7 == 0)
+    tables = (c.select(k, schema, F.explode(F.array(*[F.lit(t) for t in TENANT_TABLES])).alias("table_name"))
+              .where(keep_table).select("table_schema", "table_name"))
+    tmpl = F.array(*[F.struct(_lit(t).alias("table_name"), _lit(n).alias("column_name"), _lit(o).alias("ordinal"),
+                              _lit(nl).alias("is_nullable"), _lit(dt).alias("data_type"),
+                              _lit(ln).cast("int").alias("char_max_len"), _lit(p).cast("int").alias("numeric_precision"),
+                              _lit(s).cast("int").alias("numeric_scale"))
+                     for t, n, o, nl, dt, ln, p, s in TENANT_COLUMNS])
+    columns = (c.select(k, schema, F.explode(tmpl).alias("t")).select(k, "table_schema", "t.*")
+               .where(keep_table & ((F.col("table_name") != "orders") | (k % 11 != 0))).drop("c_custkey"))
+    ktmpl = F.array(*[F.struct(_lit(t).alias("table_name"), _lit(cn).alias("constraint_name"),
+                               _lit(ct).alias("constraint_type"), _lit(col).alias("column_name"))
+                      for t, cn, ct, col in TENANT_KEYS])
+    kc = c.select(F.lit(CATALOG_DB).alias("catalog"), F.concat(F.lit("c"), k.cast("string")).alias("schema"),
+                  F.explode(ktmpl).alias("t")).select("catalog", "schema", "t.*")
+    constraints = kc.select("catalog", "schema", "table_name", "constraint_name", "constraint_type").distinct()
+    key_columns = kc.select("catalog", "schema", "table_name", "constraint_name", "column_name")
+    return Catalog(tables, columns, constraints, key_columns)
+
+
+def tenant_catalog_sql() -> dict[str, str]:
+    cols = ", ".join("{" + ", ".join([f"'table_name': '{t}'", f"'column_name': '{n}'", f"'ordinal': {o}",
+                                      f"'is_nullable': '{nl}'", f"'data_type': '{dt}'",
+                                      f"'char_max_len': CAST({_sqlv(ln)} AS INTEGER)",
+                                      f"'numeric_precision': CAST({_sqlv(p)} AS INTEGER)",
+                                      f"'numeric_scale': CAST({_sqlv(s)} AS INTEGER)"]) + "}"
+                     for t, n, o, nl, dt, ln, p, s in TENANT_COLUMNS)
+    keys = ", ".join("{" + f"'table_name': '{t}', 'constraint_name': '{cn}', 'constraint_type': '{ct}', "
+                     f"'column_name': '{col}'" + "}" for t, cn, ct, col in TENANT_KEYS)
+    tabs = ", ".join(f"'{t}'" for t in TENANT_TABLES)
+    return {
+        "tables": f"""SELECT table_schema, table_name FROM (SELECT c_custkey, 'c' || CAST(c_custkey AS VARCHAR) AS table_schema,
+                   unnest([{tabs}]) AS table_name FROM customer)
+                   WHERE table_name <> 'MSysObjects' OR c_custkey % 7 = 0""",
+        "columns": f"""SELECT table_schema, table_name, column_name, ordinal, is_nullable, data_type, char_max_len,
+                   numeric_precision, numeric_scale FROM (SELECT c_custkey, 'c' || CAST(c_custkey AS VARCHAR) AS table_schema,
+                   unnest([{cols}], recursive := true) FROM customer)
+                   WHERE (table_name <> 'MSysObjects' OR c_custkey % 7 = 0) AND (table_name <> 'orders' OR c_custkey % 11 <> 0)""",
+        "keys": f"""SELECT '{CATALOG_DB}' AS catalog, 'c' || CAST(c_custkey AS VARCHAR) AS schema,
+                   unnest([{keys}], recursive := true) FROM customer""",
+    }
+
+
+# --- gate envelopes: one tab per customer, twelve shapes (FIXTURES.md §4 tab list) ----------
+# (tab prefix, table suffix or full name, header, rows forced to zero)
+GATE_SCENARIOS = (
+    ("Update_a_", ".orders", ("O_OrderKey", "o_orderstatus"), False),
+    ("Insert_b_", ".events", ("ts", "user_id", "event_type"), False),
+    ("notes_", ".orders", ("o_orderkey", "o_orderstatus"), False),
+    ("Update_insert_c_", ".orders", ("o_orderkey", "o_totalprice"), False),
+    ("Update_d_", "orders", ("o_orderkey", "o_orderstatus"), False),
+    ("Update_e_", ".nope", ("o_orderkey", "o_orderstatus"), False),
+    ("Insert_f_", ".orders", ("o_orderkey", "o_orderstatus"), False),
+    ("Update_g_", ".lineitem", ("l_orderkey", "l_linenumber", "l_quantity"), False),
+    ("Update_h_", ".events", ("event_id", "value"), False),
+    ("Update_i_", ".orders", ("o_orderstatus",), False),
+    ("Update_j_", ".orders", ("o_orderkey", "o_orderstatus"), True),
+    ("Update_k_", ".orders", ("o_orderkey", "zzz"), False),
+)
+
+
+def gate_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    counts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("_n"))
+    k = F.col("c_custkey")
+    s = k % len(GATE_SCENARIOS)
+    ks = k.cast("string")
+    tab = target = header = zero = None
+    for i, (prefix, tbl, hdr, z) in enumerate(GATE_SCENARIOS):
+        cond = s == i
+        t_val = F.concat(F.lit("c"), ks, F.lit(tbl)) if tbl.startswith(".") else F.lit(tbl)
+        parts = [(tab, F.concat(F.lit(prefix), ks)), (target, t_val),
+                 (header, F.array(*[F.lit(h) for h in hdr])), (zero, F.lit(z))]
+        tab, target, header, zero = [F.when(cond, v) if prev is None else prev.when(cond, v) for prev, v in parts]
+    return (c.join(counts, c.c_custkey == counts.o_custkey, "left")
+            .select(tab.alias("tab"), target.alias("target_table"), header.alias("header"),
+                    F.when(zero, F.lit(0)).otherwise(F.coalesce("_n", F.lit(0))).cast("bigint").alias("n_rows")))
+
+
+def gate_envelopes_sql() -> str:
+    n = len(GATE_SCENARIOS)
+
+    def case(fn) -> str:
+        return "CASE " + " ".join(f"WHEN c_custkey % {n} = {i} THEN {fn(sc)}"
+                                  for i, sc in enumerate(GATE_SCENARIOS)) + " END"
+
+    tab = case(lambda sc: f"'{sc[0]}' || CAST(c_custkey AS VARCHAR)")
+    target = case(lambda sc: f"'c' || CAST(c_custkey AS VARCHAR) || '{sc[1]}'" if sc[1].startswith(".")
+                  else f"'{sc[1]}'")
+    header = case(lambda sc: "[" + ", ".join(f"'{h}'" for h in sc[2]) + "]")
+    zero = case(lambda sc: "TRUE" if sc[3] else "FALSE")
+    return f"""SELECT {tab} AS tab, {target} AS target_table, {header} AS header,
+  CAST(CASE WHEN {zero} THEN 0 ELSE coalesce(n._n, 0) END AS BIGINT) AS n_rows
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS _n FROM orders GROUP BY o_custkey) n ON c_custkey = n.o_custkey"""
+
+
+# --- parsed sheet cells: one tab per customer, its orders as rows --------------------------
+# Row 1 holds the table, row 2 the header (some with repeated or blank names),
+# rows 3.. the orders; every 5th status cell is a NULL token or a look-alike,
+# every 17th row is short one cell.
+
+TOKEN_SAMPLE = ("",  "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+                "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null", "n.a.", "NIL", " NA", "none")
+SHEET_HEADERS = (("o_orderkey", "o_orderstatus", "o_orderstatus", "o_totalprice"),
+                 ("o_orderkey", "", "o_orderstatus", "o_totalprice"),
+                 ("o_orderkey", "o_orderstatus", "o_orderstatus", "o_orderstatus"),
+                 ("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice"))
+
+
+def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    o = table(spark, sf_dir, "orders")
+    nh = len(SHEET_HEADERS)
+
+    def where(key: Column) -> list[Column]:
+        return [F.concat(F.lit("inbox/sheets_"), (key % nh).cast("string"), F.lit(".xlsx")).alias("path"),
+                F.concat(F.lit("Update_orders_"), key.cast("string")).alias("tab")]
+
+    k = F.col("c_custkey")
+    hdr = None
+    for i, h in enumerate(SHEET_HEADERS):
+        v = F.array(*[F.lit(x) for x in h])
+        hdr = F.when(k % nh == i, v) if hdr is None else hdr.when(k % nh == i, v)
+    first = c.select(*where(k), F.lit(1).cast("bigint").alias("row_no"), F.array(F.lit("pub.orders")).alias("cells"))
+    second = c.select(*where(k), F.lit(2).cast("bigint").alias("row_no"), hdr.alias("cells"))
+    ok = F.col("o_orderkey")
+    tokens = F.array(*[F.lit(t) for t in TOKEN_SAMPLE])
+    status = F.when(ok % 5 == 0, F.element_at(tokens, ((ok / 5).cast("bigint") % len(TOKEN_SAMPLE) + 1).cast("int"))) \
+        .otherwise(F.col("o_orderstatus"))
+    full = F.array(ok.cast("string"), status, F.col("o_orderpriority"),
+                   F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    data = o.select(*where(F.col("o_custkey")), (ok + 3).alias("row_no"),
+                    F.when(ok % 17 == 0, F.slice(full, 1, 3)).otherwise(full).alias("cells"))
+    return first.unionByName(second).unionByName(data)
+
+
+def sheet_cells_sql() -> str:
+    nh = len(SHEET_HEADERS)
+    hdr = "CASE " + " ".join(f"WHEN c_custkey % {nh} = {i} THEN [" + ", ".join(f"'{x}'" for x in h) + "]"
+                             for i, h in enumerate(SHEET_HEADERS)) + " END"
+    toks = "[" + ", ".join(f"'{t}'" for t in TOKEN_SAMPLE) + "]"
+    return f"""
+SELECT 'inbox/sheets_' || CAST(c_custkey % {nh} AS VARCHAR) || '.xlsx' AS path, 'Update_orders_' || CAST(c_custkey AS VARCHAR) AS tab,
+  CAST(1 AS BIGINT) AS row_no, ['pub.orders'] AS cells FROM customer
+UNION ALL
+SELECT 'inbox/sheets_' || CAST(c_custkey % {nh} AS VARCHAR) || '.xlsx', 'Update_orders_' || CAST(c_custkey AS VARCHAR),
+  CAST(2 AS BIGINT), {hdr} FROM customer
+UNION ALL
+SELECT 'inbox/sheets_' || CAST(o_custkey % {nh} AS VARCHAR) || '.xlsx', 'Update_orders_' || CAST(o_custkey AS VARCHAR),
+  CAST(o_orderkey + 3 AS BIGINT),
+  CASE WHEN o_orderkey % 17 = 0 THEN list_slice(f, 1, 3) ELSE f END
+FROM (SELECT *, [CAST(o_orderkey AS VARCHAR),
+         CASE WHEN o_orderkey % 5 = 0 THEN {toks}[CAST((o_orderkey // 5) % {len(TOKEN_SAMPLE)} + 1 AS INTEGER)]
+              ELSE o_orderstatus END,
+         o_orderpriority, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)] AS f FROM orders)
+"""
