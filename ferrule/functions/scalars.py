@@ -31,10 +31,10 @@ NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-n
 # Accepted date/time layouts (exact shape, Spark pattern, DuckDB strptime
 # format).  The shape is tested first, so both engines only check the calendar.
 DATETIME_FORMATS = (
+    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "yyyy-MM-dd", "%Y-%m-%d"),
+    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$", "yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"),
     (r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}[.][0-9]{6}$",
      "yyyy-MM-dd HH:mm:ss.SSSSSS", "%Y-%m-%d %H:%M:%S.%f"),
-    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$", "yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"),
-    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "yyyy-MM-dd", "%Y-%m-%d"),
     (r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$", "MM/dd/yyyy", "%m/%d/%Y"),
     (r"^[0-9]{8}$", "yyyyMMdd", "%Y%m%d"),
 )
@@ -117,6 +117,15 @@ def _compare_sql(c: str, limit, op: str) -> str:
     return f"coalesce({exact}, {as_double_sql(c)} {op} {lim})"
 
 
+def compare_parsed(dec: Column, dbl: Column, limit, op) -> Column:
+    """As :func:`_compare` over values parsed once: ``dec`` exact, ``dbl`` only where ``dec`` is NULL."""
+    if _exact_limit(limit):
+        exact = op(dec, F.lit(str(limit)).cast("decimal(38,10)"))
+    else:
+        exact = F.when(dec.isNotNull(), op(dec.cast("double"), F.lit(float(limit))))
+    return F.coalesce(exact, op(dbl, F.lit(float(limit))))
+
+
 def below(c: Column | str, limit) -> Column:
     return _compare(c, limit, lambda a, b: a < b)
 

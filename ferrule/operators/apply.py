@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import scalars as S
 from ..functions.types import family, spark_type
 from .catalog import ColumnSpec, TableSpec
-from .rules import qcol, qsql
+from .rules import prep_name, qcol, qsql
 
 BROADCAST_MAX_ROWS = 2_000_000   # batch rows we are willing to ship to every executor
 EXISTS = "_exists"
@@ -31,17 +31,24 @@ def broadcast_if_small(df: DataFrame, rows: int | None, max_rows: int = BROADCAS
 
 # --- C12/C13: typed projection of accepted text rows ------------------------------
 
-def typed_value(spec: ColumnSpec, name: str) -> Column:
+def typed_value(spec: ColumnSpec, name: str, present: frozenset[str] = frozenset()) -> Column:
+    """Target-typed value of a validated text cell; reuses the chain's parsed values when kept."""
     c = qcol(name)
     target = spark_type(spec.data_type, spec.precision, spec.scale)
     fam = spec.family
+    ts_col, dec_col = prep_name("ts", name), prep_name("dec", name)
     if fam == "datetime" and spec.data_type.lower() != "time":
-        ts = S.parse_datetime(c).cast("timestamp_ntz")
+        parsed = F.col(ts_col) if ts_col in present else S.parse_datetime(c)
+        ts = parsed.cast("timestamp_ntz")
         return ts.cast("date") if target == "date" else ts
+    if fam == "integer" and prep_name("lng", name) in present:
+        dec = F.coalesce(F.col(prep_name("lng", name)).cast("decimal(38,10)"), F.col(dec_col))
+    else:
+        dec = F.col(dec_col) if dec_col in present else S.as_decimal(c)
     if fam == "integer" and target != "boolean":
-        return S.as_decimal(c).try_cast(target)
+        return dec.try_cast(target)
     if target == "boolean":
-        return S.as_decimal(c).try_cast("int").try_cast("boolean")
+        return dec.try_cast("int").try_cast("boolean")
     if fam == "numeric":
         return F.trim(c).try_cast(target)
     return c
@@ -67,9 +74,10 @@ def typed_value_sql(spec: ColumnSpec, name: str) -> str:
 def typed(batch: DataFrame, spec: TableSpec, header: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
     """Cast the header columns to the target's types, named as in the target."""
     cols = [F.col(k) for k in keep]
+    present = frozenset(batch.columns)
     for h in header:
         cs = spec.column(h)
-        cols.append(typed_value(cs, h).alias(cs.name))
+        cols.append(typed_value(cs, h, present).alias(cs.name))
     return batch.select(*cols)
 
 
@@ -125,6 +133,26 @@ def key_presence(batch: DataFrame, target: DataFrame, key: str, batch_rows: int
     return batch.join(flagged, key, "left").withColumn(EXISTS, F.coalesce(F.col(EXISTS), F.lit(False)))
 
 
+def mark_missing_keys(annotated: DataFrame, key_value: Column, target: DataFrame, key: str) -> DataFrame:
+    """D1+D2 in the same pass as validation: accepted rows whose key is absent get rule D2.
+
+    ``key_value`` is the typed key of a row (evaluated on accepted rows only).  The
+    validated batch is referenced once (one left join on the target's key column, a
+    primary key, so no distinct is needed); for a small, persisted batch against a
+    huge target :func:`key_presence` avoids shuffling the target instead."""
+    from .rules import RULE_TEXT
+
+    ok = F.col("rule_id").isNull()
+    keyed = annotated.withColumn("_k", F.when(ok, key_value))
+    tk = target.select(F.col(key).alias("_k")).withColumn("_hit", F.lit(True))
+    flagged = keyed.join(tk, "_k", "left")
+    d2 = ok & F.col("_hit").isNull()
+    return (flagged.withColumn("rule_column", F.when(d2, F.lit(key)).otherwise(F.col("rule_column")))
+            .withColumn("rule_message", F.when(d2, F.lit(RULE_TEXT["D2"])).otherwise(F.col("rule_message")))
+            .withColumn("rule_id", F.when(d2, F.lit("D2")).otherwise(F.col("rule_id")))
+            .drop("_k", "_hit"))
+
+
 def missing_keys(batch: DataFrame, target: DataFrame, key: str, batch_rows: int | None = None) -> DataFrame:
     """D1+D2: accepted rows whose key is not in the target (rejected as D2)."""
     return key_presence(batch, target, key, batch_rows).where(~F.col(EXISTS)).drop(EXISTS)

@@ -57,6 +57,9 @@ TAB_GATES_HEAD = ("C1", "C2", "C3", "C4", "C5")
 TAB_GATES_KEY = ("C8", "C9", "C10", "C11")
 
 
+Prep = tuple[str, Callable[[], Column]]
+
+
 @dataclass(frozen=True)
 class Rule:
     rule_id: str
@@ -64,6 +67,7 @@ class Rule:
     data_type: str | None
     make: Callable[[], Column]     # built lazily: oracle SQL needs no Spark context
     sql: str
+    prep: tuple[Prep, ...] = ()    # columns parsed once per row before the chain
 
     @property
     def cond(self) -> Column:
@@ -87,17 +91,56 @@ def _always() -> Column:
     return F.lit(True)
 
 
+PREP_PREFIX = "__p_"
+
+
+def prep_name(kind: str, name: str) -> str:
+    return f"{PREP_PREFIX}{kind}_{name}"
+
+
+def column_preps(name: str, floating: bool = False) -> dict[str, Prep]:
+    """Per-column values parsed once per row: number test, exact and double value, timestamp.
+
+    Spark does not share a subexpression between the branches of the chain's
+    ``coalesce(when ...)``, so without this each rule would parse the cell again."""
+    def lng() -> Column:
+        return F.trim(qcol(name)).try_cast("bigint")
+
+    return {
+        "num": (prep_name("num", name), lambda: S.is_number(qcol(name), floating)),
+        # plain integers parse as a long; only the rest pay for the 38-digit decimal
+        "lng": (prep_name("lng", name), lng),
+        "idec": (prep_name("dec", name), lambda: F.when(lng().isNull(), S.as_decimal(qcol(name)))),
+        "idbl": (prep_name("dbl", name), lambda: F.when(lng().isNull() & S.as_decimal(qcol(name)).isNull(),
+                                                         S.as_double(qcol(name)))),
+        "dec": (prep_name("dec", name), lambda: S.as_decimal(qcol(name))),
+        "dbl": (prep_name("dbl", name), lambda: F.when(S.as_decimal(qcol(name)).isNull(), S.as_double(qcol(name)))),
+        "ts": (prep_name("ts", name), lambda: S.parse_datetime(qcol(name))),
+    }
+
+
 def column_rules(spec: ColumnSpec, name: str, *, skip_null_check: bool = False) -> list[Rule]:
     """Rules for one batch column ``name`` declared as ``spec``, in check order."""
     q, t = qsql(name), spec.data_type.lower()
     fam = spec.family
     out: list[Rule] = []
+    floating = t in ("float", "real")
+    preps = column_preps(name, floating)
 
     def c() -> Column:
         return qcol(name)
 
-    def add(rule_id: str, make: Callable[[], Column], sql: str) -> None:
-        out.append(Rule(rule_id, name, t, make, sql))
+    def p(kind: str) -> Column:
+        return F.col(preps[kind][0])
+
+    def add(rule_id: str, make: Callable[[], Column], sql: str, *kinds: str) -> None:
+        out.append(Rule(rule_id, name, t, make, sql, tuple(preps[k] for k in kinds)))
+
+    def lt(a, b):
+        return a < b
+
+    def gt(a, b):
+        return a > b
 
     n = spec.char_max_len
     has_len = n is not None and n > 0
@@ -106,37 +149,38 @@ def column_rules(spec: ColumnSpec, name: str, *, skip_null_check: bool = False)
             add("V1", lambda: S.text_length(c()) > n, f"{S.text_length_sql(q)} > {n}")
     elif fam == "integer":
         lo, hi = INTEGER_LIMITS[t]
-        add("V2", lambda: ~S.is_number(c()), f"NOT {S.is_number_sql(q)}")
+        add("V2", lambda: ~p("num"), f"NOT {S.is_number_sql(q)}", "num")
         add("V3", lambda: ~S.has_digit(c()), f"NOT {S.has_digit_sql(q)}")
-        add("V3b", lambda: S.is_fractional(c()), S.is_fractional_sql(q))
-        add("V4", lambda: S.below(c(), lo), S.below_sql(q, lo))
-        add("V5", lambda: S.above(c(), hi), S.above_sql(q, hi))
+        add("V3b", lambda: p("idec") != F.floor(p("idec")), S.is_fractional_sql(q), "idec")
+        add("V4", lambda: F.coalesce(p("lng") < F.lit(lo), S.compare_parsed(p("idec"), p("idbl"), lo, lt)),
+            S.below_sql(q, lo), "lng", "idec", "idbl")
+        add("V5", lambda: F.coalesce(p("lng") > F.lit(hi), S.compare_parsed(p("idec"), p("idbl"), hi, gt)),
+            S.above_sql(q, hi), "lng", "idec", "idbl")
         if has_len:
             add("V6", lambda: S.text_length(c()) > n, f"{S.text_length_sql(q)} > {n}")
     elif fam == "datetime":
         if t == "time":
             add("V7", lambda: c().isNotNull() & ~S.is_time(c()), f"({q} IS NOT NULL AND NOT {S.is_time_sql(q)})")
         else:
-            add("V7", lambda: c().isNotNull() & S.parse_datetime(c()).isNull(),
-                f"({q} IS NOT NULL AND {S.parse_datetime_sql(q)} IS NULL)")
+            add("V7", lambda: c().isNotNull() & p("ts").isNull(),
+                f"({q} IS NOT NULL AND {S.parse_datetime_sql(q)} IS NULL)", "ts")
     elif fam == "numeric":
-        floating = t in ("float", "real")
-        add("V8", lambda: ~S.is_number(c(), floating), f"NOT {S.is_number_sql(q, floating)}")
+        add("V8", lambda: ~p("num"), f"NOT {S.is_number_sql(q, floating)}", "num")
         if t in NUMERIC_LIMITS:
             nlo, nhi = NUMERIC_LIMITS[t]
-            add("V9", lambda: S.below(c(), nlo), S.below_sql(q, nlo))
-            add("V10", lambda: S.above(c(), nhi), S.above_sql(q, nhi))
-        p = spec.precision
-        if p is not None:
-            add("V11", lambda: S.integer_digits(c()) > p, f"{S.integer_digits_sql(q)} > {p}")
+            add("V9", lambda: S.compare_parsed(p("dec"), p("dbl"), nlo, lt), S.below_sql(q, nlo), "dec", "dbl")
+            add("V10", lambda: S.compare_parsed(p("dec"), p("dbl"), nhi, gt), S.above_sql(q, nhi), "dec", "dbl")
+        prec = spec.precision
+        if prec is not None:
+            add("V11", lambda: S.integer_digits(c()) > prec, f"{S.integer_digits_sql(q)} > {prec}")
         if t in ("decimal", "numeric"):
             sc = spec.scale
             if sc is not None:
                 add("V15", lambda: S.fraction_digits(c()) > sc, f"{S.fraction_digits_sql(q)} > {sc}")
-            if p is not None:
+            if prec is not None:
                 s0 = sc or 0
-                add("V15b", lambda: c().isNotNull() & ~S.fits_decimal(c(), p, s0),
-                    f"({q} IS NOT NULL AND NOT {S.fits_decimal_sql(q, p, s0)})")
+                add("V15b", lambda: c().isNotNull() & ~S.fits_decimal(c(), prec, s0),
+                    f"({q} IS NOT NULL AND NOT {S.fits_decimal_sql(q, prec, s0)})")
     if not spec.nullable and not skip_null_check:
         add("V12", lambda: c().isNull(), f"({q} IS NULL)")
     return out
@@ -215,13 +259,56 @@ def build_rules(spec: TableSpec | None, env: Envelope, gate: str | None, key: st
 RULE_INDEX = "_rule"
 
 
-def apply_chain(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Add ``rule_id``, ``rule_column``, ``rule_message``; NULL rule_id = accepted."""
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work every core: a batch read as fewer partitions than the
+    cluster's parallelism (one small file, one row group) is dealt out round-robin.
+    A large input already has enough partitions and is left as it is (no shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
+def apply_chain(df: DataFrame, rules: list[Rule], keep_prep: bool = False) -> DataFrame:
+    """Add ``rule_id``, ``rule_column``, ``rule_message``; NULL rule_id = accepted.
+
+    One projection adds the per-column parsed values, the next one the chain;
+    ``keep_prep`` keeps the parsed values for the typed projection."""
+    if len(rules) > 1:
+        df = spread(df)
+    preps = {}
+    for r in rules:
+        for name, make in r.prep:
+            preps.setdefault(name, make)
+    if preps:
+        df = df.select("*", *[make().alias(name) for name, make in preps.items()])
+    out = _chain(df, rules)
+    return out if keep_prep else out.drop(*preps)
+
+
+def _segments(rules: list[Rule]) -> list[list[tuple[int, Rule]]]:
+    """Consecutive rules of the same column (gates alone), with their 1-based chain index."""
+    segs: list[list[tuple[int, Rule]]] = []
+    for i, r in enumerate(rules, start=1):
+        if segs and r.column is not None and segs[-1][-1][1].column == r.column:
+            segs[-1].append((i, r))
+        else:
+            segs.append([(i, r)])
+    return segs
+
+
+def _chain(df: DataFrame, rules: list[Rule]) -> DataFrame:
     if not rules:
         return (df.withColumn("rule_id", F.lit(None).cast("string"))
                 .withColumn("rule_column", F.lit(None).cast("string"))
                 .withColumn("rule_message", F.lit(None).cast("string")))
-    idx = F.coalesce(*[F.when(r.cond, F.lit(i + 1)) for i, r in enumerate(rules)])
+    # One small expression per column (each compiles to its own JIT-friendly method),
+    # then the first column, in header order, that failed.
+    segs = _segments(rules)
+    seg_cols = [f"{RULE_INDEX}{k}" for k in range(len(segs))]
+    df = df.select("*", *[F.coalesce(*[F.when(r.cond, F.lit(i)) for i, r in seg]).alias(name)
+                          for seg, name in zip(segs, seg_cols)])
+    idx = F.coalesce(*[F.col(c) for c in seg_cols])
     ids = F.array(*[F.lit(r.rule_id) for r in rules])
     cols = F.array(*[F.lit(r.column).cast("string") for r in rules])
     msgs = F.array(*[F.lit(r.message) for r in rules])
@@ -235,7 +322,7 @@ def apply_chain(df: DataFrame, rules: list[Rule]) -> DataFrame:
             .withColumn("rule_id", pick(ids))
             .withColumn("rule_column", pick(cols))
             .withColumn("rule_message", pick(msgs))
-            .drop(RULE_INDEX))
+            .drop(RULE_INDEX, *seg_cols))
 
 
 def chain_sql(rules: list[Rule]) -> dict[str, str]:
@@ -254,8 +341,8 @@ def chain_sql(rules: list[Rule]) -> dict[str, str]:
 
 
 def validate(batch: DataFrame, spec: TableSpec | None, env: Envelope, *, table_exists: bool = True,
-             gate: str | None = None, key: str | None = None) -> DataFrame:
+             gate: str | None = None, key: str | None = None, keep_prep: bool = False) -> DataFrame:
     """Annotate every batch row with its first failing rule."""
     if gate is None and key is None:
         gate, key = envelope_gate(env, spec, table_exists)
-    return apply_chain(batch, build_rules(spec, env, gate, key))
+    return apply_chain(batch, build_rules(spec, env, gate, key), keep_prep=keep_prep)

@@ -79,7 +79,8 @@ def run(spark: SparkSession, parsed: DataFrame, catalog: Catalog, store: TableSt
             F.col("path").alias("file"), F.lit(t["authors"]).cast("string").alias("authors"), "tab",
             "target_table", F.lit(mode).alias("mode"), F.lit(t["file_seq"]).alias("file_seq"),
             F.lit(t["tab_seq"]).alias("tab_seq"), "row_no", *[R.qcol(h) for h in header])
-        annotated = R.apply_chain(batch, R.build_rules(spec, env_t, gate, key)).persist(StorageLevel.MEMORY_AND_DISK)
+        annotated = R.apply_chain(batch, R.build_rules(spec, env_t, gate, key), keep_prep=True) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
         counts = {r[0]: r[1] for r in annotated.groupBy(F.col("rule_id").isNull()).count().collect()}
         n_acc, n_rej = counts.get(True, 0), counts.get(False, 0)
         quarantine = Q.to_quarantine(annotated, list(header), cfg.run_id)

@@ -27,7 +27,7 @@ def annotated(batch: DataFrame, spec: TableSpec, env: R.Envelope) -> DataFrame:
 
 
 def accepted_typed(batch: DataFrame, spec: TableSpec, env: R.Envelope) -> DataFrame:
-    v = annotated(batch, spec, env).where(F.col("rule_id").isNull())
+    v = R.validate(batch, spec, env, keep_prep=True).where(F.col("rule_id").isNull())
     return A.typed(v, spec, env.header, keep=("tab", "file_seq", "tab_seq", "row_no"))
 
 

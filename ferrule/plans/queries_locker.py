@@ -176,16 +176,15 @@ def union_distinct(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _quarantine_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Quarantine rows of the run: rule rejects of three tabs + missing keys."""
-    frames = []
-    for d in _rejected_wide(spark, sf):
-        frames.append(d.select("file", "authors", "tab", "target_table", "row_no", "rule_column", "rule_id",
-                               "rule_message"))
-    acc = orders_accepted(spark, sf)
-    miss = A.missing_keys(acc, X.target_orders(spark, sf), KEY)
-    frames.append(miss.select(F.lit(X.BATCH_FILE).alias("file"), F.lit(X.BATCH_AUTHORS).alias("authors"), "tab",
-                              F.lit("pub.orders").alias("target_table"), "row_no", F.lit(KEY).alias("rule_column"),
-                              F.lit("D2").alias("rule_id"), F.lit(R.RULE_TEXT["D2"]).alias("rule_message")))
+    """Quarantine rows of the run: rule rejects of three tabs, plus missing keys (D2) marked
+    in the same pass as the update tab's validation."""
+    cols = ["file", "authors", "tab", "target_table", "row_no", "rule_column", "rule_id", "rule_message"]
+    orders = R.validate(X.update_orders(spark, sf), X.PUB_ORDERS, X.UPDATE_ORDERS_ENV, keep_prep=True)
+    key_value = A.typed_value(X.PUB_ORDERS.column(KEY), KEY, frozenset(orders.columns))
+    orders = A.mark_missing_keys(orders, key_value, X.target_orders(spark, sf), KEY)
+    cust = annotated(X.insert_customer(spark, sf), X.customer_spec(spark, sf), X.INSERT_CUSTOMER_ENV)
+    dups = annotated(X.update_dups(spark, sf), X.PUB_ORDERS, X.UPDATE_DUPS_ENV)
+    frames = [d.where(F.col("rule_id").isNotNull()).select(*cols) for d in (orders, cust, dups)]
     return Q.union_all_by_name(frames)
 
 
