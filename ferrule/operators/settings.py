@@ -25,9 +25,8 @@ def upsert(requests: DataFrame, catalog_tables: DataFrame, existing: DataFrame |
     them in one task."""
     order = order or ["updated_at"]
     names = catalog_tables.select(F.concat_ws(".", "table_schema", "table_name").alias("target_table"))
-    valid = (requests.where(F.col("target_table").isNotNull() & (F.length("target_table") > 0)
-                            & (F.col("shelf_life_days") > 0))
-             .join(names, "target_table", "left_semi"))
+    valid = requests.where(F.col("target_table").isNotNull() & (F.length("target_table") > 0)
+                           & (F.col("shelf_life_days") > 0))
     cols = ["target_table", "auto_edit", "shelf_life_days", "updated_at"]
     pool = valid.select(*cols, *[c for c in order if c not in cols])
     if existing is not None:
@@ -36,6 +35,9 @@ def upsert(requests: DataFrame, catalog_tables: DataFrame, existing: DataFrame |
     latest = (pool.groupBy("target_table")
               .agg(F.max_by(F.struct("auto_edit", "shelf_life_days", "updated_at"), rank).alias("_w"))
               .select("target_table", "_w.auto_edit", "_w.shelf_life_days", "_w.updated_at"))
+    # existence is per table, so it is checked on the aggregate (one row per table),
+    # after the map-side partial aggregate has collapsed hot tables
+    latest = latest.join(names, "target_table", "left_semi")
     is_default = (F.col("auto_edit") == F.lit(DEFAULT_AUTO_EDIT)) & \
                  (F.col("shelf_life_days") == F.lit(DEFAULT_SHELF_LIFE_DAYS))
     return latest.where(~is_default)
