@@ -83,3 +83,43 @@ def purge(locker: DataFrame, settings: DataFrame | None, as_of: str) -> DataFram
     """Keep items whose day is not before ``as_of - shelf life`` (strictly older go)."""
     lived = with_shelf_life(locker, settings)
     return lived.where(F.col("day") >= cutoff_day(as_of, F.col("shelf_life_days"))).drop("shelf_life_days")
+
+
+def write_export(rows: DataFrame, details: DataFrame, path: str) -> None:
+    """B8 sink: one folder per sheet (``sheet=Update_1``...) plus ``TAB_Details``."""
+    rows.write.mode("overwrite").partitionBy("sheet").parquet(f"{path}/items")
+    details.write.mode("overwrite").parquet(f"{path}/TAB_Details")
+
+
+def expired_partitions(locker: DataFrame, settings: DataFrame | None, as_of: str) -> DataFrame:
+    """E4 on a written locker: (day, target_table) partitions older than their shelf life.
+
+    Works on the partition list (distinct partition values), not on the rows."""
+    parts = locker.select("day", "target_table").distinct()
+    lived = with_shelf_life(parts, settings)
+    return lived.where(F.col("day") < cutoff_day(as_of, F.col("shelf_life_days"))).select("day", "target_table")
+
+
+def purge_written(spark, path: str, settings: DataFrame | None, as_of: str) -> list[str]:
+    """Delete expired partition folders of a locker written with ``partitionBy('day', 'target_table', ...)``.
+
+    Whole-folder deletes through the Hadoop file system of the path (the same one
+    Spark writes with); returns the removed folders.  An emptied day disappears
+    with its last table folder."""
+    from urllib.parse import quote
+
+    gone = expired_partitions(spark.read.parquet(path), settings, as_of).collect()   # one row per partition
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = []
+    for r in gone:
+        p = f"{path.rstrip('/')}/day={r['day']}/target_table={quote(r['target_table'], safe='')}"
+        jpath = jvm.org.apache.hadoop.fs.Path(p)
+        fs = jpath.getFileSystem(conf)
+        if fs.exists(jpath):
+            fs.delete(jpath, True)
+            removed.append(p)
+        day_dir = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/day={r['day']}")
+        if fs.exists(day_dir) and len(fs.listStatus(day_dir)) == 0:
+            fs.delete(day_dir, True)
+    return removed

@@ -50,6 +50,7 @@ RULE_TEXT = {
     "V15b": "does not fit the declared precision and scale",
     "V12": "NULL where the column is not nullable",
     "V13": "NULL primary key",
+    "C17": "insert leaves out a column that is not nullable",
     "D2": "key does not exist in the table",
 }
 
@@ -236,8 +237,19 @@ def envelope_gate(env: Envelope, spec: TableSpec | None, table_exists: bool, n_r
     return None, keys[0]
 
 
-def build_rules(spec: TableSpec | None, env: Envelope, gate: str | None, key: str | None) -> list[Rule]:
-    """The full chain of one tab: head gates, columns in header order, key gates, V13."""
+def missing_required(spec: TableSpec, header: tuple[str, ...]) -> list[str]:
+    """C17: NOT NULL columns an insert leaves out (the primary key is generated, so exempt)."""
+    have = {h.lower() for h in header}
+    keys = {k.lower() for k in spec.primary_key}
+    return [c.name for c in spec.columns if not c.nullable and c.name.lower() not in have
+            and c.name.lower() not in keys]
+
+
+def build_rules(spec: TableSpec | None, env: Envelope, gate: str | None, key: str | None,
+                require_not_null: bool = False) -> list[Rule]:
+    """The full chain of one tab: head gates, columns in header order, key gates, V13.
+
+    ``require_not_null`` turns on C17 (off by default, as in the source tool)."""
     if gate in TAB_GATES_HEAD:
         return [Rule(gate, None, None, _always, "TRUE")]
     rules: list[Rule] = []
@@ -251,6 +263,8 @@ def build_rules(spec: TableSpec | None, env: Envelope, gate: str | None, key: st
                                                              and name.lower() == key.lower())))
     if gate in TAB_GATES_KEY:
         rules.append(Rule(gate, None, None, _always, "TRUE"))
+    elif require_not_null and mode == "insert" and spec is not None and missing_required(spec, env.header):
+        rules.append(Rule("C17", missing_required(spec, env.header)[0], None, _always, "TRUE"))
     elif mode == "update" and key is not None:
         rules.append(Rule("V13", key, None, lambda: qcol(key).isNull(), f"({qsql(key)} IS NULL)"))
     return rules

@@ -43,6 +43,17 @@ def settings_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return settings(spark, sf)
 
 
+# --- A14: settings lookup with defaults ---------------------------------------------------------
+
+@register("settings_lookup", lambda: f"""WITH st AS ({_settings_sql()})
+SELECT t.target_table, coalesce(st.auto_edit, TRUE) AS auto_edit, coalesce(st.shelf_life_days, 14) AS shelf_life_days
+FROM (SELECT DISTINCT target_table FROM ({X.LOCKER_SQL})) t LEFT JOIN st USING (target_table)""")
+def settings_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """A14 for every table the locker holds: its settings, defaults where it has none."""
+    targets = X.locker(spark, sf).select("target_table").distinct()
+    return ST.lookup(targets, settings(spark, sf)).select("target_table", "auto_edit", "shelf_life_days")
+
+
 # --- B7: locker append -------------------------------------------------------------------------
 
 def _locker_append_sql() -> str:

@@ -137,3 +137,12 @@ def test_unknown_column_rejects_remaining_rows(spark):
     df = spark.createDataFrame([("x", "1"), ("1", "1")], "a string, zzz string")
     got = [(r.rule_column, r.rule_id) for r in R.validate(df, spec, env).collect()]
     assert got == [("a", "V2"), ("zzz", "C6")]
+
+
+def test_c17_missing_not_null_column_on_insert(spark):
+    spec = TableSpec("s.t", (C("k", "bigint", False), C("a", "int", False), C("b", "int")), ("k",))
+    env = R.Envelope("insert_t", "s.t", ("b",))
+    df = spark.createDataFrame([("1",)], "b string")
+    assert R.validate(df, spec, env).first().rule_id is None          # off by default
+    rules = R.build_rules(spec, env, None, None, require_not_null=True)
+    assert R.apply_chain(df, rules).first().rule_id == "C17"

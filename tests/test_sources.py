@@ -156,3 +156,15 @@ def test_stream_processes_each_file_once(spark, tmp_path):
     v = store.version("pub.orders")
     run_stream(spark, inbox, ckpt, handle)          # same checkpoint: nothing new
     assert len(seen) == n and store.version("pub.orders") == v
+
+
+def test_written_locker_retention_removes_whole_partitions(spark, tmp_path):
+    from ferrule.operators import locker as L
+
+    path = str(tmp_path / "locker")
+    lk = X.locker(spark, SF_SMALL)
+    lk.write.partitionBy("day", "target_table").parquet(path)
+    keep = L.purge(lk, None, X.AS_OF).count()
+    removed = L.purge_written(spark, path, None, X.AS_OF)
+    assert removed
+    assert spark.read.parquet(path).count() == keep
