@@ -124,12 +124,12 @@ def key_presence(batch: DataFrame, target: DataFrame, key: str, batch_rows: int
     Small batch: its distinct keys are broadcast into a scan of the target
     keys (the target is never shuffled), and the found keys - at most the
     batch's size - are broadcast back.  Large batch: a shuffle join."""
-    tkeys = target.select(key)
+    tkeys = target.select(key)     # a primary key: unique, so no distinct over the target
     if batch_rows is not None and batch_rows <= BROADCAST_MAX_ROWS:
-        found = tkeys.join(F.broadcast(batch.select(key).distinct()), key, "left_semi").distinct()
+        found = tkeys.join(F.broadcast(batch.select(key).distinct()), key, "left_semi")
         flagged = F.broadcast(found.withColumn(EXISTS, F.lit(True)))
     else:
-        flagged = tkeys.distinct().withColumn(EXISTS, F.lit(True))
+        flagged = tkeys.withColumn(EXISTS, F.lit(True))
     return batch.join(flagged, key, "left").withColumn(EXISTS, F.coalesce(F.col(EXISTS), F.lit(False)))
 
 

@@ -35,6 +35,18 @@ def locker_rows(image: DataFrame, *, target_table: str, item_id: str, file: str,
         row_map(payload).alias("row"))
 
 
+def locker_rows_by_tab(image: DataFrame, *, target_table: str, run_id: str, mode: str, as_of: str,
+                      payload: list[str]) -> DataFrame:
+    """B7 for many tabs at once: ``image`` carries ``tab``, ``file``, ``authors``, ``row_no``;
+    each tab is its own item ``<run_id>:<tab>``."""
+    ts = F.lit(as_of).cast("timestamp_ntz")
+    return image.select(
+        S.day_key(ts).alias("day"), F.lit(target_table).alias("target_table"),
+        F.concat(F.lit(f"{run_id}:"), F.col("tab")).alias("item_id"), S.base_name("file").alias("file"),
+        F.col("authors").cast("string").alias("authors"), F.lit(mode).alias("mode"), ts.alias("append_time"),
+        F.col("row_no").cast("bigint").alias("row_no"), row_map(payload).alias("row"))
+
+
 def append(rows: DataFrame, path: str) -> None:
     """B7 sink: append under ``day=/target_table=`` partitions (only when rows exist)."""
     rows.write.mode("append").partitionBy("day", "target_table").parquet(path)

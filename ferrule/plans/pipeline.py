@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..functions.types import DEFAULT_AUTO_EDIT
@@ -54,6 +55,33 @@ def _auto_edit(settings: DataFrame | None, table: str) -> bool:
     return DEFAULT_AUTO_EDIT if row is None else bool(row[0])
 
 
+WAVE_BROADCAST_MAX_TABS = 100_000     # tab list of a wave shipped to every executor
+
+
+@dataclass
+class Wave:
+    """Consecutive tabs (in file, sheet order) with the same target, mode, header and gate outcome."""
+
+    table: str | None
+    mode: str | None
+    header: tuple[str, ...]
+    gate: str | None
+    key: str | None
+    tabs: list
+
+
+def waves_of(tabs: list, gates: dict) -> list[Wave]:
+    out: list[Wave] = []
+    for t in tabs:
+        gate, key = gates.get((t["tab"], t["target_table"]), (None, None))
+        sig = (t["target_table"], R.tab_mode(t["tab"]), tuple(t["header"] or ()), gate, key)
+        if out and (out[-1].table, out[-1].mode, out[-1].header, out[-1].gate, out[-1].key) == sig:
+            out[-1].tabs.append(t)
+        else:
+            out.append(Wave(*sig, [t]))
+    return out
+
+
 def run(spark: SparkSession, parsed: DataFrame, catalog: Catalog, store: TableStore, cfg: RunConfig,
         settings: DataFrame | None = None) -> DataFrame:
     parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
@@ -63,42 +91,15 @@ def run(spark: SparkSession, parsed: DataFrame, catalog: Catalog, store: TableSt
     env = env.join(order, ["path", "tab"], "left")
     gates = {(r["tab"], r["target_table"]): (r["gate_id"], r["key_column"])
              for r in tab_gates(env.select("path", "tab", "target_table", "header", "n_rows"), catalog).collect()}
-    tabs = env.orderBy("file_seq", "path", "tab_seq", "tab").collect()      # one row per tab
+    tabs = env.orderBy("file_seq", "path", "tab_seq", "tab").collect()      # one row per tab (metadata)
     split = EV.split_rows(parsed, env.select("path", "tab", "target_table", "header")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     events = []
-    for t in tabs:
-        header = tuple(t["header"] or ())
-        table = t["target_table"]
-        gate, key = gates.get((t["tab"], table), (None, None))
-        env_t = R.Envelope(t["tab"], table, header)
-        spec = catalog.spec(table) if gate not in ("C1", "C2", "C3") and table else None
-        mode = R.tab_mode(t["tab"])
-        rows = split.where((F.col("path") == t["path"]) & (F.col("tab") == t["tab"]))
-        batch = EV.to_columns(rows, list(header)).select(
-            F.col("path").alias("file"), F.lit(t["authors"]).cast("string").alias("authors"), "tab",
-            "target_table", F.lit(mode).alias("mode"), F.lit(t["file_seq"]).alias("file_seq"),
-            F.lit(t["tab_seq"]).alias("tab_seq"), "row_no", *[R.qcol(h) for h in header])
-        annotated = R.apply_chain(batch, R.build_rules(spec, env_t, gate, key), keep_prep=True) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        counts = {r[0]: r[1] for r in annotated.groupBy(F.col("rule_id").isNull()).count().collect()}
-        n_acc, n_rej = counts.get(True, 0), counts.get(False, 0)
-        quarantine = Q.to_quarantine(annotated, list(header), cfg.run_id)
-        n_missing = 0
-        if n_acc and gate is None and spec is not None:
-            acc = A.typed(annotated.where(F.col("rule_id").isNull()), spec, header, keep=("file_seq", "tab_seq", "row_no"))
-            acc = A.edit_stamp(acc, spec, _auto_edit(settings, table), cfg.as_of)
-            sink: list[DataFrame] = []
-            n_missing = _apply(spark, store, cfg, t, spec, mode, key, acc, n_acc, sink)
-            for q in sink:
-                quarantine = quarantine.unionByName(q)
-        _write_dynamic(quarantine, cfg.quarantine_path, ["run_id", "tab"])
-        level = "warning" if n_rej or n_missing else "info"
-        events.append((cfg.run_id, level, f"{mode or 'unknown'} tab {t['tab']} for {table}: "
-                       f"{n_acc - n_missing} applied, {n_rej + n_missing} rejected"))
-        annotated.unpersist()
-    run_q = spark.read.parquet(cfg.quarantine_path).where(F.col("run_id") == cfg.run_id)
-    _write_dynamic(Q.error_details(run_q).withColumn("run_id", F.lit(cfg.run_id)), cfg.errors_path, ["run_id"])
+    for wave in waves_of(tabs, gates):
+        events.extend(_run_wave(spark, wave, split, catalog, store, cfg, settings))
+    if any(level == "warning" for _, level, _ in events):          # some row of the run was rejected
+        run_q = spark.read.parquet(cfg.quarantine_path).where(F.col("run_id") == cfg.run_id)
+        _write_dynamic(Q.error_details(run_q).withColumn("run_id", F.lit(cfg.run_id)), cfg.errors_path, ["run_id"])
     ev = spark.createDataFrame(events, "run_id string, level string, message string") \
         .withColumn("event_time", F.lit(cfg.as_of).cast("timestamp_ntz")) \
         .select("run_id", "event_time", "level", "message")
@@ -108,48 +109,102 @@ def run(spark: SparkSession, parsed: DataFrame, catalog: Catalog, store: TableSt
     return spark.read.parquet(cfg.events_path).where(F.col("run_id") == cfg.run_id)
 
 
-def _apply(spark: SparkSession, store: TableStore, cfg: RunConfig, t, spec, mode: str, key: str | None,
-           acc: DataFrame, n_acc: int, quarantine_sink: list) -> int:
-    """E1-E3 for one tab; returns the number of accepted rows rejected by D2."""
+def _run_wave(spark: SparkSession, wave: Wave, split: DataFrame, catalog: Catalog, store: TableStore,
+              cfg: RunConfig, settings: DataFrame | None) -> list[tuple]:
+    """Validate, quarantine and apply every tab of a wave in one set of jobs."""
+    header, table = wave.header, wave.table
+    spec = catalog.spec(table) if wave.gate not in ("C1", "C2", "C3") and table else None
+    tab_list = spark.createDataFrame(
+        [(t["path"], t["tab"], t["file_seq"], t["tab_seq"], t["authors"]) for t in wave.tabs],
+        "path string, tab string, file_seq int, tab_seq int, authors string")
+    if len(wave.tabs) <= WAVE_BROADCAST_MAX_TABS:
+        tab_list = F.broadcast(tab_list)
+    rows = split.join(tab_list, ["path", "tab"])
+    batch = rows.select(F.col("path").alias("file"), "authors", "tab", "target_table",
+                        F.lit(wave.mode).alias("mode"), "file_seq", "tab_seq", "row_no",
+                        *[F.col("row")[h].alias(h) for h in header])
+    env = R.Envelope(wave.tabs[0]["tab"], table, header)
+    annotated = R.apply_chain(batch, R.build_rules(spec, env, wave.gate, wave.key), keep_prep=True) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    counts: dict[tuple[str, bool], int] = {}
+    for r in annotated.groupBy("tab", F.col("rule_id").isNull().alias("ok")).count().collect():
+        counts[(r["tab"], r["ok"])] = r["count"]
+    n_acc = sum(v for (_, ok), v in counts.items() if ok)
+    quarantine = Q.to_quarantine(annotated, list(header), cfg.run_id)
+    missing: dict[str, int] = {}
+    if n_acc and wave.gate is None and spec is not None:
+        acc = A.typed(annotated.where(F.col("rule_id").isNull()), spec, header,
+                      keep=("file", "authors", "tab", "file_seq", "tab_seq", "row_no"))
+        acc = A.edit_stamp(acc, spec, _auto_edit(settings, table), cfg.as_of)
+        d2 = _apply_wave(store, cfg, spec, wave.mode, wave.key, acc, n_acc)
+        if d2 is not None:
+            missing = {r["tab"]: r["count"] for r in d2.groupBy("tab").count().collect()}
+            quarantine = quarantine.unionByName(d2)
+    _write_dynamic(quarantine, cfg.quarantine_path, ["run_id", "tab"])
+    annotated.unpersist()
+    events = []
+    for t in wave.tabs:
+        ok, bad, miss = counts.get((t["tab"], True), 0), counts.get((t["tab"], False), 0), missing.get(t["tab"], 0)
+        events.append((cfg.run_id, "warning" if bad or miss else "info",
+                       f"{wave.mode or 'unknown'} tab {t['tab']} for {table}: {ok - miss} applied, "
+                       f"{bad + miss} rejected"))
+    return events
+
+
+LINEAGE_KEEP = ["file", "authors", "tab", "file_seq", "tab_seq", "row_no"]
+
+
+def _apply_wave(store: TableStore, cfg: RunConfig, spec, mode: str, key: str | None, acc: DataFrame,
+                n_acc: int) -> DataFrame | None:
+    """E1-E3 for a wave; returns the D2 quarantine rows of an update wave."""
     table = spec.table
-    item = f"{cfg.run_id}:{t['tab']}"
+    payload = [c for c in acc.columns if c not in LINEAGE_KEEP]
     if mode == "insert":
         pk = spec.primary_key
         if cfg.generated_keys and len(pk) == 1 and pk[0] not in acc.columns:
             base = store.read(table).agg(F.max(pk[0])).first()[0] or 0      # one scalar
             acc = A.sequence_keys(acc, pk[0], int(base), ["file_seq", "tab_seq", "row_no"])
-        rows = acc.drop("file_seq", "tab_seq")
+            payload = [pk[0]] + payload
+        rows = acc.persist(StorageLevel.MEMORY_AND_DISK)
         # Inserted rows are preserved too, then appended
-        image = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        lk = L.locker_rows(image, target_table=table, item_id=item, file=t["path"], authors=t["authors"],
-                           mode="Insert", as_of=cfg.as_of, row_no=F.col("row_no"),
-                           payload=[c for c in image.columns if c != "row_no"])
+        lk = L.locker_rows_by_tab(rows, target_table=table, run_id=cfg.run_id, mode="Insert", as_of=cfg.as_of,
+                                  payload=payload)
         _write_dynamic(lk, cfg.locker_path, ["day", "target_table", "item_id"])
-        store.insert(table, image.drop("row_no"))
-        image.unpersist()
-        return 0
+        store.insert(table, rows.select(*payload))
+        rows.unpersist()
+        return None
     target = store.read(table)
-    res = A.resolve_duplicates(acc.drop("file_seq", "tab_seq"), key)
-    flagged = A.key_presence(res, target, key, batch_rows=n_acc).persist(StorageLevel.MEMORY_AND_DISK)
-    missing = flagged.where(~F.col(A.EXISTS))
-    n_missing = missing.count()
-    if n_missing:
-        quarantine_sink.append(missing.select(
-            F.lit(cfg.run_id).alias("run_id"), F.lit(t["path"]).alias("file"),
-            F.lit(t["authors"]).cast("string").alias("authors"), F.lit(t["tab"]).alias("tab"),
-            F.lit(table).alias("target_table"), "row_no",
-            Q.row_map([c for c in res.columns if c != "row_no"]).alias("row"),
-            F.lit(key).alias("rule_column"), F.lit("D2").alias("rule_id"), F.lit(R.RULE_TEXT["D2"]).alias("rule_message")))
+    flagged = A.key_presence(acc, target, key, batch_rows=n_acc).persist(StorageLevel.MEMORY_AND_DISK)
+    d2 = flagged.where(~F.col(A.EXISTS)).select(
+        F.lit(cfg.run_id).alias("run_id"), "file", F.col("authors").cast("string").alias("authors"), "tab",
+        F.lit(table).alias("target_table"), "row_no", Q.row_map(payload).alias("row"),
+        F.lit(key).alias("rule_column"), F.lit("D2").alias("rule_id"), F.lit(R.RULE_TEXT["D2"]).alias("rule_message"))
+    d2 = d2.persist(StorageLevel.MEMORY_AND_DISK)
+    d2.count()                                   # materialised before the target changes
     good = flagged.where(F.col(A.EXISTS)).drop(A.EXISTS)
-    changed = [c for c in good.columns if c not in (key, "row_no")]
-    # Before image is written before the target changes
-    image = A.before_image(good, target, key, changed, batch_rows=n_acc, carry=["row_no"])
-    lk = L.locker_rows(image, target_table=table, item_id=item, file=t["path"], authors=t["authors"],
-                       mode="Update", as_of=cfg.as_of, row_no=F.col("row_no"), payload=[key] + changed)
+    changed = [c for c in payload if c != key]
+    # one change per (tab, key): the tab's last row; then the changes of a key in tab order
+    per_change = (good.groupBy("tab", key)
+                  .agg(F.max_by(F.struct(*[c for c in good.columns if c not in ("tab", key)]), "row_no").alias("_w"))
+                  .select("tab", key, "_w.*"))
+    w = Window.partitionBy(key).orderBy("file_seq", "tab_seq")      # one row per tab changing the key
+    new_vals = F.struct(*[F.col(c) for c in changed])
+    chained = per_change.withColumn("_prev", F.lag(new_vals).over(w)) \
+        .withColumn("_last", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("file_seq"), F.desc("tab_seq"))) == 1)
+    old = A.before_image(per_change.select(key).distinct(), target, key, changed, batch_rows=n_acc)
+    old = old.select(key, F.struct(*[F.col(c) for c in changed]).alias("_old"))
+    with_old = chained.join(old, key, "left")
+    before = F.when(F.col("_prev").isNull(), F.col("_old")).otherwise(F.col("_prev"))
+    image = with_old.select("tab", "file", "authors", "row_no", key, before.alias("_b")).select(
+        "tab", "file", "authors", "row_no", key, *[F.col("_b")[c].alias(c) for c in changed])
+    # Before images are written before the target changes
+    lk = L.locker_rows_by_tab(image, target_table=table, run_id=cfg.run_id, mode="Update", as_of=cfg.as_of,
+                              payload=[key] + changed)
     _write_dynamic(lk, cfg.locker_path, ["day", "target_table", "item_id"])
-    store.update(table, good.drop("row_no"), key, batch_rows=n_acc)
+    final = with_old.where(F.col("_last")).select(key, *changed)
+    store.update(table, final, key, batch_rows=n_acc)
     flagged.unpersist()
-    return n_missing
+    return d2
 
 
 def run_inbox(spark: SparkSession, inbox: str, catalog: Catalog, store: TableStore, cfg: RunConfig,

@@ -168,3 +168,23 @@ def test_written_locker_retention_removes_whole_partitions(spark, tmp_path):
     removed = L.purge_written(spark, path, None, X.AS_OF)
     assert removed
     assert spark.read.parquet(path).count() == keep
+
+
+def test_wave_chains_before_images_across_tabs(spark, tmp_path):
+    """Two tabs of one wave change key 1: the table ends with the later value and each
+    tab's before image is the value the previous tab left."""
+    cells = [("f.csv", "update_a", 1, 1, ["pub.orders"]), ("f.csv", "update_a", 1, 2, ["o_orderkey", "o_orderstatus"]),
+             ("f.csv", "update_a", 1, 3, ["1", "A"]),
+             ("f.csv", "update_b", 2, 1, ["pub.orders"]), ("f.csv", "update_b", 2, 2, ["o_orderkey", "o_orderstatus"]),
+             ("f.csv", "update_b", 2, 3, ["1", "B"]), ("f.csv", "update_b", 2, 4, ["2", "C"])]
+    parsed = spark.createDataFrame([(p, t, s, r, c, None, 1) for p, t, s, r, c in cells],
+                                   "path string, tab string, tab_seq int, row_no bigint, cells array<string>, "
+                                   "authors string, file_seq int")
+    store = _store(spark, str(tmp_path / "tables"))
+    before = {r.o_orderkey: r.o_orderstatus for r in store.read("pub.orders").where("o_orderkey in (1, 2)").collect()}
+    cfg = _cfg(str(tmp_path / "out"), "w1")
+    run(spark, parsed, X.declared_catalog(spark, SF_SMALL), store, cfg)
+    after = {r.o_orderkey: r.o_orderstatus for r in store.read("pub.orders").where("o_orderkey in (1, 2)").collect()}
+    assert after == {1: "B", 2: "C"}
+    lk = {(r.item_id, r.row["o_orderkey"]): r.row["o_orderstatus"] for r in spark.read.parquet(cfg.locker_path).collect()}
+    assert lk == {("w1:update_a", "1"): before[1], ("w1:update_b", "1"): "A", ("w1:update_b", "2"): before[2]}
