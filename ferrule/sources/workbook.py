@@ -11,6 +11,7 @@ Parquet batch with lineage columns (see ``read_parquet_batch``).
 from __future__ import annotations
 
 import csv
+import datetime as _dt
 import io
 import re
 import zipfile
@@ -44,6 +45,40 @@ def _text(el) -> str:
     return "".join(t.text or "" for t in el.iter(f"{{{_NS['m']}}}t"))
 
 
+# Built-in number formats that display a date or time (ECMA-376 numFmtId).
+DATE_FORMAT_IDS = frozenset([14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47])
+EXCEL_EPOCH = _dt.datetime(1899, 12, 30)
+
+
+def _date_styles(zf: zipfile.ZipFile, names: set[str]) -> set[int]:
+    """Indexes of cell styles (``s`` attribute) whose number format shows a date/time."""
+    if "xl/styles.xml" not in names:
+        return set()
+    root = ET.fromstring(zf.read("xl/styles.xml"))
+    custom = {}
+    fmts = root.find("m:numFmts", _NS)
+    if fmts is not None:
+        for f in fmts.findall("m:numFmt", _NS):
+            code = re.sub(r'"[^"]*"|\[[^]]*\]', "", f.get("formatCode", "")).lower()
+            custom[int(f.get("numFmtId"))] = bool(re.search(r"[dmyhs]", code))
+    xfs = root.find("m:cellXfs", _NS)
+    out = set()
+    if xfs is not None:
+        for i, xf in enumerate(xfs.findall("m:xf", _NS)):
+            fid = int(xf.get("numFmtId", "0"))
+            if fid in DATE_FORMAT_IDS or custom.get(fid, False):
+                out.add(i)
+    return out
+
+
+def excel_serial_text(value: str) -> str:
+    """An Excel date serial as ``yyyy-MM-dd`` or ``yyyy-MM-dd HH:mm:ss`` text (1900 system)."""
+    days = float(value)
+    ts = EXCEL_EPOCH + _dt.timedelta(days=days)
+    ts = ts.replace(microsecond=0) + _dt.timedelta(seconds=round(ts.microsecond / 1e6))
+    return ts.strftime("%Y-%m-%d") if days == int(days) else ts.strftime("%Y-%m-%d %H:%M:%S")
+
+
 def xlsx_rows(data: bytes) -> tuple[list[str] | None, list[tuple[str, int, int, list[str | None]]]]:
     """(authors, [(tab, tab_seq, row_no, cells)]) of an .xlsx file; sparse cells placed by reference."""
     zf = zipfile.ZipFile(io.BytesIO(data))
@@ -57,6 +92,7 @@ def xlsx_rows(data: bytes) -> tuple[list[str] | None, list[tuple[str, int, int,
         creator = ET.fromstring(zf.read("docProps/core.xml")).find("dc:creator", _NS)
         if creator is not None and creator.text:
             authors = [a.strip() for a in re.split(r"[;,]", creator.text) if a.strip()]
+    dates = _date_styles(zf, names)
     rels = {}
     if "xl/_rels/workbook.xml.rels" in names:
         for r in ET.fromstring(zf.read("xl/_rels/workbook.xml.rels")).findall("rel:Relationship", _NS):
@@ -83,6 +119,8 @@ def xlsx_rows(data: bytes) -> tuple[list[str] | None, list[tuple[str, int, int,
                     val = _text(is_) if is_ is not None else None
                 else:
                     val = v.text if v is not None else None
+                    if val is not None and kind in (None, "n") and int(c.get("s", "0")) in dates:
+                        val = excel_serial_text(val)      # a date cell: serial -> text
                 cells[col] = val
             width = max(cells) + 1 if cells else 0
             out.append((sheet.get("name"), i, row_no, [cells.get(j) for j in range(width)]))

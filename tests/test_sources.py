@@ -188,3 +188,23 @@ def test_wave_chains_before_images_across_tabs(spark, tmp_path):
     assert after == {1: "B", 2: "C"}
     lk = {(r.item_id, r.row["o_orderkey"]): r.row["o_orderstatus"] for r in spark.read.parquet(cfg.locker_path).collect()}
     assert lk == {("w1:update_a", "1"): before[1], ("w1:update_b", "1"): "A", ("w1:update_b", "2"): before[2]}
+
+
+def test_xlsx_date_cells_become_date_text():
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/'
+                                      f'2006/relationships"><sheets><sheet name="Insert_x" sheetId="1" r:id="rId1"/>'
+                                      f'</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels",
+                   '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                   '<Relationship Id="rId1" Target="worksheets/sheet1.xml" Type="x"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><numFmts count="1"><numFmt numFmtId="164" '
+                                    f'formatCode="yyyy\\-mm\\-dd hh:mm"/></numFmts><cellXfs count="3">'
+                                    f'<xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml",
+                   f'<worksheet {ns}><sheetData><row r="3"><c r="A3" s="1"><v>45292</v></c>'
+                   f'<c r="B3" s="2"><v>45292.5</v></c><c r="C3"><v>45292</v></c></row></sheetData></worksheet>')
+    _, rows = xlsx_rows(buf.getvalue())
+    assert rows == [("Insert_x", 1, 3, ["2024-01-01", "2024-01-01 12:00:00", "45292"])]
