@@ -116,7 +116,7 @@ def _run_wave(spark: SparkSession, wave: Wave, split: DataFrame, catalog: Catalo
     spec = catalog.spec(table) if wave.gate not in ("C1", "C2", "C3") and table else None
     tab_list = spark.createDataFrame(
         [(t["path"], t["tab"], t["file_seq"], t["tab_seq"], t["authors"]) for t in wave.tabs],
-        "path string, tab string, file_seq int, tab_seq int, authors string")
+        "path string, tab string, file_seq bigint, tab_seq int, authors string")
     if len(wave.tabs) <= WAVE_BROADCAST_MAX_TABS:
         tab_list = F.broadcast(tab_list)
     rows = split.join(tab_list, ["path", "tab"])
@@ -163,7 +163,7 @@ def _apply_wave(store: TableStore, cfg: RunConfig, spec, mode: str, key: str | N
         pk = spec.primary_key
         if cfg.generated_keys and len(pk) == 1 and pk[0] not in acc.columns:
             base = store.read(table).agg(F.max(pk[0])).first()[0] or 0      # one scalar
-            acc = A.sequence_keys(acc, pk[0], int(base), ["file_seq", "tab_seq", "row_no"])
+            acc = A.sequence_keys(acc, pk[0], int(base), ["file_seq", "file", "tab_seq", "row_no"])
             payload = [pk[0]] + payload
         rows = acc.persist(StorageLevel.MEMORY_AND_DISK)
         # Inserted rows are preserved too, then appended
@@ -187,10 +187,10 @@ def _apply_wave(store: TableStore, cfg: RunConfig, spec, mode: str, key: str | N
     per_change = (good.groupBy("tab", key)
                   .agg(F.max_by(F.struct(*[c for c in good.columns if c not in ("tab", key)]), "row_no").alias("_w"))
                   .select("tab", key, "_w.*"))
-    w = Window.partitionBy(key).orderBy("file_seq", "tab_seq")      # one row per tab changing the key
+    w = Window.partitionBy(key).orderBy("file_seq", "file", "tab_seq")   # one row per tab changing the key
     new_vals = F.struct(*[F.col(c) for c in changed])
     chained = per_change.withColumn("_prev", F.lag(new_vals).over(w)) \
-        .withColumn("_last", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("file_seq"), F.desc("tab_seq"))) == 1)
+        .withColumn("_last", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("file_seq"), F.desc("file"), F.desc("tab_seq"))) == 1)
     old = A.before_image(per_change.select(key).distinct(), target, key, changed, batch_rows=n_acc)
     old = old.select(key, F.struct(*[F.col(c) for c in changed]).alias("_old"))
     with_old = chained.join(old, key, "left")
@@ -217,10 +217,8 @@ def run_inbox(spark: SparkSession, inbox: str, catalog: Catalog, store: TableSto
 
 
 def _with_file_order(parsed: DataFrame) -> DataFrame:
-    """file_seq = rank of the file by (modificationTime, path) - over the file list only."""
-    files = parsed.select("path", "modificationTime").distinct()
-    from pyspark.sql.window import Window
+    """file_seq = the file's modification time in microseconds; ties are ordered by path.
 
-    ranked = files.withColumn("file_seq", F.row_number().over(Window.orderBy("modificationTime", "path")))
-    out = parsed.join(ranked.select("path", "file_seq"), "path")
+    A per-row expression: no window over the file list, however many files arrive."""
+    out = parsed.withColumn("file_seq", F.unix_micros(F.col("modificationTime")))
     return out.withColumn("authors", S.authors_text("authors"))

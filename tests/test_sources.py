@@ -179,7 +179,7 @@ def test_wave_chains_before_images_across_tabs(spark, tmp_path):
              ("f.csv", "update_b", 2, 3, ["1", "B"]), ("f.csv", "update_b", 2, 4, ["2", "C"])]
     parsed = spark.createDataFrame([(p, t, s, r, c, None, 1) for p, t, s, r, c in cells],
                                    "path string, tab string, tab_seq int, row_no bigint, cells array<string>, "
-                                   "authors string, file_seq int")
+                                   "authors string, file_seq bigint")
     store = _store(spark, str(tmp_path / "tables"))
     before = {r.o_orderkey: r.o_orderstatus for r in store.read("pub.orders").where("o_orderkey in (1, 2)").collect()}
     cfg = _cfg(str(tmp_path / "out"), "w1")
