@@ -172,14 +172,15 @@ def update_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
             key.alias("o_orderkey"),
             F.when(k % 3 == 0, F.lit(None).cast("string")).otherwise(F.lit(status)).alias("o_orderstatus"))
 
-    return rows(k % 10 == 0, "A", k + 3).unionByName(rows(k % 50 == 0, "B", k + 100000003))
+    # every order changes once; every 50th gets a second, later row (a duplicate key)
+    return rows(F.lit(True), "A", k + 3).unionByName(rows(k % 50 == 0, "B", k + 100000003))
 
 
 UPDATE_DUPS_SQL = f"""
 SELECT {_lineage_sql('update_dups', 'pub.orders', 'update', 'o_orderkey + 3', 2)},
   CAST(CASE WHEN o_orderkey % 1000 = 0 THEN o_orderkey + 1000000 ELSE o_orderkey END AS VARCHAR) AS o_orderkey,
   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'A' END AS o_orderstatus
-FROM orders WHERE o_orderkey % 10 = 0
+FROM orders
 UNION ALL
 SELECT {_lineage_sql('update_dups', 'pub.orders', 'update', 'o_orderkey + 100000003', 2)},
   CAST(CASE WHEN o_orderkey % 1000 = 0 THEN o_orderkey + 1000000 ELSE o_orderkey END AS VARCHAR) AS o_orderkey,
@@ -197,7 +198,7 @@ INSERT_CUSTOMER_ENV = Envelope("insert_customer", "pub.customer", INSERT_CUSTOME
 def insert_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    return c.where(k % 10 == 0).select(
+    return c.select(
         *_lineage("insert_customer", "pub.customer", "insert", k + 3, tab_seq=3),
         F.concat(F.lit("New "), F.col("c_name")).alias("c_name"),
         F.when(k % 70 == 0, F.lit("x")).otherwise(F.col("c_nationkey").cast("string")).alias("c_nationkey"),
@@ -210,7 +211,7 @@ SELECT {_lineage_sql('insert_customer', 'pub.customer', 'insert', 'c_custkey + 3
   'New ' || c_name AS c_name,
   CASE WHEN c_custkey % 70 = 0 THEN 'x' ELSE CAST(c_nationkey AS VARCHAR) END AS c_nationkey,
   CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS c_acctbal, c_mktsegment
-FROM customer WHERE c_custkey % 10 = 0
+FROM customer
 """
 
 
