@@ -274,11 +274,13 @@ RULE_INDEX = "_rule"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy row work every core: a batch read as fewer partitions than the
-    cluster's parallelism (one small file, one row group) is dealt out round-robin.
-    A large input already has enough partitions and is left as it is (no shuffle)."""
+    """Give CPU-heavy row work every core when a batch is read from fewer files than the
+    cluster's parallelism (a small file with one row group is one task): the rows are
+    dealt out round-robin.  Decided from the file listing (``inputFiles``, no job); an
+    input of many files already has enough partitions and is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    files = df.inputFiles()
+    if 0 < len(files) < cores:
         return df.repartition(cores)
     return df
 
@@ -288,8 +290,6 @@ def apply_chain(df: DataFrame, rules: list[Rule], keep_prep: bool = False) -> Da
 
     One projection adds the per-column parsed values, the next one the chain;
     ``keep_prep`` keeps the parsed values for the typed projection."""
-    if len(rules) > 1:
-        df = spread(df)
     preps = {}
     for r in rules:
         for name, make in r.prep:
@@ -332,7 +332,11 @@ def _chain(df: DataFrame, rules: list[Rule]) -> DataFrame:
         # guarded: element_at over a literal array does not return NULL for a NULL index
         return F.when(i.isNotNull(), F.element_at(values, i))
 
-    return (df.withColumn(RULE_INDEX, idx)
+    # Barrier: spark_partition_id() is non-deterministic to the optimizer, so a later filter on
+    # the rule (e.g. "accepted rows only") stays above this projection instead of being pushed
+    # below it with every parsed value inlined (and re-evaluated) into one filter on the scan.
+    barrier = F.spark_partition_id() >= 0
+    return (df.withColumn(RULE_INDEX, F.when(barrier, idx))
             .withColumn("rule_id", pick(ids))
             .withColumn("rule_column", pick(cols))
             .withColumn("rule_message", pick(msgs))

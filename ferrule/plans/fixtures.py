@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import Catalog, ColumnSpec, TableSpec, catalog_from_specs, spec_from_schema
-from ..operators.rules import Envelope
+from ..operators.rules import Envelope, spread
 
 AS_OF = "1998-01-01 00:00:00"          # fixed run time, never read from the clock
 RUN_ID = "run-0001"
@@ -82,7 +82,7 @@ def _lineage_sql(tab: str, target: str, mode: str, row_no: str, tab_seq: int = 1
 
 
 def update_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     k = F.col("o_orderkey")
 
     def every(n: int) -> Column:
@@ -162,7 +162,7 @@ UPDATE_DUPS_ENV = Envelope("update_dups", "pub.orders", UPDATE_DUPS_HEADER)
 
 
 def update_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     k = F.col("o_orderkey")
     key = F.when(k % 1000 == 0, k + 1000000).otherwise(k).cast("string")
 
@@ -196,7 +196,7 @@ INSERT_CUSTOMER_ENV = Envelope("insert_customer", "pub.customer", INSERT_CUSTOME
 
 
 def insert_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"))
     k = F.col("c_custkey")
     return c.select(
         *_lineage("insert_customer", "pub.customer", "insert", k + 3, tab_seq=3),
