@@ -169,9 +169,14 @@ def list_inbox(spark: SparkSession, inbox: str, pattern: str = INBOX_PATTERN) ->
 
 
 def read_inbox(spark: SparkSession, inbox: str) -> DataFrame:
-    """A1+A2: every tab of every inbox file as parsed cells, with file order."""
+    """A1+A2: every tab of every inbox file as parsed cells, with file order.
+
+    Parsing is one task per file; with fewer files than cores the parsed rows are dealt
+    out round-robin so validation still uses every core."""
+    from ..operators.rules import spread
+
     files = list_inbox(spark, inbox)
-    parsed = parse_files(files)
+    parsed = spread(parse_files(files))
     order = files.select("path", "modificationTime")
     return parsed.join(order, "path")
 
