@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
-from ..functions.types import family, spark_type
+from ..functions.types import spark_type
 from .catalog import ColumnSpec, TableSpec
 from .rules import prep_name, qcol, qsql
 

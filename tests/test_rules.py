@@ -1,7 +1,6 @@
 """Unit table per rule V1-V15: accept / reject / NULL / boundaries."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from ferrule.operators import rules as R
 from ferrule.operators.catalog import ColumnSpec, TableSpec

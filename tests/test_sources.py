@@ -1,8 +1,6 @@
 """Workbook parsing, copy-on-write tables, the change run and the inbox stream."""
 
 import io
-import os
-import tempfile
 import zipfile
 
 from pyspark.sql import functions as F
