@@ -206,3 +206,31 @@ def test_xlsx_date_cells_become_date_text():
                    f'<c r="B3" s="2"><v>45292.5</v></c><c r="C3"><v>45292</v></c></row></sheetData></worksheet>')
     _, rows = xlsx_rows(buf.getvalue())
     assert rows == [("Insert_x", 1, 3, ["2024-01-01", "2024-01-01 12:00:00", "45292"])]
+
+
+def test_xml_flatten_attributes_text_and_repeats(spark, tmp_path):
+    from ferrule.sources import xmlio as XM
+
+    (tmp_path / "a.xml").write_text(
+        '<items><item id="1" kind="x"><name> a </name><sub k="2">t</sub><tag>p</tag><tag>q</tag></item>'
+        '<item id="2"><name>b</name><sub k="3">u</sub><tag>r</tag></item></items>')
+    flat = XM.flatten(XM.read_records(spark, str(tmp_path), "item"))
+    got = sorted((r.asDict() for r in flat.collect()), key=lambda d: d["id"])
+    assert got[0] == {"id": "1", "kind": "x", "name": "a", "k": "2", "sub": "t", "tag": "p"}
+    assert got[1]["kind"] is None and got[1]["tag"] == "r"
+    recs = XM.read_records(spark, str(tmp_path), "item")
+    pos = F.struct(F.col("_metadata.file_name").alias("f"), F.monotonically_increasing_id().alias("i"))
+    merged = {r.key: r.value for r in XM.merge_first(XM.flatten(recs.withColumn("_pos", pos), keep=["_pos"]),
+                                                     "_pos").collect()}
+    assert merged == {"id": "1", "kind": "x", "name": "a", "k": "2", "sub": "t", "tag": "p"}
+
+
+def test_xml_writer_skips_empty_cells_and_escapes(spark, tmp_path):
+    from ferrule.sources import xmlio as XM
+
+    df = spark.createDataFrame([("1", "a<b", None), ("2", "", "z")], "k string, v string, w string")
+    XM.write_records(df, str(tmp_path / "x"))
+    back = sorted((r.var_name, r.value) for r in XM.read_var_records(spark, str(tmp_path / "x")).collect())
+    assert back == [("k", "1"), ("k", "2"), ("v", "a<b"), ("w", "z")]
+    text = "".join(p.read_text() for p in (tmp_path / "x").glob("*.xml"))
+    assert "a&lt;b" in text and 'var_name="w"' in text
