@@ -41,12 +41,23 @@ def _inbox(spark: SparkSession, sf: str) -> str:
     return path
 
 
-@register("inbox_workbook")
+def _inbox_sql() -> str:
+    """The same rows as DuckDB builds them from the fixtures: line numbers are the rank in the tab + 2."""
+    parts = []
+    for batch_sql, header in ((X.UPDATE_ORDERS_SQL, X.UPDATE_ORDERS_HEADER),
+                              (X.INSERT_CUSTOMER_SQL, X.INSERT_CUSTOMER_HEADER),
+                              (X.UPDATE_DUPS_SQL, X.UPDATE_DUPS_HEADER)):
+        parts.append(f"SELECT tab, target_table, row_number() OVER (PARTITION BY tab ORDER BY row_no) + 2 AS row_no, "
+                     f"{Q.map_text_sql(list(header))} AS row_text FROM ({batch_sql})")
+    return " UNION ALL ".join(parts)
+
+
+@register("inbox_workbook", _inbox_sql)
 def inbox_workbook(spark: SparkSession, sf: str) -> DataFrame:
     """Inbox files -> parsed cells -> envelope -> data rows."""
     parsed = read_inbox(spark, _inbox(spark, sf))
     rows = EV.split_rows(parsed)
-    return rows.withColumn("row_text", Q.map_text("row")).drop("row")
+    return rows.select("tab", "target_table", "row_no", Q.map_text("row").alias("row_text"))
 
 
 def _seeded_store(spark: SparkSession, sf: str) -> TableStore:
