@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quarantine as Q
+from ..operators import rules as R
 from ..operators.tables import TableStore
 from ..session import scratch_dir
 from ..sources import envelope as EV
@@ -73,7 +74,35 @@ def _run_config(spark: SparkSession, run_id: str) -> RunConfig:
                      errors_path=f"{base}/errors", events_path=f"{base}/events")
 
 
-@register("inbox_stream")
+def _stream_sql() -> str:
+    """Quarantine of the stream's change run: rule rejects of each tab, then D2 for accepted
+    update rows whose key the target lacks (their row as typed text, with the edit stamp)."""
+    from .queries import accepted_sql, annotated_sql
+
+    parts = []
+    for name, batch_sql, spec, env in (("a", X.UPDATE_ORDERS_SQL, X.PUB_ORDERS, X.UPDATE_ORDERS_ENV),
+                                       ("b", X.INSERT_CUSTOMER_SQL, X.PUB_CUSTOMER, X.INSERT_CUSTOMER_ENV),
+                                       ("c", X.UPDATE_DUPS_SQL, X.PUB_ORDERS, X.UPDATE_DUPS_ENV)):
+        numbered = f"SELECT * REPLACE (row_number() OVER (PARTITION BY tab ORDER BY row_no) + 2 AS row_no) FROM ({batch_sql})"
+        v = f"v{name} AS ({annotated_sql(numbered, spec, env)})"
+        parts.append((name, v, spec, env))
+    ctes = ",\n".join(v for _, v, _, _ in parts)
+    ctes += f",\ntgt AS ({X.TARGET_ORDERS_SQL})"
+    selects = [f"SELECT tab, target_table, row_no, {Q.map_text_sql(list(env.header))} AS row_text, rule_column, "
+               f"rule_id, rule_message FROM v{name} WHERE rule_id IS NOT NULL" for name, _, _, env in parts]
+    for name, _, spec, env in parts:
+        if R.tab_mode(env.tab) != "update":
+            continue
+        cols = list(env.header) + ["edit_dt"]
+        acc = accepted_sql(f"v{name}", spec, env)
+        stamped = f"SELECT * REPLACE (TIMESTAMP '{X.AS_OF}' AS edit_dt) FROM (SELECT *, NULL AS edit_dt FROM ({acc}))"
+        selects.append(f"SELECT tab, '{env.table}' AS target_table, row_no, {Q.map_text_sql(cols, 'd.')} AS row_text, "
+                       f"'o_orderkey' AS rule_column, 'D2' AS rule_id, '{R.RULE_TEXT['D2']}' AS rule_message "
+                       f"FROM ({stamped}) d ANTI JOIN tgt USING (o_orderkey)")
+    return f"WITH {ctes}\n" + "\nUNION ALL\n".join(selects)
+
+
+@register("inbox_stream", _stream_sql)
 def inbox_stream(spark: SparkSession, sf: str) -> DataFrame:
     """G1 end to end: file stream -> foreachBatch change run -> quarantine of the run."""
     from ..streaming.inbox import run_stream
@@ -91,7 +120,8 @@ def inbox_stream(spark: SparkSession, sf: str) -> DataFrame:
 
     run_stream(spark, inbox, scratch_dir(spark, "stream-ckpt"), handle)
     q = spark.read.parquet(cfg.quarantine_path).where(F.col("run_id").isin(runs))
-    return q.withColumn("row_text", Q.map_text("row")).drop("row")
+    return q.select("tab", "target_table", "row_no", Q.map_text("row").alias("row_text"), "rule_column", "rule_id",
+                    "rule_message")
 
 
 @register("quarantine_write", lambda: f"SELECT * EXCLUDE (file, authors, target_table) FROM ({_rejected_rows_sql()})")
