@@ -204,7 +204,9 @@ def xml_merge_first(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- JDBC ----------------------------------------------------------------------------------------
 
-@register("jdbc_round_trip")
+@register("jdbc_round_trip", """SELECT c_mktsegment, count(*) AS n_rows,
+  sum(CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT)) AS acctbal_cents
+FROM (SELECT * FROM customer UNION ALL SELECT * FROM customer) GROUP BY c_mktsegment""")
 def jdbc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """A5, B1-B4 on an in-process Derby database (no port; visible to this JVM only)."""
     import uuid
@@ -221,5 +223,7 @@ def jdbc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     J.append_numbered(cust, url, "APP.UPLOADS", ["c_custkey"], J.DERBY_DRIVER)               # B2
     assert J.user_tables(spark, name, "APP").where(F.lower("tableName") == "uploads").count() == 1  # A9
     # Spark creates the columns as quoted lower-case names
-    return J.query(spark, url, 'SELECT "c_mktsegment", COUNT(*) AS "n_rows", SUM("c_acctbal") AS "acctbal" '
+    # the table holds every customer twice (created, then the staged copy inserted)
+    return J.query(spark, url, 'SELECT "c_mktsegment", COUNT(*) AS "n_rows", '
+                              'SUM(CAST(FLOOR("c_acctbal" * 100 + 0.5) AS BIGINT)) AS "acctbal_cents" '
                               'FROM APP.CUSTOMER GROUP BY "c_mktsegment"', J.DERBY_DRIVER)  # A5
