@@ -95,8 +95,9 @@ def run(spark: SparkSession, parsed: DataFrame, catalog: Catalog, store: TableSt
     split = EV.split_rows(parsed, env.select("path", "tab", "target_table", "header")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     events = []
+    specs: dict[str, object] = {}          # per-table metadata, looked up once per run
     for wave in waves_of(tabs, gates):
-        events.extend(_run_wave(spark, wave, split, catalog, store, cfg, settings))
+        events.extend(_run_wave(spark, wave, split, catalog, store, cfg, settings, specs))
     if any(level == "warning" for _, level, _ in events):          # some row of the run was rejected
         run_q = spark.read.parquet(cfg.quarantine_path).where(F.col("run_id") == cfg.run_id)
         _write_dynamic(Q.error_details(run_q).withColumn("run_id", F.lit(cfg.run_id)), cfg.errors_path, ["run_id"])
@@ -110,10 +111,15 @@ def run(spark: SparkSession, parsed: DataFrame, catalog: Catalog, store: TableSt
 
 
 def _run_wave(spark: SparkSession, wave: Wave, split: DataFrame, catalog: Catalog, store: TableStore,
-              cfg: RunConfig, settings: DataFrame | None) -> list[tuple]:
+              cfg: RunConfig, settings: DataFrame | None, specs: dict | None = None) -> list[tuple]:
     """Validate, quarantine and apply every tab of a wave in one set of jobs."""
     header, table = wave.header, wave.table
-    spec = catalog.spec(table) if wave.gate not in ("C1", "C2", "C3") and table else None
+    specs = {} if specs is None else specs
+    spec = None
+    if wave.gate not in ("C1", "C2", "C3") and table:
+        if table not in specs:
+            specs[table] = (catalog.spec(table), _auto_edit(settings, table))
+        spec, auto_edit = specs[table]
     tab_list = spark.createDataFrame(
         [(t["path"], t["tab"], t["file_seq"], t["tab_seq"], t["authors"]) for t in wave.tabs],
         "path string, tab string, file_seq bigint, tab_seq int, authors string")
@@ -135,7 +141,7 @@ def _run_wave(spark: SparkSession, wave: Wave, split: DataFrame, catalog: Catalo
     if n_acc and wave.gate is None and spec is not None:
         acc = A.typed(annotated.where(F.col("rule_id").isNull()), spec, header,
                       keep=("file", "authors", "tab", "file_seq", "tab_seq", "row_no"))
-        acc = A.edit_stamp(acc, spec, _auto_edit(settings, table), cfg.as_of)
+        acc = A.edit_stamp(acc, spec, auto_edit, cfg.as_of)
         d2 = _apply_wave(store, cfg, spec, wave.mode, wave.key, acc, n_acc)
         if d2 is not None:
             missing = {r["tab"]: r["count"] for r in d2.groupBy("tab").count().collect()}
