@@ -234,3 +234,14 @@ def test_xml_writer_skips_empty_cells_and_escapes(spark, tmp_path):
     assert back == [("k", "1"), ("k", "2"), ("v", "a<b"), ("w", "z")]
     text = "".join(p.read_text() for p in (tmp_path / "x").glob("*.xml"))
     assert "a&lt;b" in text and 'var_name="w"' in text
+
+
+def test_table_store_old_readers_keep_their_snapshot(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    store.create("s.t", spark.range(0, 20).select("id", (F.col("id") % 2).alias("p"), F.lit("x").alias("s")),
+                 partition_by="p")
+    old = store.read("s.t")
+    store.update("s.t", spark.createDataFrame([(4, "y")], "id long, s string"), "id")
+    assert old.where(F.col("s") == "y").count() == 0                 # the old version is untouched
+    assert store.read("s.t").where(F.col("s") == "y").count() == 1
+    assert store.version("s.t") == 2
