@@ -40,12 +40,12 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
 OP10_SQL = """
 WITH rules(rhost, rpath, rverdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
   ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
-cut AS (SELECT page_id, url, strpos(url, '://') AS at, substr(url, strpos(url, '://') + 3) AS rest FROM pages),
+cut AS (SELECT page_id, url, strpos(url, '://') AS found_at, substr(url, strpos(url, '://') + 3) AS rest FROM pages),
 parts AS (
   SELECT page_id,
-    CASE WHEN at > 0 THEN translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    CASE WHEN found_at > 0 THEN translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
       'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
-    CASE WHEN at > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+    CASE WHEN found_at > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
     row_number() OVER () AS rn
   FROM cut),
 hit AS (
