@@ -48,9 +48,36 @@ def with_columns(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
                      *[v.alias(k) for k, v in cols.items()])
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value`` with the value worked out once (an SQL ``let``)."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _cell(order: list[Column], n_rows: int) -> Column:
+    return F.pmod(F.xxhash64(*order), F.lit(max(1, math.isqrt(max(0, n_rows))))).cast("int")
+
+
+def cell_bases(df: DataFrame, keys: list[str], weight: Column, order: list[Column], n_rows: int) -> DataFrame:
+    """For ``place``: rows (keys, __cell, __sum, __base), __base what the cells before it in ``keys`` sum to."""
+    sums = (df.withColumn("__w", weight).withColumn("__cell", _cell(order, n_rows))
+            .groupBy(*keys, "__cell").agg(F.sum("__w").alias("__sum")))
+    before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumn("__base", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
+
+
+def place(df: DataFrame, bases: DataFrame, keys: list[str], weight: Column, order: list[Column], out: str,
+          n_rows: int) -> DataFrame:
+    """Join ``bases`` to their rows and add ``out``, the running total up to each row."""
+    inside = Window.partitionBy(*keys, "__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (df.withColumn("__w", weight).withColumn("__cell", _cell(order, n_rows))
+            .join(bases.drop("__sum"), [*keys, "__cell"])
+            .withColumn(out, F.col("__base") + F.coalesce(F.sum("__w").over(inside), F.lit(0)))
+            .drop("__w", "__cell", "__base"))
+
+
 def running_total(df: DataFrame, keys: list[str], weight: Column, order: list[Column], out: str,
                   n_rows: int) -> DataFrame:
-    """Add ``out``: the sum of ``weight`` over the rows before this one within its ``keys``.
+    """Add ``out``: the sum of ``weight`` over the rows before this one within its ``keys`` (not null).
 
     ``order`` fixes the order up to a hash: rows are dealt to about sqrt(n_rows)
     cells by the hash of the ``order`` columns, cells follow one another, and inside
@@ -59,21 +86,7 @@ def running_total(df: DataFrame, keys: list[str], weight: Column, order: list[Co
     one group, however hot its key. Rows equal in all of ``order`` must be interchangeable.
     ``df`` is read twice: pass a written table.
     """
-    cells = max(1, math.isqrt(max(0, n_rows)))
-    parts = df.withColumn("__w", weight).withColumn(
-        "__cell", F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
-    sums = parts.groupBy(*keys, "__cell").agg(F.sum("__w").alias("__cw"))
-    before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-                        F.col("__cell").alias("__c"),
-                        F.coalesce(F.sum("__cw").over(before), F.lit(0)).alias("__base"))
-    on = F.col("__cell") == F.col("__c")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    inside = Window.partitionBy(*keys, "__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (parts.join(bases, on)
-            .withColumn(out, F.col("__base") + F.coalesce(F.sum("__w").over(inside), F.lit(0)))
-            .drop("__w", "__cell", "__c", "__base", *[f"__k{i}" for i in range(len(keys))]))
+    return place(df, cell_bases(df, keys, weight, order, n_rows), keys, weight, order, out, n_rows)
 
 
 def connected(edges: DataFrame, a: str, b: str, name: str = "components", max_rounds: int = 60) -> DataFrame:

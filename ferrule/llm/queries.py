@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, urls
+from . import chat, mixing, packing, quality, sharding, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,21 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+def bpe_ranks() -> str:
+    """Where the public 50k byte-level BPE has its ranks (the ids of ``byte_bpe_50k.json``)."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query("op1_mixing")
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", taken.alias("taken"),
+                                        F.col("draws.shard").alias("shards"))
+
+
 @query("op2_chat")
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -33,6 +48,28 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_chats(chat.format_chats(chat.as_events(rows)))
 
 
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe_ranks())
+
+
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out), metadata=("n_chars",))
+    rows = quality.score(docs, model, metadata=("n_chars",), keep=["doc_id"])
+    return rows.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op5_sharding")
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), n_shards=8)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
+
+
 #: The rules that the URL query's contract states (fixed values).
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
