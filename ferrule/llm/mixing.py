@@ -66,21 +66,21 @@ def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Col
     Probabilities relative to the mode's follow from one another by ratios, outwards from the
     mode for 10 standard deviations and 30 steps; past that nothing is left at double precision.
     """
-    known = F.struct(total.cast("double").alias("N"), good.cast("double").alias("K"), draws.cast("double").alias("n"))
+    known = F.struct(total.cast("double").alias("all_"), good.cast("double").alias("good_"), draws.cast("double").alias("draws_"))
 
     def with_mode(v):
-        N, K, n = v["N"], v["K"], v["n"]
+        N, K, n = v["all_"], v["good_"], v["draws_"]
         low, high = F.greatest(F.lit(0.0), n + K - N), F.least(n, K)
         share = K / F.greatest(N, F.lit(1.0))
         reach = F.ceil(F.sqrt(F.greatest(F.lit(0.0), n * share * (1 - share))) * 10 + 30).cast("double")
         mode = F.least(high, F.greatest(low, F.floor((n + 1) * (K + 1) / (N + 2)).cast("double")))
         return let(mode, lambda m: F.struct(
-            N.alias("N"), K.alias("K"), n.alias("n"), m.alias("mode"),
+            N.alias("all_"), K.alias("good_"), n.alias("draws_"), m.alias("mode"),
             F.least(reach, high - m).cast("int").alias("up"), F.least(reach, m - low).cast("int").alias("down")))
 
     def walk(v, sign: int, stop: Column) -> Column:
         """The relative probabilities beyond the mode: their sum, and the first value at which it reaches ``stop``."""
-        N, K, n = v["N"], v["K"], v["n"]
+        N, K, n = v["all_"], v["good_"], v["draws_"]
 
         def step(s, j):
             x = v["mode"] + j * sign
@@ -183,7 +183,8 @@ def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, ratio: float = RATIO, ep
     draws = []
     for e in range(epochs):
         start = F.col("__start") + e * F.col("__source_size")
-        shard = F.element_at(F.filter("__shards", lambda b, x=F.floor(start / block_words): b["first"] <= x), -1)["shard"]
+        block = F.floor(start / block_words)
+        shard = F.try_element_at(F.filter("__shards", lambda b: b["first"] <= block), F.lit(-1))["shard"]
         draws.append(F.struct(F.lit(e).alias("epoch"), shard.alias("shard"),
                               F.least(F.col("__size"), F.col("__take") - start).alias("words"),
                               F.xxhash64("__h", F.lit(e), F.lit(seed)).alias("shuffle_key")))
