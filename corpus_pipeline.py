@@ -1,12 +1,50 @@
-"""The corpus pipeline: documents through four operators, each stage written as Parquet and read again."""
+"""The corpus pipeline: documents through four operators, each stage written as Parquet and read again.
+
+quality (rejects go) -> near-duplicates (one document of each group stays) -> mixing sources to
+target weights (documents leave, or come twice; a source's last one may be cut) -> packing (pieces in sequences).
+All stages but the last return the columns of the documents they get. Learned, drawn and cut
+results have no SQL form.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ferrule.llm import mixing, neardup, packing, quality
 from ferrule.llm.common import materialize, table
+from ferrule.llm.queries import bpe_ranks
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among them, scores 0.5 or more."""
+    meta = ("n_chars",)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), metadata=meta)
+    scored = quality.score(docs.withColumnsRenamed({c: f"__score{c}" for c in docs.columns if c.lower() == "score"}), model, metadata=meta)
+    kept = scored.where("score >= 0.5").drop("score")
+    return kept.toDF(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares at least 80 % of its five-word shingles, link by link."""
+    return neardup.one_of_each(docs, neardup.near_duplicates(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents the mix draws, once for each draw, with the text that it takes."""
+    mixed = mixing.mix(docs)
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return mixed.select(docs.columns)
+
+
+def pack_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their sequence and offset."""
+    return packing.pack(docs, bpe_ranks())
+
 
-STAGES: list = []
+STAGES = [("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("mixing", mix_sources),
+          ("packing", pack_pieces)]
 
 #: The stages learn, draw and cut; SQL can't express them.
 ORACLE_SQL = None

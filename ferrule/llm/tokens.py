@@ -23,11 +23,15 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Chunk(NamedTuple):
-    """Some texts of a batch: ``texts`` their places in it, ``data`` their bytes, ``ends`` where each ends."""
+    """Some texts of a batch: ``texts`` their places in it, ``data`` their bytes, ``ends`` where each ends.
+
+    ``goes_on``: the (only) text has its next part in the next chunk.
+    """
 
     texts: np.ndarray
     data: np.ndarray
     ends: np.ndarray
+    goes_on: bool = False
 
 
 def chunks(column: pa.Array, size: int = CHUNK_BYTES, most: int = CHUNK_TEXTS) -> Iterator[Chunk]:
@@ -50,7 +54,7 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES, most: int = CHUNK_TEXTS) -
             stop = min(start + size, end)
             while stop < end and not SPACE[data[stop]]:
                 stop += 1
-            yield Chunk(np.array([at]), data[start:stop], np.array([stop - start]))
+            yield Chunk(np.array([at]), data[start:stop], np.array([stop - start]), stop < end)
             start = stop
         at += 1
 
