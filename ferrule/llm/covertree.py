@@ -31,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import connected, materialize
 
@@ -196,7 +197,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id
         x = np.array(r.vec, dtype=np.float64)
         x = x / np.abs(x).max()
         pivots[len(x)] = np.vstack([*pivots.get(len(x), []), x / np.sqrt((x * x).sum())])
-    placed = materialize(classes.mapInArrow(_nearest(pivots), classes.drop("pivot", "far").schema.add("pivot", "int").add("far", "double")),
+    placed = materialize(classes.mapInArrow(_nearest(pivots), StructType([*classes.schema, StructField("pivot", IntegerType()), StructField("far", DoubleType())])),
                          "tree-placed")
     key = ["label", "dim", "pivot"]
     nodes = placed.groupBy(*key).agg(F.max("far").alias("radius"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -233,11 +234,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id
     known = (classes.join(counts, ["id", "h"], "left").withColumnRenamed("id", "cid")
              .join(comp, F.col("cid") == comp["id"], "left")
              .select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "cid").alias("component")))
-    out = (rows.where("ok").drop("ok").join(known, ["label", "vec"]).select("id", "n", "component")
-           .unionByName(rows.where("not ok").select("id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("component"))))
+    out = rows.where("ok").drop("ok").join(known, ["label", "vec"]).select("id", "n", "component")
     # a row that links with nothing may share its id with one that does
-    lone = out.where("component is null").select("id", "n").join(comp, "id", "left").select("id", "n", "component")
-    out = out.where("component is not null").unionByName(lone)
+    of_id = out.groupBy("id").agg(F.min("component").alias("component"))
+    lone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n")).join(of_id, "id", "left")
+    out = out.unionByName(lone.select("id", "n", "component"))
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias("vec_id"), F.col("n").alias("n_links"), component.alias("component_id"),
                       F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

@@ -317,7 +317,7 @@ def _rest(shared: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) ->
     joined = more.join(comp.select(F.col("id").alias("p"), F.col("component").alias("cp")), "p", "left").join(
         comp.select(F.col("id").alias("x"), F.col("component").alias("cx")), "x", "left")
     joined = joined.select(F.coalesce("cp", "p").alias("p"), F.coalesce("cx", "x").alias("x"))
-    wider = connected(joined, "p", "x", "near-wider").withColumnsRenamed({"id": "component", "component": "wider"})
+    wider = connected(joined, "p", "x", "near-wider").select(F.col("id").alias("component"), F.col("component").alias("wider"))
     nodes = comp.unionByName(joined.select(F.col("p").alias("id"), F.col("p").alias("component"))).unionByName(
         joined.select(F.col("x").alias("id"), F.col("x").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
     return materialize(nodes.join(wider, "component", "left").select("id", F.coalesce("wider", "component").alias("component"))

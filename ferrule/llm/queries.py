@@ -88,8 +88,8 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS w FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 e AS (SELECT vec_id, unnest(w) AS x, generate_subscripts(w, 1) AS d FROM v),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
