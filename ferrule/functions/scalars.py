@@ -28,16 +28,16 @@ NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-n
                "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
                "nan", "null")
 
-# Accepted date/time layouts (exact shape, Spark pattern, DuckDB strptime
-# format).  The shape is tested first, so both engines only check the calendar.
-DATETIME_FORMATS = (
-    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "yyyy-MM-dd", "%Y-%m-%d"),
-    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$", "yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"),
-    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}[.][0-9]{6}$",
-     "yyyy-MM-dd HH:mm:ss.SSSSSS", "%Y-%m-%d %H:%M:%S.%f"),
-    (r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$", "MM/dd/yyyy", "%m/%d/%Y"),
-    (r"^[0-9]{8}$", "yyyyMMdd", "%Y%m%d"),
+# Accepted date/time layouts.  A date part (exact shape with year, month and day
+# groups, and their order) may be followed by a time part of hours and minutes, seconds, and 1
+# to 6 digits of a second.
+DATE_SHAPES = (
+    (r"([0-9]{4})-([0-9]{2})-([0-9]{2})", (1, 2, 3)),
+    (r"([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})", (3, 1, 2)),
+    (r"([0-9]{4})([0-9]{2})([0-9]{2})", (1, 2, 3)),
 )
+PLAIN_SHAPE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[ T][0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.][0-9]{1,6})?)?$"
+TIME_SHAPE = r"[ T]([0-9]{2}:[0-9]{2})(:[0-9]{2})?([.][0-9]{1,6})?"
 
 DAY_KEY_FORMAT = "yyyyMMdd"
 
@@ -187,16 +187,36 @@ def fits_decimal_sql(c: str, precision: int, scale: int) -> str:
 
 # --- S8: lenient date/time parse ----------------------------------------------
 
+def _shapes() -> list[tuple[str, tuple[int, int, int]]]:
+    return [(f"^{date}(?:{TIME_SHAPE})?$", order) for date, order in DATE_SHAPES]
+
+
 def parse_datetime(c: Column | str) -> Column:
+    """A date/time text as TIMESTAMP_NTZ, NULL if it is none.  The session's time zone plays no part."""
     c = F.trim(_col(c))
-    return F.coalesce(*[F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(fmt)))
-                        for shape, fmt, _ in DATETIME_FORMATS])
+
+    def iso(shape: str, order: tuple[int, int, int]) -> Column:
+        part = lambda g: F.regexp_extract(c, shape, g)
+        y, m, d = (part(g) for g in order)
+        clock = F.when(part(4) == "", "00:00:00").otherwise(F.concat(
+            part(4), F.when(part(5) == "", ":00").otherwise(part(5)), part(6)))
+        return F.concat(y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0"), F.lit(" "), clock)
+
+    # what the cast reads as it stands comes first: no pieces are cut out of it
+    return F.coalesce(F.when(c.rlike(PLAIN_SHAPE), c),
+                      *[F.when(c.rlike(shape), iso(shape, order)) for shape, order in _shapes()]).try_cast("timestamp_ntz")
 
 
 def parse_datetime_sql(c: str) -> str:
-    return "coalesce(" + ", ".join(
-        f"CASE WHEN regexp_matches(trim({c}), {sql_str(shape)}) THEN try_strptime(trim({c}), {sql_str(fmt)}) END"
-        for shape, _, fmt in DATETIME_FORMATS) + ")"
+    def iso(shape: str, order: tuple[int, int, int]) -> str:
+        part = lambda g: f"regexp_extract(trim({c}), {sql_str(shape)}, {g})"
+        y, m, d = (part(g) for g in order)
+        clock = (f"CASE WHEN {part(4)} = '' THEN '00:00:00' ELSE {part(4)} || CASE WHEN {part(5)} = '' THEN ':00' "
+                 f"ELSE {part(5)} END || {part(6)} END")
+        return f"{y} || '-' || lpad({m}, 2, '0') || '-' || lpad({d}, 2, '0') || ' ' || {clock}"
+
+    return "TRY_CAST(coalesce(" + ", ".join(
+        f"CASE WHEN regexp_matches(trim({c}), {sql_str(shape)}) THEN {iso(shape, order)} END" for shape, order in _shapes()) + ") AS TIMESTAMP)"
 
 
 def is_time(c: Column | str) -> Column:

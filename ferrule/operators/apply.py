@@ -1,16 +1,17 @@
 """Applying accepted rows to a target.
 
 The target may be far larger than the batch.  Every join here is an equi
-join on the primary key; the batch side is broadcast only when its row count
-is known and under a bound (``broadcast_if_small``), otherwise Spark shuffles
-both sides on the key and AQE may still switch to a broadcast from measured
-sizes at run time.  No step collects rows to the driver.
+join on a key column, without a hint: AQE has measured sizes and broadcasts
+the batch's side where that is cheaper.  A key may be one column of a wider
+primary key, so it need not be unique in the target.  No step collects rows
+to the driver.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
@@ -18,17 +19,9 @@ from ..functions.types import spark_type
 from .catalog import ColumnSpec, TableSpec
 from .rules import prep_name, qcol, qsql
 
-BROADCAST_MAX_ROWS = 2_000_000   # batch rows we are willing to ship to every executor
 EXISTS = "_exists"
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only behind a known row count; otherwise leave it to AQE."""
-    if rows is not None and rows <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 # --- C12/C13: typed projection of accepted text rows ------------------------------
 
 def typed_value(spec: ColumnSpec, name: str, present: frozenset[str] = frozenset()) -> Column:
@@ -118,73 +111,75 @@ def resolve_duplicates(batch: DataFrame, key: str, order: str = "row_no") -> Dat
 
 # --- D1/D2: key existence -------------------------------------------------------------
 
-def key_presence(batch: DataFrame, target: DataFrame, key: str, batch_rows: int | None = None) -> DataFrame:
-    """Batch rows with ``_exists``: one left join, both halves from one pass.
+def key_presence(batch: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """Batch rows with ``_exists``.
 
-    Small batch: its distinct keys are broadcast into a scan of the target
-    keys (the target is never shuffled), and the found keys - at most the
-    batch's size - are broadcast back.  Large batch: a shuffle join."""
-    tkeys = target.select(key)     # a primary key: unique, so no distinct over the target
-    if batch_rows is not None and batch_rows <= BROADCAST_MAX_ROWS:
-        found = tkeys.join(F.broadcast(batch.select(key).distinct()), key, "left_semi")
-        flagged = F.broadcast(found.withColumn(EXISTS, F.lit(True)))
-    else:
-        flagged = tkeys.withColumn(EXISTS, F.lit(True))
-    return batch.join(flagged, key, "left").withColumn(EXISTS, F.coalesce(F.col(EXISTS), F.lit(False)))
+    The target's keys are cut down to those the batch names (a semi join, so the target is
+    scanned once and never multiplied), and only what was found - at most the batch's keys -
+    is joined back."""
+    found = target.select(key).join(batch.select(key).distinct(), key, "left_semi").distinct()
+    flagged = batch.join(found.withColumn(EXISTS, F.lit(True)), key, "left")
+    return flagged.withColumn(EXISTS, F.coalesce(F.col(EXISTS), F.lit(False)))
+
+
+REJECT_SALTS = 1 << 16
 
 
-def mark_missing_keys(annotated: DataFrame, key_value: Column, target: DataFrame, key: str) -> DataFrame:
+def mark_missing_keys(annotated: DataFrame, key_value: Column, target: DataFrame, key: str,
+                      unique: bool = True) -> DataFrame:
     """D1+D2 in the same pass as validation: accepted rows whose key is absent get rule D2.
 
-    ``key_value`` is the typed key of a row (evaluated on accepted rows only).  The
-    validated batch is referenced once (one left join on the target's key column, a
-    primary key, so no distinct is needed); for a small, persisted batch against a
-    huge target :func:`key_presence` avoids shuffling the target instead."""
+    ``key_value`` is the typed key of a row (evaluated on accepted rows only).  The validated
+    batch is read once: rejected rows have no key to look for, and a salt in the join key spreads
+    them over all tasks (accepted rows and the target have salt 0).  ``unique``: the key is the
+    target's whole primary key; otherwise its values are made distinct first."""
     from .rules import RULE_TEXT
 
     ok = F.col("rule_id").isNull()
-    keyed = annotated.withColumn("_k", F.when(ok, key_value))
-    tk = target.select(F.col(key).alias("_k")).withColumn("_hit", F.lit(True))
-    flagged = keyed.join(tk, "_k", "left")
+    salt = F.when(ok, 0).otherwise(F.pmod(F.xxhash64("row_no"), F.lit(REJECT_SALTS)) + 1)
+    keyed = annotated.withColumn("_k", F.when(ok, key_value)).withColumn("_s", salt.cast("int"))
+    tk = target.select(F.col(key).alias("_k"))
+    tk = (tk if unique else tk.distinct()).withColumn("_s", F.lit(0)).withColumn("_hit", F.lit(True))
+    flagged = keyed.join(tk, ["_k", "_s"], "left")
     d2 = ok & F.col("_hit").isNull()
     return (flagged.withColumn("rule_column", F.when(d2, F.lit(key)).otherwise(F.col("rule_column")))
             .withColumn("rule_message", F.when(d2, F.lit(RULE_TEXT["D2"])).otherwise(F.col("rule_message")))
             .withColumn("rule_id", F.when(d2, F.lit("D2")).otherwise(F.col("rule_id")))
-            .drop("_k", "_hit"))
+            .drop("_k", "_s", "_hit"))
 
 
-def missing_keys(batch: DataFrame, target: DataFrame, key: str, batch_rows: int | None = None) -> DataFrame:
+def missing_keys(batch: DataFrame, target: DataFrame, key: str) -> DataFrame:
     """D1+D2: accepted rows whose key is not in the target (rejected as D2)."""
-    return key_presence(batch, target, key, batch_rows).where(~F.col(EXISTS)).drop(EXISTS)
+    return key_presence(batch, target, key).where(~F.col(EXISTS)).drop(EXISTS)
 
 
-def existing_keys(batch: DataFrame, target: DataFrame, key: str, batch_rows: int | None = None) -> DataFrame:
-    return key_presence(batch, target, key, batch_rows).where(F.col(EXISTS)).drop(EXISTS)
+def existing_keys(batch: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    return key_presence(batch, target, key).where(F.col(EXISTS)).drop(EXISTS)
 
 
 # --- D3: before image -------------------------------------------------------------------
 
 def before_image(batch: DataFrame, target: DataFrame, key: str, columns: list[str],
-                 batch_rows: int | None = None, carry: list[str] | None = None) -> DataFrame:
+                 carry: list[str] | None = None) -> DataFrame:
     """Target's key + the changed columns, for keys the batch touches (old values).
 
     ``carry`` brings batch columns along (e.g. ``row_no``); the batch must
     then hold one row per key (see :func:`resolve_duplicates`)."""
-    keys = broadcast_if_small(batch.select(key, *(carry or [])).distinct(), batch_rows)
+    keys = batch.select(key, *(carry or [])).distinct()
     return target.select(key, *[c for c in columns if c != key]).join(keys, key, "inner")
 
 
 # --- D4/E2: update ------------------------------------------------------------------------
 
-def apply_update(target: DataFrame, batch: DataFrame, key: str, batch_rows: int | None = None) -> DataFrame:
+def apply_update(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """New target: matched rows take every batch column (NULL overwrites), others keep theirs.
 
     ``batch`` is typed, resolved to one row per key and holds only keys that
-    exist.  Target LEFT JOIN batch keeps the target's partitioning and, with a
-    broadcast batch, runs as one map-only pass over the target."""
+    exist.  Target LEFT JOIN batch is one map-only pass over the target wherever AQE
+    finds the batch small enough to broadcast."""
     set_cols = [c for c in batch.columns if c != key]
     b = batch.select(key, *[F.col(c).alias(f"_new_{c}") for c in set_cols]).withColumn("_hit", F.lit(True))
-    joined = target.join(broadcast_if_small(b, batch_rows), key, "left")
+    joined = target.join(b, key, "left")
     out = []
     for c in target.columns:
         if c in set_cols:
@@ -197,11 +192,14 @@ def apply_update(target: DataFrame, batch: DataFrame, key: str, batch_rows: int
 
 # --- E1/B2: insert -------------------------------------------------------------------------
 
-def apply_insert(target: DataFrame, batch: DataFrame) -> DataFrame:
+def insert_columns(batch: DataFrame, schema: StructType) -> DataFrame:
     """Insert by column list: unlisted target columns take NULL (or a generated key)."""
-    cols = [F.col(c).cast(target.schema[c].dataType).alias(c) if c in batch.columns
-            else F.lit(None).cast(target.schema[c].dataType).alias(c) for c in target.columns]
-    return target.unionByName(batch.select(*cols))
+    return batch.select(*[(F.col(f.name) if f.name in batch.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                          for f in schema])
+
+
+def apply_insert(target: DataFrame, batch: DataFrame) -> DataFrame:
+    return target.unionByName(insert_columns(batch, target.schema))
 
 
 def sequence_keys(batch: DataFrame, key: str, base: Column | int, order: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ table's width, not its row count).
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -133,13 +134,26 @@ def catalog_from_specs(spark: SparkSession, specs: list[TableSpec], db: str = "w
     )
 
 
+def declared_type(field: T.StructField) -> T.DataType:
+    """A column's type as declared: a table keeps ``varchar(n)`` as metadata of a plain string column."""
+    text = (field.metadata or {}).get("__CHAR_VARCHAR_TYPE_STRING")
+    found = re.fullmatch(r"(char|varchar)\((\d+)\)", text or "")
+    if not found:
+        return field.dataType
+    return (T.CharType if found[1] == "char" else T.VarcharType)(int(found[2]))
+
+
 def spec_from_schema(table: str, schema: T.StructType, primary_key: tuple[str, ...] = ()) -> TableSpec:
     """A7 from a Spark schema: map Spark types to declared SQL Server types."""
     cols = []
     pk = {k.lower() for k in primary_key}
     for i, f in enumerate(schema.fields, start=1):
-        dt = f.dataType
-        if isinstance(dt, T.LongType):
+        dt = declared_type(f)
+        if isinstance(dt, T.ByteType):
+            c = ColumnSpec(f.name, "tinyint", precision=3, scale=0)
+        elif isinstance(dt, T.BinaryType):
+            c = ColumnSpec(f.name, "varbinary", char_max_len=-1)
+        elif isinstance(dt, T.LongType):
             c = ColumnSpec(f.name, "bigint", precision=19, scale=0)
         elif isinstance(dt, T.IntegerType):
             c = ColumnSpec(f.name, "int", precision=10, scale=0)
@@ -162,6 +176,6 @@ def spec_from_schema(table: str, schema: T.StructType, primary_key: tuple[str, .
                            char_max_len=dt.length)
         else:
             c = ColumnSpec(f.name, "nvarchar", char_max_len=-1)
-        cols.append(ColumnSpec(c.name, c.data_type, f.name.lower() not in pk, c.char_max_len,
+        cols.append(ColumnSpec(c.name, c.data_type, f.nullable and f.name.lower() not in pk, c.char_max_len,
                                c.precision, c.scale, i))
     return TableSpec(table, tuple(cols), tuple(primary_key))

@@ -14,51 +14,44 @@ from ..functions import scalars as S
 from .catalog import Catalog
 
 
+def _one_row_per_table(catalog: Catalog) -> DataFrame:
+    """The catalog as (_schema, _table, _exists, _cols, _keys): lower-case column and key names as arrays."""
+    name = [F.col("table_schema").alias("_schema"), F.col("table_name").alias("_table")]
+    cols = catalog.columns.groupBy(*name).agg(F.collect_set(F.lower("column_name")).alias("_cols"))
+    keys = catalog.primary_keys().groupBy(*name).agg(F.collect_set(F.lower("column_name")).alias("_keys"))
+    both = ["_schema", "_table"]
+    return (catalog.tables.select(*name).distinct().withColumn("_exists", F.lit(True))
+            .join(cols, both, "left").join(keys, both, "left"))
+
+
 def tab_gates(envelopes: DataFrame, catalog: Catalog) -> DataFrame:
+    """One join per tab; a tab is judged by its own row, so tabs of one name in different files don't meet."""
     e = (envelopes
          .withColumn("mode", S.mode_of_tab("tab"))
          .withColumn("_valid_name", S.is_schema_table("target_table"))
          .withColumn("_schema", F.when(F.col("_valid_name"), F.split("target_table", "[.]")[0]))
          .withColumn("_table", F.when(F.col("_valid_name"), F.split("target_table", "[.]")[1])))
-    tkey = ["_schema", "_table"]
-    tables = catalog.tables.select(F.col("table_schema").alias("_schema"), F.col("table_name").alias("_table"),
-                                   F.lit(True).alias("_exists"))
-    ncols = (catalog.columns.groupBy(F.col("table_schema").alias("_schema"), F.col("table_name").alias("_table"))
-             .agg(F.count(F.lit(1)).alias("_ncols")))
-    pk = catalog.primary_keys()
-    has_pk = pk.select(F.col("table_schema").alias("_schema"), F.col("table_name").alias("_table")) \
-        .distinct().withColumn("_has_pk", F.lit(True))
-
-    # Resolve every header cell against the table's columns and keys (one row per cell).
-    cells = e.select("tab", *tkey, F.posexplode("header").alias("_pos", "_h"))
-    cols = catalog.columns.select(F.col("table_schema").alias("_schema"), F.col("table_name").alias("_table"),
-                                  F.lower("column_name").alias("_lc"), F.lit(True).alias("_known"))
-    keys = pk.select(F.col("table_schema").alias("_schema"), F.col("table_name").alias("_table"),
-                     F.lower("column_name").alias("_lc"), F.lit(True).alias("_is_key"))
-    resolved = (cells.withColumn("_lc", F.lower("_h"))
-                .join(cols, tkey + ["_lc"], "left").join(keys, tkey + ["_lc"], "left"))
-    per_tab = resolved.groupBy("tab", *tkey).agg(
-        F.max(F.col("_known").isNull()).alias("_unknown"),
-        F.count(F.col("_is_key")).alias("_nkeys"),
-        F.min_by(F.col("_h"), F.when(F.col("_is_key"), F.col("_pos"))).alias("_key"))
-
-    g = (e.join(tables, tkey, "left").join(ncols, tkey, "left").join(has_pk, tkey, "left")
-         .join(per_tab, ["tab"] + tkey, "left"))
-    exists = F.coalesce("_exists", F.lit(False))
-    nkeys = F.coalesce("_nkeys", F.lit(0))
+    none = F.expr("cast(array() as array<string>)")
+    g = (e.join(_one_row_per_table(catalog), ["_schema", "_table"], "left")
+         .withColumn("_cols", F.coalesce("_cols", none)).withColumn("_keys", F.coalesce("_keys", none))
+         .withColumn("_header", F.coalesce("header", none)))
+    known, own_key = (lambda h: F.array_contains("_cols", F.lower(h))), (lambda h: F.array_contains("_keys", F.lower(h)))
+    keys = F.filter("_header", own_key)
+    update, insert = F.col("mode") == "update", F.col("mode") == "insert"
     gate = (F.when(F.col("mode").isNull(), "C1")
             .when(~F.col("_valid_name"), "C2")
-            .when(~exists, "C3")
+            .when(F.col("_exists").isNull(), "C3")
             .when(F.coalesce("n_rows", F.lit(0)) == 0, "C4")
-            .when(F.coalesce("_ncols", F.lit(0)) == 0, "C5")
-            .when(F.coalesce("_unknown", F.lit(False)), "C6")
-            .when((F.col("mode") == "insert") & (nkeys > 0), "C8")
-            .when((F.col("mode") == "update") & (nkeys > 1), "C9")
-            .when((F.col("mode") == "update") & F.col("_has_pk").isNull(), "C10")
-            .when((F.col("mode") == "update") & (nkeys == 0), "C11"))
-    return g.select("tab", "target_table", "mode", F.col("n_rows").cast("bigint").alias("n_rows"),
-                    gate.alias("gate_id"),
-                    F.when(gate.isNull() & (F.col("mode") == "update"), F.col("_key")).alias("key_column"))
+            .when(F.size("_cols") == 0, "C5")
+            .when(~F.forall("_header", known), "C6")
+            .when(insert & (F.size(keys) > 0), "C8")
+            .when(update & (F.size(keys) > 1), "C9")
+            .when(update & (F.size("_keys") == 0), "C10")
+            .when(update & (F.size(keys) == 0), "C11"))
+    where = ["path"] if "path" in envelopes.columns else []
+    return (g.withColumn("gate_id", gate)
+            .select(*where, "tab", "target_table", "mode", F.col("n_rows").cast("bigint").alias("n_rows"), "gate_id",
+                    F.when(F.col("gate_id").isNull() & update, F.try_element_at(keys, F.lit(1))).alias("key_column")))
 
 
 def resolve_header(envelopes: DataFrame, catalog: Catalog) -> DataFrame:

@@ -8,10 +8,11 @@ retention deletes whole day partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import fs
 from ..functions import scalars as S
 from ..functions.types import DEFAULT_SHELF_LIFE_DAYS
 from .quarantine import row_map
@@ -35,21 +36,32 @@ def locker_rows(image: DataFrame, *, target_table: str, item_id: str, file: str,
         row_map(payload).alias("row"))
 
 
+def item_id(run_id: str) -> Column:
+    """An item is one tab of one file in one run."""
+    return F.concat(F.lit(f"{run_id}:"), F.col("path"), F.lit("#"), F.col("tab"))
+
+
 def locker_rows_by_tab(image: DataFrame, *, target_table: str, run_id: str, mode: str, as_of: str,
-                      payload: list[str]) -> DataFrame:
-    """B7 for many tabs at once: ``image`` carries ``tab``, ``file``, ``authors``, ``row_no``;
-    each tab is its own item ``<run_id>:<tab>``."""
+                      row: Column) -> DataFrame:
+    """B7 for many tabs at once: ``image`` carries ``path``, ``tab``, ``authors``, ``row_no``."""
     ts = F.lit(as_of).cast("timestamp_ntz")
     return image.select(
-        S.day_key(ts).alias("day"), F.lit(target_table).alias("target_table"),
-        F.concat(F.lit(f"{run_id}:"), F.col("tab")).alias("item_id"), S.base_name("file").alias("file"),
+        S.day_key(ts).alias("day"), F.lit(target_table).alias("target_table"), F.lit(run_id).alias("run_id"),
+        item_id(run_id).alias("item_id"), S.base_name("path").alias("file"),
         F.col("authors").cast("string").alias("authors"), F.lit(mode).alias("mode"), ts.alias("append_time"),
-        F.col("row_no").cast("bigint").alias("row_no"), row_map(payload).alias("row"))
+        F.col("row_no").cast("bigint").alias("row_no"), row.alias("row"))
 
 
 def append(rows: DataFrame, path: str) -> None:
-    """B7 sink: append under ``day=/target_table=`` partitions (only when rows exist)."""
-    rows.write.mode("append").partitionBy("day", "target_table").parquet(path)
+    """B7 sink: under ``day=/target_table=/run_id=``; a repeated run writes its own folders again."""
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("day", "target_table", "run_id").parquet(path))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A written locker; day, table and run come from the folders, as text."""
+    return spark.read.schema("item_id string, file string, authors string, mode string, append_time timestamp_ntz, "
+                             "row_no bigint, row map<string,string>, day string, target_table string, run_id string").parquet(path)
 
 
 def days(locker: DataFrame) -> DataFrame:
@@ -71,7 +83,8 @@ def export_day(locker: DataFrame, day: str) -> tuple[DataFrame, DataFrame]:
     """(rows of the day with their sheet, TAB_Details of the day)."""
     items = items_of_day(locker, day)
     rows = (locker.where(F.col("day") == day)
-            .join(items.select("day", "item_id", "sheet", "item_no"), ["day", "item_id"]))
+            .join(items.select("day", "target_table", "item_id", "mode", "sheet", "item_no"),
+                  ["day", "target_table", "item_id", "mode"]))
     details = items.select(F.col("file").alias("orig_file_name"), F.col("authors").alias("file_authors"),
                            F.col("sheet").alias("tab_name"), F.col("target_table").alias("sql_table"),
                            "append_time", "item_no")
@@ -103,35 +116,31 @@ def write_export(rows: DataFrame, details: DataFrame, path: str) -> None:
     details.write.mode("overwrite").parquet(f"{path}/TAB_Details")
 
 
-def expired_partitions(locker: DataFrame, settings: DataFrame | None, as_of: str) -> DataFrame:
-    """E4 on a written locker: (day, target_table) partitions older than their shelf life.
-
-    Works on the partition list (distinct partition values), not on the rows."""
-    parts = locker.select("day", "target_table").distinct()
-    lived = with_shelf_life(parts, settings)
-    return lived.where(F.col("day") < cutoff_day(as_of, F.col("shelf_life_days"))).select("day", "target_table")
-
-
-def purge_written(spark, path: str, settings: DataFrame | None, as_of: str) -> list[str]:
-    """Delete expired partition folders of a locker written with ``partitionBy('day', 'target_table', ...)``.
-
-    Whole-folder deletes through the Hadoop file system of the path (the same one
-    Spark writes with); returns the removed folders.  An emptied day disappears
-    with its last table folder."""
-    from urllib.parse import quote
-
-    gone = expired_partitions(spark.read.parquet(path), settings, as_of).collect()   # one row per partition
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    removed = []
-    for r in gone:
-        p = f"{path.rstrip('/')}/day={r['day']}/target_table={quote(r['target_table'], safe='')}"
-        jpath = jvm.org.apache.hadoop.fs.Path(p)
-        fs = jpath.getFileSystem(conf)
-        if fs.exists(jpath):
-            fs.delete(jpath, True)
-            removed.append(p)
-        day_dir = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/day={r['day']}")
-        if fs.exists(day_dir) and len(fs.listStatus(day_dir)) == 0:
-            fs.delete(day_dir, True)
-    return removed
+def written_partitions(spark: SparkSession, path: str) -> DataFrame:
+    """(day, target_table, folder) of a written locker, from the folder names (unescaped as Spark escapes them)."""
+    root, out = path.rstrip("/"), []
+    for d in fs.children(spark, root):
+        if d.startswith("day="):
+            out += [(fs.unescape(d[4:], spark), fs.unescape(t[13:], spark), f"{root}/{d}/{t}")
+                    for t in fs.children(spark, f"{root}/{d}") if t.startswith("target_table=")]
+    return spark.createDataFrame(out, "day string, target_table string, folder string")
+
+
+def expired_partitions(partitions: DataFrame, settings: DataFrame | None, as_of: str) -> DataFrame:
+    """E4 on a written locker: the partitions older than their table's shelf life."""
+    lived = with_shelf_life(partitions, settings)
+    return lived.where(F.col("day") < cutoff_day(as_of, F.col("shelf_life_days"))).drop("shelf_life_days")
+
+
+def purge_written(spark: SparkSession, path: str, settings: DataFrame | None, as_of: str) -> list[str]:
+    """Delete the expired partition folders of a written locker; returns them.
+
+    Whole-folder deletes; an emptied day goes with its last table.  The folder list is
+    metadata: one entry per day and table."""
+    gone = [r["folder"] for r in expired_partitions(written_partitions(spark, path), settings, as_of).collect()]
+    for folder in gone:
+        fs.delete_folder(spark, folder)
+        day = folder.rsplit("/", 1)[0]
+        if not fs.children(spark, day):
+            fs.delete_folder(spark, day)
+    return gone

@@ -19,11 +19,11 @@ LINEAGE = ("file", "authors", "tab", "target_table", "mode", "file_seq", "tab_se
 NULL_MARK = "\\N"
 
 
-def row_map(payload: list[str]) -> Column:
-    """Payload columns as ``map<string,string>`` (values as text)."""
+def row_map(payload: list[str], names: list[str] | None = None) -> Column:
+    """Payload columns as ``map<string,string>`` (values as text), under ``names`` if given."""
     if not payload:
         return F.create_map().cast("map<string,string>")
-    return F.map_from_arrays(F.array(*[F.lit(c) for c in payload]),
+    return F.map_from_arrays(F.array(*[F.lit(c) for c in names or payload]),
                              F.array(*[qcol(c).cast("string") for c in payload]))
 
 

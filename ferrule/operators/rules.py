@@ -273,18 +273,6 @@ def build_rules(spec: TableSpec | None, env: Envelope, gate: str | None, key: st
 RULE_INDEX = "_rule"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy row work every core when a batch is read from fewer files than the
-    cluster's parallelism (a small file with one row group is one task): the rows are
-    dealt out round-robin.  Decided from the file listing (``inputFiles``, no job); an
-    input of many files already has enough partitions and is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if 0 < len(files) < cores:
-        return df.repartition(cores)
-    return df
-
-
 def apply_chain(df: DataFrame, rules: list[Rule], keep_prep: bool = False) -> DataFrame:
     """Add ``rule_id``, ``rule_column``, ``rule_message``; NULL rule_id = accepted.
 

@@ -1,23 +1,27 @@
 """One change run: parsed inbox cells -> validated, applied, preserved, reported.
 
-Only metadata reaches the driver: one envelope row per tab, the gate result
-per tab, the validated table's column list and per-tab counts.  Rows move
-between Spark stages and sinks only.  Tabs run in file order then sheet
-order, so a later tab sees an earlier tab's effect.  Every sink is keyed by
-the run id (quarantine, errors, events) or by the item (locker) and written
-with dynamic partition overwrite, so re-running a run id rewrites the same
-partitions instead of duplicating them.
+A tab is identified by its file and its name, everywhere.  Tabs take effect in file order, then
+sheet order; the order matters only within one target table, so a run handles each table once,
+however its tabs alternate: rows are validated per header shape, changes are chained per target
+row in tab order, and one commit replaces the touched partitions and appends the new rows.
+
+Only metadata reaches the driver: the distinct (table, mode, header) shapes and the touched
+partitions.  Quarantine, locker, errors and events are written per run and table with dynamic
+partition overwrite, and before the table; the commit carries the run's token.  A retry
+finds what is applied and leaves it, and writes the rest again to the same folders.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import fs
 from ..functions import scalars as S
 from ..functions.types import DEFAULT_AUTO_EDIT
 from ..operators import apply as A
@@ -26,10 +30,16 @@ from ..operators import quarantine as Q
 from ..operators import rules as R
 from ..operators.catalog import Catalog
 from ..operators.gates import tab_gates
-from ..operators.tables import TableStore
+from ..operators.tables import PART, TableStore, part_key
 from ..sources import envelope as EV
 
+GATED = "(gates)"        # quarantine partition of the tabs that never reach a table
+QUARANTINE_SCHEMA = ("file string, authors string, tab string, target_table string, row_no bigint, row map<string,string>, "
+                     "rule_column string, rule_id string, rule_message string, run_id string, part string")
 EVENTS_SCHEMA = "run_id string, event_time timestamp_ntz, level string, message string"
+TAB = ["path", "tab", "file_seq", "tab_seq", "authors"]
+LINEAGE_KEEP = [*TAB, "row_no"]
+ORDER = ["file_seq", "path", "tab_seq", "tab"]
 
 
 @dataclass
@@ -43,6 +53,19 @@ class RunConfig:
     generated_keys: bool = True  # insert tabs without the key get max(key) + n
 
 
+@dataclass
+class Shape:
+    """Tabs with the same target, mode, header, key column and gate: validated in one plan.
+
+    A gate on the header or its keys (C6, C8-C11) rejects the rows that no column rule has rejected."""
+
+    mode: str
+    header: tuple[str, ...]
+    key: str | None
+    gate: str | None
+    accepted: DataFrame | None = field(default=None)
+
+
 def _write_dynamic(df: DataFrame, path: str, partition_by: list[str]) -> None:
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).parquet(path))
@@ -55,171 +78,296 @@ def _auto_edit(settings: DataFrame | None, table: str) -> bool:
     return DEFAULT_AUTO_EDIT if row is None else bool(row[0])
 
 
-WAVE_BROADCAST_MAX_TABS = 100_000     # tab list of a wave shipped to every executor
-
-
-@dataclass
-class Wave:
-    """Consecutive tabs (in file, sheet order) with the same target, mode, header and gate outcome."""
-
-    table: str | None
-    mode: str | None
-    header: tuple[str, ...]
-    gate: str | None
-    key: str | None
-    tabs: list
-
-
-def waves_of(tabs: list, gates: dict) -> list[Wave]:
-    out: list[Wave] = []
-    for t in tabs:
-        gate, key = gates.get((t["tab"], t["target_table"]), (None, None))
-        sig = (t["target_table"], R.tab_mode(t["tab"]), tuple(t["header"] or ()), gate, key)
-        if out and (out[-1].table, out[-1].mode, out[-1].header, out[-1].gate, out[-1].key) == sig:
-            out[-1].tabs.append(t)
-        else:
-            out.append(Wave(*sig, [t]))
-    return out
+def read_quarantine(spark: SparkSession, cfg: RunConfig) -> DataFrame:
+    """The run's rejected rows; an empty frame if it has none."""
+    if not fs.exists(spark, cfg.quarantine_path):
+        return spark.createDataFrame([], QUARANTINE_SCHEMA)
+    q = spark.read.schema(QUARANTINE_SCHEMA).parquet(cfg.quarantine_path)
+    return q.where(F.col("run_id") == cfg.run_id)
 
 
 def run(spark: SparkSession, parsed: DataFrame, catalog: Catalog, store: TableStore, cfg: RunConfig,
         settings: DataFrame | None = None) -> DataFrame:
+    """Apply ``parsed`` (path, tab, tab_seq, row_no, cells, authors, file_seq) and return the run's events."""
+    if fs.exists(spark, cfg.locker_path):
+        L.purge_written(spark, cfg.locker_path, settings, cfg.as_of)       # E4: at the start of every run
     parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
-    env = EV.envelopes(parsed)
     order = parsed.groupBy("path", "tab").agg(F.min("file_seq").alias("file_seq"), F.min("tab_seq").alias("tab_seq"),
-                                              F.first("authors", ignorenulls=True).alias("authors"))
-    env = env.join(order, ["path", "tab"], "left")
-    gates = {(r["tab"], r["target_table"]): (r["gate_id"], r["key_column"])
-             for r in tab_gates(env.select("path", "tab", "target_table", "header", "n_rows"), catalog).collect()}
-    tabs = env.orderBy("file_seq", "path", "tab_seq", "tab").collect()      # one row per tab (metadata)
-    split = EV.split_rows(parsed, env.select("path", "tab", "target_table", "header")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    events = []
-    specs: dict[str, object] = {}          # per-table metadata, looked up once per run
-    for wave in waves_of(tabs, gates):
-        events.extend(_run_wave(spark, wave, split, catalog, store, cfg, settings, specs))
-    if any(level == "warning" for _, level, _ in events):          # some row of the run was rejected
-        run_q = spark.read.parquet(cfg.quarantine_path).where(F.col("run_id") == cfg.run_id)
-        _write_dynamic(Q.error_details(run_q).withColumn("run_id", F.lit(cfg.run_id)), cfg.errors_path, ["run_id"])
-    ev = spark.createDataFrame(events, "run_id string, level string, message string") \
-        .withColumn("event_time", F.lit(cfg.as_of).cast("timestamp_ntz")) \
-        .select("run_id", "event_time", "level", "message")
-    _write_dynamic(ev, cfg.events_path, ["run_id"])
-    split.unpersist()
-    parsed.unpersist()
-    return spark.read.parquet(cfg.events_path).where(F.col("run_id") == cfg.run_id)
+                                              F.max("authors").alias("authors"))
+    env = EV.envelopes(parsed).join(order, ["path", "tab"])
+    gates = tab_gates(env, catalog).select("path", "tab", "mode", "gate_id", "key_column")
+    tabs = env.join(gates, ["path", "tab"]).persist(StorageLevel.MEMORY_AND_DISK)
+    split = EV.split_rows(parsed, tabs.withColumn("_header", F.col("header"))).persist(StorageLevel.MEMORY_AND_DISK)
+    events = run_rows(spark, tabs, split, catalog, store, cfg, settings)
+    for df in (split, tabs, parsed):
+        df.unpersist()
+    return events
 
 
-def _run_wave(spark: SparkSession, wave: Wave, split: DataFrame, catalog: Catalog, store: TableStore,
-              cfg: RunConfig, settings: DataFrame | None, specs: dict | None = None) -> list[tuple]:
-    """Validate, quarantine and apply every tab of a wave in one set of jobs."""
-    header, table = wave.header, wave.table
-    specs = {} if specs is None else specs
-    spec = None
-    if wave.gate not in ("C1", "C2", "C3") and table:
-        if table not in specs:
-            specs[table] = (catalog.spec(table), _auto_edit(settings, table))
-        spec, auto_edit = specs[table]
-    tab_list = spark.createDataFrame(
-        [(t["path"], t["tab"], t["file_seq"], t["tab_seq"], t["authors"]) for t in wave.tabs],
-        "path string, tab string, file_seq bigint, tab_seq int, authors string")
-    if len(wave.tabs) <= WAVE_BROADCAST_MAX_TABS:
-        tab_list = F.broadcast(tab_list)
-    rows = split.join(tab_list, ["path", "tab"])
-    batch = rows.select(F.col("path").alias("file"), "authors", "tab", "target_table",
-                        F.lit(wave.mode).alias("mode"), "file_seq", "tab_seq", "row_no",
-                        *[F.col("row")[h].alias(h) for h in header])
-    env = R.Envelope(wave.tabs[0]["tab"], table, header)
-    annotated = R.apply_chain(batch, R.build_rules(spec, env, wave.gate, wave.key), keep_prep=True) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    counts: dict[tuple[str, bool], int] = {}
-    for r in annotated.groupBy("tab", F.col("rule_id").isNull().alias("ok")).count().collect():
-        counts[(r["tab"], r["ok"])] = r["count"]
-    n_acc = sum(v for (_, ok), v in counts.items() if ok)
-    quarantine = Q.to_quarantine(annotated, list(header), cfg.run_id)
-    missing: dict[str, int] = {}
-    if n_acc and wave.gate is None and spec is not None:
-        acc = A.typed(annotated.where(F.col("rule_id").isNull()), spec, header,
-                      keep=("file", "authors", "tab", "file_seq", "tab_seq", "row_no"))
-        acc = A.edit_stamp(acc, spec, auto_edit, cfg.as_of)
-        d2 = _apply_wave(store, cfg, spec, wave.mode, wave.key, acc, n_acc)
-        if d2 is not None:
-            missing = {r["tab"]: r["count"] for r in d2.groupBy("tab").count().collect()}
-            quarantine = quarantine.unionByName(d2)
-    _write_dynamic(quarantine, cfg.quarantine_path, ["run_id", "tab"])
-    annotated.unpersist()
-    events = []
-    for t in wave.tabs:
-        ok, bad, miss = counts.get((t["tab"], True), 0), counts.get((t["tab"], False), 0), missing.get(t["tab"], 0)
-        events.append((cfg.run_id, "warning" if bad or miss else "info",
-                       f"{wave.mode or 'unknown'} tab {t['tab']} for {table}: {ok - miss} applied, "
-                       f"{bad + miss} rejected"))
+def run_batch(spark: SparkSession, batch: DataFrame, catalog: Catalog, store: TableStore, cfg: RunConfig,
+              settings: DataFrame | None = None) -> DataFrame:
+    """A large batch that arrives as a table (Parquet, JDBC, flattened XML): the lineage columns TAB, target_table and
+    row_no, and one text column per header cell; every tab has all of them."""
+    header = [c for c in batch.columns if c not in (*LINEAGE_KEEP, "target_table")]
+    names = F.array(*[F.lit(h) for h in header])
+    env = batch.groupBy("path", "tab").agg(
+        F.min("target_table").alias("target_table"), F.min("file_seq").alias("file_seq"), F.min("tab_seq").alias("tab_seq"),
+        F.max("authors").alias("authors"), F.count(F.lit(1)).alias("n_rows")).withColumn("header", names)
+    tabs = env.join(tab_gates(env, catalog).select("path", "tab", "mode", "gate_id", "key_column"), ["path", "tab"])
+    tabs = tabs.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = batch.select("path", "tab", "row_no", Q.row_map(header).alias("row")).join(
+        tabs.withColumnRenamed("header", "_header").drop("n_rows"), ["path", "tab"])
+    events = run_rows(spark, tabs, rows, catalog, store, cfg, settings)
+    tabs.unpersist()
     return events
 
 
-LINEAGE_KEEP = ["file", "authors", "tab", "file_seq", "tab_seq", "row_no"]
-
-
-def _apply_wave(store: TableStore, cfg: RunConfig, spec, mode: str, key: str | None, acc: DataFrame,
-                n_acc: int) -> DataFrame | None:
-    """E1-E3 for a wave; returns the D2 quarantine rows of an update wave."""
-    table = spec.table
-    payload = [c for c in acc.columns if c not in LINEAGE_KEEP]
-    if mode == "insert":
-        pk = spec.primary_key
-        if cfg.generated_keys and len(pk) == 1 and pk[0] not in acc.columns:
-            base = store.read(table).agg(F.max(pk[0])).first()[0] or 0      # one scalar
-            acc = A.sequence_keys(acc, pk[0], int(base), ["file_seq", "file", "tab_seq", "row_no"])
-            payload = [pk[0]] + payload
-        rows = acc.persist(StorageLevel.MEMORY_AND_DISK)
-        # Inserted rows are preserved too, then appended
-        lk = L.locker_rows_by_tab(rows, target_table=table, run_id=cfg.run_id, mode="Insert", as_of=cfg.as_of,
-                                  payload=payload)
-        _write_dynamic(lk, cfg.locker_path, ["day", "target_table", "item_id"])
-        store.insert(table, rows.select(*payload))
-        rows.unpersist()
+def run_rows(spark: SparkSession, tabs: DataFrame, rows: DataFrame, catalog: Catalog, store: TableStore, cfg: RunConfig,
+             settings: DataFrame | None = None) -> DataFrame:
+    """The run over judged tabs (one row each: TAB, target_table, header, mode, gate_id, key_column, n_rows) and their
+    data rows (TAB, target_table, mode, gate_id, key_column, _header, row_no, row map)."""
+    _write_dynamic(_gated(tabs, rows, cfg.run_id), cfg.quarantine_path, ["run_id", "part"])
+    shapes: dict[str, list[Shape]] = {}
+    for r in tabs.where(~_stopped()).select("target_table", "mode", "header", "key_column", "gate_id").distinct().collect():
+        shapes.setdefault(r["target_table"], []).append(Shape(r["mode"], tuple(r["header"]), r["key_column"], r["gate_id"]))
+    for table in sorted(shapes):
+        if not store.applied(table, f"{cfg.run_id}:{table}"):
+            mine = sorted(shapes[table], key=lambda s: (s.mode, s.header, s.gate or ""))
+            _run_table(spark, table, mine, rows, catalog, store, cfg, settings)
+    quarantine = read_quarantine(spark, cfg)
+    _write_dynamic(Q.error_details(quarantine).withColumn("run_id", F.lit(cfg.run_id)), cfg.errors_path, ["run_id"])
+    _write_dynamic(_events(tabs, quarantine, cfg), cfg.events_path, ["run_id"])
+    return spark.read.parquet(cfg.events_path).where(F.col("run_id") == cfg.run_id)
+
+
+def _stopped() -> Column:
+    """Tabs that no column of their target is looked at for."""
+    return F.coalesce(F.col("gate_id").isin(*R.TAB_GATES_HEAD), F.lit(False))
+
+
+def _gated(tabs: DataFrame, rows: DataFrame, run_id: str) -> DataFrame:
+    """Rows of the tabs that a gate stops at once; one without rows leaves a line without a row number."""
+    empty = F.expr("cast(map() as map<string,string>)")
+    lost = rows.where(_stopped()).select(*TAB, "target_table", "gate_id", "row_no", "row").unionByName(
+        tabs.where(_stopped() & (F.col("n_rows") == 0)).select(
+            *TAB, "target_table", "gate_id", F.lit(None).cast("bigint").alias("row_no"), empty.alias("row")))
+    texts = F.create_map(*[x for k, v in R.RULE_TEXT.items() for x in (F.lit(k), F.lit(v))])
+    return lost.select(F.col("path").alias("file"), F.col("authors").cast("string").alias("authors"), "tab", "target_table",
+                       "row_no", "row", F.lit(None).cast("string").alias("rule_column"), F.col("gate_id").alias("rule_id"),
+                       texts[F.col("gate_id")].alias("rule_message"), F.lit(run_id).alias("run_id"), F.lit(GATED).alias("part"))
+
+
+def _events(tabs: DataFrame, quarantine: DataFrame, cfg: RunConfig) -> DataFrame:
+    """One event per tab, from what the run has written."""
+    bad = quarantine.groupBy(F.col("file").alias("path"), "tab").agg(
+        F.count("row_no").alias("rejected"), F.count(F.lit(1)).alias("lines"))
+    t = tabs.join(bad, ["path", "tab"], "left")
+    n = F.coalesce("rejected", F.lit(0))
+    level = F.when(F.coalesce("lines", F.lit(0)) > 0, "warning").otherwise("info")
+    text = F.concat(F.coalesce("mode", F.lit("unknown")), F.lit(" tab "), F.col("tab"), F.lit(" of "), S.base_name("path"),
+                    F.lit(" for "), F.coalesce("target_table", F.lit("no table")), F.lit(": "),
+                    (F.col("n_rows") - n).cast("string"), F.lit(" applied, "), n.cast("string"), F.lit(" rejected"),
+                    F.coalesce(F.concat(F.lit(" ("), F.col("gate_id"), F.lit(")")), F.lit("")))
+    return t.select(F.lit(cfg.run_id).alias("run_id"), F.lit(cfg.as_of).cast("timestamp_ntz").alias("event_time"),
+                    level.alias("level"), text.alias("message"))
+
+
+def _validated(table: str, shape: Shape, rows: DataFrame, spec) -> DataFrame:
+    """The rows of one shape with the first rule each fails."""
+    mine = rows.where((F.col("target_table") == table) & (F.col("mode") == shape.mode) & F.col("gate_id").eqNullSafe(F.lit(shape.gate))
+                      & F.col("key_column").eqNullSafe(F.lit(shape.key))
+                      & (F.col("_header") == F.array(*[F.lit(h) for h in shape.header])))
+    # lineage names that a header may also use are set aside
+    batch = mine.select(*[F.col(c).alias(f"_l_{c}") for c in LINEAGE_KEEP], *[F.col("row")[h].alias(h) for h in shape.header])
+    env = R.Envelope(f"{shape.mode}_", table, shape.header)
+    return R.apply_chain(batch, R.build_rules(spec, env, shape.gate, shape.key), keep_prep=True)
+
+
+def _rejected(annotated: DataFrame, header: tuple[str, ...], table: str, run_id: str) -> DataFrame:
+    return annotated.where("rule_id is not null").select(
+        F.col("_l_path").alias("file"), F.col("_l_authors").cast("string").alias("authors"), F.col("_l_tab").alias("tab"),
+        F.lit(table).alias("target_table"), F.col("_l_row_no").alias("row_no"), Q.row_map(list(header)).alias("row"),
+        "rule_column", "rule_id", "rule_message", F.lit(run_id).alias("run_id"), F.lit(table).alias("part"))
+
+
+def _run_table(spark: SparkSession, table: str, shapes: list[Shape], rows: DataFrame, catalog: Catalog, store: TableStore,
+               cfg: RunConfig, settings: DataFrame | None) -> None:
+    """All of a run's tabs for one table: validate, quarantine, preserve, commit once."""
+    spec, auto_edit = catalog.spec(table), _auto_edit(settings, table)
+    held, rejected = [], []
+    for shape in shapes:
+        annotated = _validated(table, shape, rows, spec).persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(annotated)
+        rejected.append(_rejected(annotated, shape.header, table, cfg.run_id))
+        if shape.gate:
+            continue
+        typed = A.typed(annotated.where("rule_id is null"), spec, shape.header, keep=tuple(f"_l_{c}" for c in LINEAGE_KEEP))
+        shape.accepted = A.edit_stamp(typed, spec, auto_edit, cfg.as_of)
+    inserted = _inserted([s for s in shapes if s.mode == "insert" and not s.gate], table, spec, store, cfg)
+    updates = [s for s in shapes if s.mode == "update" and not s.gate]
+    lockers, finals, replaced = [], [], []
+    if inserted is not None:
+        new_rows, payload = inserted
+        new_rows = new_rows.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(new_rows)
+        lockers.append(L.locker_rows_by_tab(_lineage(new_rows, payload), target_table=table, run_id=cfg.run_id, mode="Insert",
+                                            as_of=cfg.as_of, row=_own(Q.row_map([f"_p_{c}" for c in payload], payload))))
+        finals.append(A.insert_columns(new_rows.select(*payload), store.schema(table)))
+    if updates:
+        changes, missing = _changes(table, spec, updates, store, inserted, cfg.run_id)
+        changes = changes.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(changes)
+        rejected.append(missing)
+        lockers.append(_before_images(changes, table, cfg))
+        final = _final_values(changes, spec)
+        replaced = [r[0] for r in changes.where("_born is null").select(PART).distinct().collect()]  # partitions
+        target = [store.read(table, replaced)] if replaced else []
+        finals = [_with_values(df, final, spec) for df in [*target, *finals]]
+    quarantine = reduce(DataFrame.unionByName, rejected)
+    _write_dynamic(quarantine, cfg.quarantine_path, ["run_id", "part"])
+    if lockers:
+        L.append(reduce(DataFrame.unionByName, lockers), cfg.locker_path)
+    if finals:
+        # before images and rejects are on disk; only now does the table change
+        store.commit(table, reduce(DataFrame.unionByName, finals), replaced, f"{cfg.run_id}:{table}")
+    for df in held:
+        df.unpersist()
+
+
+def _lineage(df: DataFrame, payload: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"_l_{c}").alias(c) for c in LINEAGE_KEEP], "_set",
+                     *[F.col(f"`{c}`").alias(f"_p_{c}") for c in payload])
+
+
+def _own(row: Column, key: str | None = None) -> Column:
+    """Of a row map, the key and the columns that the row's own tab has."""
+    def own(k: Column, _: Column) -> Column:
+        return F.array_contains("_set", k) if key is None else (k == key) | F.array_contains("_set", k)
+
+    return F.map_filter(row, own)
+
+
+def _inserted(shapes: list[Shape], table: str, spec, store: TableStore, cfg: RunConfig) -> tuple[DataFrame, list[str]] | None:
+    """Accepted rows of the insert tabs, in order, with generated keys; and their columns."""
+    if not shapes:
         return None
-    target = store.read(table)
-    flagged = A.key_presence(acc, target, key, batch_rows=n_acc).persist(StorageLevel.MEMORY_AND_DISK)
-    d2 = flagged.where(~F.col(A.EXISTS)).select(
-        F.lit(cfg.run_id).alias("run_id"), "file", F.col("authors").cast("string").alias("authors"), "tab",
-        F.lit(table).alias("target_table"), "row_no", Q.row_map(payload).alias("row"),
-        F.lit(key).alias("rule_column"), F.lit("D2").alias("rule_id"), F.lit(R.RULE_TEXT["D2"]).alias("rule_message"))
-    d2 = d2.persist(StorageLevel.MEMORY_AND_DISK)
-    d2.count()                                   # materialised before the target changes
-    good = flagged.where(F.col(A.EXISTS)).drop(A.EXISTS)
-    changed = [c for c in payload if c != key]
-    # one change per (tab, key): the tab's last row; then the changes of a key in tab order
-    per_change = (good.groupBy("tab", key)
-                  .agg(F.max_by(F.struct(*[c for c in good.columns if c not in ("tab", key)]), "row_no").alias("_w"))
-                  .select("tab", key, "_w.*"))
-    w = Window.partitionBy(key).orderBy("file_seq", "file", "tab_seq")   # one row per tab changing the key
-    new_vals = F.struct(*[F.col(c) for c in changed])
-    chained = per_change.withColumn("_prev", F.lag(new_vals).over(w)) \
-        .withColumn("_last", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("file_seq"), F.desc("file"), F.desc("tab_seq"))) == 1)
-    old = A.before_image(per_change.select(key).distinct(), target, key, changed, batch_rows=n_acc)
-    old = old.select(key, F.struct(*[F.col(c) for c in changed]).alias("_old"))
-    with_old = chained.join(old, key, "left")
-    before = F.when(F.col("_prev").isNull(), F.col("_old")).otherwise(F.col("_prev"))
-    image = with_old.select("tab", "file", "authors", "row_no", key, before.alias("_b")).select(
-        "tab", "file", "authors", "row_no", key, *[F.col("_b")[c].alias(c) for c in changed])
-    # Before images are written before the target changes
-    lk = L.locker_rows_by_tab(image, target_table=table, run_id=cfg.run_id, mode="Update", as_of=cfg.as_of,
-                              payload=[key] + changed)
-    _write_dynamic(lk, cfg.locker_path, ["day", "target_table", "item_id"])
-    final = with_old.where(F.col("_last")).select(key, *changed)
-    store.update(table, final, key, batch_rows=n_acc)
-    flagged.unpersist()
-    return d2
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_with_set(s.accepted) for s in shapes])
+    payload = [c for c in rows.columns if not c.startswith("_l_") and c != "_set"]
+    pk = spec.primary_key
+    if cfg.generated_keys and len(pk) == 1 and pk[0] not in payload:
+        base = store.read(table).agg(F.max(pk[0])).first()[0] or 0      # one scalar
+        rows = A.sequence_keys(rows, pk[0], int(base), [f"_l_{c}" for c in [*ORDER, "row_no"]])
+        rows = rows.withColumn("_set", F.concat(F.array(F.lit(pk[0])), "_set"))
+        payload = [pk[0], *payload]
+    return rows, payload
+
+
+def _with_set(rows: DataFrame, key: str | None = None) -> DataFrame:
+    """The names of the columns that these rows' tab gives, besides its key."""
+    return rows.withColumn("_set", F.array(*[F.lit(c) for c in rows.columns if not c.startswith("_l_") and c != key]))
+
+
+def _sequence(prefix: str = "_l_") -> Column:
+    return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ORDER])
+
+
+def _changes(table: str, spec, shapes: list[Shape], store: TableStore, inserted, run_id: str) -> tuple[DataFrame, DataFrame]:
+    """Each change of a target row by a tab, with the row's old values and partition; and the D2 rejects.
+
+    The target is scanned once for each key column that the tabs use (as a rule one): a semi join
+    keeps the rows that some accepted row names, by whole keys or by one column of a wider key.
+    Rows that an earlier tab of this run inserts can be named too."""
+    pk = spec.primary_key
+    columns = sorted({c for s in shapes for c in s.accepted.columns if not c.startswith("_l_") and c != _key(spec, s)})
+    schema, part_col = store.schema(table), store.partition_column(table)
+    needed = list(dict.fromkeys([*pk, *columns]))
+    view = store.read(table).withColumn(PART, part_key(part_col)).withColumn("_born", F.lit(None).cast(
+        "struct<file_seq:bigint,path:string,tab_seq:int,tab:string>"))
+    view = view.select(*needed, PART, "_born")
+    if inserted is not None:
+        new = A.insert_columns(inserted[0], schema).columns
+        rows = inserted[0].withColumn("_born", _sequence().cast("struct<file_seq:bigint,path:string,tab_seq:int,tab:string>"))
+        view = view.unionByName(rows.select(
+            *[(F.col(c) if c in inserted[1] else F.lit(None)).cast(schema[c].dataType).alias(c) for c in new if c in needed],
+            F.lit("new").alias(PART), "_born"))
+    found, missing = [], []
+    for key in sorted({_key(spec, s) for s in shapes}):
+        mine = [s for s in shapes if _key(spec, s) == key]
+        batch = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
+            _with_set(s.accepted, key) for s in mine])
+        hits = view.join(batch.select(key).distinct(), key, "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+        seq = _sequence().cast("struct<file_seq:bigint,path:string,tab_seq:int,tab:string>")
+        # present: in the target, or inserted by an earlier tab (only inserted rows have a place in the run)
+        there = hits.groupBy(key).agg(F.min("_born").alias("_first"), F.max(F.col("_born").isNull()).alias("_old"))
+        judged = batch.join(there, key, "left").withColumn("_ok", F.coalesce(F.col("_old") | (F.col("_first") < seq), F.lit(False)))
+        payload = [c for c in batch.columns if not c.startswith("_l_") and c != "_set"]
+        missing.append(judged.where("not _ok").select(
+            F.col("_l_path").alias("file"), F.col("_l_authors").cast("string").alias("authors"), F.col("_l_tab").alias("tab"),
+            F.lit(table).alias("target_table"), F.col("_l_row_no").alias("row_no"),
+            _own(Q.row_map(payload), key).alias("row"),
+            F.lit(key).alias("rule_column"), F.lit("D2").alias("rule_id"), F.lit(R.RULE_TEXT["D2"]).alias("rule_message"),
+            F.lit(run_id).alias("run_id"), F.lit(table).alias("part")))
+        # one change per (tab, key): the tab's last row
+        values = [c for c in payload if c != key]
+        last = F.max_by(F.struct("_l_row_no", "_l_authors", "_set", *[F.col(c).alias(f"_n_{c}") for c in values]), "_l_row_no")
+        one = (judged.where("_ok").groupBy(key, *[f"_l_{c}" for c in ORDER]).agg(last.alias("_w"))
+               .select(key, *[f"_l_{c}" for c in ORDER], "_w.*"))
+        for c in columns:
+            if c not in values:
+                one = one.withColumn(f"_n_{c}", F.lit(None).cast(schema[c].dataType))
+        old = hits.select(*[F.col(c).alias(f"_o_{c}") for c in needed], F.col(key), PART, "_born")
+        found.append(one.join(old, key).where(F.col("_born").isNull() | (F.col("_born") < seq))
+                     .withColumn("_key", F.lit(key)).withColumn("_key_text", F.col(key).cast("string")).drop(key))
+    changes = reduce(DataFrame.unionByName, found)
+    w = Window.partitionBy(*[f"_o_{c}" for c in pk]).orderBy(*[f"_l_{c}" for c in ORDER])
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for c in columns:
+        given = F.when(F.array_contains("_set", c), F.struct(F.col(f"_n_{c}").alias("v")))
+        prev, now = F.last(given, ignorenulls=True).over(before), F.last(given, ignorenulls=True).over(after)
+        changes = changes.withColumn(f"_b_{c}", F.when(prev.isNotNull(), prev["v"]).otherwise(F.col(f"_o_{c}")))
+        changes = changes.withColumn(f"_a_{c}", now)
+    latest = F.row_number().over(Window.partitionBy(*[f"_o_{c}" for c in pk]).orderBy(*[F.desc(f"_l_{c}") for c in ORDER]))
+    return changes.withColumn("_latest", latest == 1), reduce(DataFrame.unionByName, missing)
+
+
+def _key(spec, shape: Shape) -> str:
+    return spec.column(shape.key).name
+
+
+def _before_images(changes: DataFrame, table: str, cfg: RunConfig) -> DataFrame:
+    """What each change replaces: the key and the columns of the tab that makes it."""
+    columns = [c[3:] for c in changes.columns if c.startswith("_b_")]
+    row = F.map_concat(F.map_from_arrays(F.array("_key"), F.array("_key_text")), _own(Q.row_map([f"_b_{c}" for c in columns], columns)))
+    image = changes.select(*[F.col(f"_l_{c}").alias(c) for c in ["path", "tab", "authors", "row_no"]], row.alias("_row"))
+    return L.locker_rows_by_tab(image, target_table=table, run_id=cfg.run_id, mode="Update", as_of=cfg.as_of, row=F.col("_row"))
+
+
+def _final_values(changes: DataFrame, spec) -> DataFrame:
+    """One row per changed target row: its primary key and, for each column some tab set, the last value."""
+    after = [c for c in changes.columns if c.startswith("_a_")]
+    return changes.where("_latest").select(*[F.col(f"_o_{c}").alias(f"_k_{c}") for c in spec.primary_key], *after)
+
+
+def _with_values(rows: DataFrame, final: DataFrame, spec) -> DataFrame:
+    on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_k_{c}") for c in spec.primary_key])
+    joined = rows.join(final, on, "left")
+    given = {c[3:] for c in final.columns if c.startswith("_a_")}
+    return joined.select(*[
+        (F.when(F.col(f"_a_{c}").isNotNull(), F.col(f"_a_{c}")["v"]).otherwise(F.col(c)) if c in given else F.col(c))
+        .cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
 
 
 def run_inbox(spark: SparkSession, inbox: str, catalog: Catalog, store: TableStore, cfg: RunConfig,
-              settings: DataFrame | None = None) -> DataFrame:
-    """Batch entry: every file of the inbox in one run."""
-    from ..sources.workbook import read_inbox
-
-    parsed = read_inbox(spark, inbox)
-    return run(spark, _with_file_order(parsed), catalog, store, cfg, settings)
+              settings: DataFrame | None = None, archive: str | None = None) -> DataFrame:
+    """Batch entry: every file of the inbox in one run; then the files move to ``archive``."""
+    from ..sources.workbook import inbox_files, read_inbox
+
+    files = inbox_files(spark, inbox)
+    events = run(spark, _with_file_order(read_inbox(spark, inbox)), catalog, store, cfg, settings)
+    if archive:
+        for path in files:
+            fs.rename(spark, path, f"{archive.rstrip('/')}/{cfg.run_id}/{path.rsplit('/', 1)[-1]}")
+    return events
 
 
 def _with_file_order(parsed: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 
@@ -28,46 +27,65 @@ def table_cell(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("row_no") == 1).select("path", "tab", F.trim(F.col("cells")[0]).alias("target_table"))
 
 
+def unique_names(cells: Column | str, width: Column | None = None) -> Column:
+    """Header cells as names: blank -> ``Unnamed: <pos>``, repeats -> ``name.1``, ``name.2`` ...
+
+    A name never repeats, also where a cell already reads ``name.1``.  ``width`` widens the
+    header to the tab's widest row: columns without a header cell are named like blank ones."""
+    c = F.col(cells) if isinstance(cells, str) else cells
+    c = F.coalesce(c, F.expr("cast(array() as array<string>)"))
+    if width is not None:
+        c = F.concat(c, F.array_repeat(F.lit(None).cast("string"), F.greatest(width - F.size(c), F.lit(0))))
+    base = F.transform(c, lambda x, i: F.when(x.isNull() | (F.trim(x) == ""), F.concat(F.lit("Unnamed: "), i.cast("string")))
+                       .otherwise(F.trim(x)))
+
+    def add(names: Column, name: Column) -> Column:
+        free = F.filter(F.transform(F.sequence(F.lit(1), F.size(names) + 1),
+                                    lambda n: F.concat(name, F.lit("."), n.cast("string"))),
+                        lambda x: ~F.array_contains(names, x))
+        return F.concat(names, F.array(F.when(F.array_contains(names, name), free[0]).otherwise(name)))
+
+    return F.aggregate(base, F.expr("cast(array() as array<string>)"), add)
+
+
 def header_cells(parsed: DataFrame) -> DataFrame:
-    """Row 2 as names; blank -> ``Unnamed: <pos>``, repeats -> ``name.1``, ``name.2`` ...
+    """The cells of row 2 with their resolved names, one row per cell."""
+    h = parsed.where(F.col("row_no") == 2).withColumn("names", unique_names("cells"))
+    h = h.select("path", "tab", F.posexplode(F.arrays_zip(F.col("cells").alias("raw"), F.col("names").alias("name")))
+                 .alias("position", "_c"))
+    return h.select("path", "tab", F.col("position").cast("bigint").alias("position"),
+                    F.col("_c.raw").alias("raw_name"), F.col("_c.name").alias("resolved_name"))
+
 
-    The window is per (tab, name): a group is one header's repeats of a name."""
-    h = parsed.where(F.col("row_no") == 2).select("path", "tab", F.posexplode("cells").alias("position", "raw_name"))
-    base = F.when(F.col("raw_name").isNull() | (F.trim("raw_name") == ""),
-                  F.concat(F.lit("Unnamed: "), F.col("position").cast("string"))).otherwise(F.trim("raw_name"))
-    h = h.withColumn("_base", base)
-    n = F.row_number().over(Window.partitionBy("path", "tab", "_base").orderBy("position")) - 1
-    return (h.withColumn("_n", n)
-            .withColumn("resolved_name",
-                        F.when(F.col("_n") == 0, F.col("_base"))
-                        .otherwise(F.concat(F.col("_base"), F.lit("."), F.col("_n").cast("string"))))
-            .select("path", "tab", F.col("position").cast("bigint").alias("position"), "raw_name", "resolved_name"))
+def _filled(cells: Column) -> Column:
+    """The number of cells up to the last that holds text."""
+    held = F.transform(cells, lambda x, i: F.when(x.isNotNull() & (F.trim(x) != ""), i + 1).otherwise(0))
+    return F.coalesce(F.array_max(held), F.lit(0))
 
 
 def envelopes(parsed: DataFrame) -> DataFrame:
-    """One row per tab: target table, resolved header array, data row count."""
-    hdr = (header_cells(parsed).groupBy("path", "tab")
-           .agg(F.array_sort(F.collect_list(F.struct("position", "resolved_name"))).alias("_h"))
-           .select("path", "tab", F.col("_h.resolved_name").alias("header")))
-    counts = (parsed.where(F.col("row_no") > 2).groupBy("path", "tab")
-              .agg(F.count(F.lit(1)).alias("n_rows")))
-    return (table_cell(parsed).join(hdr, ["path", "tab"], "left").join(counts, ["path", "tab"], "left")
-            .withColumn("n_rows", F.coalesce("n_rows", F.lit(0)).cast("bigint")))
+    """One row per tab that has any row: target table, resolved header array, data row count.
+
+    Nothing of a tab is left out: the header is as wide as the widest data row, a tab without
+    a first row has no target table (C2 rejects it), one without data rows counts 0 (C4).
+    Parsers may mark a tab without any row by one with row_no 0."""
+    row, cells = F.col("row_no"), F.col("cells")
+    tabs = parsed.groupBy("path", "tab").agg(
+        F.max(F.when(row == 1, F.trim(cells[0]))).alias("target_table"),
+        F.min_by(cells, F.when(row == 2, row)).alias("_h"),
+        F.max(F.when(row > 2, _filled(cells)).otherwise(0)).alias("_width"),
+        F.count(F.when(row > 2, 1)).alias("n_rows"))
+    return tabs.select("path", "tab", "target_table", unique_names("_h", F.col("_width")).alias("header"), "n_rows")
 
 
 def split_rows(parsed: DataFrame, env: DataFrame | None = None) -> DataFrame:
-    """A3: data rows (row_no > 2) with their tab's table and a header->cell map.
+    """A3: data rows (row_no > 2) with their tab's columns of ``env`` and a header->cell map.
 
-    Ragged rows are padded with NULL / cut to the header's width."""
+    Short rows are padded with NULL; a header is never narrower than its rows."""
     env = env if env is not None else envelopes(parsed)
-    rows = parsed.where(F.col("row_no") > 2)
+    rows = parsed.where(F.col("row_no") > 2).select("path", "tab", "row_no", "cells")
     width = F.size("header")
     padded = F.slice(F.concat(normalize_cells("cells"), F.array_repeat(F.lit(None).cast("string"), width)), 1, width)
-    return (rows.join(env.select("path", "tab", "target_table", "header"), ["path", "tab"])
-            .select("path", "tab", "target_table", "row_no", F.map_from_arrays("header", padded).alias("row")))
-
-
-def to_columns(split: DataFrame, header: list[str]) -> DataFrame:
-    """Rows of one header group as string columns (the batch working form)."""
-    return split.select("path", "tab", "target_table", "row_no",
-                        *[F.col("row")[h].alias(h) for h in header])
+    joined = rows.join(env, ["path", "tab"]).withColumn("row", F.map_from_arrays("header", padded))
+    return joined.select("path", "tab", "target_table", "row_no", "row",
+                         *[c for c in env.columns if c not in ("path", "tab", "target_table", "header", "n_rows")])

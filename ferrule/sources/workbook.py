@@ -1,11 +1,11 @@
 """Workbook and CSV files -> parsed cells (A1-A4, A15 input side).
 
-A file is the unit of work: ``binaryFile`` gives one row per file and
-``mapInPandas`` turns each into ``(path, tab, row_no, cells)`` rows, so many
-files parse in parallel and the rest of the pipeline is DataFrame work.
-Only the standard library is used inside tasks (zip + XML for .xlsx, the csv
-module for .csv).  Large change sets should arrive as many files or as a
-Parquet batch with lineage columns (see ``read_parquet_batch``).
+CSV files are read by splits, so one large file uses every core; a workbook is
+the unit of its own work.  Either way the result is ``(path, tab, row_no,
+cells)`` rows and the rest is DataFrame work.  Only the standard library is
+used inside tasks (zip + XML for .xlsx, the csv module for .csv).  Large
+change sets may also arrive as Parquet with lineage columns (see
+``plans.pipeline.run_batch``).
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ import datetime as _dt
 import io
 import re
 import zipfile
-from urllib.parse import unquote
 from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 PARSED_SCHEMA = ("path string, tab string, tab_seq int, row_no bigint, cells array<string>, "
                  "authors array<string>")
@@ -100,6 +102,7 @@ def xlsx_rows(data: bytes) -> tuple[list[str] | None, list[tuple[str, int, int,
     wb = ET.fromstring(zf.read("xl/workbook.xml"))
     out = []
     for i, sheet in enumerate(wb.find("m:sheets", _NS).findall("m:sheet", _NS), start=1):
+        out.append((sheet.get("name"), i, 0, None))                # the tab itself, also without rows
         target = rels.get(sheet.get(f"{{{_NS['r']}}}id"), f"worksheets/sheet{i}.xml")
         target = target.lstrip("/")
         part = target if target.startswith("xl/") else f"xl/{target}"
@@ -130,7 +133,7 @@ def xlsx_rows(data: bytes) -> tuple[list[str] | None, list[tuple[str, int, int,
 def csv_rows(data: bytes, tab: str) -> list[tuple[str, int, int, list[str | None]]]:
     text = data.decode("utf-8-sig")
     return [(tab, 1, i, [c if c != "" else None for c in rec])
-            for i, rec in enumerate(csv.reader(io.StringIO(text)), start=1) if rec]
+            for i, rec in enumerate(csv.reader(io.StringIO(text)), start=1) if rec] + [(tab, 1, 0, None)]
 
 
 def csv_tab_name(path: str) -> str:
@@ -141,51 +144,121 @@ def csv_tab_name(path: str) -> str:
     return re.sub(r"\.(csv|txt)$", "", path.rsplit("/", 1)[-1], flags=re.I)
 
 
+def _stem(path: str) -> str:
+    return unquote(path.rsplit("/", 1)[-1])
+
+
 def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole files -> cells, a file at a time; a file that can't be read becomes a tab without rows."""
+    columns = ["path", "tab", "tab_seq", "row_no", "cells", "authors"]
     for pdf in batches:
-        out = []
-        for path, content in zip(pdf["path"], pdf["content"]):
+        for path, content in zip(pdf["path"], pdf["content"], strict=True):
             low = path.lower()
-            if low.endswith((".csv", ".txt")):
-                authors, rows = None, csv_rows(bytes(content), csv_tab_name(path))
-            else:
-                authors, rows = xlsx_rows(bytes(content))
-            out.extend((path, tab, seq, row_no, cells, authors) for tab, seq, row_no, cells in rows)
-        yield pd.DataFrame(out, columns=["path", "tab", "tab_seq", "row_no", "cells", "authors"])
+            try:
+                if low.endswith(TEXT_SUFFIXES):
+                    authors, rows = None, csv_rows(bytes(content), csv_tab_name(path))
+                elif low.endswith(SHEET_SUFFIXES):
+                    authors, rows = xlsx_rows(bytes(content))
+                else:
+                    authors, rows = None, [(_stem(path), 0, 0, None)]
+            except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, csv.Error):
+                authors, rows = None, [(_stem(path), 0, 0, None)]
+            out = [(path, tab, seq, row_no, cells, authors) for tab, seq, row_no, cells in rows]
+            for at in range(0, len(out), 10_000):
+                yield pd.DataFrame(out[at:at + 10_000], columns=columns)
+
+
+TEXT_SUFFIXES, SHEET_SUFFIXES = (".csv", ".txt"), (".xlsx", ".xlsm")
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """``binaryFile`` rows -> parsed cells (one task per input partition of files)."""
+    """``binaryFile`` rows -> parsed cells (one file at a time in a task)."""
     return files.select("path", "content").mapInPandas(_parse_files, PARSED_SCHEMA)
 
 
-INBOX_PATTERN = "*.{csv,txt,xlsx,xlsm}"
+TEXT_SUFFIXES, SHEET_SUFFIXES = (".csv", ".txt"), (".xlsx", ".xlsm")
 
 
-def list_inbox(spark: SparkSession, inbox: str, pattern: str = INBOX_PATTERN) -> DataFrame:
-    """A1: files of the inbox as ``binaryFile`` rows."""
-    return (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-            .option("recursiveFileLookup", "true").load(inbox))
+def list_inbox(spark: SparkSession, inbox: str) -> DataFrame:
+    """A1: every file of a folder as a ``binaryFile`` row; contents are read only where they are selected."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(inbox)
 
 
-def read_inbox(spark: SparkSession, inbox: str) -> DataFrame:
-    """A1+A2: every tab of every inbox file as parsed cells, with file order.
+def _literal(path: str) -> str:
+    """A path in which no character is a wildcard."""
+    return re.sub(r"([\[\]{}*?])", r"\\\1", path)
 
-    Parsing is one task per file; with fewer files than cores the parsed rows are dealt
-    out round-robin so validation still uses every core."""
-    from ..operators.rules import spread
 
-    files = list_inbox(spark, inbox)
-    parsed = spread(parse_files(files))
-    order = files.select("path", "modificationTime")
-    return parsed.join(order, "path")
+def _load(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").load([_literal(p) for p in paths])
 
 
-def read_parquet_batch(spark: SparkSession, path: str) -> DataFrame:
-    """Large batches: a Parquet dataset already in working form (lineage + text payload)."""
-    return spark.read.parquet(path)
+def _parse_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(path, csv_tab_name(path), 1, int(n), [c if c != "" else None for c in cells], None)
+                for path, n, cells in zip(pdf["path"], pdf["row_no"], map(_cells, pdf["value"]), strict=True) if cells]
+        yield pd.DataFrame(rows, columns=["path", "tab", "tab_seq", "row_no", "cells", "authors"])
+
+
+def _cells(line: str) -> list[str]:
+    return next(csv.reader([line]), [])
+
+
+def read_csv_lines(spark: SparkSession, files: DataFrame, paths: list[str]) -> DataFrame:
+    """CSV files by splits: any number of tasks per file, each row with its line number.
+
+    Spark cuts the files into blocks; the lines of a block are numbered by their place in its task
+    and moved on by the lines of the file's earlier blocks (one row per block).  Blank lines count but
+    give no row.  Files in which a quoted cell runs over several lines are not for this reader."""
+    lines = spark.read.text([_literal(p) for p in paths]).select(
+        "value", F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("uri", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (blocks.withColumn("skip", F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1)
+              .join(files.select("uri", "path"), "uri").select("uri", "block", "path", "skip"))
+    row_no = F.col("at") + F.col("skip")
+    numbered = lines.join(blocks, ["uri", "block"]).select(
+        "path", row_no.alias("row_no"),
+        F.when(row_no == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")).alias("value"))
+    return numbered.mapInPandas(_parse_lines, PARSED_SCHEMA)
+
+
+def _broken_quotes(spark: SparkSession, paths: list[str]) -> set[str]:
+    """Files with a line that holds an odd number of quotes: a quoted cell goes on in the next line."""
+    odd = spark.read.text([_literal(p) for p in paths]).where(
+        (F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1)
+    return {r[0] for r in odd.select("_metadata.file_path").distinct().collect()}
+
+
+def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A1+A2: every tab of the files as parsed cells, with the files' modification times.
+
+    CSV is read by splits; workbooks, and CSV files with line breaks inside cells, one file at a
+    time.  Every file gives at least a row with row_no 0, so that an empty one is a tab too; other
+    kinds of files and unreadable ones are a tab without rows."""
+    if not paths:
+        return spark.createDataFrame([], PARSED_SCHEMA + ", modificationTime timestamp")
+    files = _load(spark, paths).select("path", F.col("_metadata.file_path").alias("uri"), "modificationTime")
+    names = files.select("path", "uri").collect()                                # metadata: one row per file
+    text = [r["path"] for r in names if r["path"].lower().endswith(TEXT_SUFFIXES)]
+    whole = _broken_quotes(spark, text) if text else set()
+    by_split = [r["path"] for r in names if r["path"] in set(text) and r["uri"] not in whole]
+    by_file = sorted({r["path"] for r in names} - set(by_split))
+    frames = []
+    if by_split:
+        marks = [(p, csv_tab_name(p), 1, 0, None, None) for p in by_split]
+        frames += [read_csv_lines(spark, files, by_split), spark.createDataFrame(marks, PARSED_SCHEMA)]
+    if by_file:
+        frames.append(parse_files(_load(spark, by_file)))
+    return reduce(DataFrame.unionByName, frames).join(files.select("path", "modificationTime"), "path")
+
+
+def inbox_files(spark: SparkSession, inbox: str) -> list[str]:
+    """Paths of all files in the inbox, whatever their kind (metadata)."""
+    return sorted(r["path"] for r in list_inbox(spark, inbox).select("path").collect())
 
 
-def with_file_author(parsed: DataFrame) -> DataFrame:
-    """A4: authors as text (``', '``-joined), NULL when the file names none."""
-    return parsed.withColumn("authors", F.when(F.size("authors") > 0, F.array_join("authors", ", ")))
+def read_inbox(spark: SparkSession, inbox: str) -> DataFrame:
+    """Every file of a folder, see ``read_paths``."""
+    return read_paths(spark, inbox_files(spark, inbox))

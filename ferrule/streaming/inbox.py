@@ -15,15 +15,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.workbook import INBOX_PATTERN, parse_files
-
+from ..sources.workbook import read_paths
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def inbox_stream(spark: SparkSession, inbox: str, max_files_per_batch: int | None = None,
                  archive_dir: str | None = None) -> DataFrame:
-    r = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", INBOX_PATTERN)
+    r = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
          .option("recursiveFileLookup", "true"))
     if max_files_per_batch:
         r = r.option("maxFilesPerTrigger", str(max_files_per_batch))
@@ -33,22 +32,22 @@ def inbox_stream(spark: SparkSession, inbox: str, max_files_per_batch: int | Non
 
 
 def parsed_batch(files: DataFrame, batch_id: int) -> DataFrame:
-    """Micro-batch of files -> parsed cells with file order and authors text."""
+    """Micro-batch of files -> parsed cells with file order and authors text.
+
+    Only the names come to the driver; the contents are read by the batch reader, CSV by splits."""
     from ..plans.pipeline import _with_file_order
 
-    parsed = parse_files(files).join(files.select("path", "modificationTime"), "path")
-    return _with_file_order(parsed).withColumn("batch_id", F.lit(batch_id))
+    paths = [r["path"] for r in files.select("path").collect()]
+    return _with_file_order(read_paths(files.sparkSession, paths)).withColumn("batch_id", F.lit(batch_id))
 
 
 def run_stream(spark: SparkSession, inbox: str, checkpoint: str,
                handle: Callable[[DataFrame, int], None], *, max_files_per_batch: int | None = None,
-               archive_dir: str | None = None, timeout_s: float | None = None) -> None:
-    """Process everything available now, then stop."""
+               archive_dir: str | None = None) -> None:
+    """Process everything available now, then stop; returns when all of it is done, or raises."""
     q = (inbox_stream(spark, inbox, max_files_per_batch, archive_dir).writeStream
          .foreachBatch(lambda df, bid: handle(parsed_batch(df, bid), bid))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
