@@ -36,7 +36,7 @@ from ..sources import envelope as EV
 GATED = "(gates)"        # quarantine partition of the tabs that never reach a table
 QUARANTINE_SCHEMA = ("file string, authors string, tab string, target_table string, row_no bigint, row map<string,string>, "
                      "rule_column string, rule_id string, rule_message string, run_id string, part string")
-EVENTS_SCHEMA = "run_id string, event_time timestamp_ntz, level string, message string"
+EVENTS_SCHEMA = "event_time timestamp_ntz, level string, message string, run_id string"
 TAB = ["path", "tab", "file_seq", "tab_seq", "authors"]
 LINEAGE_KEEP = [*TAB, "row_no"]
 ORDER = ["file_seq", "path", "tab_seq", "tab"]
@@ -137,7 +137,8 @@ def run_rows(spark: SparkSession, tabs: DataFrame, rows: DataFrame, catalog: Cat
     quarantine = read_quarantine(spark, cfg)
     _write_dynamic(Q.error_details(quarantine).withColumn("run_id", F.lit(cfg.run_id)), cfg.errors_path, ["run_id"])
     _write_dynamic(_events(tabs, quarantine, cfg), cfg.events_path, ["run_id"])
-    return spark.read.parquet(cfg.events_path).where(F.col("run_id") == cfg.run_id)
+    events = spark.read.schema(EVENTS_SCHEMA).parquet(cfg.events_path).where(F.col("run_id") == cfg.run_id)
+    return events.select("run_id", "event_time", "level", "message")
 
 
 def _stopped() -> Column:

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import fs
+
 PARSED_SCHEMA = ("path string, tab string, tab_seq int, row_no bigint, cells array<string>, "
                  "authors array<string>")
 
@@ -102,7 +104,6 @@ def xlsx_rows(data: bytes) -> tuple[list[str] | None, list[tuple[str, int, int,
     wb = ET.fromstring(zf.read("xl/workbook.xml"))
     out = []
     for i, sheet in enumerate(wb.find("m:sheets", _NS).findall("m:sheet", _NS), start=1):
-        out.append((sheet.get("name"), i, 0, None))                # the tab itself, also without rows
         target = rels.get(sheet.get(f"{{{_NS['r']}}}id"), f"worksheets/sheet{i}.xml")
         target = target.lstrip("/")
         part = target if target.startswith("xl/") else f"xl/{target}"
@@ -130,10 +131,16 @@ def xlsx_rows(data: bytes) -> tuple[list[str] | None, list[tuple[str, int, int,
     return authors, out
 
 
+def xlsx_tabs(data: bytes) -> list[str]:
+    """Sheet names in order, also of sheets without rows."""
+    wb = ET.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("xl/workbook.xml"))
+    return [s.get("name") for s in wb.find("m:sheets", _NS).findall("m:sheet", _NS)]
+
+
 def csv_rows(data: bytes, tab: str) -> list[tuple[str, int, int, list[str | None]]]:
     text = data.decode("utf-8-sig")
     return [(tab, 1, i, [c if c != "" else None for c in rec])
-            for i, rec in enumerate(csv.reader(io.StringIO(text)), start=1) if rec] + [(tab, 1, 0, None)]
+            for i, rec in enumerate(csv.reader(io.StringIO(text)), start=1) if rec]
 
 
 def csv_tab_name(path: str) -> str:
@@ -156,13 +163,15 @@ def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             low = path.lower()
             try:
                 if low.endswith(TEXT_SUFFIXES):
-                    authors, rows = None, csv_rows(bytes(content), csv_tab_name(path))
+                    authors, tabs, rows = None, [csv_tab_name(path)], csv_rows(bytes(content), csv_tab_name(path))
                 elif low.endswith(SHEET_SUFFIXES):
                     authors, rows = xlsx_rows(bytes(content))
+                    tabs = xlsx_tabs(bytes(content))
                 else:
-                    authors, rows = None, [(_stem(path), 0, 0, None)]
+                    authors, tabs, rows = None, [_stem(path)], []
             except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, csv.Error):
-                authors, rows = None, [(_stem(path), 0, 0, None)]
+                authors, tabs, rows = None, [_stem(path)], []
+            rows = [(tab, seq, 0, None) for seq, tab in enumerate(tabs, start=1)] + rows      # a tab without rows is one too
             out = [(path, tab, seq, row_no, cells, authors) for tab, seq, row_no, cells in rows]
             for at in range(0, len(out), 10_000):
                 yield pd.DataFrame(out[at:at + 10_000], columns=columns)
@@ -179,11 +188,6 @@ def parse_files(files: DataFrame) -> DataFrame:
 TEXT_SUFFIXES, SHEET_SUFFIXES = (".csv", ".txt"), (".xlsx", ".xlsm")
 
 
-def list_inbox(spark: SparkSession, inbox: str) -> DataFrame:
-    """A1: every file of a folder as a ``binaryFile`` row; contents are read only where they are selected."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(inbox)
-
-
 def _literal(path: str) -> str:
     """A path in which no character is a wildcard."""
     return re.sub(r"([\[\]{}*?])", r"\\\1", path)
@@ -215,8 +219,9 @@ def read_csv_lines(spark: SparkSession, files: DataFrame, paths: list[str]) -> D
         F.monotonically_increasing_id().alias("at"))
     blocks = lines.groupBy("uri", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (blocks.withColumn("skip", F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1)
-              .join(files.select("uri", "path"), "uri").select("uri", "block", "path", "skip"))
+    blocks = blocks.withColumn("skip", F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1)
+    blocks = blocks.withColumn("file", _one_spelling("uri")).join(
+        files.select(F.col("uri").alias("file"), "path"), "file").select("uri", "block", "path", "skip")
     row_no = F.col("at") + F.col("skip")
     numbered = lines.join(blocks, ["uri", "block"]).select(
         "path", row_no.alias("row_no"),
@@ -224,11 +229,16 @@ def read_csv_lines(spark: SparkSession, files: DataFrame, paths: list[str]) -> D
     return numbered.mapInPandas(_parse_lines, PARSED_SCHEMA)
 
 
+def _one_spelling(uri: str):
+    """Local paths come as ``file:/`` or ``file:///``."""
+    return F.regexp_replace(uri, "^file:/+", "file:///")
+
+
 def _broken_quotes(spark: SparkSession, paths: list[str]) -> set[str]:
     """Files with a line that holds an odd number of quotes: a quoted cell goes on in the next line."""
     odd = spark.read.text([_literal(p) for p in paths]).where(
         (F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1)
-    return {r[0] for r in odd.select("_metadata.file_path").distinct().collect()}
+    return {r[0] for r in odd.select(_one_spelling("_metadata.file_path")).distinct().collect()}
 
 
 def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -239,8 +249,9 @@ def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
     kinds of files and unreadable ones are a tab without rows."""
     if not paths:
         return spark.createDataFrame([], PARSED_SCHEMA + ", modificationTime timestamp")
-    files = _load(spark, paths).select("path", F.col("_metadata.file_path").alias("uri"), "modificationTime")
-    names = files.select("path", "uri").collect()                                # metadata: one row per file
+    names = [{"path": p, "uri": re.sub("^file:/+", "file:///", u), "ms": ms} for p, u, ms in fs.files(spark, *paths)]
+    files = spark.createDataFrame([(r["path"], r["uri"], r["ms"]) for r in names], "path string, uri string, ms bigint").select(
+        "path", "uri", F.timestamp_millis("ms").alias("modificationTime"))           # metadata: one row per file
     text = [r["path"] for r in names if r["path"].lower().endswith(TEXT_SUFFIXES)]
     whole = _broken_quotes(spark, text) if text else set()
     by_split = [r["path"] for r in names if r["path"] in set(text) and r["uri"] not in whole]
@@ -255,8 +266,8 @@ def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def inbox_files(spark: SparkSession, inbox: str) -> list[str]:
-    """Paths of all files in the inbox, whatever their kind (metadata)."""
-    return sorted(r["path"] for r in list_inbox(spark, inbox).select("path").collect())
+    """A1: paths of all files in the inbox, whatever their kind (metadata)."""
+    return [path for path, _, _ in fs.files(spark, inbox)]
 
 
 def read_inbox(spark: SparkSession, inbox: str) -> DataFrame:

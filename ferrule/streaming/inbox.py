@@ -34,7 +34,8 @@ def inbox_stream(spark: SparkSession, inbox: str, max_files_per_batch: int | Non
 def parsed_batch(files: DataFrame, batch_id: int) -> DataFrame:
     """Micro-batch of files -> parsed cells with file order and authors text.
 
-    Only the names come to the driver; the contents are read by the batch reader, CSV by splits."""
+    Only the names come to the driver; the contents are read by the batch reader, CSV by splits.
+    (Spark's file stream passes over files of no bytes.)"""
     from ..plans.pipeline import _with_file_order
 
     paths = [r["path"] for r in files.select("path").collect()]

@@ -5,7 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from ferrule.operators.tables import TableStore
+from ferrule.operators.tables import TableStore, part_key
 from ferrule.plans import fixtures as X
 from ferrule.plans.pipeline import RunConfig, run
 from ferrule.sources import envelope as EV
@@ -84,12 +84,15 @@ def test_table_store_rewrites_only_touched_partitions(spark, tmp_path):
     store.create("s.t", df, partition_by="p")
     batch = spark.createDataFrame([(1, "y"), (5, "y")], "id long, s string")     # both in p = 1
     store.update("s.t", batch, "id")
-    m = {r.part_value: r.base for r in store.manifest("s.t").collect()}
-    assert m["1"].endswith("v000002") and m["0"].endswith("v000001")
+    part = {p: spark.range(1).select(part_key(F.lit(p))).first()[0] for p in range(4)}
+    m = {r.part: r.path for r in store.manifest("s.t").collect()}
+    assert "/v000002-" in m[part[1]] and "/v000001-" in m[part[0]] and len(m) == 4
     got = store.read("s.t")
     assert got.count() == 100 and got.where(F.col("s") == "y").count() == 2
     store.insert("s.t", spark.createDataFrame([(1000, 3, "n")], "id long, p long, s string"))
     assert store.read("s.t").count() == 101
+    paths = [r.path for r in store.manifest("s.t").collect()]
+    assert len(paths) == 5 and sum("/v000003-" in p for p in paths) == 1            # an insert only adds
 
 
 def _store(spark, root):
@@ -127,11 +130,19 @@ def test_change_run_end_to_end(spark, tmp_path):
     locker = spark.read.parquet(cfg.locker_path)
     n_l = locker.count()
     assert n_q > 0 and n_l > 0
-    # re-running the same run id rewrites its partitions: nothing doubles
+    # the same run again, on the same store: nothing doubles, nothing changes
+    images = sorted(str(sorted(r.row.items())) for r in locker.collect())
+    v = store.version("pub.orders")
+    again = run(spark, _with_file_order(read_inbox(spark, inbox)), catalog, store, cfg).collect()
+    assert sorted(map(str, again)) == sorted(map(str, events)) and store.version("pub.orders") == v
+    assert spark.read.parquet(cfg.quarantine_path).count() == n_q
+    assert sorted(str(sorted(r.row.items())) for r in spark.read.parquet(cfg.locker_path).collect()) == images
+    assert len(images) == n_l
+    # after a crash between preserving and committing, the retry starts from the same table
     store2 = _store(spark, str(tmp_path / "tables2"))
     run(spark, _with_file_order(read_inbox(spark, inbox)), catalog, store2, cfg)
     assert spark.read.parquet(cfg.quarantine_path).count() == n_q
-    assert spark.read.parquet(cfg.locker_path).count() == n_l
+    assert sorted(str(sorted(r.row.items())) for r in spark.read.parquet(cfg.locker_path).collect()) == images
 
 
 def test_stream_processes_each_file_once(spark, tmp_path):
@@ -185,7 +196,8 @@ def test_wave_chains_before_images_across_tabs(spark, tmp_path):
     after = {r.o_orderkey: r.o_orderstatus for r in store.read("pub.orders").where("o_orderkey in (1, 2)").collect()}
     assert after == {1: "B", 2: "C"}
     lk = {(r.item_id, r.row["o_orderkey"]): r.row["o_orderstatus"] for r in spark.read.parquet(cfg.locker_path).collect()}
-    assert lk == {("w1:update_a", "1"): before[1], ("w1:update_b", "1"): "A", ("w1:update_b", "2"): before[2]}
+    assert lk == {("w1:f.csv#update_a", "1"): before[1], ("w1:f.csv#update_b", "1"): "A",
+                  ("w1:f.csv#update_b", "2"): before[2]}
 
 
 def test_xlsx_date_cells_become_date_text():
@@ -245,3 +257,89 @@ def test_table_store_old_readers_keep_their_snapshot(spark, tmp_path):
     assert old.where(F.col("s") == "y").count() == 0                 # the old version is untouched
     assert store.read("s.t").where(F.col("s") == "y").count() == 1
     assert store.version("s.t") == 2
+
+
+def test_store_versions_are_strict_and_published_once(spark, tmp_path):
+    import pytest
+
+    from ferrule import fs
+
+    store = TableStore(spark, str(tmp_path))
+    assert store.version("s.t") == 0
+    with pytest.raises(ValueError):
+        store.read("s.t")
+    df = spark.createDataFrame([(1, "007"), (2, None), (3, "a b/c")], "id long, p string")
+    store.create("s.t", df, partition_by="p")
+    assert sorted((r.id, r.p) for r in store.read("s.t").collect()) == [(1, "007"), (2, None), (3, "a b/c")]
+    with pytest.raises(Exception, match="exist"):
+        fs.create_text(spark, f"{tmp_path}/s.t/_commits/v000001", "again")
+    store.insert("s.t", df.limit(0), "token")
+    assert store.applied("s.t", "token") and not store.applied("s.t", "other")
+    assert store.read("s.t").count() == 3 and store.version("s.t") == 2
+
+
+def test_csv_by_splits_numbers_lines_and_loses_nothing(spark, tmp_path):
+    from ferrule.sources.workbook import read_inbox
+
+    lines = ["pub.orders", "o_orderkey,o_orderstatus"] + [f'{i},"a,{i}"' if i % 3 else f"{i}," for i in range(3, 4000)]
+    (tmp_path / "Update_big.csv").write_text("\ufeff" + "\n".join(lines))
+    (tmp_path / "UPDATE_UPPER.CSV").write_text("pub.orders\n\nx,y\n")
+    (tmp_path / "update_quoted.csv").write_text('pub.orders\nk,v\n1,"two\nlines"\n')
+    (tmp_path / "update_[x] y.csv").write_text("")
+    (tmp_path / "~$a.xlsx").write_bytes(b"not a workbook")
+    (tmp_path / "old.xls").write_bytes(b"\xd0\xcf")
+    default = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = read_inbox(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", default)
+    tabs = {}
+    for r in rows:
+        tabs.setdefault(r.tab, {})[r.row_no] = r.cells
+    big = tabs["Update_big"]
+    assert sorted(big) == list(range(len(lines) + 1)) and big[1] == ["pub.orders"]
+    assert all(big[i] == [str(i), f"a,{i}" if i % 3 else None] for i in range(3, 4000))
+    assert tabs["UPDATE_UPPER"] == {0: None, 1: ["pub.orders"], 3: ["x", "y"]}
+    assert tabs["update_quoted"][3] == ["1", "two\nlines"]
+    assert tabs["update_[x] y"] == {0: None} and tabs["~$a.xlsx"] == {0: None} and tabs["old.xls"] == {0: None}
+
+
+def test_envelopes_keep_wide_rows_missing_heads_and_empty_tabs(spark):
+    rows = [("f", "update_a", 1, ["pub.t"]), ("f", "update_a", 2, ["a", "a", "a.1"]), ("f", "update_a", 3, ["1", "2", "3", None, "5"]),
+            ("f", "update_a", 4, ["1", "2", "3", None, None, " "]), ("f", "update_b", 2, ["k"]), ("f", "update_b", 3, ["1"]), ("f", "update_c", 0, None)]
+    parsed = spark.createDataFrame(rows, "path string, tab string, row_no bigint, cells array<string>")
+    env = {r.tab: r for r in EV.envelopes(parsed).collect()}
+    assert env["update_a"].header == ["a", "a.1", "a.1.1", "Unnamed: 3", "Unnamed: 4"]
+    assert env["update_b"].target_table is None and env["update_b"].n_rows == 1
+    assert env["update_c"].n_rows == 0 and env["update_c"].header == []
+    got = {(r.tab, r.row_no): r.row for r in EV.split_rows(parsed).collect()}
+    assert got["update_a", 3] == {"a": "1", "a.1": "2", "a.1.1": "3", "Unnamed: 3": None, "Unnamed: 4": "5"}
+    assert set(got) == {("update_a", 3), ("update_a", 4), ("update_b", 3)}
+
+
+def test_inbox_files_are_archived_after_the_run(spark, tmp_path):
+    from ferrule.plans.pipeline import run_inbox
+
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    (inbox / "update_x.csv").write_text("pub.orders\no_orderkey,o_orderstatus\n1,F\n")
+    (inbox / "old.xls").write_bytes(b"x")
+    store = _store(spark, str(tmp_path / "tables"))
+    events = run_inbox(spark, str(inbox), X.declared_catalog(spark, SF_SMALL), store, _cfg(str(tmp_path / "out"), "arch"),
+                       archive=str(tmp_path / "done"))
+    assert sorted(r.level for r in events.collect()) == ["info", "warning"]
+    assert sorted(p.name for p in (tmp_path / "done" / "arch").iterdir() if not p.name.startswith(".")) == ["old.xls", "update_x.csv"]
+    assert not [p for p in inbox.iterdir() if not p.name.startswith(".")]
+
+
+def test_declared_types_reach_the_spec(spark):
+    from ferrule.operators.catalog import spec_from_schema
+
+    spark.sql("CREATE TABLE IF NOT EXISTS declared_t (a VARCHAR(5) NOT NULL, b CHAR(3), c TINYINT, d BINARY, e STRING) USING parquet")
+    try:
+        schema = spark.table("declared_t").schema
+    finally:
+        spark.sql("DROP TABLE declared_t")
+    got = {c.name: (c.data_type, c.char_max_len) for c in spec_from_schema("x.t", schema).columns}
+    assert got == {"a": ("varchar", 5), "b": ("char", 3), "c": ("tinyint", None), "d": ("varbinary", -1), "e": ("nvarchar", -1)}
