@@ -247,7 +247,8 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, doc_id
 
     bands = classes.select("id", "n", F.posexplode("sketch")).select(
         F.xxhash64("pos", "col").alias("key"), "id", "n")
-    tops = bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
+    # written, so that the join below deals both sides anew and can split the rows of one hot bucket
+    tops = materialize(bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("c")).where("c > 1"), "near-tops")
     shared = materialize(bands.join(tops.select("key", "p", "c"), "key").select(
         "key", "id", "n", F.col("p.id").alias("p"), F.col("p.n").alias("np"), "c"), "near-buckets")
     pairs = (shared.where(f"id <> p and 100 * least(n, np) >= {percent} * greatest(n, np)")
