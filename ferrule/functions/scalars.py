@@ -21,7 +21,7 @@ TIME_PATTERN = r"^\s*([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.][0-9]{1,7})?)
 # Integer digits of a number (sign and leading zeros not counted).
 INTEGER_DIGITS_PATTERN = r"^\s*[+-]?0*([0-9]*)"
 # Fraction digits of a number.
-FRACTION_DIGITS_PATTERN = r"[.]([0-9]*)"
+FRACTION_DIGITS_PATTERN = r"[.]([0-9]*?)0*(?:$|[^0-9])"      # closing zeros carry no value
 
 # Cell texts read as NULL (pandas' default missing-value markers).
 NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",

@@ -443,7 +443,8 @@ FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS _n FROM orders GROUP BY o
 # --- parsed sheet cells: one tab per customer, its orders as rows --------------------------
 # Row 1 holds the table, row 2 the header (some with repeated or blank names),
 # rows 3.. the orders; every 5th status cell is a NULL token or a look-alike,
-# every 17th row is short one cell.
+# every 17th row is short one cell, every 23rd has one beyond the header; every 29th
+# customer's tab has no first row.
 
 TOKEN_SAMPLE = ("",  "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
                 "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null", "n.a.", "NIL", " NA", "none")
@@ -467,7 +468,8 @@ def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, h in enumerate(SHEET_HEADERS):
         v = F.array(*[F.lit(x) for x in h])
         hdr = F.when(k % nh == i, v) if hdr is None else hdr.when(k % nh == i, v)
-    first = c.select(*where(k), F.lit(1).cast("bigint").alias("row_no"), F.array(F.lit("pub.orders")).alias("cells"))
+    first = c.where(k % 29 != 0).select(*where(k), F.lit(1).cast("bigint").alias("row_no"),
+                                        F.array(F.lit("pub.orders")).alias("cells"))
     second = c.select(*where(k), F.lit(2).cast("bigint").alias("row_no"), hdr.alias("cells"))
     ok = F.col("o_orderkey")
     tokens = F.array(*[F.lit(t) for t in TOKEN_SAMPLE])
@@ -476,7 +478,8 @@ def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = F.array(ok.cast("string"), status, F.col("o_orderpriority"),
                    F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
     data = o.select(*where(F.col("o_custkey")), (ok + 3).alias("row_no"),
-                    F.when(ok % 17 == 0, F.slice(full, 1, 3)).otherwise(full).alias("cells"))
+                    F.when(ok % 17 == 0, F.slice(full, 1, 3)).when(ok % 23 == 0, F.concat(full, F.array(F.lit("EXTRA"))))
+                    .otherwise(full).alias("cells"))
     return first.unionByName(second).unionByName(data)
 
 
@@ -487,14 +490,14 @@ def sheet_cells_sql() -> str:
     toks = "[" + ", ".join(f"'{t}'" for t in TOKEN_SAMPLE) + "]"
     return f"""
 SELECT 'inbox/sheets_' || CAST(c_custkey % {nh} AS VARCHAR) || '.xlsx' AS path, 'Update_orders_' || CAST(c_custkey AS VARCHAR) AS tab,
-  CAST(1 AS BIGINT) AS row_no, ['pub.orders'] AS cells FROM customer
+  CAST(1 AS BIGINT) AS row_no, ['pub.orders'] AS cells FROM customer WHERE c_custkey % 29 <> 0
 UNION ALL
 SELECT 'inbox/sheets_' || CAST(c_custkey % {nh} AS VARCHAR) || '.xlsx', 'Update_orders_' || CAST(c_custkey AS VARCHAR),
   CAST(2 AS BIGINT), {hdr} FROM customer
 UNION ALL
 SELECT 'inbox/sheets_' || CAST(o_custkey % {nh} AS VARCHAR) || '.xlsx', 'Update_orders_' || CAST(o_custkey AS VARCHAR),
   CAST(o_orderkey + 3 AS BIGINT),
-  CASE WHEN o_orderkey % 17 = 0 THEN list_slice(f, 1, 3) ELSE f END
+  CASE WHEN o_orderkey % 17 = 0 THEN list_slice(f, 1, 3) WHEN o_orderkey % 23 = 0 THEN list_append(f, 'EXTRA') ELSE f END
 FROM (SELECT *, [CAST(o_orderkey AS VARCHAR),
          CASE WHEN o_orderkey % 5 = 0 THEN {toks}[CAST((o_orderkey // 5) % {len(TOKEN_SAMPLE)} + 1 AS INTEGER)]
               ELSE o_orderstatus END,

@@ -81,12 +81,21 @@ def rule_key() -> F.Column:
 
 # --- V1-V15, V14, F1 ------------------------------------------------------------------------
 
-def _reject_counts_sql() -> str:
-    return (f"WITH va AS ({annotated_sql(X.UPDATE_ORDERS_SQL, X.PUB_ORDERS, X.UPDATE_ORDERS_ENV)})\n"
-            f"SELECT {RULE_KEY} AS rule_key, count(*) AS n_rows FROM va GROUP BY 1")
-
-
-@register("validate_reject_counts", _reject_counts_sql)
+#: The flagship's counts by hand: which planted value each row meets first, in header order (FIXTURES.md §3).
+REJECT_COUNTS_SQL = """SELECT rule_key, count(*) AS n_rows FROM (SELECT CASE
+  WHEN k % 97 <> 0 AND k % 101 = 0 THEN 'o_orderkey:V5'
+  WHEN k % 53 = 0 THEN 'o_custkey:V12' WHEN k % 13 = 0 THEN 'o_custkey:V2' WHEN k % 59 = 0 THEN 'o_custkey:V4'
+  WHEN k % 61 = 0 THEN 'o_custkey:V5' WHEN k % 67 = 0 THEN 'o_orderstatus:V1'
+  WHEN k % 71 = 0 THEN 'o_totalprice:V8' WHEN k % 73 = 0 THEN 'o_totalprice:V9' WHEN k % 79 = 0 THEN 'o_totalprice:V10'
+  WHEN k % 83 = 0 THEN 'o_totalprice:V11' WHEN k % 31 = 0 THEN 'o_totalprice:V15'
+  WHEN k % 37 = 0 THEN 'o_orderdate:V7' WHEN k % 29 = 0 THEN 'o_orderpriority:V1'
+  WHEN k % 260 < 2 THEN 'o_flags:V4' WHEN k % 260 > 257 THEN 'o_flags:V5'
+  WHEN k % 107 = 0 THEN 'o_token:V6' WHEN k % 8010 = 0 THEN 'o_token:V4' WHEN k % 8010 > 8000 THEN 'o_token:V5'
+  WHEN k % 109 = 0 THEN 'o_deposit:V9' WHEN k % 113 = 0 THEN 'o_deposit:V10' WHEN k % 127 = 0 THEN 'o_deposit:V8'
+  WHEN k % 97 = 0 THEN 'o_orderkey:V13' ELSE 'accepted' END AS rule_key FROM (SELECT o_orderkey AS k FROM orders)) GROUP BY rule_key"""
+
+
+@register("validate_reject_counts", REJECT_COUNTS_SQL)
 def validate_reject_counts(spark: SparkSession, sf: str) -> DataFrame:
     v = annotated(X.update_orders(spark, sf), X.PUB_ORDERS, X.UPDATE_ORDERS_ENV)
     return v.groupBy(rule_key().alias("rule_key")).agg(F.count(F.lit(1)).alias("n_rows"))
