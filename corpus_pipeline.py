@@ -16,13 +16,18 @@ from ferrule.llm.common import materialize, table
 from ferrule.llm.queries import bpe_ranks
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that no operator's output has, and the new name of each column."""
+    names = {c: f"__in{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, scores 0.5 or more."""
-    meta = ("n_chars",)
-    model = quality.train(docs, table(spark, sf_dir, "labels"), metadata=meta)
-    scored = quality.score(docs.withColumnsRenamed({c: f"__score{c}" for c in docs.columns if c.lower() == "score"}), model, metadata=meta)
-    kept = scored.where("score >= 0.5").drop("score")
-    return kept.toDF(*docs.columns)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), metadata=("n_chars",))
+    rows, name = _apart(docs)
+    scored = quality.score(rows, model, text=name["text"], metadata=(name["n_chars"],))
+    return scored.where("score >= 0.5").drop("score").toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +36,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix draws, once for each draw, with the text that it takes."""
-    mixed = mixing.mix(docs)
-    if "n_chars" in docs.columns:
-        mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return mixed.select(docs.columns)
+    """The documents the mix draws, once for each draw, with the text that it takes and that text's length."""
+    rows, name = _apart(docs)
+    mixed = mixing.mix(rows, doc_id=name["doc_id"], text=name["text"], source=name["source"])
+    n_chars = F.length(name["text"]).cast(docs.schema["n_chars"].dataType)
+    return mixed.withColumn(name["n_chars"], n_chars).select(*name.values()).toDF(*docs.columns)
 
 
 def pack_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

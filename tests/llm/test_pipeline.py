@@ -66,6 +66,8 @@ def test_run_and_odd_tables(spark, tmp_path):
     for name, d, lab in (("odd", docs, labels), ("empty", docs.limit(0), labels.limit(0))):
         d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         lab.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        kept = cp.mix_sources(spark, cp.drop_near_duplicates(spark, cp.keep_quality(spark, d, f"{tmp_path}/{name}"), ""), "")
+        assert kept.dtypes == d.dtypes and {(r.score, r.shard) for r in kept.collect()} <= {(1.0, "x")}
         out = cp.run(spark, f"{tmp_path}/{name}")
         assert {"doc_id", "sequence_id", "offset"} <= set(out.columns)
         assert out.count() == 0 or name == "odd"
