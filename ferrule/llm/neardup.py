@@ -36,8 +36,8 @@ from .tokens import chunks, mixed, words
 
 BAND = 4  # registers of 16 bits: a bucket key is 64 bits
 SALT_ROWS, BLOCK = 100, 256
-#: The candidates' bitmap: about 16 bits a candidate, 64 MB at most; a fuller one lets more texts through.
-BITMAP_BITS = 1 << 29
+#: The candidates' bitmap: about 16 bits a candidate, 16 MB at most; a fuller one lets more texts through.
+BITMAP_BITS = 1 << 27
 _P = np.uint64(0x9FB21C651E98DF25)
 
 
