@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import locker as L
 from ..operators import quarantine as Q
+from ..operators import rules as R
+from ..operators.catalog import ColumnSpec, TableSpec
 from ..operators.tables import TableStore
 from ..session import scratch_dir
 from . import fixtures as X
@@ -267,3 +269,32 @@ def date_layouts(spark: SparkSession, sf: str) -> DataFrame:
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     return spark.read.parquet(path).select("o_orderkey", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("parsed"))
+
+
+# --- the types that the order batch does not have -------------------------------------------------
+
+_TYPES = TableSpec("pub.types", tuple(ColumnSpec(n, t, True, None, p, s, i) for i, (n, t, p, s) in enumerate([
+    ("s", "smallint", 5, 0), ("b", "bit", 1, 0), ("m", "money", 19, 4), ("t", "time", None, None),
+    ("d", "decimal", 10, 2), ("r", "real", 24, None)], start=1)))
+
+
+@register("type_rules", """SELECT o_orderkey AS row_no, CASE
+  WHEN o_orderkey % 12 = 0 THEN 's:V5' WHEN o_orderkey % 12 = 3 THEN 's:V4' WHEN o_orderkey % 12 = 6 THEN 's:V3b'
+  WHEN o_orderkey % 5 = 0 THEN 'b:V5' WHEN o_orderkey % 7 = 0 THEN 'm:V10' WHEN o_orderkey % 11 = 0 THEN 'm:V9'
+  WHEN o_orderkey % 13 = 0 THEN 't:V7' WHEN o_orderkey % 17 = 0 THEN 'd:V15b'
+  WHEN o_orderkey % 23 = 0 AND o_orderkey % 19 <> 0 THEN 'd:V15' WHEN o_orderkey % 31 = 0 AND o_orderkey % 29 <> 0 THEN 'r:V8'
+  ELSE 'accepted' END AS rule_key FROM orders""")
+def type_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """V3b, V4, V5, V7-V10, V15, V15b on smallint, bit, money, time, decimal and real cells."""
+    k = F.col("o_orderkey")
+    cells = {
+        "s": F.when(k % 12 == 0, "40000").when(k % 12 == 3, "-40000").when(k % 12 == 6, "1.5").when(k % 12 == 9, "7.000").otherwise("12"),
+        "b": F.when(k % 5 == 0, "2").otherwise((k % 2).cast("string")),
+        "m": F.when(k % 7 == 0, "922337203685477.5808").when(k % 11 == 0, "-922337203685477.5809").otherwise("1.25"),
+        "t": F.when(k % 13 == 0, "24:00").otherwise("9:05:01.5"),
+        "d": F.when(k % 17 == 0, "1e9").when(k % 19 == 0, "4.560").when(k % 23 == 0, "4.561").otherwise("3"),
+        "r": F.when(k % 29 == 0, "nan").when(k % 31 == 0, "x").otherwise("1e3")}
+    batch = X.table(spark, sf, "orders").select(k.alias("row_no"), *[v.alias(c) for c, v in cells.items()])
+    rules = R.build_rules(_TYPES, R.Envelope("insert_types", "pub.types", tuple(cells)), None, None)
+    v = R.apply_chain(batch, rules)
+    return v.select("row_no", F.when(F.col("rule_id").isNull(), "accepted").otherwise(F.concat_ws(":", "rule_column", "rule_id")).alias("rule_key"))

@@ -343,3 +343,24 @@ def test_declared_types_reach_the_spec(spark):
         spark.sql("DROP TABLE declared_t")
     got = {c.name: (c.data_type, c.char_max_len) for c in spec_from_schema("x.t", schema).columns}
     assert got == {"a": ("varchar", 5), "b": ("char", 3), "c": ("tinyint", None), "d": ("varbinary", -1), "e": ("nvarchar", -1)}
+
+
+def test_a_run_starts_with_retention(spark, tmp_path):
+    from ferrule.operators import locker as L
+    from ferrule.operators import quarantine as Q
+
+    cfg = _cfg(str(tmp_path / "out"), "keep")
+    old = spark.range(2).select(
+        F.when(F.col("id") == 0, "19970101").otherwise("19971231").alias("day"), F.lit("pub.a b").alias("target_table"),
+        F.lit("r0").alias("run_id"), F.lit("i").alias("item_id"), F.lit("f").alias("file"), F.lit(None).cast("string").alias("authors"),
+        F.lit("Update").alias("mode"), F.lit(X.AS_OF).cast("timestamp_ntz").alias("append_time"), F.col("id").alias("row_no"),
+        Q.row_map(["id"]).alias("row"))
+    L.append(old, cfg.locker_path)
+    cells = [("f.csv", "update_a", 1, 1, ["pub.orders"]), ("f.csv", "update_a", 1, 2, ["o_orderkey", "o_orderstatus"]),
+             ("f.csv", "update_a", 1, 3, ["1", "A"])]
+    parsed = spark.createDataFrame([(p, t, s, r, c, None, 1) for p, t, s, r, c in cells],
+                                   "path string, tab string, tab_seq int, row_no bigint, cells array<string>, "
+                                   "authors string, file_seq bigint")
+    run(spark, parsed, X.declared_catalog(spark, SF_SMALL), _store(spark, str(tmp_path / "tables")), cfg)
+    days = {(r.day, r.target_table) for r in L.read(spark, cfg.locker_path).collect()}
+    assert days == {("19971231", "pub.a b"), ("19980101", "pub.orders")}
