@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import connected, materialize
+from .tokens import releasing
 
 PIVOTS, NODE_ROWS, BLOCK, LEAF = 512, 8192, 2048, 16
 SLACK = 1e-7  # more than rounding can take from a bound
@@ -197,7 +198,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id
         x = np.array(r.vec, dtype=np.float64)
         x = x / np.abs(x).max()
         pivots[len(x)] = np.vstack([*pivots.get(len(x), []), x / np.sqrt((x * x).sum())])
-    placed = materialize(classes.mapInArrow(_nearest(pivots), StructType([*classes.schema, StructField("pivot", IntegerType()), StructField("far", DoubleType())])),
+    placed = materialize(classes.mapInArrow(releasing(_nearest(pivots)), StructType([*classes.schema, StructField("pivot", IntegerType()), StructField("far", DoubleType())])),
                          "tree-placed")
     key = ["label", "dim", "pivot"]
     nodes = placed.groupBy(*key).agg(F.max("far").alias("radius"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

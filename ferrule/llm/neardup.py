@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import connected, materialize
 from .sketch import REGISTERS, jaccard, registers
-from .tokens import chunks, mixed, words
+from .tokens import chunks, mixed, releasing, words
 
 BAND = 4  # registers of 16 bits: a bucket key is 64 bits
 SALT_ROWS, BLOCK = 100, 256
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, doc_id
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     marks = materialize(rows.withColumn("text", F.coalesce(F.col("text"), F.lit(" "))).withColumn(
         "text", F.when(F.col("text") == "", " ").otherwise(F.col("text"))).mapInArrow(
-        _sketches(n_words), "doc_id long, n_shingles long, set_key binary, sketch array<long>"), "near-sketches")
+        releasing(_sketches(n_words)), "doc_id long, n_shingles long, set_key binary, sketch array<long>"), "near-sketches")
     classes = materialize(marks.where("n_shingles > 0 and doc_id is not null").groupBy("set_key", "n_shingles").agg(
         F.min(F.struct("doc_id", "sketch")).alias("m")).select(
         "set_key", F.col("m.doc_id").alias("id"), F.col("n_shingles").alias("n"), F.col("m.sketch").alias("sketch")), "near-classes")
@@ -258,13 +258,13 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, doc_id
     likely = materialize(
         pairs.join(one.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx")), ["x", "nx"])
         .join(one.select(F.col("id").alias("p"), F.col("n").alias("np"), F.col("sketch").alias("sp")), ["p", "np"])
-        .select("p", "x", "nx", "np", "sx", "sp").mapInArrow(_estimate(float(least)), "p long, x long").distinct(), "near-pairs")
+        .select("p", "x", "nx", "np", "sx", "sp").mapInArrow(releasing(_estimate(float(least))), "p long, x long").distinct(), "near-pairs")
 
     asked = shared.where("c > 2").select("id").unionByName(likely.select(F.col("p").alias("id"))).unionByName(
         likely.select(F.col("x").alias("id"))).distinct()
     asked = materialize(asked, "near-asked")
     sets = materialize(rows.where("doc_id is not null and text <> ''").mapInArrow(
-        _sets(n_words, id_bitmap(asked, "id")), "id long, set binary").join(asked, "id", "left_semi")
+        releasing(_sets(n_words, id_bitmap(asked, "id"))), "id long, set binary").join(asked, "id", "left_semi")
         .where("length(set) > 0"), "near-sets")
 
     many = likely.groupBy("p").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, doc_id
         "p", "salt", F.lit(None).cast("long").alias("x"), "set")
     both = members.join(sets.select(F.col("id").alias("x"), "set"), "x").select("p", "salt", "x", "set").unionByName(heads)
     links = materialize(both.repartition("p", "salt").sortWithinPartitions("p", "salt", F.col("x").asc_nulls_first())
-                        .mapInArrow(_confirm(percent), "p long, x long"), "near-links")
+                        .mapInArrow(releasing(_confirm(percent)), "p long, x long"), "near-links")
     # rows with one id are one document: it links the classes of its texts
     again = marks.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
     ties = marks.select("doc_id", "set_key").join(again, "doc_id").join(classes.select("set_key", "id"), "set_key").select(

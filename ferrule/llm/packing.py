@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, running_total
+from .tokens import releasing
 
 WINDOW, END_ID, PART_CHARS = 2048, 1, 1_000_000
 #: More plan rows than this are joined without a broadcast (one row takes about 48 bytes).
@@ -189,7 +190,7 @@ def pack(docs: DataFrame, ranks_path: str, window: int = WINDOW, end_id: int = E
     schema = PIECES + (", ids array<int>" if keep_ids else "")
     pieces = materialize(
         docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-        .mapInArrow(_tokenize(ranks_path, window, end_id, keep_ids), schema), "pack-pieces")
+        .mapInArrow(releasing(_tokenize(ranks_path, window, end_id, keep_ids)), schema), "pack-pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     rows = best_fit_decreasing(counts, window)
     plan = spark.createDataFrame(rows, "plan_length long, rank long, base long, each long, first long")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .tokens import chunks, words
+from .tokens import chunks, release, releasing, words
 
 BUCKETS, RANK, BINS, MAX_ROWS, SEED = 4096, 8, 10, 8000, 11
 _KINDS = np.zeros((256, 6), dtype=bool)  # capital, letter, digit, sentence mark, other mark, line end
@@ -103,7 +103,7 @@ def _features(stats: np.ndarray, counts: np.ndarray, edges: np.ndarray) -> np.nd
     """Dense features: squares of the word shares first, then one-hot bins (the last bin for missing values)."""
     n, k = stats.shape
     x = np.zeros((n, BUCKETS + k * (BINS + 1)), dtype=np.float32)
-    x[:, :BUCKETS] = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    np.divide(counts, np.maximum(counts.sum(axis=1, keepdims=True), 1), out=x[:, :BUCKETS], casting="same_kind")
     for j in range(k):
         at = np.where(np.isnan(stats[:, j]), BINS, np.searchsorted(edges[j], stats[:, j], side="right"))
         x[np.arange(n), BUCKETS + j * (BINS + 1) + at] = 1
@@ -189,17 +189,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     rows = _with_meta(docs, metadata).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"),
                                              *[f"__m{i}" for i in range(len(metadata))])
     found = (rows.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).drop("id"))  # at most max_rows short rows
-    found = found.mapInArrow(_extract(len(metadata)), "doc_id long, label int, stats array<double>, "
+    found = found.mapInArrow(releasing(_extract(len(metadata))), "doc_id long, label int, stats array<double>, "
                                                       "buckets array<int>, counts array<int>")
     one = found.groupBy("doc_id", "label").agg(F.min(F.struct("stats", "buckets", "counts")).alias("x"))
-    rows = sorted(one.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["label"]))
-    y = np.array([r["label"] for r in rows], dtype=float)
+    rows = one.select("doc_id", "label", "x.*").toArrow().combine_chunks()
+    order = np.lexsort((rows["label"].to_numpy(), rows["doc_id"].to_numpy()))
+    y = rows["label"].to_numpy().astype(float)[order]
     have = {c: max(1, int((y == c).sum())) for c in (0, 1)}
     weight = np.array([share[int(c)] / have[int(c)] for c in y])
-    stats = np.array([[np.nan if v is None else v for v in r["x"]["stats"]] for r in rows]).reshape(
-        len(rows), len(STATS) + len(metadata))
-    counts = [(np.array(r["x"]["buckets"], dtype=np.int64), np.array(r["x"]["counts"])) for r in rows]
-    return fit(stats, counts, y, weight / weight.mean() if len(y) else weight)
+    stats = np.array(rows["stats"].to_pylist(), dtype=float).reshape(len(y), len(STATS) + len(metadata))[order]
+    counts = [(rows["buckets"][i].values.to_numpy(), rows["counts"][i].values.to_numpy()) for i in order.tolist()]
+    model = fit(stats, counts, y, weight / weight.mean() if len(y) else weight)
+    del rows, counts
+    release()
+    return model
 
 
 def _score(model: Model, n_meta: int, text: str, keep: list[str]):
@@ -222,4 +225,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", metadata: tuple[str
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "score"]
     rows = _with_meta(docs, metadata)
     schema = StructType([rows.schema[c] for c in keep] + [StructField("score", DoubleType(), False)])
-    return rows.mapInArrow(_score(model, len(metadata), text, keep), schema)
+    return rows.mapInArrow(releasing(_score(model, len(metadata), text, keep)), schema)

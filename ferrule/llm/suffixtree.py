@@ -31,10 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import chunks, words
+from .tokens import chunks, releasing, words
 
 ALPHABET, CONTEXTS, FREQUENT, ENTRIES, DIVERGENCE, DISCOUNT = 5_000, 1_000, 100_000, 400_000, 0.01, 0.5
-HELD = 1 << 21  # distinct keys that a task counts before it passes them on
+HELD = 1 << 20  # distinct keys that a task counts before it passes them on
 
 
 class Words(NamedTuple):
@@ -223,7 +223,7 @@ def _grow(table: list, parents: list[np.ndarray], rows: list, totals: np.ndarray
 def learn(docs: DataFrame, text: str = "text") -> Model:
     """Count words and next symbols over all of ``docs`` and grow the tree."""
     rows = docs.select(F.col(f"`{text}`").alias("text"))
-    counts = materialize(rows.mapInArrow(_count(_word_keys), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")), "tree-words")
+    counts = materialize(rows.mapInArrow(releasing(_count(_word_keys)), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")), "tree-words")
     texts = rows.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total.n) + texts, int(total.v) + (texts > 0)
@@ -256,7 +256,7 @@ def learn(docs: DataFrame, text: str = "text") -> Model:
     def followers(pairs: np.ndarray, n_contexts: int) -> list:
         """(symbols, counts) by context, of the entries that make up at least 1 / ENTRIES of the tokens."""
         make = _next_symbols(known, keep, pairs)
-        found = rows.mapInArrow(_count(make), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).where(
+        found = rows.mapInArrow(releasing(_count(make)), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).where(
             F.col("c") * ENTRIES >= n).toArrow()
         k, c = np.asarray(found["k"]).astype(np.int64), np.asarray(found["c"]).astype(np.int64)
         by = np.argsort(k)
@@ -340,7 +340,7 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     m = learn(rows.where("not held_out"))
     parts = (m.known, m.tree, np.maximum(m.class_tokens, 1), m.class_words, m.discount, m.texts)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = materialize(rows.mapInArrow(_score(parts), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, "
+    scored = materialize(rows.mapInArrow(releasing(_score(parts)), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, "
                                                         "base double, score double, tail array<long>"), "tree-scored")
     # rare words meet their counts; a class is the key's lowest byte
     log10 = lambda x: [float(np.log10(v)) if v > 0 else 0.0 for v in x]
