@@ -226,16 +226,16 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id
     found = materialize(work.groupBy("label", "dim", "p", "x", "q", "y").applyInPandas(
         _unit(cosine), "id long, h long, links long, anchor long"), "tree-links")
 
-    counts = found.groupBy("id", "h").agg(F.sum("links").alias("links"))
-    ids = rows.where("ok").select("id", "label", "vec").join(
-        classes.select("label", "vec", F.col("id").alias("cid"), "h", "copies"), ["label", "vec"])
+    # each row's class, worked out once: the vectors themselves are not needed any more
+    ids = materialize(rows.where("ok").select("id", "label", "vec").join(
+        classes.select("label", "vec", F.col("id").alias("cid"), "h", "copies"), ["label", "vec"]).select("id", "cid", "h", "copies"),
+        "tree-ids")
     again = ids.groupBy("id").agg(F.count("*").alias("c")).where("c > 1")
     ties = ids.join(again, "id").select(F.col("id").alias("u"), F.col("cid").alias("v"))  # rows with one id
     comp = connected(found.select(F.col("id").alias("u"), F.col("anchor").alias("v")).unionByName(ties), "u", "v", "tree-components")
-    known = (classes.join(counts, ["id", "h"], "left").withColumnRenamed("id", "cid")
-             .join(comp, F.col("cid") == comp["id"], "left")
-             .select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "cid").alias("component")))
-    out = rows.where("ok").drop("ok").join(known, ["label", "vec"]).select("id", "n", "component")
+    counts = found.groupBy(F.col("id").alias("cid"), "h").agg(F.sum("links").alias("links"))
+    out = (ids.join(counts, ["cid", "h"], "left").join(comp.withColumnRenamed("id", "cid"), "cid", "left")
+           .select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "cid").alias("component")))
     # a row that links with nothing may share its id with one that does
     of_id = out.groupBy("id").agg(F.min("component").alias("component"))
     lone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n")).join(of_id, "id", "left")
