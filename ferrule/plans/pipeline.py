@@ -215,7 +215,8 @@ def _run_table(spark: SparkSession, table: str, shapes: list[Shape], rows: DataF
                                             as_of=cfg.as_of, row=_own(Q.row_map([f"_p_{c}" for c in payload], payload))))
         finals.append(A.insert_columns(new_rows.select(*payload), store.schema(table)))
     if updates:
-        changes, missing = _changes(table, spec, updates, store, inserted, cfg.run_id)
+        changes, missing, hits = _changes(table, spec, updates, store, inserted, cfg.run_id)
+        held += hits
         changes = changes.persist(StorageLevel.MEMORY_AND_DISK)
         held.append(changes)
         rejected.append(missing)
@@ -272,8 +273,9 @@ def _sequence(prefix: str = "_l_") -> Column:
     return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ORDER])
 
 
-def _changes(table: str, spec, shapes: list[Shape], store: TableStore, inserted, run_id: str) -> tuple[DataFrame, DataFrame]:
-    """Each change of a target row by a tab, with the row's old values and partition; and the D2 rejects.
+def _changes(table: str, spec, shapes: list[Shape], store: TableStore, inserted,
+             run_id: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Each change of a target row by a tab, with the row's old values and partition; the D2 rejects; what is persisted.
 
     The target is scanned once for each key column that the tabs use (as a rule one): a semi join
     keeps the rows that some accepted row names, by whole keys or by one column of a wider key.
@@ -291,12 +293,13 @@ def _changes(table: str, spec, shapes: list[Shape], store: TableStore, inserted,
         view = view.unionByName(rows.select(
             *[(F.col(c) if c in inserted[1] else F.lit(None)).cast(schema[c].dataType).alias(c) for c in new if c in needed],
             F.lit("new").alias(PART), "_born"))
-    found, missing = [], []
+    found, missing, held = [], [], []
     for key in sorted({_key(spec, s) for s in shapes}):
         mine = [s for s in shapes if _key(spec, s) == key]
         batch = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
             _with_set(s.accepted, key) for s in mine])
         hits = view.join(batch.select(key).distinct(), key, "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(hits)
         seq = _sequence().cast("struct<file_seq:bigint,path:string,tab_seq:int,tab:string>")
         # present: in the target, or inserted by an earlier tab (only inserted rows have a place in the run)
         there = hits.groupBy(key).agg(F.min("_born").alias("_first"), F.max(F.col("_born").isNull()).alias("_old"))
@@ -328,7 +331,7 @@ def _changes(table: str, spec, shapes: list[Shape], store: TableStore, inserted,
         changes = changes.withColumn(f"_b_{c}", F.when(prev.isNotNull(), prev["v"]).otherwise(F.col(f"_o_{c}")))
         changes = changes.withColumn(f"_a_{c}", now)
     latest = F.row_number().over(Window.partitionBy(*[f"_o_{c}" for c in pk]).orderBy(*[F.desc(f"_l_{c}") for c in ORDER]))
-    return changes.withColumn("_latest", latest == 1), reduce(DataFrame.unionByName, missing)
+    return changes.withColumn("_latest", latest == 1), reduce(DataFrame.unionByName, missing), held
 
 
 def _key(spec, shape: Shape) -> str:
