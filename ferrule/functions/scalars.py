@@ -227,18 +227,6 @@ def is_time_sql(c: str) -> str:
     return f"regexp_matches({c}, {sql_str(TIME_PATTERN)})"
 
 
-# --- A15: NULL tokens ------------------------------------------------------------
-
-def null_token_to_null(c: Column | str) -> Column:
-    c = _col(c)
-    return F.when(~c.isin(*NULL_TOKENS), c)
-
-
-def null_token_to_null_sql(c: str) -> str:
-    tokens = ", ".join(sql_str(t) for t in NULL_TOKENS)
-    return f"CASE WHEN {c} NOT IN ({tokens}) THEN {c} END"
-
-
 # --- S5/S6/S10/S13: names, day keys, file names, authors ------------------------
 
 def day_key(ts: Column | str) -> Column:

@@ -1,4 +1,4 @@
-"""Sheet envelope: parsed cells -> (table, header, rows).
+"""Sheet envelope: parsed cells -> (table, header, rows) (A3, A15, A16, C16: cell A1 is the target table).
 
 Parsed form, whatever the file format: ``path, tab, row_no, cells
 array<string>`` (row 1 holds the table name in A1, row 2 the header, rows
@@ -22,11 +22,6 @@ def normalize_cells(cells: Column | str) -> Column:
     return F.transform(c, lambda x: F.when(~x.isin(*S.NULL_TOKENS), x))
 
 
-def table_cell(parsed: DataFrame) -> DataFrame:
-    """Cell A1 of each tab - the target table - from row 1 only."""
-    return parsed.where(F.col("row_no") == 1).select("path", "tab", F.trim(F.col("cells")[0]).alias("target_table"))
-
-
 def unique_names(cells: Column | str, width: Column | None = None) -> Column:
     """Header cells as names: blank -> ``Unnamed: <pos>``, repeats -> ``name.1``, ``name.2`` ...
 
