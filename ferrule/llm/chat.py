@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 ESC, OPEN, MIDDLE, CLOSE = "\\", "### ", ":\n", "</turn>\n"
 #: Strings that may not stand in a text as they are.
 CONTROL = ("### ", "</turn>")
@@ -135,6 +137,7 @@ def format_chats(events: DataFrame) -> DataFrame:
     loss covers ``loss_length`` code points from ``loss_start`` of each of them. Rows of a
     conversation leave in order, in one partition.
     """
+    short_batches(events.sparkSession)
     log = events.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                         F.col("seq").cast("long").alias("seq"), "event", "role", "text")
     log = log.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "seq", F.col("event").desc(), "role", "text")

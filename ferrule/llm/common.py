@@ -8,6 +8,7 @@ ever bringing the group to one task, and ``connected`` labels components.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_BATCH_BYTES = 4 << 20
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to 4 MB, if they are larger.
+
+    Python passes here read texts, and a batch stands in memory on both sides of the pipe (the
+    default is 64 MB, in buffers that grow by doubling). The setting stays: plans run later."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(-?\d+)\s*([bkmgt]?)b?", spark.conf.get(key, "64m").lower())
+    size = int(now[1]) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[now[2]] if now and int(now[1]) > 0 else 1 << 62
+    if size > ARROW_BATCH_BYTES:
+        spark.conf.set(key, str(ARROW_BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, materialize
+from .common import connected, materialize, short_batches
 from .sketch import REGISTERS, jaccard, registers
 from .tokens import chunks, mixed, releasing, words
 
@@ -237,6 +237,7 @@ def _cross(percent: int):
 def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, doc_id: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (component_id = doc_id)."""
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     marks = materialize(rows.withColumn("text", F.coalesce(F.col("text"), F.lit(" "))).withColumn(
         "text", F.when(F.col("text") == "", " ").otherwise(F.col("text"))).mapInArrow(

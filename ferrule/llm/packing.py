@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, running_total
+from .common import materialize, running_total, short_batches
 from .tokens import releasing
 
 WINDOW, END_ID, PART_CHARS = 2048, 1, 1_000_000
@@ -187,6 +187,7 @@ def pack(docs: DataFrame, ranks_path: str, window: int = WINDOW, end_id: int = E
          text: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
     spark = docs.sparkSession
+    short_batches(spark)
     schema = PIECES + (", ids array<int>" if keep_ids else "")
     pieces = materialize(
         docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))

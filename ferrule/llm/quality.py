@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import short_batches
 from .tokens import chunks, release, releasing, words
 
 BUCKETS, RANK, BINS, MAX_ROWS, SEED = 4096, 8, 10, 8000, 11
@@ -178,6 +179,7 @@ def _extract(n_meta: int):
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, doc_id: str = "doc_id",
           text: str = "text", metadata: tuple[str, ...] = ()) -> Model:
     """Fit on at most ``max_rows`` of ``labels``' rows (doc_id and a 0/1 label); see the module's notes."""
+    short_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(
         "doc_id is not null and label in (0, 1)")
     share = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -222,6 +224,7 @@ def _score(model: Model, n_meta: int, text: str, keep: list[str]):
 def score(docs: DataFrame, model: Model, text: str = "text", metadata: tuple[str, ...] = (),
           keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all, if not given) with ``score``, for every row."""
+    short_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "score"]
     rows = _with_meta(docs, metadata)
     schema = StructType([rows.schema[c] for c in keep] + [StructField("score", DoubleType(), False)])

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, short_batches
 from .tokens import chunks, releasing, words
 
 ALPHABET, CONTEXTS, FREQUENT, ENTRIES, DIVERGENCE, DISCOUNT = 5_000, 1_000, 100_000, 400_000, 0.01, 0.5
@@ -222,6 +222,7 @@ def _grow(table: list, parents: list[np.ndarray], rows: list, totals: np.ndarray
 
 def learn(docs: DataFrame, text: str = "text") -> Model:
     """Count words and next symbols over all of ``docs`` and grow the tree."""
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{text}`").alias("text"))
     counts = materialize(rows.mapInArrow(releasing(_count(_word_keys)), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")), "tree-words")
     texts = rows.count()
