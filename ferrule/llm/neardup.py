@@ -303,8 +303,9 @@ def _rest(shared: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) ->
     open_ = open_.groupBy("mark", "c").agg(F.min("key").alias("key")).select("key")
     rows = materialize(at.join(open_, "key"), "near-open-rows")
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("k", "component"))["component"].alias("largest"), F.sum("k").alias("total"),
-                                       (F.sum("k") - F.max("k")).alias("few"))
+    largest = materialize(sizes.groupBy("key").agg(
+        F.max(F.struct("k", "component"))["component"].alias("largest"), F.sum("k").alias("total"),
+        (F.sum("k") - F.max("k")).alias("few")), "near-largest")  # written, so that a hot bucket's rows can be split below
     rows = rows.join(largest, "key").withColumn("is_few", F.col("component") != F.col("largest"))
     n_few, n_all = F.ceil(F.col("few") / BLOCK).cast("int"), F.ceil(F.col("total") / BLOCK).cast("int")
     block = lambda n: F.pmod(F.xxhash64("id", "key"), n).cast("int")
