@@ -108,24 +108,23 @@ def running_total(df: DataFrame, keys: list[str], weight: Column, order: list[Co
 def connected(edges: DataFrame, a: str, b: str, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as links: rows (id, component), component the smallest id.
 
-    Large-star and small-star steps alternate until the links no longer change; each round
-    is a few joins and aggregates over the links, written to the shared folder. Ids without
-    a link to another id are not returned. No id's neighbours are ever gathered in a list.
+    Large-star and small-star steps alternate until every id but the smallest of its component
+    has one link, to that smallest; each round is a few joins and aggregates over the links,
+    written to the shared folder. Ids without a link to another id are not returned. No id's
+    neighbours are ever gathered in a list.
     """
-    e = (edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-         .where("u <> v").distinct())
-    seen = None
+    e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), name)
     for _ in range(max_rounds):
+        ends = e.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            e.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        loose = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1")
+        if not loose.count():  # each link goes from its larger end: stars, centred on the smallest
+            return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(low, "u").where("v > u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        e = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), name)
-        mark = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
-        if mark == seen:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        seen = mark
+                 .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v"))
+        e = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
