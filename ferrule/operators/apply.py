@@ -19,8 +19,6 @@ from ..functions.types import spark_type
 from .catalog import ColumnSpec, TableSpec
 from .rules import prep_name, qcol, qsql
 
-EXISTS = "_exists"
-
 
 # --- C12/C13: typed projection of accepted text rows ------------------------------
 
@@ -111,17 +109,6 @@ def resolve_duplicates(batch: DataFrame, key: str, order: str = "row_no") -> Dat
 
 # --- D1/D2: key existence -------------------------------------------------------------
 
-def key_presence(batch: DataFrame, target: DataFrame, key: str) -> DataFrame:
-    """Batch rows with ``_exists``.
-
-    The target's keys are cut down to those the batch names (a semi join, so the target is
-    scanned once and never multiplied), and only what was found - at most the batch's keys -
-    is joined back."""
-    found = target.select(key).join(batch.select(key).distinct(), key, "left_semi").distinct()
-    flagged = batch.join(found.withColumn(EXISTS, F.lit(True)), key, "left")
-    return flagged.withColumn(EXISTS, F.coalesce(F.col(EXISTS), F.lit(False)))
-
-
 REJECT_SALTS = 1 << 16
 
 
@@ -149,12 +136,12 @@ def mark_missing_keys(annotated: DataFrame, key_value: Column, target: DataFrame
 
 
 def missing_keys(batch: DataFrame, target: DataFrame, key: str) -> DataFrame:
-    """D1+D2: accepted rows whose key is not in the target (rejected as D2)."""
-    return key_presence(batch, target, key).where(~F.col(EXISTS)).drop(EXISTS)
+    """D1+D2: accepted rows whose key is not in the target (rejected as D2); one pass over either side."""
+    return batch.join(target.select(key), key, "left_anti").select(batch.columns)
 
 
 def existing_keys(batch: DataFrame, target: DataFrame, key: str) -> DataFrame:
-    return key_presence(batch, target, key).where(F.col(EXISTS)).drop(EXISTS)
+    return batch.join(target.select(key), key, "left_semi").select(batch.columns)
 
 
 # --- D3: before image -------------------------------------------------------------------
