@@ -1,17 +1,25 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Symbols: every word that makes up at least 1/``ALPHABET`` of the training tokens, one class of rarer words
+The tree has two parts. Its base, sent to all tasks, is over symbols; everything else is in Spark tables.
+
+Tables: the contexts are the one to ``DEPTH`` words before (a text's beginning counts as one). Every next word seen at
+least ``MIN_COUNT`` times after a context is an entry, whatever the corpus's size; a level is one aggregate over the
+texts. A context stays if its discounted distribution diverges (Kullback-Leibler) from its longest shorter
+suffix's by at least ``DIVERGENCE``. What a context's discounts leave over goes to the distribution of its
+longest suffix that stays, at last to the base's.
+
+Base: symbols are every word that makes up at least 1/``ALPHABET`` of the training tokens, one class of rarer words
 for each last byte, and the end of a text (which also stands before its beginning). Contexts are the one
 or two symbols before; a context is a node of the tree if it makes up at least 1/``CONTEXTS`` of
 the tokens and its next-symbol distribution diverges (Kullback-Leibler) from that of its
 shorter suffix by at least ``DIVERGENCE``. Each distribution is smoothed by an absolute discount
 that goes to the shorter suffix's distribution. A token is scored in the longest suffix state that is in the tree;
 a rare word's probability is its class's times its discounted share of the class, and an unseen word
-gets what the discounts of its class left over.
+gets what the discounts of its class left over. The base's limits are shares of the corpus, so it has a bounded size.
 
-The limits are shares of the corpus, so the alphabet, the tree and the table of frequent words have
-bounded sizes and are sent to all tasks. Counts come from all training texts: words in one pass,
-next symbols in one pass for each depth. Rarer words meet their counts in a join.
+Texts are scored by cells of ``CELL`` bytes or so: a cell asks once for each of its distinct words and word sequences
+that the tables may hold, one join answers, and the answers meet the cell's texts. So a hot sequence
+costs a row a cell, not one a token. A bitmap of 16 MB at most (``neardup.id_bitmap``) only skips work.
 
 Words are told apart by 64-bit hashes. Cases: a null text is empty, and an empty one is its end alone; texts
 without words likewise; null ids count as training rows unless the caller says otherwise; repeated rows are scored each;
@@ -22,18 +30,26 @@ names. No documents: no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import materialize, short_batches
-from .tokens import chunks, releasing, words
+from .neardup import _slots, id_bitmap
+from .tokens import chunks, mixed, releasing, words
 
 ALPHABET, CONTEXTS, FREQUENT, ENTRIES, DIVERGENCE, DISCOUNT = 5_000, 1_000, 100_000, 400_000, 0.01, 0.5
+DEPTH, MIN_COUNT = 3, 2
+CELL = 16 << 20  # bytes of text
+END = 0x20  # stands for the end of a text and for its beginning; no word has this last byte
 HELD = 1 << 20  # distinct keys that a task counts before it passes them on
 
 
@@ -161,6 +177,140 @@ class _Reader:
         return key, found, w.text, out, one, two, text, is_word
 
 
+def _gram(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of a sequence: the key of all but its last word, and that word's."""
+    return mixed(before * np.uint64(0x9FB21C651E98DF25) + word)
+
+
+class _Grams:
+    """Sequences that end at each symbol of a text; a text's parts in several chunks run on."""
+
+    def __init__(self) -> None:
+        self.place, self.last = 0, []
+
+    def read(self, key: np.ndarray, text: np.ndarray, is_word: np.ndarray, goes_on: bool):
+        """By symbol: its place in the text (from 1), its key, and by depth (key before, key) of 1 to DEPTH words before.
+
+        Both hold at places of at least the depth."""
+        k = np.full(len(text), END, dtype=np.uint64)
+        k[is_word] = key
+        if not len(k):
+            if not goes_on:
+                self.place, self.last = 0, []
+            return np.zeros(0, dtype=np.int64), k, [(k, k)] * DEPTH
+        first = np.searchsorted(text, text)
+        place = np.arange(len(k)) - first + 1
+        place[text == 0] += self.place
+        carried, grams, levels = self.last or [np.uint64(END)] * DEPTH, k, []
+        last = []
+        for d in range(DEPTH):
+            before = np.concatenate([carried[d:d + 1], grams[:-1]]).astype(np.uint64)
+            if d == 0:
+                before[place == 1] = END
+            last.append(grams[-1])
+            grams = _gram(before, k)
+            levels.append((before, grams))
+        self.place, self.last = (int(place[-1]), last) if goes_on else (0, [])
+        return place, k, levels
+
+
+def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = _slots(keys.view(np.int64), len(bits) * 8)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _followers(depth: int, bitmap: bytes | None):
+    """An Arrow pass that counts next words: rows (x, w, c), aggregated within the task.
+
+    ``bitmap`` rules out sequences a word shorter that are not entries: no longer one that holds them can be one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap, dtype=np.uint8) if bitmap else None
+        held, n = [], 0
+
+        def merge():
+            g, x, w, c = (np.concatenate(a) for a in zip(*held, strict=True))
+            by = np.argsort(g, kind="stable")
+            g, x, w, c = g[by], x[by], w[by], c[by]
+            new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+            return g[new], x[new], w[new], np.add.reduceat(c, new) if len(g) else c
+
+        def rows(g, x, w, c):
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c)], ["x", "w", "c"])
+
+        grams = _Grams()
+        for batch in batches:
+            for chunk in chunks(batch.column("text").fill_null("")):
+                place, k, levels = grams.read(*_symbols(chunk))
+                x, g = levels[depth - 1]
+                some = place >= depth
+                if bits is not None:
+                    some[some] = _maybe(bits, x[some])
+                    some[some] = _maybe(bits, levels[depth - 2][1][some])
+                x, w = x[some], k[some]
+                g, at, c = np.unique(g[some], return_index=True, return_counts=True)
+                held.append((g, x[at], w[at], c.astype(np.int64)))
+                n += len(g)
+                if n > HELD:
+                    merged = merge()
+                    held, n = [merged], len(merged[0])
+                    if n > HELD // 2:
+                        yield rows(*merged)
+                        held, n = [], 0
+        if held:
+            yield rows(*merge())
+
+    return run
+
+
+def _symbols(chunk):
+    """Word keys of a chunk, and by symbol (words and the ends of texts): its text, whether it is a word."""
+    w, n = words(chunk), len(chunk.texts)
+    closed = np.arange(n) < n - chunk.goes_on
+    size = np.bincount(w.text, minlength=n)
+    text = np.repeat(np.arange(n), size + closed)
+    is_word = np.zeros(len(text), dtype=bool)
+    is_word[np.arange(len(w.text)) + w.text] = True
+    return _keyed(chunk, w), text, is_word, chunk.goes_on
+
+
+@F.pandas_udf(LongType())
+def _key(before: pd.Series, word: pd.Series) -> pd.Series:
+    return pd.Series(_gram(before.to_numpy().astype(np.int64).view(np.uint64), word.to_numpy().astype(np.int64).view(np.uint64)).view(np.int64))
+
+
+def _tables(rows: DataFrame, counts: DataFrame, n: int, texts: int) -> DataFrame:
+    """All contexts and entries that stay, as rows (g, a, rest).
+
+    As a context, a sequence leaves ``rest`` of its mass to its suffix; as a context with its next word, it has the
+    probability ``a`` without the base's part."""
+    spark = rows.sparkSession
+    end = spark.createDataFrame([(END, texts)], "k long, c long").where("c > 0")
+    level = counts.select("k", "c").unionByName(end).select(
+        F.col("k").alias("g"), "c", F.lit(None).cast("long").alias("s"), (F.col("c") / F.lit(float(max(n, 1)))).alias("p"), F.lit(0.0).alias("a"))
+    out, bitmap = [], None
+    for depth in range(1, DEPTH + 1):
+        found = rows.mapInArrow(releasing(_followers(depth, bitmap)), "x long, w long, c long").groupBy("x", "w").agg(
+            F.sum("c").alias("c")).where(F.col("c") >= MIN_COUNT)
+        found = found.join(level.select(F.col("g").alias("x"), F.col("c").alias("total"), F.col("s").alias("sx")), "x")
+        shorter = F.col("w") if depth == 1 else _key("sx", "w")
+        found = found.select("x", _key("x", "w").alias("g"), shorter.alias("s"), "c", ((F.col("c") - DISCOUNT) / F.col("total")).alias("q"))
+        found = materialize(found.join(level.select(F.col("g").alias("s"), F.col("p").alias("sp"), F.col("a").alias("sa")), "s"), "tree-entries")
+        rest = found.groupBy("x").agg(F.sum("q").alias("q")).select("x", (1 - F.col("q")).alias("rest"))
+        tried = found.join(rest, "x").withColumn("p", F.col("q") + F.col("rest") * F.col("sp"))
+        judged = tried.groupBy("x", "rest").agg(F.sum("p").alias("p"), F.sum(F.col("p") * F.log(F.col("p") / F.col("sp"))).alias("d"))
+        # all words that are no entries have the suffix's probability times ``rest``
+        diverges = F.col("d") + F.greatest(1 - F.col("p"), F.lit(0.0)) * F.log("rest") >= DIVERGENCE
+        contexts = materialize(judged.select("x", "rest", diverges.alias("stays")), "tree-contexts")
+        level = materialize(found.join(contexts, "x").select(
+            "g", "c", "s", F.when(F.col("stays"), F.col("q") + F.col("rest") * F.col("sp")).otherwise(F.col("sp")).alias("p"),
+            F.when(F.col("stays"), F.col("q") + F.col("rest") * F.col("sa")).otherwise(F.col("sa")).alias("a"), "stays"), "tree-level")
+        none = F.lit(None).cast("double")
+        out += [level.where("stays").select("g", "a", none.alias("rest")), contexts.where("stays").select(F.col("x").alias("g"), none.alias("a"), "rest")]
+        if depth < DEPTH:
+            bitmap = id_bitmap(level, "g")
+    return materialize(reduce(DataFrame.unionByName, out).groupBy("g").agg(F.max("a").alias("a"), F.max("rest").alias("rest")), "tree-tables")
+
+
 def _next_symbols(known: Words, keep: np.ndarray, pairs: np.ndarray):
     """Keys context x alphabet + next symbol: contexts are places in ``keep`` (single symbols), or in ``pairs``."""
     size = known.end + 1
@@ -192,6 +342,7 @@ class Model(NamedTuple):
     discount: float
     class_tokens: np.ndarray
     class_words: np.ndarray
+    tables: DataFrame  # (g, a, rest), see ``_tables``
 
 
 def _distribution(parent: np.ndarray, symbols: np.ndarray, counts: np.ndarray, total: int) -> np.ndarray:
@@ -278,55 +429,122 @@ def learn(docs: DataFrame, text: str = "text") -> Model:
             states = np.array(_grow(table, parents, followers(pairs, len(pairs)), pair_counts), dtype=np.int64)
             pairs, states = pairs[states >= 0], states[states >= 0]
     tree = Tree(one, pairs, states, np.log10(np.array(table)).astype(np.float32))
-    return Model(known, tree, counts, n, v, texts, discount, class_tokens, class_words)
+    return Model(known, tree, counts, n, v, texts, discount, class_tokens, class_words, _tables(rows, counts, n, texts))
+
+
+def _in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their cell: successive texts of a task, of about ``CELL`` bytes."""
+    cell, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        length = pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = size + np.cumsum(length)
+        size = int(ends[-1]) if len(ends) else size
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell + (ends - length) // CELL)], [*batch.schema.names, "cell"])
+
+
+def _asks(known: Words, bitmap: bytes):
+    """An Arrow pass over the rows: (cell, g), the distinct keys that a cell asks for."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, now, held, n = np.frombuffer(bitmap, dtype=np.uint8), None, [], 0
+
+        def rows():
+            g = np.unique(np.concatenate([*held, np.array([END], dtype=np.uint64)]))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(g), now, dtype=np.int64)), pa.array(g.view(np.int64))], ["cell", "g"])
+
+        for batch in batches:
+            cells = batch.column("cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1), len(cells)] if len(cells) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if now is not None and cells[a] != now:
+                    yield rows()
+                    held, n = [], 0
+                now, grams = int(cells[a]), _Grams()
+                for chunk in chunks(batch.column("text").slice(a, b - a).fill_null("")):
+                    key, *rest = _symbols(chunk)
+                    place, k, levels = grams.read(key, *rest)
+                    keys = [key[(known.find(key) < 0) | _maybe(bits, key)]]
+                    for d, (_, g) in enumerate(levels, start=1):
+                        g = g[place >= d]
+                        keys.append(g[_maybe(bits, g)])
+                    held.append(np.unique(np.concatenate(keys)))
+                    n += len(held[-1])
+                    if n > HELD:
+                        held = [np.unique(np.concatenate(held))]
+                        n = len(held[0]) // 2
+        if now is not None:
+            yield rows()
+
+    return run
 
 
 def _score(model_parts):
+    """Scores the texts (left) of a cell by its answers (right)."""
     known, tree, class_tokens, class_words, discount, n_texts = model_parts
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, base_row = known.end + 1, TaskContext.get().partitionId() << 36
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        size, n = known.end + 1, left.num_rows
         with np.errstate(divide="ignore", invalid="ignore"):
             share = np.log10((known.counts - discount) / class_tokens[(known.hashes & np.uint64(255)).astype(np.int64)])
+            unseen = np.log10(np.where(class_words > 0, discount * class_words / class_tokens, 1))
         share[known.symbols < known.heavy] = 0.0
         log_count = np.log10(known.counts + 1.0)
-        for batch in batches:
-            n = batch.num_rows
-            n_words, n_known = np.zeros(n, dtype=np.int64), np.full(n, int(n_texts > 0), dtype=np.int64)
-            base, score = np.full(n, np.log10(n_texts + 1.0)), np.zeros(n)
-            reader, tails = _Reader(known), [[] for _ in range(n)]
-            closed = np.zeros(n, dtype=bool)
-            for chunk in chunks(batch.column("text").fill_null("")):
-                key, found, of, symbol, one, two, text, _ = reader.read(chunk)
-                state = tree.one[one]
-                if len(tree.pairs):
-                    pair = two * size + one
-                    near = np.minimum(np.searchsorted(tree.pairs, pair), len(tree.pairs) - 1)
-                    state = np.where(tree.pairs[near] == pair, tree.states[near], state)
-                at, m = chunk.texts, len(chunk.texts)
-                score[at] += np.bincount(text, weights=tree.table[state, symbol], minlength=m)
-                n_words[at] += np.bincount(of, minlength=m)
-                hit = found >= 0
-                place, owner = found[hit], of[hit]
-                n_known[at] += np.bincount(owner, minlength=m)
-                if len(place):
-                    base[at] += np.bincount(owner, weights=log_count[place], minlength=m)
-                    score[at] += np.bincount(owner, weights=share[place], minlength=m)
-                rest, owner = key[~hit], of[~hit]
-                cut = np.searchsorted(owner, np.arange(m + 1))
-                for i in range(m):
-                    if cut[i + 1] > cut[i]:
-                        tails[at[i]].append(rest[cut[i]:cut[i + 1]])
-                closed[at[:m - chunk.goes_on]] = True
-            score[~closed] += float(tree.table[tree.one[known.end], known.end])  # texts without a byte
-            sizes = np.array([sum(map(len, t)) for t in tails], dtype=np.int64)
-            flat = np.concatenate([x for t in tails for x in t]) if sizes.sum() else np.zeros(0, np.uint64)
-            tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(base_row + np.arange(n)), batch.column("doc_id"), batch.column("held_out"), pa.array(n_words + 1),
-                 pa.array(n_known), pa.array(base), pa.array(score), tail],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
-            base_row += n
+        column = lambda name: right.column(name).to_numpy()
+        index = pd.Index(column("g").astype(np.int64))
+        # the last row answers keys that have no answer
+        value = lambda name, none: np.append(np.nan_to_num(column(name).astype(np.float64), nan=none), none)
+        a, rest, count = value("a", -1.0), value("rest", 1.0), value("c", 0.0)
+        where = lambda keys: index.get_indexer(keys.view(np.int64))
+        n_words, n_known = np.zeros(n, dtype=np.int64), np.full(n, int(n_texts > 0), dtype=np.int64)
+        base, score = np.full(n, np.log10(n_texts + 1.0)), np.zeros(n)
+        reader, grams, closed = _Reader(known), _Grams(), np.zeros(n, dtype=bool)
+        begin = int(where(np.array([END], dtype=np.uint64))[0])
+        carried = [begin] * DEPTH
+        for chunk in chunks(left.column("text").combine_chunks().fill_null("")):
+            key, found, of, symbol, one, two, text, is_word = reader.read(chunk)
+            state = tree.one[one]
+            if len(tree.pairs):
+                pair = two * size + one
+                near = np.minimum(np.searchsorted(tree.pairs, pair), len(tree.pairs) - 1)
+                state = np.where(tree.pairs[near] == pair, tree.states[near], state)
+            at, m = chunk.texts, len(chunk.texts)
+            n_words[at] += np.bincount(of, minlength=m)
+            place, k, levels = grams.read(key, text, is_word, chunk.goes_on)
+            own = where(k)  # answers by symbol
+            seen = own[is_word]
+            hit, counted = found >= 0, count[seen]
+            n_known[at] += np.bincount(of[hit | (counted > 0)], minlength=m)
+            last = (key & np.uint64(255)).astype(np.int64)
+            part, logs = np.zeros(len(key)), np.log10(counted + 1.0)
+            if len(known.hashes):
+                part[hit], logs[hit] = share[found[hit]], log_count[found[hit]]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                part[~hit] = np.where(counted > 0, np.log10(counted - discount) - np.log10(class_tokens[last]), unseen[last])[~hit]
+            base[at] += np.bincount(of, weights=logs, minlength=m)
+            p = tree.table[state, symbol].astype(np.float64)
+            p[is_word] += part
+            # the tables' part, from the shortest context to the longest
+            upper, left_over, ends = np.zeros(len(k)), np.ones(len(k)), own
+            keep = []
+            for d, (_, g) in enumerate(levels, start=1):
+                context = np.concatenate([[carried[d - 1]], ends[:-1]]) if len(k) else ends
+                if d == 1:
+                    context[place == 1] = begin
+                if len(k):
+                    keep.append(int(ends[-1]))
+                r = np.where(place >= d, rest[context], 1.0)
+                ends = where(g)
+                mine = np.where(place >= d, a[ends], -1.0)
+                upper = np.where(mine >= 0, mine, r * upper)
+                left_over *= r
+            if len(k):
+                carried = keep
+            p = np.log10(np.minimum(upper + left_over * 10.0 ** p, 1.0), where=upper > 0, out=p + np.log10(left_over))
+            score[at] += np.bincount(text, weights=p, minlength=m)
+            closed[at[:m - chunk.goes_on]] = True
+        score[~closed] += float(tree.table[tree.one[known.end], known.end])  # texts without a byte
+        return pa.Table.from_arrays(
+            [left.column("doc_id"), left.column("held_out"), pa.array(n_words + 1), pa.array(n_known), pa.array(base), pa.array(score)],
+            ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
     return run
 
@@ -341,21 +559,16 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     m = learn(rows.where("not held_out"))
     parts = (m.known, m.tree, np.maximum(m.class_tokens, 1), m.class_words, m.discount, m.texts)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = materialize(rows.mapInArrow(releasing(_score(parts)), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, "
-                                                        "base double, score double, tail array<long>"), "tree-scored")
-    # rare words meet their counts; a class is the key's lowest byte
-    log10 = lambda x: [float(np.log10(v)) if v > 0 else 0.0 for v in x]
-    of_class = F.col("t").bitwiseAND(255).cast("int") + 1
-    unseen = F.element_at(F.lit(log10(np.where(m.class_words > 0, m.discount * m.class_words / np.maximum(m.class_tokens, 1), 1))), of_class)
-    whole = F.element_at(F.lit(log10(m.class_tokens)), of_class)
-    tail = scored.select("row", F.explode("tail").alias("t")).join(m.counts, F.col("t") == F.col("k"), "left")
-    tail = tail.groupBy("row").agg(
-        F.count("c").alias("more_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("more_base"),
-        F.sum(F.when(F.col("c") > 0, F.log10(F.col("c") - m.discount) - whole).otherwise(unseen)).alias("more_score"))
-    out = scored.drop("tail").join(tail, "row", "left")
-    zero = F.lit(0.0)
+    cells = materialize(rows.mapInArrow(_in_cells, f"doc_id {kind}, text string, held_out boolean, cell long"), "tree-cells")
+    asked = cells.select("cell", "text").mapInArrow(releasing(_asks(m.known, id_bitmap(m.tables, "g"))), "cell long, g long").distinct()
+    # rare words are answered by their counts
+    rare = m.counts.where(F.col("c") * FREQUENT < m.tokens).select(
+        F.col("k").alias("g"), F.lit(None).cast("float").alias("a"), F.lit(None).cast("float").alias("rest"), "c")
+    told = m.tables.select("g", F.col("a").cast("float"), F.col("rest").cast("float"), F.lit(None).cast("long").alias("c"))
+    told = told.unionByName(rare).groupBy("g").agg(F.max("a").alias("a"), F.max("rest").alias("rest"), F.max("c").alias("c"))
+    answers = asked.join(told, "g").select("cell", "g", "a", "rest", "c")
+    out = cells.groupBy("cell").cogroup(answers.groupBy("cell")).applyInArrow(
+        _score(parts), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(m.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", zero) - F.col("n_tokens") * float(np.log10(m.tokens + m.distinct + 1))).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", zero)).alias("score"))
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(m.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * float(np.log10(m.tokens + m.distinct + 1))).alias("base_score"), "score")

@@ -92,3 +92,61 @@ def test_parts_of_a_long_text_run_on(monkeypatch):
     whole = read()
     monkeypatch.setattr(tokens.chunks, "__defaults__", (100, 512))
     assert [x for x in whole if x[0] != 1] == [x for x in read() if x[0] != 1]
+
+
+def test_rare_sequences_are_kept_in_a_large_corpus(spark):
+    """What an entry or a context needs is a count, not a share of the tokens."""
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 30_000, 3000))) for i in range(300)]
+    docs += [(1000 + i, t) for i, t in enumerate(["uno dos tres cuatro", "duo dos tres cinco"] * 3)]
+    asked = [(-1, "uno dos tres cuatro"), (-2, "uno dos tres cinco"), (-3, "duo dos tres cuatro"), (-4, "duo dos tres cinco")]
+    rows = suffixtree.score_texts(spark.createDataFrame(docs + asked, "doc_id long, text string"), F.col("doc_id") < 0).where("held_out").collect()
+    assert rows[0].train_tokens > 2 * suffixtree.ENTRIES  # a sequence seen three times has under 1 / ENTRIES of the tokens
+    score = {r.doc_id: r.score for r in rows}
+    assert score[-1] > score[-2] + 0.5 and score[-4] > score[-3] + 0.5  # three words back decide
+
+
+def test_tables_against_plain_counts(spark, monkeypatch):
+    texts = ["a b c d", "a b c d e", "x b c d", "b c", "", None, "a  b", "a b a b a b"] * 3
+    docs = [(i, t) for i, t in enumerate(texts)] + [(-1, "a b c d e"), (-2, "x b e d new"), (-3, "")]
+    learn, flat = suffixtree.learn, math.log10(0.01)
+
+    def flat_base(rows):
+        m = learn(rows)
+        none = np.zeros(0, dtype=np.int64)
+        return m._replace(tree=suffixtree.Tree(np.zeros_like(m.tree.one), none, none, np.full((1, m.known.end + 1), flat)))
+
+    monkeypatch.setattr(suffixtree, "learn", flat_base)
+    rows = suffixtree.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") < 0).collect()
+
+    counts, after, one = Counter(), {}, Counter(w for t in texts for w in words(t))
+    for t in texts:
+        seq = [END, *words(t)]
+        for d in range(1, suffixtree.DEPTH + 1):
+            for i in range(d, len(seq)):
+                after.setdefault(tuple(seq[i - d:i]), Counter())[seq[i]] += 1
+    n = sum(one.values())
+
+    def rest(h):
+        return sum(suffixtree.DISCOUNT if c >= suffixtree.MIN_COUNT else c for c in after[h].values()) / sum(after[h].values())
+
+    def entry(h, w):
+        c = after[h][w]
+        return (c - suffixtree.DISCOUNT) / sum(after[h].values()) if c >= suffixtree.MIN_COUNT else 0
+
+    def p(h, w, base):
+        """``w`` after ``h``; at last ``base``, or where that is None the word's share."""
+        if not h:
+            return one[w] / n if base is None else base
+        shorter = p(h[1:], w, base)
+        return entry(h, w) + rest(h) * shorter if stays(h) else shorter
+
+    def stays(h):
+        if max(after.get(h, {0: 0}).values()) < suffixtree.MIN_COUNT:
+            return False
+        return sum((q := entry(h, w) + rest(h) * (s := p(h[1:], w, None))) * math.log(q / s) for w in one) >= suffixtree.DIVERGENCE
+
+    for r in rows:
+        seq = [END, *words(dict(docs)[r.doc_id])]
+        want = sum(math.log10(p(tuple(seq[max(0, i - suffixtree.DEPTH):i]), seq[i], 10 ** flat)) for i in range(1, len(seq)))
+        assert r.score == pytest.approx(want, abs=1e-4), r
