@@ -1,7 +1,7 @@
 """Workbook and CSV files -> parsed cells (A1-A4, A15 input side).
 
-CSV files are read by splits, so one large file uses every core; a workbook is
-the unit of its own work.  Either way the result is ``(path, tab, row_no,
+CSV files are read by splits, so one large file uses every core, also where quoted cells
+run over several lines; a workbook is the unit of its own work.  Either way the result is ``(path, tab, row_no,
 cells)`` rows and the rest is DataFrame work.  Only the standard library is
 used inside tasks (zip + XML for .xlsx, the csv module for .csv).  Large
 change sets may also arrive as Parquet with lineage columns (see
@@ -14,6 +14,7 @@ import csv
 import datetime as _dt
 import io
 import re
+import sys
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
@@ -30,6 +31,8 @@ from .. import fs
 PARSED_SCHEMA = ("path string, tab string, tab_seq int, row_no bigint, cells array<string>, "
                  "authors array<string>")
 
+csv.field_size_limit(sys.maxsize)      # a cell may be of any length, in every process that parses
+
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
        "rel": "http://schemas.openxmlformats.org/package/2006/relationships",
@@ -213,7 +216,7 @@ def read_csv_lines(spark: SparkSession, files: DataFrame, paths: list[str]) -> D
 
     Spark cuts the files into blocks; the lines of a block are numbered by their place in its task
     and moved on by the lines of the file's earlier blocks (one row per block).  Blank lines count but
-    give no row.  Files in which a quoted cell runs over several lines are not for this reader."""
+    give no row.  Files in which a quoted cell runs over several lines are for ``read_csv_records``."""
     lines = spark.read.text([_literal(p) for p in paths]).select(
         "value", F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"))
@@ -234,18 +237,107 @@ def _one_spelling(uri: str):
     return F.regexp_replace(uri, "^file:/+", "file:///")
 
 
+def _inside(line: str, inside: bool) -> bool:
+    """Whether a quoted cell is open after ``line``, as the csv module reads it: a quote opens a cell
+    only at the cell's start, and after the closing quote all is text up to the next comma."""
+    at = 0
+    while True:
+        if not inside:
+            q = line.find('"', at)
+            if q < 0:
+                return False
+            if q > at and line[q - 1] != ",":        # a stray quote: text
+                at = line.find(",", q) + 1
+                if not at:
+                    return False
+                continue
+            at = q + 1
+        q = line.find('"', at)
+        if q < 0:
+            return True
+        inside = line.startswith('"', q + 1)
+        at = q + 2 if inside else line.find(",", q) + 1
+        if not at:
+            return False
+
+
+def _open_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf[[_inside(v, False) for v in pdf["value"]]][["uri"]].drop_duplicates()
+
+
 def _broken_quotes(spark: SparkSession, paths: list[str]) -> set[str]:
-    """Files with a line that holds an odd number of quotes: a quoted cell goes on in the next line."""
-    odd = spark.read.text([_literal(p) for p in paths]).where(
-        (F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1)
-    return {r[0] for r in odd.select(_one_spelling("_metadata.file_path")).distinct().collect()}
+    """Files in which a quoted cell goes on in the next line."""
+    quoted = spark.read.text([_literal(p) for p in paths]).where(F.contains("value", F.lit('"')))
+    quoted = quoted.select(F.regexp_replace("value", "^\ufeff", "").alias("value"), _one_spelling("_metadata.file_path").alias("uri"))
+    return {r[0] for r in quoted.mapInPandas(_open_lines, "uri string").distinct().collect()}
+
+
+def _line_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines (cut at \\n, \\r or both, the end kept) with what they are if their block starts outside (0) or inside (1) a
+    quoted cell: whether they start and end inside one, and how many records have begun in the block."""
+    block = None
+    for pdf in batches:
+        out = []
+        for value, uri, start in zip(pdf["value"], pdf["uri"], pdf["block"], strict=True):
+            first = (uri, start) != block
+            if first:
+                block, state, n = (uri, start), [False, True], [0, 0]
+            if first and start == 0:
+                value = value.removeprefix("\ufeff")
+            lines = re.findall(r"[^\r]*\r|[^\r]+$", value) or [""]
+            lines[-1] += "\n"
+            for line in lines:
+                text = line.rstrip("\r\n")
+                before, begun = list(state), [c + (not b) for c, b in zip(n, state, strict=True)]
+                state, n = [_inside(text, b) for b in before] if before[0] != before[1] else [_inside(text, before[0])] * 2, begun
+                out.append((uri, start, line, *before, *state, *n))
+        yield pd.DataFrame(out, columns=["uri", "block", "line", "in0", "in1", "end0", "end1", "n0", "n1"])
+
+
+def _block_starts(blocks: pd.DataFrame) -> pd.DataFrame:
+    """Of one file's blocks (one row each): whether each starts inside a quoted cell, and the records before it."""
+    out, inside, n = [], False, 0
+    for r in blocks.sort_values("block").itertuples():
+        out.append((r.uri, r.block, inside, n))
+        inside, n = bool(r.end1 if inside else r.end0), n + int(r.n1 if inside else r.n0)
+    return pd.DataFrame(out, columns=["uri", "block", "inside", "before"])
+
+
+def _parse_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(path, csv_tab_name(path), 1, int(n), [c if c != "" else None for c in cells], None)
+                for path, n, lines in zip(pdf["path"], pdf["row_no"], pdf["lines"], strict=True)
+                if (cells := next(csv.reader(iter(lines)), []))]
+        yield pd.DataFrame(rows, columns=["path", "tab", "tab_seq", "row_no", "cells", "authors"])
+
+
+def read_csv_records(spark: SparkSession, files: DataFrame, paths: list[str]) -> DataFrame:
+    """CSV files with line breaks inside cells, by splits too, each row with its record number.
+
+    Whether a line starts inside a quoted cell follows from its block's lines before it and from how the block
+    starts; that follows from the blocks before it (one row per block). Only the lines of a
+    record of several lines are brought together. Blank records count but give no row."""
+    text = spark.read.option("lineSep", "\n").text([_literal(p) for p in paths]).select(
+        "value", F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"))
+    lines = text.mapInPandas(_line_states, "uri string, block bigint, line string, in0 boolean, in1 boolean, end0 boolean, "
+                                           "end1 boolean, n0 bigint, n1 bigint").withColumn("at", F.monotonically_increasing_id())
+    last = F.max_by(F.struct("end0", "end1", "n0", "n1"), "at").alias("l")
+    blocks = lines.groupBy("uri", "block").agg(last).select("uri", "block", "l.*").groupBy("uri").applyInPandas(
+        _block_starts, "uri string, block bigint, inside boolean, before bigint")
+    blocks = blocks.withColumn("file", _one_spelling("uri")).join(files.select(F.col("uri").alias("file"), "path"), "file")
+    of = lambda name: F.when(F.col("inside"), F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+    placed = lines.join(blocks.drop("file"), ["uri", "block"]).select(
+        "path", (F.col("before") + of("n")).alias("row_no"), (of("in") | of("end")).alias("part"), "block", "at", "line")
+    whole = placed.where("not part").select("path", "row_no", F.array("line").alias("lines"))
+    parts = placed.where("part").groupBy("path", "row_no").agg(F.sort_array(F.collect_list(F.struct("block", "at", "line"))).alias("l"))
+    return whole.unionByName(parts.select("path", "row_no", F.col("l.line").alias("lines"))).mapInPandas(_parse_records, PARSED_SCHEMA)
 
 
 def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
     """A1+A2: every tab of the files as parsed cells, with the files' modification times.
 
-    CSV is read by splits; workbooks, and CSV files with line breaks inside cells, one file at a
-    time.  Every file gives at least a row with row_no 0, so that an empty one is a tab too; other
+    CSV is read by splits; workbooks one file at a time.  Every file gives at least a row with row_no 0, so that an empty one is a tab too; other
     kinds of files and unreadable ones are a tab without rows."""
     if not paths:
         return spark.createDataFrame([], PARSED_SCHEMA + ", modificationTime timestamp")
@@ -255,11 +347,15 @@ def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
     text = [r["path"] for r in names if r["path"].lower().endswith(TEXT_SUFFIXES)]
     whole = _broken_quotes(spark, text) if text else set()
     by_split = [r["path"] for r in names if r["path"] in set(text) and r["uri"] not in whole]
-    by_file = sorted({r["path"] for r in names} - set(by_split))
+    by_record = [r["path"] for r in names if r["path"] in set(text) and r["uri"] in whole]
+    by_file = sorted({r["path"] for r in names} - set(text))
     frames = []
+    if text:
+        frames.append(spark.createDataFrame([(p, csv_tab_name(p), 1, 0, None, None) for p in text], PARSED_SCHEMA))
     if by_split:
-        marks = [(p, csv_tab_name(p), 1, 0, None, None) for p in by_split]
-        frames += [read_csv_lines(spark, files, by_split), spark.createDataFrame(marks, PARSED_SCHEMA)]
+        frames.append(read_csv_lines(spark, files, by_split))
+    if by_record:
+        frames.append(read_csv_records(spark, files, by_record))
     if by_file:
         frames.append(parse_files(_load(spark, by_file)))
     return reduce(DataFrame.unionByName, frames).join(files.select("path", "modificationTime"), "path")

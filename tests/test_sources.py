@@ -305,6 +305,35 @@ def test_csv_by_splits_numbers_lines_and_loses_nothing(spark, tmp_path):
     assert tabs["update_[x] y"] == {0: None} and tabs["~$a.xlsx"] == {0: None} and tabs["old.xls"] == {0: None}
 
 
+def test_csv_with_breaks_in_cells_and_long_cells_is_read_by_splits(spark, tmp_path, monkeypatch):
+    import csv
+
+    import pytest
+
+    from ferrule.sources import workbook
+
+    long = "x" * 200_000                       # above the csv module's default limit
+    lines = ["pub.orders", "k,v"] + [[f'{i},"two\nlines, ""{i}"""', f'{i},5" pipe', f"{i},plain", "", f'{i},"\n\n",z', f'{i},a"b,"open\nshut"'][i % 6]
+                                     for i in range(2000)]
+    files = {"update_breaks.csv": "\n".join(lines) + "\n", "update_crlf.csv": "\ufeff" + "\r\n".join(["pub.orders", '"k\r\nk",v', "1,2"]),
+             "update_long.csv": f'pub.orders\nk,v\n1,{long}\n2,"{long}\n"\n3,c\n', "update_wide.csv": f"pub.orders\nk,v\n1,{long}\n2,b\n",
+             "update_stray.csv": 'pub.orders\nk,v\n1,5" pipe\n2,b\n', "update_open.csv": 'pub.orders\nk,v\n1,"never\nclosed,x\n'}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content.encode())
+    monkeypatch.setattr(workbook, "_load", lambda *a: pytest.fail("a CSV file is read whole"))
+    assert workbook._broken_quotes(spark, [str(tmp_path / "update_stray.csv")]) == set()
+    default = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = workbook.read_inbox(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", default)
+    for name, content in files.items():
+        want = {n: [c or None for c in cells] for n, cells in enumerate(csv.reader(io.StringIO(content.removeprefix("\ufeff"), newline="")), start=1) if cells}
+        got = [(r.row_no, r.cells) for r in rows if r.tab == name[:-4]]
+        assert len(got) == len(want) + 1 and dict(got) == {0: None, **want}, name
+
+
 def test_envelopes_keep_wide_rows_missing_heads_and_empty_tabs(spark):
     rows = [("f", "update_a", 1, ["pub.t"]), ("f", "update_a", 2, ["a", "a", "a.1"]), ("f", "update_a", 3, ["1", "2", "3", None, "5"]),
             ("f", "update_a", 4, ["1", "2", "3", None, None, " "]), ("f", "update_b", 2, ["k"]), ("f", "update_b", 3, ["1"]), ("f", "update_c", 0, None)]
