@@ -31,8 +31,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares at least 80 % of its five-word shingles, link by link."""
-    return neardup.one_of_each(docs, neardup.near_duplicates(docs))
+    """One row of each group that shares at least 80 % of its five-word shingles, link by link: that of the smallest id.
+
+    Rows are told apart by a key of their own, so ids may be repeated or null (a null one comes last)."""
+    rows, name = _apart(docs)
+    rows = materialize(rows.withColumn("key", F.monotonically_increasing_id()), "near-rows")
+    judged = materialize(neardup.near_duplicates(rows, doc_id="key", text=name["text"]).select("doc_id", "component_id"), "near-rows-judged")
+    ids = rows.select("key", F.struct(F.col(name["doc_id"]).isNull().alias("none"), F.col(name["doc_id"]).alias("id"), "key").alias("rank"))
+    first = judged.join(ids, F.col("doc_id") == F.col("key")).groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.key")
+    gone = judged.join(first, F.col("doc_id") == F.col("key"), "left_anti").select("doc_id", F.lit(False).alias("kept"))
+    return neardup.one_of_each(rows, gone, doc_id="key").select(*name.values()).toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

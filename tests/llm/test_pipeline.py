@@ -71,3 +71,13 @@ def test_run_and_odd_tables(spark, tmp_path):
         out = cp.run(spark, f"{tmp_path}/{name}")
         assert {"doc_id", "sequence_id", "offset"} <= set(out.columns)
         assert out.count() == 0 or name == "odd"
+
+
+def test_rows_are_told_apart_without_ids(spark):
+    text = [" ".join(f"{a}{i}" for i in range(40)) for a in "abcd"]
+    rows = [(3, text[0]), (5, text[0]), (5, text[1]), (7, text[2]), (7, text[2]), (None, text[3]), (None, text[3]), (None, None), (9, text[3]), (None, "")]
+    docs = spark.createDataFrame([(d, t, "k") for d, t in rows], "doc_id long, text string, key string")
+    out = cp.drop_near_duplicates(spark, docs, "")
+    assert out.dtypes == docs.dtypes
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(3, text[0]), (5, text[1]), (7, text[2]), (9, text[3]), (None, None), (None, "")], key=str)
