@@ -52,8 +52,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and offset."""
-    return packing.pack(docs, bpe_ranks())
+    """Pieces of documents with their token ids, sequence and offset; ``packing.sequences`` puts them together."""
+    return packing.pack(docs, bpe_ranks(), keep_ids=True)
 
 
 STAGES = [("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("mixing", mix_sources),

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from ferrule.llm import packing
 from ferrule.llm.common import materialize
 
 from ..conftest import SF_MID
@@ -58,6 +59,14 @@ def test_packing_holds_every_id(steps):
     check_packing(after.collect(), [(r.doc_id, r.text) for r in before.collect()])
 
 
+def test_result_holds_the_ids_of_cut_and_repeated_documents(steps):
+    _, before, after = steps[3]
+    rows = after.collect()
+    assert rows and all(len(r.ids) == r.length for r in rows)
+    ids = {tuple(r.input_ids[:r.n_tokens]) for r in packing.sequences(after).collect()}
+    assert sum(map(len, ids)) <= sum(r.length for r in rows) and len(ids) > 1
+
+
 def test_run_and_odd_tables(spark, tmp_path):
     docs = spark.createDataFrame([(1, None, None, None, None, 1.0, "x"), (2, "", "en", "a", 0, 1.0, "x"), (3, "a few words", "en", "a", 11, 1.0, "x"),
                                   (4, "a few words", "en", None, 11, 1.0, "x"), (None, "no id", "en", "b", 5, 1.0, "x")],
