@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, covertree, impact, mixing, neardup, packing, quality, sharding, suffixtree, urls
+from . import chat, covertree, impact, mixing, neardup, packing, pii, quality, sharding, suffixtree, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,71 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+cut AS (
+  SELECT r, 1 AS k, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS f,
+    regexp_split_to_array(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS p FROM d
+  UNION ALL SELECT r, 2, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+    regexp_split_to_array(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM d
+  UNION ALL SELECT r, 3, regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), regexp_split_to_array(t, '[0-9]([\x20-]?[0-9])+') FROM d
+  UNION ALL SELECT r, 4, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), regexp_split_to_array(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM d
+  UNION ALL SELECT r, 5, regexp_extract_all(t, '\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}'),
+    regexp_split_to_array(t, '\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}') FROM d
+  UNION ALL SELECT r, 6, regexp_extract_all(t, '[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?'),
+    regexp_split_to_array(t, '[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?') FROM d),
+un AS (SELECT r, k, unnest(f) AS m, unnest(p[:len(f)]) AS b, unnest(p[2:]) AS a, generate_subscripts(f, 1) AS i FROM cut WHERE len(f) > 0),
+outer_m AS (
+  SELECT r, k, m, b, a, (sum(length(b) + length(m)) OVER (PARTITION BY r, k ORDER BY i) - length(m))::BIGINT AS s,
+    regexp_replace(m, '[^0-9]', '', 'g') AS digits, translate(right(b, 40) || ' ' || left(a, 40), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz') AS near FROM un),
+failed AS (
+  SELECT r, s AS shift, regexp_extract_all(m, '[0-9]+') AS f, regexp_split_to_array(m, '[0-9]+') AS p, row_number() OVER () AS o
+  FROM outer_m WHERE k = 3 AND len(m) > 19),
+in_un AS (SELECT r, shift, o, unnest(f) AS m, unnest(p[:len(f)]) AS b, generate_subscripts(f, 1) AS i FROM failed),
+inner_m AS (SELECT r, 7 AS k, m, shift + (sum(length(b) + length(m)) OVER (PARTITION BY o ORDER BY i) - length(m))::BIGINT AS s, o FROM in_un),
+cards AS (SELECT r, k, m, s, digits, near FROM outer_m UNION ALL SELECT r, k, m, s, m, '' FROM inner_m),
+checked AS (
+  SELECT *, k IN (3, 7) AND length(digits) BETWEEN 13 AND 19 AND list_sum([
+    CASE WHEN j % 2 = 0 THEN (c::INT * 2) // 10 + (c::INT * 2) % 10 ELSE c::INT END
+    FOR c, j IN string_split(reverse(CASE WHEN k IN (3, 7) THEN digits ELSE '0' END), '')]) % 10 = 0 AS luhn FROM cards),
+judged AS (
+  SELECT r, m, s, CASE k WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 7 THEN 3 WHEN 6 THEN 5 ELSE 4 END AS kind,
+    CASE k WHEN 1 THEN true
+      WHEN 2 THEN list_max([coalesce(try_cast(ltrim(x, '0') AS BIGINT), CASE WHEN ltrim(x, '0') = '' THEN 0 ELSE 999 END)
+        FOR x IN string_split(m, '.')]) <= 255
+      WHEN 3 THEN luhn AND length(digits) >= 16
+      WHEN 4 THEN length(digits) BETWEEN 8 AND 15 ELSE false END AS base,
+    CASE k
+      WHEN 3 THEN luhn AND length(digits) < 16 AND regexp_matches(near,
+        '(^|[^a-z])(card|cards|visa|mastercard|amex|credit|debit|karte|tarjeta|carte)([^a-z]|$)')
+        AND NOT regexp_matches(near, '(^|[^a-z])(order|serial|isbn|tracking)([^a-z]|$)')
+      WHEN 5 THEN regexp_matches(near, '(^|[^a-z])(phone|telephone|tel|call|mobile|cell|fax|telefon)([^a-z]|$)')
+        AND NOT regexp_matches(near, '(^|[^a-z])(order|serial|isbn|version)([^a-z]|$)')
+      WHEN 7 THEN luhn AND length(digits) >= 16 ELSE false END AS added, k
+  FROM checked),
+alone AS (
+  SELECT r, k, s, CASE k WHEN 5 THEN NOT regexp_matches(right(b, 24), '[0-9+().-]$|[0-9+][0-9\x20().-]*$')
+      AND NOT regexp_matches(left(a, 2), '^[0-9]|^[\x20.-][0-9]')
+    ELSE NOT regexp_matches(right(b, 1), '[A-Za-z0-9]') AND NOT regexp_matches(left(a, 1), '[A-Za-z0-9]')
+      AND length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce([0] || [CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c) - 55 END
+        FOR c IN string_split(substr(replace(m, ' ', ''), 5) || left(replace(m, ' ', ''), 4), '')],
+        lambda x, y: CASE WHEN y < 10 THEN (x * 10 + y) % 97 ELSE (x * 100 + y) % 97 END) = 1 END AS ok
+  FROM outer_m WHERE k IN (5, 6)),
+spans AS (
+  SELECT j.r, j.kind, j.s, j.s + length(j.m) AS e, j.base FROM judged AS j LEFT JOIN alone AS a USING (r, k, s)
+  WHERE j.base OR (j.added AND coalesce(a.ok, true)) OR (j.k = 6 AND a.ok)),
+named AS (SELECT *, ['email', 'ip', 'card', 'phone', 'iban'][kind] || ':' || s || ':' || e AS name FROM spans)
+SELECT doc_id, count(*) FILTER (base AND kind = 1) AS n_email, count(*) FILTER (base AND kind = 2) AS n_ip,
+  count(*) FILTER (base AND kind = 3) AS n_card, count(*) FILTER (base AND kind = 4) AS n_phone,
+  sha256(coalesce(string_agg(name, ',' ORDER BY kind, s) FILTER (base), '')) AS base_sha256,
+  coalesce(string_agg(name, ',' ORDER BY kind, s), '') AS spans
+FROM d LEFT JOIN named USING (r) GROUP BY r, doc_id
+"""
+
+
+@query("op13_pii", OP13_SQL)
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_pii(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
