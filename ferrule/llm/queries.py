@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, covertree, impact, mixing, neardup, packing, pii, quality, sharding, suffixtree, urls
+from . import chat, covertree, impact, lexical, mixing, neardup, packing, pii, quality, sharding, suffixtree, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +136,32 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+docs AS (SELECT r, doc_id, t, len(t) AS n FROM d WHERE len(t) > 0),
+total AS (SELECT count(*) AS n_docs, sum(n) AS n_terms FROM docs),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+words AS (SELECT r, unnest(t) AS term FROM docs),
+tf AS (SELECT r, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+weight AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY term),
+norm AS (SELECT r, doc_id, 10 + ((90 * n * n_docs) // n_terms) AS m FROM docs, total),
+part AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS s FROM tf JOIN weight USING (term) JOIN norm USING (r)),
+score AS (SELECT item_id, r, doc_id, sum(s)::BIGINT AS score FROM items JOIN part USING (term) GROUP BY ALL HAVING sum(s) > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+FROM score QUALIFY rank <= 10
+"""
+
+
+@query("op11_lexical", OP11_SQL)
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 OP13_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 cut AS (
