@@ -2,13 +2,15 @@
 
 All files go through one Structured Streaming query as available-now micro-batches. A document's mask holds
 the filters that it fails by itself (A to D). The filter of repeated texts (E) depends on the whole table:
-its state is keyed by the text's SHA-256 and holds the smallest id seen and who has it. When a smaller id arrives, the
+its state is keyed by the text (128 bits of its SHA-256) and holds the smallest id seen and who has it. When a smaller id arrives, the
 masks that its former holders were counted with are retracted and counted again with E. Counters a part, mask and
 label are the sums of what the batches emitted, written once a batch; they are right after every batch for
 the files seen so far, in whatever order these come.
 
 A hot text is combined before it is shuffled: a task sends one row a (text, part, labels) with the smallest
-id, not one a document. Its state is one row for each part and label of the holders of one id. State lies in
+id, not one a document. State rows hold the texts of one bucket of digests each, about ``TEXTS`` a batch, as a state row
+costs as much to reach as some hundred texts; the texts in it are looked up by digest. A table goes through in at most
+``BATCHES`` batches unless told otherwise, so what a state row holds is bounded by both. State lies in
 RocksDB with changelogs in the query's checkpoint, so a lost executor loses nothing.
 
 From the counters, 32 masks a part, every order and step is arithmetic: a document is kept after a step if its
@@ -46,13 +48,13 @@ FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT, MOST_UPPER, JUNK = 200, 50, 2, b"#$%&*|"
 REPEATED = 1 << FILTERS.index("E")
 
-FILES, PIECE, COMBINE = 64, 1 << 20, 1 << 16
+FILES, BATCHES, TEXTS, PIECE, COMBINE = 16, 16, 256, 1 << 20, 1 << 16
 _SPACE, _UPPER, _CONTINUES = b" \t\n\v\f\r", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", bytes(range(128, 192))
 
 JUDGED = "doc_id long, part string, digest binary, mask int, n long, spread long"
-COMBINED = "digest binary, mask int, part string, flags int, has_id boolean, first long, n_first long, n long"
+COMBINED = "bucket long, digest binary, mask int, part string, flags int, has_id boolean, first long, n_first long, n long"
 DELTA = "part string, mask int, flags int, change long"
-STATE = "first long, holders string"
+STATE = "texts string"
 
 
 def own_mask(text: bytes) -> int:
@@ -94,7 +96,7 @@ def _judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for value in batch.column("text").cast(pa.binary()):
                 text = value.as_py() or b""
                 mask.append(own_mask(text))
-                digest.append(hashlib.sha256(text).digest())
+                digest.append(hashlib.sha256(text).digest()[:16])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part").cast(pa.string()), pa.array(digest, pa.binary()),
                                               pa.array(mask, pa.int32())], names=["doc_id", "part", "digest", "mask"])
 
@@ -105,59 +107,61 @@ def _judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from same.append_column("spread", pa.array(np.arange(same.num_rows))).to_batches()
 
 
-def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _combine(buckets: int):
     """One row for each (text, part, labels) of a task: its smallest id, how many rows have that, and how many rows there are."""
     keys = ["digest", "mask", "part", "flags", "has_id"]
-    for rows in _gathered(batches):
-        rows = rows.append_column("has_id", pc.is_valid(rows.column("doc_id")))
-        rows = rows.append_column("first", pc.fill_null(rows.column("doc_id"), 0)).select([*keys, "first", "n"])
-        ids = rows.group_by([*keys, "first"]).aggregate([("n", "sum")]).sort_by("first")
-        out = ids.group_by(keys, use_threads=False).aggregate([("first", "first"), ("n_sum", "first"), ("n_sum", "sum")])
-        yield from out.select([*keys, "first_first", "n_sum_first", "n_sum_sum"]).rename_columns(
-            [*keys, "first", "n_first", "n"]).to_batches()
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _gathered(batches):
+            rows = rows.append_column("has_id", pc.is_valid(rows.column("doc_id")))
+            rows = rows.append_column("first", pc.fill_null(rows.column("doc_id"), 0)).select([*keys, "first", "n"])
+            ids = rows.group_by([*keys, "first"]).aggregate([("n", "sum")]).sort_by("first")
+            out = ids.group_by(keys, use_threads=False).aggregate([("first", "first"), ("n_sum", "first"), ("n_sum", "sum")])
+            bucket = [int.from_bytes(d[:8], "big") % buckets for d in out.column("digest").to_pylist()]
+            out = out.select([*keys, "first_first", "n_sum_first", "n_sum_sum"]).rename_columns([*keys, "first", "n_first", "n"])
+            yield from out.add_column(0, "bucket", pa.array(bucket, pa.int64())).to_batches()
+
+    return run
 
-def _retract(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Count a text's new rows, and its holders again if a smaller id has come."""
-    mask = int(key[1])
-    first, holders = None, {}
-    if state.exists:
-        first, had = state.get
-        holders = {(part, flags): n for part, flags, n in json.loads(had)}
-    changes: dict[tuple, int] = defaultdict(int)
 
-    def emitted() -> pd.DataFrame:
-        some = [(*k, n) for k, n in changes.items() if n]
-        changes.clear()
-        part, flags, repeated, change = zip(*some, strict=True) if some else ((), (), (), ())
-        return pd.DataFrame({"part": pd.Series(part, dtype=object), "mask": np.array([mask | REPEATED * r for r in repeated], dtype=np.int32),
-                             "flags": np.array(flags, dtype=np.int32), "change": np.array(change, dtype=np.int64)})
+def _changes(changes: dict[tuple, int]) -> pd.DataFrame:
+    part, mask, flags, change = zip(*((*k, n) for k, n in changes.items() if n), strict=True) if any(changes.values()) else ((),) * 4
+    return pd.DataFrame({"part": pd.Series(part, dtype=object), "mask": np.array(mask, dtype=np.int32),
+                         "flags": np.array(flags, dtype=np.int32), "change": np.array(change, dtype=np.int64)})
 
+
+def _retract(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Count a bucket's new rows by their text's state, and a text's holders again if a smaller id has come."""
+    texts = {d: (first, {(part, flags): n for part, flags, n in held}) for d, first, held in json.loads(state.get[0])} if state.exists else {}
+    changes: dict[tuple, int] = defaultdict(int)
     for frame in frames:
-        columns = (frame[c].tolist() for c in ("part", "flags", "has_id", "first", "n_first", "n"))
-        for part, flags, has_id, doc_id, n_first, n in zip(*columns, strict=True):
+        columns = (frame[c].tolist() for c in ("digest", "mask", "part", "flags", "has_id", "first", "n_first", "n"))
+        for digest, mask, part, flags, has_id, doc_id, n_first, n in zip(*columns, strict=True):
             who = (part, flags)
             if not has_id:
-                changes[*who, False] += n
+                changes[part, mask, flags] += n
                 continue
+            digest = bytes(digest).hex()
+            first, holders = texts.get(digest, (None, {}))
             if n > n_first:
-                changes[*who, True] += n - n_first
+                changes[part, mask | REPEATED, flags] += n - n_first
             if first is None or doc_id < first:
-                for held, c in holders.items():
-                    changes[*held, False] -= c
-                    changes[*held, True] += c
-                first, holders = doc_id, {who: n_first}
-                changes[*who, False] += n_first
+                for (held_part, held_flags), c in holders.items():
+                    changes[held_part, mask, held_flags] -= c
+                    changes[held_part, mask | REPEATED, held_flags] += c
+                texts[digest] = (doc_id, {who: n_first})
+                changes[part, mask, flags] += n_first
             elif doc_id == first:
                 holders[who] = holders.get(who, 0) + n_first
-                changes[*who, False] += n_first
+                changes[part, mask, flags] += n_first
             else:
-                changes[*who, True] += n_first
+                changes[part, mask | REPEATED, flags] += n_first
         if len(changes) > COMBINE:
-            yield emitted()
-    if first is not None:
-        state.update((first, json.dumps([[*who, n] for who, n in holders.items()])))
-    yield emitted()
+            yield _changes(changes)
+            changes.clear()
+    if texts:
+        state.update((json.dumps([[d, first, [[*who, n] for who, n in held.items()]] for d, (first, held) in texts.items()]),))
+    yield _changes(changes)
 
 
 #: The stateful query's own settings: state on disk, bounded memory, changes logged to the checkpoint.
@@ -177,16 +181,20 @@ def label_flags(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
             .agg((good + 2 * toxic).alias("flags")).where("flags > 0"))
 
 
-def count_masks(spark: SparkSession, path: str, labels: DataFrame, files_per_batch: int = FILES, doc_id: str = "doc_id",
+def count_masks(spark: SparkSession, path: str, labels: DataFrame, files_per_batch: int | None = None, doc_id: str = "doc_id",
                 text: str = "text", source: str = "source") -> DataFrame:
     """part, mask, flags, n: how many documents of the Parquet files at ``path`` fail exactly the filters of a mask."""
     short_batches(spark)
     flags = materialize(label_flags(labels), "audit-flags")
     out, checkpoint = scratch_dir(spark, "audit-counters"), scratch_dir(spark, "audit-stream")
     spark.createDataFrame([], DELTA).write.parquet(f"{out}/batch=-1")
-    path = path.rstrip("/")
+    table, path = spark.read.parquet(path), path.rstrip("/")
+    n_files = max(1, len(table.inputFiles()))
+    files_per_batch = files_per_batch or max(FILES, -(-n_files // BATCHES))
+    batches = -(-n_files // files_per_batch)
+    buckets = max(1, table.count() // (TEXTS * batches))      # the files' footers say how many rows there are
     files = f"{path[:-1]}[{path[-1]}]"  # as a pattern, the path may name a folder or a single file
-    rows = (spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(files)
+    rows = (spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_batch).parquet(files)
             .select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
                     F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("part"), F.col(f"`{text}`").alias("text")))
     judged = rows.mapInArrow(_judge, JUDGED)
@@ -194,7 +202,7 @@ def count_masks(spark: SparkSession, path: str, labels: DataFrame, files_per_bat
     known = F.col("doc_id").isNotNull()
     labelled = judged.join(flags, (F.coalesce("doc_id", "spread") == F.col("labelled")) & known, "left").select(
         *(c for c in judged.columns if c != "spread"), F.coalesce("flags", F.lit(0)).alias("flags"))
-    changes = labelled.mapInArrow(_combine, COMBINED).groupBy("digest", "mask").applyInPandasWithState(
+    changes = labelled.mapInArrow(_combine(buckets), COMBINED).groupBy("bucket").applyInPandasWithState(
         _retract, DELTA, STATE, "update", "NoTimeout")
 
     def count(batch: DataFrame, number: int) -> None:
@@ -240,6 +248,6 @@ def interactions(counted: DataFrame) -> DataFrame:
         total("m.mask & bit <> 0", f"m.n * ({n_orders} div bit_count(m.mask))").alias("shapley"))
 
 
-def audit_files(spark: SparkSession, path: str, labels: DataFrame, files_per_batch: int = FILES) -> DataFrame:
+def audit_files(spark: SparkSession, path: str, labels: DataFrame, files_per_batch: int | None = None) -> DataFrame:
     """The audit of all documents in the Parquet files at ``path``: one row per part, order of the filters and step."""
     return interactions(count_masks(spark, path, labels, files_per_batch))
