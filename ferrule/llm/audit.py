@@ -164,13 +164,15 @@ def _retract(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> I
     yield _changes(changes)
 
 
-#: The stateful query's own settings: state on disk, bounded memory, changes logged to the checkpoint.
+#: The stateful query's own settings: state on disk, bounded memory, changes logged to the checkpoint, no room set aside
+#: for logs (4 MB a state partition).
 _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
