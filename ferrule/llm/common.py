@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,26 +108,69 @@ def running_total(df: DataFrame, keys: list[str], weight: Column, order: list[Co
     return place(df, cell_bases(df, keys, weight, order, n_rows), keys, weight, order, out, n_rows)
 
 
-def connected(edges: DataFrame, a: str, b: str, name: str = "components", max_rounds: int = 60) -> DataFrame:
+#: Links that a task holds at once while it contracts them (16 bytes each).
+CHUNK_LINKS = 1 << 18
+
+
+def _contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of some links, each id that isn't the smallest of its component among them, and that smallest."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, root = at[:len(a)], at[len(a):], np.arange(len(ids))
+    while True:
+        ru, rv = root[u], root[v]
+        if np.array_equal(ru, rv):
+            break
+        np.minimum.at(root, np.maximum(ru, rv), np.minimum(ru, rv))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    inner = root != np.arange(len(ids))
+    return ids[inner], ids[root[inner]]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def out() -> pa.RecordBatch:
+        ids, roots = _contract(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64())], names=["id", "root"])
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNK_LINKS):
+            part = batch.slice(at, CHUNK_LINKS)
+            held.append((part.column(0).to_numpy(), part.column(1).to_numpy()))
+            if sum(len(h[0]) for h in held) >= CHUNK_LINKS:
+                yield out()
+    if held:
+        yield out()
+
+
+def connected(edges: DataFrame, a: str, b: str, name: str = "components", max_levels: int = 60) -> DataFrame:
     """Components of an undirected graph given as links: rows (id, component), component the smallest id.
 
-    Large-star and small-star steps alternate until every id but the smallest of its component
-    has one link, to that smallest; each round is a few joins and aggregates over the links,
-    written to the shared folder. Ids without a link to another id are not returned. No id's
-    neighbours are ever gathered in a list.
+    Contraction, level by level: each task reduces its links, in chunks of bounded size, to one from each id to the
+    smallest one that it reaches there. Ids for which chunks differ, and roots that another chunk has below a smaller
+    one, make the links of the next level, over roots only. An id has at most one row a chunk, so the links of a hub
+    never meet; a star is settled in one level. Every table is written to the shared folder. Ids without a link to
+    another id are not returned. No id's neighbours are ever gathered in a list.
     """
-    e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), name)
-    for _ in range(max_rounds):
-        ends = e.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
-            e.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        loose = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1")
-        if not loose.count():  # each link goes from its larger end: stars, centred on the smallest
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v"))
-        e = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    links = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"), name)
+    levels: list[DataFrame] = []
+    for _ in range(max_levels):
+        found = materialize(links.mapInArrow(_contracted, "id long, root long"), name)
+        labels = materialize(found.groupBy("id").agg(F.min("root").alias("root"), F.max("root").alias("other")), name)
+        levels.append(labels.select("id", "root"))
+        torn = found.join(labels.where("root <> other").select("id", F.col("root").alias("v")), "id").where("root <> v").select(
+            F.col("root").alias("u"), "v")
+        above = found.select(F.col("root").alias("u")).distinct().join(labels.select(F.col("id").alias("u"), F.col("root").alias("v")), "u")
+        links = materialize(torn.unionByName(above).distinct(), name)
+        if links.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {max_levels} levels")
+    comp = levels.pop().select("id", F.col("root").alias("component"))
+    for labels in reversed(levels):
+        up = comp.select(F.col("id").alias("root"), F.col("component").alias("top"))
+        mine = labels.join(up, "root", "left").select("id", F.coalesce("top", "root").alias("component"))
+        comp = materialize(mine.unionByName(comp.join(labels.select("id"), "id", "left_anti")), name)
+    return comp

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ferrule.llm import common
@@ -51,3 +52,34 @@ def test_short_batches_only_lower(spark):
         assert got == given or int(got.rstrip("b")) == want
         assert want == 4 << 20 or got == given or int(got.rstrip("b")) <= want
     spark.conf.set(key, before)
+
+
+def test_components_over_many_chunks(spark, monkeypatch):
+    """Each task holds a few links only: several levels, and a hub whose links lie in all of them."""
+    r = random.Random(6)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        path = list(range(400))
+        r.shuffle(path)
+        hub = [(200, 1000 + i) for i in range(300)] + [(1000 + i, 3000 + i) for i in range(0, 300, 3)] + [(-1, 200)]
+        for edges in (list(zip(path, path[1:])), hub, [(r.randrange(500), r.randrange(500)) for _ in range(400)]):
+            df = spark.createDataFrame(edges, "a long, b long").repartition(17)
+            got = common.connected(df, "a", "b").collect()
+            assert {x.id: x.component for x in got} == brute(edges) and len(got) == len(brute(edges))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_contraction_of_a_chunk():
+    r = random.Random(7)
+    for n in (1, 2, 30, 500):
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(n)]
+        ids, roots = common._contract(*np.array(edges).T)
+        assert dict(zip(ids.tolist(), roots.tolist(), strict=True)) == brute(edges)
+    path = [(i, i + 1) for i in range(5000)]
+    r.shuffle(path)
+    ids, roots = common._contract(*np.array(path).T)
+    assert len(ids) == 5000 and not roots.any()
