@@ -68,6 +68,15 @@ def is_number_sql(c: str, allow_non_finite: bool = False) -> str:
     return test
 
 
+def is_plain(c: Column | str) -> Column:
+    """ASCII text that, blanks aside, starts and ends as a number may: where a cast to a number takes it, the grammar does too.
+
+    Casts also strip control characters and read other scripts' digits, which the grammar doesn't."""
+    c = _col(c)
+    text = F.trim(c)
+    return ((F.octet_length(c) == F.length(c)) & F.left(text, F.lit(1)).between("+", "9") & F.right(text, F.lit(1)).between(".", "9"))
+
+
 def has_digit(c: Column | str) -> Column:
     return _col(c).rlike("[0-9]")
 

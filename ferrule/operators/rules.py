@@ -107,8 +107,16 @@ def column_preps(name: str, floating: bool = False) -> dict[str, Prep]:
     def lng() -> Column:
         return F.trim(qcol(name)).try_cast("bigint")
 
+    # what casts and is plain text is a number by the grammar too; only the rest meets its regular expression
+    def num() -> Column:
+        return F.when(S.is_plain(qcol(name)) & lng().isNotNull(), F.lit(True)).otherwise(S.is_number(qcol(name), floating))
+
+    def dnum() -> Column:
+        return F.when(S.is_plain(qcol(name)) & S.as_decimal(qcol(name)).isNotNull(), F.lit(True)).otherwise(S.is_number(qcol(name), floating))
+
     return {
-        "num": (prep_name("num", name), lambda: S.is_number(qcol(name), floating)),
+        "num": (prep_name("num", name), num),
+        "dnum": (prep_name("num", name), dnum),
         # plain integers parse as a long; only the rest pay for the 38-digit decimal
         "lng": (prep_name("lng", name), lng),
         "idec": (prep_name("dec", name), lambda: F.when(lng().isNull(), S.as_decimal(qcol(name)))),
@@ -151,7 +159,7 @@ def column_rules(spec: ColumnSpec, name: str, *, skip_null_check: bool = False)
     elif fam == "integer":
         lo, hi = INTEGER_LIMITS[t]
         add("V2", lambda: ~p("num"), f"NOT {S.is_number_sql(q)}", "num")
-        add("V3", lambda: ~S.has_digit(c()), f"NOT {S.has_digit_sql(q)}")
+        add("V3", lambda: ~(p("num") | S.has_digit(c())), f"NOT {S.has_digit_sql(q)}", "num")
         add("V3b", lambda: p("idec") != F.floor(p("idec")), S.is_fractional_sql(q), "idec")
         add("V4", lambda: F.coalesce(p("lng") < F.lit(lo), S.compare_parsed(p("idec"), p("idbl"), lo, lt)),
             S.below_sql(q, lo), "lng", "idec", "idbl")
@@ -166,18 +174,20 @@ def column_rules(spec: ColumnSpec, name: str, *, skip_null_check: bool = False)
             add("V7", lambda: c().isNotNull() & p("ts").isNull(),
                 f"({q} IS NOT NULL AND {S.parse_datetime_sql(q)} IS NULL)", "ts")
     elif fam == "numeric":
-        add("V8", lambda: ~p("num"), f"NOT {S.is_number_sql(q, floating)}", "num")
+        add("V8", lambda: ~p("dnum"), f"NOT {S.is_number_sql(q, floating)}", "dnum")
         if t in NUMERIC_LIMITS:
             nlo, nhi = NUMERIC_LIMITS[t]
             add("V9", lambda: S.compare_parsed(p("dec"), p("dbl"), nlo, lt), S.below_sql(q, nlo), "dec", "dbl")
             add("V10", lambda: S.compare_parsed(p("dec"), p("dbl"), nhi, gt), S.above_sql(q, nhi), "dec", "dbl")
         prec = spec.precision
         if prec is not None:
-            add("V11", lambda: S.integer_digits(c()) > prec, f"{S.integer_digits_sql(q)} > {prec}")
+            # the digits are counted only in texts long enough to have too many
+            add("V11", lambda: (F.length(c()) > prec) & (S.integer_digits(c()) > prec), f"{S.integer_digits_sql(q)} > {prec}")
         if t in ("decimal", "numeric"):
             sc = spec.scale
             if sc is not None:
-                add("V15", lambda: S.fraction_digits(c()) > sc, f"{S.fraction_digits_sql(q)} > {sc}")
+                add("V15", lambda: (F.instr(c(), ".") > 0) & (F.length(c()) - F.instr(c(), ".") > sc) & (S.fraction_digits(c()) > sc),
+                    f"{S.fraction_digits_sql(q)} > {sc}")
             if prec is not None:
                 s0 = sc or 0
                 add("V15b", lambda: c().isNotNull() & ~S.fits_decimal(c(), prec, s0),
@@ -238,10 +248,10 @@ def envelope_gate(env: Envelope, spec: TableSpec | None, table_exists: bool, n_r
 
 
 def missing_required(spec: TableSpec, header: tuple[str, ...]) -> list[str]:
-    """C17: NOT NULL columns an insert leaves out (the primary key is generated, so exempt)."""
+    """C17: NOT NULL columns an insert leaves out (the primary key is generated and a default fills in, so both are exempt)."""
     have = {h.lower() for h in header}
     keys = {k.lower() for k in spec.primary_key}
-    return [c.name for c in spec.columns if not c.nullable and c.name.lower() not in have
+    return [c.name for c in spec.columns if not c.nullable and c.default is None and c.name.lower() not in have
             and c.name.lower() not in keys]
 
 

@@ -26,4 +26,4 @@ def register(name: str, oracle: str | Callable[[], str] | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import queries, queries_catalog, queries_io, queries_locker, queries_run  # noqa: F401
+    from . import queries, queries_catalog, queries_io, queries_locker, queries_run, queries_tables  # noqa: F401
