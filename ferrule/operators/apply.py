@@ -96,15 +96,34 @@ def edit_stamp(batch: DataFrame, spec: TableSpec, auto_edit: bool, as_of: str) -
 
 # --- duplicate keys inside one update ---------------------------------------------
 
-def resolve_duplicates(batch: DataFrame, key: str, order: str = "row_no") -> DataFrame:
+def resolve_duplicates(batch: DataFrame, key: str, order: str = "row_no", collation: str | None = None) -> DataFrame:
     """One row per key: the highest ``order`` wins (later row in the tab).
 
     ``max_by`` is a partial aggregate, so a hot key is combined map-side and
-    never gathers its rows in one task."""
-    others = [c for c in batch.columns if c != key]
+    never gathers its rows in one task.  Keys that ``collation`` holds equal are one key, spelled as in the row that wins."""
+    others = [c for c in batch.columns if c != key or collation]
     packed = F.struct(*[F.col(c) for c in others])
-    return (batch.groupBy(key).agg(F.max_by(packed, F.col(order)).alias("_w"))
-            .select(key, *[F.col("_w")[c].alias(c) for c in others]))
+    one = batch.groupBy(compared(F.col(key), collation).alias(COMPARED if collation else key)).agg(F.max_by(packed, F.col(order)).alias("_w"))
+    kept = [F.col("_w")[c].alias(c) for c in others]
+    return one.select(*kept) if collation else one.select(key, *kept)
+
+
+# --- keys as the source database compares them --------------------------------------------
+
+COMPARED = "_compared"
+
+
+def compared(key: Column, collation: str | None) -> Column:
+    """A text key as joins and groupings compare it: under ``collation`` (a Spark collation's name), or byte by byte."""
+    return F.collate(key, collation) if collation else key
+
+
+def _key_join(rows: DataFrame, keys: DataFrame, key: str, collation: str | None, how: str) -> DataFrame:
+    """``rows`` semi- or anti-joined to the values of ``key`` in ``keys``."""
+    if not collation:
+        return rows.join(keys.select(key), key, how).select(rows.columns)
+    named = keys.select(compared(F.col(key), collation).alias(COMPARED))
+    return rows.withColumn(COMPARED, compared(F.col(key), collation)).join(named, COMPARED, how).select(rows.columns)
 
 
 # --- D1/D2: key existence -------------------------------------------------------------
@@ -135,38 +154,42 @@ def mark_missing_keys(annotated: DataFrame, key_value: Column, target: DataFrame
             .drop("_k", "_s", "_hit"))
 
 
-def missing_keys(batch: DataFrame, target: DataFrame, key: str) -> DataFrame:
+def missing_keys(batch: DataFrame, target: DataFrame, key: str, collation: str | None = None) -> DataFrame:
     """D1+D2: accepted rows whose key is not in the target (rejected as D2); one pass over either side."""
-    return batch.join(target.select(key), key, "left_anti").select(batch.columns)
+    return _key_join(batch, target, key, collation, "left_anti")
 
 
-def existing_keys(batch: DataFrame, target: DataFrame, key: str) -> DataFrame:
-    return batch.join(target.select(key), key, "left_semi").select(batch.columns)
+def existing_keys(batch: DataFrame, target: DataFrame, key: str, collation: str | None = None) -> DataFrame:
+    return _key_join(batch, target, key, collation, "left_semi")
 
 
 # --- D3: before image -------------------------------------------------------------------
 
 def before_image(batch: DataFrame, target: DataFrame, key: str, columns: list[str],
-                 carry: list[str] | None = None) -> DataFrame:
+                 carry: list[str] | None = None, collation: str | None = None) -> DataFrame:
     """Target's key + the changed columns, for keys the batch touches (old values).
 
     ``carry`` brings batch columns along (e.g. ``row_no``); the batch must
     then hold one row per key (see :func:`resolve_duplicates`)."""
-    keys = batch.select(key, *(carry or [])).distinct()
-    return target.select(key, *[c for c in columns if c != key]).join(keys, key, "inner")
+    old = target.select(key, *[c for c in columns if c != key])
+    if not collation:
+        return old.join(batch.select(key, *(carry or [])).distinct(), key, "inner")
+    keys = batch.select(compared(F.col(key), collation).alias(COMPARED), *(carry or [])).distinct()
+    return old.withColumn(COMPARED, compared(F.col(key), collation)).join(keys, COMPARED).drop(COMPARED)
 
 
 # --- D4/E2: update ------------------------------------------------------------------------
 
-def apply_update(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+def apply_update(target: DataFrame, batch: DataFrame, key: str, collation: str | None = None) -> DataFrame:
     """New target: matched rows take every batch column (NULL overwrites), others keep theirs.
 
     ``batch`` is typed, resolved to one row per key and holds only keys that
     exist.  Target LEFT JOIN batch is one map-only pass over the target wherever AQE
-    finds the batch small enough to broadcast."""
+    finds the batch small enough to broadcast.  A key is found under ``collation`` and stays as the target has it."""
     set_cols = [c for c in batch.columns if c != key]
-    b = batch.select(key, *[F.col(c).alias(f"_new_{c}") for c in set_cols]).withColumn("_hit", F.lit(True))
-    joined = target.join(b, key, "left")
+    named = compared(F.col(key), collation).alias(COMPARED)
+    b = batch.select(named, *[F.col(c).alias(f"_new_{c}") for c in set_cols]).withColumn("_hit", F.lit(True))
+    joined = target.select("*", named).join(b, COMPARED, "left")
     out = []
     for c in target.columns:
         if c in set_cols:
@@ -179,14 +202,20 @@ def apply_update(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 
 # --- E1/B2: insert -------------------------------------------------------------------------
 
-def insert_columns(batch: DataFrame, schema: StructType) -> DataFrame:
-    """Insert by column list: unlisted target columns take NULL (or a generated key)."""
-    return batch.select(*[(F.col(f.name) if f.name in batch.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+def unlisted(name: str, spec: TableSpec | None = None) -> Column:
+    """What an insert that leaves out column ``name`` gives it: its declared default, or NULL."""
+    column = spec.column(name) if spec else None
+    return F.lit(None) if column is None or column.default is None else F.expr(column.default)
+
+
+def insert_columns(batch: DataFrame, schema: StructType, spec: TableSpec | None = None) -> DataFrame:
+    """Insert by column list: unlisted target columns take their default, NULL or a generated key; a listed NULL stays NULL."""
+    return batch.select(*[(F.col(f.name) if f.name in batch.columns else unlisted(f.name, spec)).cast(f.dataType).alias(f.name)
                           for f in schema])
 
 
-def apply_insert(target: DataFrame, batch: DataFrame) -> DataFrame:
-    return target.unionByName(insert_columns(batch, target.schema))
+def apply_insert(target: DataFrame, batch: DataFrame, spec: TableSpec | None = None) -> DataFrame:
+    return target.unionByName(insert_columns(batch, target.schema, spec))
 
 
 def sequence_keys(batch: DataFrame, key: str, base: Column | int, order: list[str]) -> DataFrame:

@@ -20,7 +20,7 @@ from ..functions.types import family
 CATALOG_TABLES_SCHEMA = "table_schema string, table_name string"
 CATALOG_COLUMNS_SCHEMA = ("table_schema string, table_name string, column_name string, ordinal int, "
                           "is_nullable string, data_type string, char_max_len int, "
-                          "numeric_precision int, numeric_scale int")
+                          "numeric_precision int, numeric_scale int, column_default string, collation string")
 CATALOG_CONSTRAINTS_SCHEMA = ("catalog string, schema string, table_name string, "
                               "constraint_name string, constraint_type string")
 CATALOG_KEY_COLUMNS_SCHEMA = ("catalog string, schema string, table_name string, "
@@ -36,6 +36,8 @@ class ColumnSpec:
     precision: int | None = None
     scale: int | None = None
     ordinal: int = 0
+    default: str | None = None       # SQL text of the value an insert gives when it leaves the column out
+    collation: str | None = None     # how texts are compared as keys; None is byte by byte
 
     @property
     def family(self) -> str:
@@ -95,22 +97,31 @@ class Catalog:
 
     def spec(self, table: str) -> TableSpec | None:
         """Resolve one table's spec (metadata only) for building its rule chain."""
-        parts = table.split(".")
-        if len(parts) != 2:
-            return None
-        schema, name = parts
-        cols = (self.columns.where((F.col("table_schema") == schema) & (F.col("table_name") == name))
-                .orderBy("ordinal").collect())
-        if not cols:
-            return None
-        keys = [r["column_name"] for r in self.primary_keys()
-                .where((F.col("table_schema") == schema) & (F.col("table_name") == name)).collect()]
-        return TableSpec(
+        return self.specs([table]).get(table)
+
+    def specs(self, tables: list[str]) -> dict[str, TableSpec]:
+        """The specs of those ``tables`` that have columns, by two look-ups for all of them (metadata only)."""
+        named = [t for t in tables if len(t.split(".")) == 2]
+        if not named:
+            return {}
+        mine = F.concat_ws(".", "table_schema", "table_name")
+        columns: dict[str, list] = {}
+        for r in self.columns.withColumn("_full", mine).where(F.col("_full").isin(named)).collect():
+            columns.setdefault(r["_full"], []).append(r)
+        keys: dict[str, list[str]] = {}
+        for r in self.primary_keys().withColumn("_full", mine).where(F.col("_full").isin(named)).collect():
+            keys.setdefault(r["_full"], []).append(r["column_name"])
+
+        def own(r, name: str) -> str | None:      # facts that a catalog may not have
+            return r[name] if name in r else None
+
+        return {table: TableSpec(
             table=table,
             columns=tuple(ColumnSpec(r["column_name"], r["data_type"], r["is_nullable"] == "YES",
                                      r["char_max_len"], r["numeric_precision"], r["numeric_scale"],
-                                     r["ordinal"]) for r in cols),
-            primary_key=tuple(keys))
+                                     r["ordinal"], own(r, "column_default"), own(r, "collation"))
+                          for r in sorted(rows, key=lambda r: r["ordinal"])),
+            primary_key=tuple(keys.get(table, ()))) for table, rows in columns.items()}
 
 
 def catalog_from_specs(spark: SparkSession, specs: list[TableSpec], db: str = "warehouse") -> Catalog:
@@ -121,7 +132,7 @@ def catalog_from_specs(spark: SparkSession, specs: list[TableSpec], db: str = "w
         tables.append((schema, name))
         for i, c in enumerate(s.columns, start=1):
             columns.append((schema, name, c.name, c.ordinal or i, "YES" if c.nullable else "NO",
-                            c.data_type, c.char_max_len, c.precision, c.scale))
+                            c.data_type, c.char_max_len, c.precision, c.scale, c.default, c.collation))
         if s.primary_key:
             cname = f"pk_{name}"
             constraints.append((db, schema, name, cname, "PRIMARY KEY"))

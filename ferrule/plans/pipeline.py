@@ -2,10 +2,10 @@
 
 A tab is identified by its file and its name, everywhere.  Tabs take effect in file order, then
 sheet order; the order matters only within one target table, so a run handles each table once,
-however its tabs alternate: rows are validated per header shape, changes are chained per target
+however its tabs alternate: the rows of all tables are validated in one plan, changes are chained per target
 row in tab order, and one commit replaces the touched partitions and appends the new rows.
 
-Only metadata reaches the driver: the distinct (table, mode, header) shapes and the touched
+Only metadata reaches the driver: the distinct (table, mode, header) shapes, their tables' columns and the touched
 partitions.  Quarantine, locker, errors and events are written per run and table with dynamic
 partition overwrite, and before the table; the commit carries the run's token.  A retry
 finds what is applied and leaves it, and writes the rest again to the same folders.
@@ -28,12 +28,15 @@ from ..operators import apply as A
 from ..operators import locker as L
 from ..operators import quarantine as Q
 from ..operators import rules as R
-from ..operators.catalog import Catalog
+from ..operators.catalog import Catalog, TableSpec
 from ..operators.gates import tab_gates
+from ..operators.rule_table import validate_tables
+from ..operators.skipping import touched
 from ..operators.tables import PART, TableStore, part_key
 from ..sources import envelope as EV
 
 GATED = "(gates)"        # quarantine partition of the tabs that never reach a table
+KEYS = "(keys)"          # of the rows whose key a table does not have, after the table's name
 QUARANTINE_SCHEMA = ("file string, authors string, tab string, target_table string, row_no bigint, row map<string,string>, "
                      "rule_column string, rule_id string, rule_message string, run_id string, part string")
 EVENTS_SCHEMA = "event_time timestamp_ntz, level string, message string, run_id string"
@@ -55,14 +58,11 @@ class RunConfig:
 
 @dataclass
 class Shape:
-    """Tabs with the same target, mode, header, key column and gate: validated in one plan.
-
-    A gate on the header or its keys (C6, C8-C11) rejects the rows that no column rule has rejected."""
+    """Tabs with the same target, mode, header and key column whose rows reach the table."""
 
     mode: str
     header: tuple[str, ...]
     key: str | None
-    gate: str | None
     accepted: DataFrame | None = field(default=None)
 
 
@@ -71,11 +71,12 @@ def _write_dynamic(df: DataFrame, path: str, partition_by: list[str]) -> None:
      .partitionBy(*partition_by).parquet(path))
 
 
-def _auto_edit(settings: DataFrame | None, table: str) -> bool:
-    if settings is None:
-        return DEFAULT_AUTO_EDIT
-    row = settings.where(F.col("target_table") == table).select("auto_edit").first()
-    return DEFAULT_AUTO_EDIT if row is None else bool(row[0])
+def _auto_edit(settings: DataFrame | None, tables: list[str]) -> dict[str, bool]:
+    """Whether each table's edit stamp is on (metadata: one row per table)."""
+    out = dict.fromkeys(tables, DEFAULT_AUTO_EDIT)
+    if settings is not None and tables:
+        out |= {r[0]: bool(r[1]) for r in settings.where(F.col("target_table").isin(tables)).select("target_table", "auto_edit").collect()}
+    return out
 
 
 def read_quarantine(spark: SparkSession, cfg: RunConfig) -> DataFrame:
@@ -126,14 +127,19 @@ def run_rows(spark: SparkSession, tabs: DataFrame, rows: DataFrame, catalog: Cat
              settings: DataFrame | None = None) -> DataFrame:
     """The run over judged tabs (one row each: TAB, target_table, header, mode, gate_id, key_column, n_rows) and their
     data rows (TAB, target_table, mode, gate_id, key_column, _header, row_no, row map)."""
-    _write_dynamic(_gated(tabs, rows, cfg.run_id), cfg.quarantine_path, ["run_id", "part"])
+    looked = ~_stopped()
+    # all rows of all tables are judged in one plan; what a table's keys reject (D2) is found with its changes
+    judged = validate_tables(rows.where(looked), tabs.where(looked), catalog).persist(StorageLevel.MEMORY_AND_DISK)
+    _write_dynamic(_gated(tabs, rows, cfg.run_id).unionByName(_rejected(judged, cfg.run_id)), cfg.quarantine_path, ["run_id", "part"])
     shapes: dict[str, list[Shape]] = {}
-    for r in tabs.where(~_stopped()).select("target_table", "mode", "header", "key_column", "gate_id").distinct().collect():
-        shapes.setdefault(r["target_table"], []).append(Shape(r["mode"], tuple(r["header"]), r["key_column"], r["gate_id"]))
+    for r in tabs.where(looked & F.col("gate_id").isNull()).select("target_table", "mode", "header", "key_column").distinct().collect():
+        shapes.setdefault(r["target_table"], []).append(Shape(r["mode"], tuple(r["header"]), r["key_column"]))
+    specs, stamped = catalog.specs(sorted(shapes)), _auto_edit(settings, sorted(shapes))
     for table in sorted(shapes):
         if not store.applied(table, f"{cfg.run_id}:{table}"):
-            mine = sorted(shapes[table], key=lambda s: (s.mode, s.header, s.gate or ""))
-            _run_table(spark, table, mine, rows, catalog, store, cfg, settings)
+            mine = sorted(shapes[table], key=lambda s: (s.mode, s.header))
+            _run_table(spark, specs[table], mine, judged, store, cfg, stamped[table])
+    judged.unpersist()
     quarantine = read_quarantine(spark, cfg)
     _write_dynamic(Q.error_details(quarantine).withColumn("run_id", F.lit(cfg.run_id)), cfg.errors_path, ["run_id"])
     _write_dynamic(_events(tabs, quarantine, cfg), cfg.events_path, ["run_id"])
@@ -173,39 +179,28 @@ def _events(tabs: DataFrame, quarantine: DataFrame, cfg: RunConfig) -> DataFrame
                     level.alias("level"), text.alias("message"))
 
 
-def _validated(table: str, shape: Shape, rows: DataFrame, spec) -> DataFrame:
-    """The rows of one shape with the first rule each fails."""
-    mine = rows.where((F.col("target_table") == table) & (F.col("mode") == shape.mode) & F.col("gate_id").eqNullSafe(F.lit(shape.gate))
-                      & F.col("key_column").eqNullSafe(F.lit(shape.key))
-                      & (F.col("_header") == F.array(*[F.lit(h) for h in shape.header])))
-    # lineage names that a header may also use are set aside
-    batch = mine.select(*[F.col(c).alias(f"_l_{c}") for c in LINEAGE_KEEP], *[F.col("row")[h].alias(h) for h in shape.header])
-    env = R.Envelope(f"{shape.mode}_", table, shape.header)
-    return R.apply_chain(batch, R.build_rules(spec, env, shape.gate, shape.key), keep_prep=True)
+def _rejected(judged: DataFrame, run_id: str) -> DataFrame:
+    return judged.where("rule_id is not null").select(
+        F.col("path").alias("file"), F.col("authors").cast("string").alias("authors"), "tab", "target_table", "row_no", "row",
+        "rule_column", "rule_id", "rule_message", F.lit(run_id).alias("run_id"), F.col("target_table").alias("part"))
 
 
-def _rejected(annotated: DataFrame, header: tuple[str, ...], table: str, run_id: str) -> DataFrame:
-    return annotated.where("rule_id is not null").select(
-        F.col("_l_path").alias("file"), F.col("_l_authors").cast("string").alias("authors"), F.col("_l_tab").alias("tab"),
-        F.lit(table).alias("target_table"), F.col("_l_row_no").alias("row_no"), Q.row_map(list(header)).alias("row"),
-        "rule_column", "rule_id", "rule_message", F.lit(run_id).alias("run_id"), F.lit(table).alias("part"))
+def _accepted(judged: DataFrame, spec: TableSpec, shape: Shape) -> DataFrame:
+    """The accepted rows of one shape, typed as the table is; lineage names that a header may also use are set aside."""
+    mine = judged.where(F.col("rule_id").isNull() & (F.col("target_table") == spec.table) & (F.col("mode") == shape.mode)
+                        & F.col("key_column").eqNullSafe(F.lit(shape.key)) & (F.col("_header") == F.array(*[F.lit(h) for h in shape.header])))
+    batch = mine.select(*[F.col(c).alias(f"_l_{c}") for c in LINEAGE_KEEP], *[F.col("row")[h].alias(h) for h in shape.header])
+    return A.typed(batch, spec, shape.header, keep=tuple(f"_l_{c}" for c in LINEAGE_KEEP))
 
 
-def _run_table(spark: SparkSession, table: str, shapes: list[Shape], rows: DataFrame, catalog: Catalog, store: TableStore,
-               cfg: RunConfig, settings: DataFrame | None) -> None:
-    """All of a run's tabs for one table: validate, quarantine, preserve, commit once."""
-    spec, auto_edit = catalog.spec(table), _auto_edit(settings, table)
-    held, rejected = [], []
+def _run_table(spark: SparkSession, spec: TableSpec, shapes: list[Shape], judged: DataFrame, store: TableStore,
+               cfg: RunConfig, auto_edit: bool) -> None:
+    """All of a run's tabs for one table: look up keys, preserve, commit once."""
+    table, held, missing = spec.table, [], None
     for shape in shapes:
-        annotated = _validated(table, shape, rows, spec).persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(annotated)
-        rejected.append(_rejected(annotated, shape.header, table, cfg.run_id))
-        if shape.gate:
-            continue
-        typed = A.typed(annotated.where("rule_id is null"), spec, shape.header, keep=tuple(f"_l_{c}" for c in LINEAGE_KEEP))
-        shape.accepted = A.edit_stamp(typed, spec, auto_edit, cfg.as_of)
-    inserted = _inserted([s for s in shapes if s.mode == "insert" and not s.gate], table, spec, store, cfg)
-    updates = [s for s in shapes if s.mode == "update" and not s.gate]
+        shape.accepted = A.edit_stamp(_accepted(judged, spec, shape), spec, auto_edit, cfg.as_of)
+    inserted = _inserted([s for s in shapes if s.mode == "insert"], table, spec, store, cfg)
+    updates = [s for s in shapes if s.mode == "update"]
     lockers, finals, replaced = [], [], []
     if inserted is not None:
         new_rows, payload = inserted
@@ -213,20 +208,19 @@ def _run_table(spark: SparkSession, table: str, shapes: list[Shape], rows: DataF
         held.append(new_rows)
         lockers.append(L.locker_rows_by_tab(_lineage(new_rows, payload), target_table=table, run_id=cfg.run_id, mode="Insert",
                                             as_of=cfg.as_of, row=_own(Q.row_map([f"_p_{c}" for c in payload], payload))))
-        finals.append(A.insert_columns(new_rows.select(*payload), store.schema(table)))
+        finals.append(A.insert_columns(new_rows.select(*payload), store.schema(table), spec))
     if updates:
         changes, missing, hits = _changes(table, spec, updates, store, inserted, cfg.run_id)
         held += hits
         changes = changes.persist(StorageLevel.MEMORY_AND_DISK)
         held.append(changes)
-        rejected.append(missing)
         lockers.append(_before_images(changes, table, cfg))
         final = _final_values(changes, spec)
         replaced = [r[0] for r in changes.where("_born is null").select(PART).distinct().collect()]  # partitions
         target = [store.read(table, replaced)] if replaced else []
         finals = [_with_values(df, final, spec) for df in [*target, *finals]]
-    quarantine = reduce(DataFrame.unionByName, rejected)
-    _write_dynamic(quarantine, cfg.quarantine_path, ["run_id", "part"])
+    if missing is not None:
+        _write_dynamic(missing, cfg.quarantine_path, ["run_id", "part"])
     if lockers:
         L.append(reduce(DataFrame.unionByName, lockers), cfg.locker_path)
     if finals:
@@ -277,7 +271,8 @@ def _changes(table: str, spec, shapes: list[Shape], store: TableStore, inserted,
              run_id: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Each change of a target row by a tab, with the row's old values and partition; the D2 rejects; what is persisted.
 
-    The target is scanned once for each key column that the tabs use (as a rule one): a semi join
+    The target is scanned once for each key column that the tabs use (as a rule one): key ranges reach the
+    Parquet scan, a bit array drops other rows before the shuffle, and a semi join
     keeps the rows that some accepted row names, by whole keys or by one column of a wider key.
     Rows that an earlier tab of this run inserts can be named too."""
     pk = spec.primary_key
@@ -288,40 +283,45 @@ def _changes(table: str, spec, shapes: list[Shape], store: TableStore, inserted,
         "struct<file_seq:bigint,path:string,tab_seq:int,tab:string>"))
     view = view.select(*needed, PART, "_born")
     if inserted is not None:
-        new = A.insert_columns(inserted[0], schema).columns
+        new = schema.names
         rows = inserted[0].withColumn("_born", _sequence().cast("struct<file_seq:bigint,path:string,tab_seq:int,tab:string>"))
         view = view.unionByName(rows.select(
-            *[(F.col(c) if c in inserted[1] else F.lit(None)).cast(schema[c].dataType).alias(c) for c in new if c in needed],
+            *[(F.col(c) if c in inserted[1] else A.unlisted(c, spec)).cast(schema[c].dataType).alias(c) for c in new if c in needed],
             F.lit("new").alias(PART), "_born"))
     found, missing, held = [], [], []
     for key in sorted({_key(spec, s) for s in shapes}):
         mine = [s for s in shapes if _key(spec, s) == key]
         batch = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
             _with_set(s.accepted, key) for s in mine])
-        hits = view.join(batch.select(key).distinct(), key, "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+        # keys meet as the column's collation compares them; the target's rows are looked up by ranges and bits of the batch's keys
+        collation = spec.column(key).collation
+        alike = A.compared(F.col(key), collation).alias(A.COMPARED)
+        hits = A.existing_keys(view, batch, key, collation) if collation else touched(view, batch.select(key), key)
+        hits = hits.select("*", alike).persist(StorageLevel.MEMORY_AND_DISK)
         held.append(hits)
         seq = _sequence().cast("struct<file_seq:bigint,path:string,tab_seq:int,tab:string>")
         # present: in the target, or inserted by an earlier tab (only inserted rows have a place in the run)
-        there = hits.groupBy(key).agg(F.min("_born").alias("_first"), F.max(F.col("_born").isNull()).alias("_old"))
-        judged = batch.join(there, key, "left").withColumn("_ok", F.coalesce(F.col("_old") | (F.col("_first") < seq), F.lit(False)))
+        there = hits.groupBy(A.COMPARED).agg(F.min("_born").alias("_first"), F.max(F.col("_born").isNull()).alias("_old"))
+        judged = batch.select("*", alike).join(there, A.COMPARED, "left").withColumn(
+            "_ok", F.coalesce(F.col("_old") | (F.col("_first") < seq), F.lit(False)))
         payload = [c for c in batch.columns if not c.startswith("_l_") and c != "_set"]
         missing.append(judged.where("not _ok").select(
             F.col("_l_path").alias("file"), F.col("_l_authors").cast("string").alias("authors"), F.col("_l_tab").alias("tab"),
             F.lit(table).alias("target_table"), F.col("_l_row_no").alias("row_no"),
             _own(Q.row_map(payload), key).alias("row"),
             F.lit(key).alias("rule_column"), F.lit("D2").alias("rule_id"), F.lit(R.RULE_TEXT["D2"]).alias("rule_message"),
-            F.lit(run_id).alias("run_id"), F.lit(table).alias("part")))
+            F.lit(run_id).alias("run_id"), F.lit(f"{table} {KEYS}").alias("part")))
         # one change per (tab, key): the tab's last row
         values = [c for c in payload if c != key]
         last = F.max_by(F.struct("_l_row_no", "_l_authors", "_set", *[F.col(c).alias(f"_n_{c}") for c in values]), "_l_row_no")
-        one = (judged.where("_ok").groupBy(key, *[f"_l_{c}" for c in ORDER]).agg(last.alias("_w"))
-               .select(key, *[f"_l_{c}" for c in ORDER], "_w.*"))
+        one = (judged.where("_ok").groupBy(A.COMPARED, *[f"_l_{c}" for c in ORDER]).agg(last.alias("_w"))
+               .select(A.COMPARED, *[f"_l_{c}" for c in ORDER], "_w.*"))
         for c in columns:
             if c not in values:
                 one = one.withColumn(f"_n_{c}", F.lit(None).cast(schema[c].dataType))
-        old = hits.select(*[F.col(c).alias(f"_o_{c}") for c in needed], F.col(key), PART, "_born")
-        found.append(one.join(old, key).where(F.col("_born").isNull() | (F.col("_born") < seq))
-                     .withColumn("_key", F.lit(key)).withColumn("_key_text", F.col(key).cast("string")).drop(key))
+        old = hits.select(*[F.col(c).alias(f"_o_{c}") for c in needed], F.col(key).cast("string").alias("_key_text"), A.COMPARED, PART, "_born")
+        found.append(one.join(old, A.COMPARED).where(F.col("_born").isNull() | (F.col("_born") < seq))
+                     .withColumn("_key", F.lit(key)).drop(A.COMPARED))
     changes = reduce(DataFrame.unionByName, found)
     w = Window.partitionBy(*[f"_o_{c}" for c in pk]).orderBy(*[f"_l_{c}" for c in ORDER])
     before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

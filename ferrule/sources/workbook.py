@@ -22,7 +22,7 @@ from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -180,9 +180,6 @@ def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(out[at:at + 10_000], columns=columns)
 
 
-TEXT_SUFFIXES, SHEET_SUFFIXES = (".csv", ".txt"), (".xlsx", ".xlsm")
-
-
 def parse_files(files: DataFrame) -> DataFrame:
     """``binaryFile`` rows -> parsed cells (one file at a time in a task)."""
     return files.select("path", "content").mapInPandas(_parse_files, PARSED_SCHEMA)
@@ -200,15 +197,30 @@ def _load(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load([_literal(p) for p in paths])
 
 
-def _parse_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [(path, csv_tab_name(path), 1, int(n), [c if c != "" else None for c in cells], None)
-                for path, n, cells in zip(pdf["path"], pdf["row_no"], map(_cells, pdf["value"]), strict=True) if cells]
-        yield pd.DataFrame(rows, columns=["path", "tab", "tab_seq", "row_no", "cells", "authors"])
+#: A cell after its comma: a quoted one with what follows its closing quote, or all up to the next comma.
+CSV_CELL = r',("(?:[^"]++|"")*+"?[^,]*+|[^,]*+)'
+#: Of a quoted cell: its text with doubled quotes, and what follows it.
+CSV_QUOTED = r'(?s)^"((?:[^"]++|"")*+)"?(.*)$'
+
 
+def _raw_cells(line: Column) -> Column:
+    return F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CSV_CELL), F.lit(1))
 
-def _cells(line: str) -> list[str]:
-    return next(csv.reader([line]), [])
+
+def csv_cells(line: Column) -> Column:
+    """The cells of a line as the csv module reads it, empty ones as NULL: a quote opens a cell only at the cell's start,
+    two inside it are one, and after the closing quote all is text up to the next comma."""
+    def plain(cell: Column) -> Column:
+        body, rest = F.regexp_extract(cell, CSV_QUOTED, 1), F.regexp_extract(cell, CSV_QUOTED, 2)
+        return F.when(F.startswith(cell, F.lit('"')), F.concat(F.replace(body, F.lit('""'), F.lit('"')), rest)).otherwise(cell)
+
+    cells = F.when(F.contains(line, F.lit('"')), F.transform(_raw_cells(line), plain)).otherwise(F.split(line, ",", -1))
+    return F.transform(cells, lambda c: F.nullif(c, F.lit("")))
+
+
+def _left_open(line: Column) -> Column:
+    """Whether a line ends inside a quoted cell: its last cell's quote isn't closed."""
+    return F.element_at(_raw_cells(line), -1).rlike(r'^"(?:[^"]++|"")*+$')
 
 
 def read_csv_lines(spark: SparkSession, files: DataFrame, paths: list[str]) -> DataFrame:
@@ -216,7 +228,8 @@ def read_csv_lines(spark: SparkSession, files: DataFrame, paths: list[str]) -> D
 
     Spark cuts the files into blocks; the lines of a block are numbered by their place in its task
     and moved on by the lines of the file's earlier blocks (one row per block).  Blank lines count but
-    give no row.  Files in which a quoted cell runs over several lines are for ``read_csv_records``."""
+    give no row.  Cells are cut out by expressions: no Python touches a line.  Files in which a quoted cell runs over
+    several lines are for ``read_csv_records``."""
     lines = spark.read.text([_literal(p) for p in paths]).select(
         "value", F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"))
@@ -224,12 +237,14 @@ def read_csv_lines(spark: SparkSession, files: DataFrame, paths: list[str]) -> D
     earlier = Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("skip", F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1)
     blocks = blocks.withColumn("file", _one_spelling("uri")).join(
-        files.select(F.col("uri").alias("file"), "path"), "file").select("uri", "block", "path", "skip")
+        files.select(F.col("uri").alias("file"), "path", "tab"), "file").select("uri", "block", "path", "tab", "skip")
     row_no = F.col("at") + F.col("skip")
     numbered = lines.join(blocks, ["uri", "block"]).select(
-        "path", row_no.alias("row_no"),
+        "path", "tab", row_no.alias("row_no"),
         F.when(row_no == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")).alias("value"))
-    return numbered.mapInPandas(_parse_lines, PARSED_SCHEMA)
+    return numbered.where(F.col("value") != "").select(
+        "path", "tab", F.lit(1).alias("tab_seq"), "row_no", csv_cells(F.col("value")).alias("cells"),
+        F.lit(None).cast("array<string>").alias("authors"))
 
 
 def _one_spelling(uri: str):
@@ -261,16 +276,11 @@ def _inside(line: str, inside: bool) -> bool:
             return False
 
 
-def _open_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pdf[[_inside(v, False) for v in pdf["value"]]][["uri"]].drop_duplicates()
-
-
 def _broken_quotes(spark: SparkSession, paths: list[str]) -> set[str]:
     """Files in which a quoted cell goes on in the next line."""
     quoted = spark.read.text([_literal(p) for p in paths]).where(F.contains("value", F.lit('"')))
     quoted = quoted.select(F.regexp_replace("value", "^\ufeff", "").alias("value"), _one_spelling("_metadata.file_path").alias("uri"))
-    return {r[0] for r in quoted.mapInPandas(_open_lines, "uri string").distinct().collect()}
+    return {r[0] for r in quoted.where(_left_open(F.col("value"))).select("uri").distinct().collect()}      # file names
 
 
 def _line_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -342,8 +352,9 @@ def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], PARSED_SCHEMA + ", modificationTime timestamp")
     names = [{"path": p, "uri": re.sub("^file:/+", "file:///", u), "ms": ms} for p, u, ms in fs.files(spark, *paths)]
-    files = spark.createDataFrame([(r["path"], r["uri"], r["ms"]) for r in names], "path string, uri string, ms bigint").select(
-        "path", "uri", F.timestamp_millis("ms").alias("modificationTime"))           # metadata: one row per file
+    files = spark.createDataFrame([(r["path"], r["uri"], csv_tab_name(r["path"]), r["ms"]) for r in names],
+                                  "path string, uri string, tab string, ms bigint").select(
+        "path", "uri", "tab", F.timestamp_millis("ms").alias("modificationTime"))    # metadata: one row per file
     text = [r["path"] for r in names if r["path"].lower().endswith(TEXT_SUFFIXES)]
     whole = _broken_quotes(spark, text) if text else set()
     by_split = [r["path"] for r in names if r["path"] in set(text) and r["uri"] not in whole]
