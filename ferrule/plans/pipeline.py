@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from .. import fs
@@ -33,6 +34,7 @@ from ..operators.gates import tab_gates
 from ..operators.rule_table import validate_tables
 from ..operators.skipping import touched
 from ..operators.tables import PART, TableStore, part_key
+from ..session import scratch_dir
 from ..sources import envelope as EV
 
 GATED = "(gates)"        # quarantine partition of the tabs that never reach a table
@@ -129,7 +131,7 @@ def run_rows(spark: SparkSession, tabs: DataFrame, rows: DataFrame, catalog: Cat
     data rows (TAB, target_table, mode, gate_id, key_column, _header, row_no, row map)."""
     looked = ~_stopped()
     # all rows of all tables are judged in one plan; what a table's keys reject (D2) is found with its changes
-    judged = validate_tables(rows.where(looked), tabs.where(looked), catalog).persist(StorageLevel.MEMORY_AND_DISK)
+    judged = _written(validate_tables(rows.where(looked), tabs.where(looked), catalog))
     _write_dynamic(_gated(tabs, rows, cfg.run_id).unionByName(_rejected(judged, cfg.run_id)), cfg.quarantine_path, ["run_id", "part"])
     shapes: dict[str, list[Shape]] = {}
     for r in tabs.where(looked & F.col("gate_id").isNull()).select("target_table", "mode", "header", "key_column").distinct().collect():
@@ -139,7 +141,6 @@ def run_rows(spark: SparkSession, tabs: DataFrame, rows: DataFrame, catalog: Cat
         if not store.applied(table, f"{cfg.run_id}:{table}"):
             mine = sorted(shapes[table], key=lambda s: (s.mode, s.header))
             _run_table(spark, specs[table], mine, judged, store, cfg, stamped[table])
-    judged.unpersist()
     quarantine = read_quarantine(spark, cfg)
     _write_dynamic(Q.error_details(quarantine).withColumn("run_id", F.lit(cfg.run_id)), cfg.errors_path, ["run_id"])
     _write_dynamic(_events(tabs, quarantine, cfg), cfg.events_path, ["run_id"])
@@ -147,6 +148,14 @@ def run_rows(spark: SparkSession, tabs: DataFrame, rows: DataFrame, catalog: Cat
     return events.select("run_id", "event_time", "level", "message")
 
 
+def _written(judged: DataFrame) -> DataFrame:
+    """Judged rows as files by target table: a table's part is read by itself, and no later plan holds the rules."""
+    path = scratch_dir(judged.sparkSession, "judged")
+    judged.write.partitionBy("target_table").parquet(path)
+    last = [f for f in judged.schema if f.name == "target_table"]
+    return judged.sparkSession.read.schema(StructType([*(f for f in judged.schema if f.name != "target_table"), *last])).parquet(path)
+
+
 def _stopped() -> Column:
     """Tabs that no column of their target is looked at for."""
     return F.coalesce(F.col("gate_id").isin(*R.TAB_GATES_HEAD), F.lit(False))
