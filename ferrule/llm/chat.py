@@ -32,8 +32,8 @@ from .common import short_batches
 ESC, OPEN, MIDDLE, CLOSE = "\\", "### ", ":\n", "</turn>\n"
 #: Strings that may not stand in a text as they are.
 CONTROL = ("### ", "</turn>")
-_TURN = re.compile(r"### ((?:[^\\:\n]|\\.)*):\n((?:[^\\<]|\\.|<(?!/turn>\n))*)</turn>\n", re.S)
-_UNESCAPE = re.compile(r"\\(.)", re.S)
+_ROLE_END = re.compile(r"[\\:\n]")
+_UNESCAPE, PIECE = re.compile(r"\\(.)", re.S), 1 << 20
 RENDERED = ("conv_id long, turn_index long, role string, rendered string, loss_start int, loss_length int")
 
 
@@ -48,8 +48,25 @@ def escape_role(role: str) -> str:
     return escape(role).replace(":", ESC + ":").replace("\n", ESC + "\n")
 
 
+def _escapes(text: str, start: int, end: int) -> bool:
+    """Whether the character at ``end`` is escaped: an odd number of escape characters stands before it, from ``start`` on."""
+    at = end
+    while at > start and text[at - 1] == ESC:
+        at -= 1
+    return (end - at) % 2 == 1
+
+
 def unescape(text: str) -> str:
-    return _UNESCAPE.sub(r"\1", text) if ESC in text else text
+    """``text`` without its escape characters, in pieces that no escape goes over."""
+    if ESC not in text:
+        return text
+    out, at = [], 0
+    while at < len(text):
+        end = min(at + PIECE, len(text))
+        end += _escapes(text, at, end)
+        out.append(_UNESCAPE.sub(r"\1", text[at:end]))
+        at = end
+    return "".join(out)
 
 
 def render(role: str, text: str) -> tuple[str, int, int]:
@@ -59,11 +76,21 @@ def render(role: str, text: str) -> tuple[str, int, int]:
 
 
 def read_turn(rendered: str) -> tuple[str, str]:
-    """Role and text of one rendered turn."""
-    found = _TURN.fullmatch(rendered)
-    if not found:
+    """Role and text of one rendered turn, by plain searches: memory is that of the texts."""
+    at, last = len(OPEN), len(rendered) - len(CLOSE)
+    if not rendered.startswith(OPEN) or not rendered.endswith(CLOSE):
+        raise ValueError("not a rendered turn")
+    while (found := _ROLE_END.search(rendered, at)) and found[0] == ESC:
+        at = found.start() + 2
+    if not found or not rendered.startswith(MIDDLE, found.start()) or found.end() + 1 > last:
+        raise ValueError("not a rendered turn")
+    body = found.end() + 1
+    close = rendered.find(CLOSE, body)
+    while close < last and _escapes(rendered, body, close):
+        close = rendered.find(CLOSE, close + 1)
+    if close != last or _escapes(rendered, body, last):
         raise ValueError("not a rendered turn")
-    return unescape(found[1]), unescape(found[2])
+    return unescape(rendered[len(OPEN):found.start()]), unescape(rendered[body:last])
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
@@ -162,7 +189,8 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 turns, loss = hashlib.sha256(), hashlib.sha256()
             role, text = read_turn(row.rendered)
             n, chars = n + 1, chars + len(row.rendered)
-            turns.update(f"{role}\n{text}\n".encode())
+            for part in (role, "\n", text, "\n"):
+                turns.update(part.encode())
             if row.loss_length:
                 under = unescape(row.rendered[row.loss_start:row.loss_start + row.loss_length])
                 loss_chars += len(under)

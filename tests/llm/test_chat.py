@@ -1,4 +1,7 @@
 import hashlib
+import re
+import subprocess
+import sys
 
 import pytest
 from hypothesis import given, settings
@@ -9,6 +12,8 @@ from ferrule.llm.queries import QUERIES
 
 from ..conftest import SF_MID, SF_SMALL
 
+#: A rendered turn as one expression, beside the reader's searches.
+TURN = re.compile(r"### ((?:[^\\:\n]|\\.)*):\n((?:[^\\<]|\\.|<(?!/turn>\n))*)</turn>\n", re.S)
 SCHEMA = "conv_id long, turn long, seq long, event string, role string, text string"
 
 
@@ -19,7 +24,7 @@ def test_escape_is_reversible(a, b):
         rendered, start, n = chat.render(role, text)
         assert chat.read_turn(rendered) == (role, text)
         joined = chat.render("user", text)[0] + rendered + chat.render("system", b)[0]
-        read = [(chat.unescape(r), chat.unescape(t)) for r, t in chat._TURN.findall(joined)]
+        read = [(chat.unescape(r), chat.unescape(t)) for r, t in TURN.findall(joined)]
         assert read == [("user", text), (role, text), ("system", b)]
     rendered, start, n = chat.render("assistant", a)
     assert chat.unescape(rendered[start:start + n]) == a
@@ -83,3 +88,28 @@ def test_clashing_columns(spark):
                                  "conv_id long, turn long, role string, text string, rendered string, seq long")
     out = chat.format_chats(chat.as_events(rows)).collect()
     assert [chat.read_turn(r.rendered) for r in out] == [("user", "a")]
+
+
+def test_long_turns_cost_their_text_only():
+    """20 million characters, many of them escaped, in a process that may not grow far beyond them."""
+    code = ("import resource, sys; sys.path.insert(0, '.'); from ferrule.llm.chat import read_turn, render\n"
+            "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+            "for text in ('a<b ' * 5_000_000, '</turn>\\n' * 1_500_000, '\\\\' * 6_000_000):\n"
+            "    assert read_turn(render('user', text)[0]) == ('user', text)\n"
+            "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)")
+    mb = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert mb < 500
+
+
+def test_escapes_over_the_edge_of_a_piece(monkeypatch):
+    monkeypatch.setattr(chat, "PIECE", 3)
+    for text in ("\\" * 7, "a\\b\\\\c</turn>\n### x", "</turn>" * 3, "ab\\", ""):
+        for role in ("user", "a:b\nc\\", "", "### :\n"):
+            assert chat.read_turn(chat.render(role, text)[0]) == (role, text)
+
+
+@pytest.mark.parametrize("bad", ["", "### ", "### user:\n</turn>", "### user\n</turn>\n", "### us\ner:\nx</turn>\n", "### user:\na</turn>\nb</turn>\n",
+                                 "### user:\na\\</turn>\n", "user:\na</turn>\n", "### user:", "### user\\:\nx</turn>\n", "### :\n</turn>"])
+def test_what_is_no_turn(bad):
+    with pytest.raises(ValueError):
+        chat.read_turn(bad)
