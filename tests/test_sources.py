@@ -393,3 +393,52 @@ def test_a_run_starts_with_retention(spark, tmp_path):
     run(spark, parsed, X.declared_catalog(spark, SF_SMALL), _store(spark, str(tmp_path / "tables")), cfg)
     days = {(r.day, r.target_table) for r in L.read(spark, cfg.locker_path).collect()}
     assert days == {("19971231", "pub.a b"), ("19980101", "pub.orders")}
+
+
+def test_the_stream_archives_what_it_has_read(spark, tmp_path):
+    """A file moves to the archive once a later batch runs; none is read twice, none is lost."""
+    from ferrule.streaming.inbox import run_stream
+
+    inbox, archive, ckpt, seen = tmp_path / "inbox", tmp_path / "archive", str(tmp_path / "ckpt"), []
+    inbox.mkdir()
+
+    def handle(parsed, batch_id):
+        seen.extend(sorted({r.path.rsplit("/", 1)[-1] for r in parsed.select("path").collect()}))
+
+    for i in range(4):
+        (inbox / f"update_{i}.csv").write_text(f"pub.orders\no_orderkey,o_orderstatus\n{i},A\n")
+        run_stream(spark, str(inbox), ckpt, handle, archive_dir=str(archive))
+    names = {f"update_{i}.csv" for i in range(4)}
+    assert seen == sorted(names)
+    moved = {p.name for p in archive.rglob("*.csv")}
+    left = {p.name for p in inbox.glob("*.csv")}
+    assert moved | left == names and not moved & left and len(moved) >= 2 and "update_3.csv" in left
+
+
+def test_csv_cells_are_those_of_the_csv_module(spark):
+    import csv
+    import random
+
+    from ferrule.sources.workbook import _inside, _left_open, csv_cells
+
+    rnd = random.Random(4)
+    lines = ["".join(rnd.choice(['"', '""', ",", "a", " ", "é", "'", "\\", "x y", " "]) for _ in range(rnd.randint(1, 12))) for _ in range(3000)]
+    lines += [",", ",,", '""', '"a""b",c', 'a"b,"c"d",e', '"x"y"z,w', "a,b,", ' "a",b', '"' + "q" * 50_000 + '",1', "w," * 20_000]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string")
+    rows = {r.i: r for r in df.select("i", csv_cells(df.value).alias("cells"), _left_open(df.value).alias("open")).collect()}
+    for i, line in enumerate(lines):
+        assert rows[i].open == _inside(line, False), line
+        if not rows[i].open:
+            assert rows[i].cells == [c if c != "" else None for c in next(csv.reader([line]))], line
+
+
+def test_no_python_reads_a_plain_csv_file(spark, tmp_path):
+    from ferrule.sources.workbook import read_paths
+
+    path = tmp_path / "update_a.csv"
+    path.write_text('pub.orders\no_orderkey,o_orderstatus\n1,"A, ""B"""\n\n2,\n')
+    df = read_paths(spark, [str(path)])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    got = sorted((r.row_no, r.cells) for r in df.collect() if r.row_no)
+    assert got == [(1, ["pub.orders"]), (2, ["o_orderkey", "o_orderstatus"]), (3, ["1", 'A, "B"']), (5, ["2", None])]
