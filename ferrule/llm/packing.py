@@ -22,6 +22,7 @@ Other columns are ignored, whatever their names. No documents: no rows.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import materialize, running_total, short_batches
 from .tokens import releasing
 
-WINDOW, END_ID, PART_CHARS = 2048, 1, 1_000_000
+WINDOW, END_ID, PART_CHARS, SHIFT = 2048, 1, 1_000_000, 1 << 15
 #: More plan rows than this are joined without a broadcast (one row takes about 48 bytes).
 PLAN_BROADCAST_ROWS = 100_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -65,7 +66,29 @@ def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def _tokenize(ranks_path: str, window: int, end_id: int, keep_ids: bool):
+#: Runs of white space (what the vocabulary's pattern calls so) that its regular expression would step back through.
+SPACES = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_SPACE = re.compile(f"(?<!{SPACES}){SPACES}{{10000,}}+")
+
+
+def token_ids(enc, text: str) -> np.ndarray:
+    """The ids of ``text``; it ends where the whole text ends, or in a non-blank.
+
+    The pattern takes a run of white space as one piece: whole at the text's end, else without its last character,
+    which goes with what follows. Long runs are given as that piece, so that no regular expression runs over them."""
+    out, at = [], 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        if at < run.start():
+            out.append(enc.encode_to_numpy(text[at:run.start()]))
+        out.append(np.array(enc._encode_single_piece(text[run.start():end]), np.uint32))
+        at = end
+    if at < len(text):
+        out.append(enc.encode_to_numpy(text[at:]))
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+
+def _tokenize(ranks_path: str, window: int, end_id: int, keep_ids: bool, short: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
@@ -78,7 +101,8 @@ def _tokenize(ranks_path: str, window: int, end_id: int, keep_ids: bool):
             if keep_ids:
                 ends = np.cumsum([0, *map(len, kept)], dtype=np.int32)
                 flat = np.concatenate(kept) if kept else np.zeros(0, np.uint32)
-                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32))))
+                held = (flat.astype(np.int32) - SHIFT).astype(np.int16) if short else flat.astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(held)))
                 fields.append("ids")
             rows.clear()
             kept.clear()
@@ -91,7 +115,7 @@ def _tokenize(ranks_path: str, window: int, end_id: int, keep_ids: bool):
                 first, start, rest = len(rows), 0, np.zeros(0, np.uint32)
                 body = text.as_py() or ""
                 for part in parts(body):
-                    rest = np.concatenate([rest, enc.encode_to_numpy(part)]) if len(part) else rest
+                    rest = np.concatenate([rest, token_ids(enc, part)]) if len(part) else rest
                     while len(rest) >= window:
                         piece, rest = rest[:window], rest[window:]
                         rows.append((doc, start, window, zlib.crc32(piece.astype("<u4").tobytes()), 0))
@@ -188,10 +212,12 @@ def pack(docs: DataFrame, ranks_path: str, window: int = WINDOW, end_id: int = E
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
     spark = docs.sparkSession
     short_batches(spark)
-    schema = PIECES + (", ids array<int>" if keep_ids else "")
+    # ids below 2**16 are written and shuffled as two bytes each
+    short = keep_ids and max(encoder(ranks_path).max_token_value, end_id) < 2 * SHIFT
+    schema = PIECES + (f", ids array<{'smallint' if short else 'int'}>" if keep_ids else "")
     pieces = materialize(
         docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-        .mapInArrow(releasing(_tokenize(ranks_path, window, end_id, keep_ids)), schema), "pack-pieces")
+        .mapInArrow(releasing(_tokenize(ranks_path, window, end_id, keep_ids, short)), schema), "pack-pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     rows = best_fit_decreasing(counts, window)
     plan = spark.createDataFrame(rows, "plan_length long, rank long, base long, each long, first long")
@@ -203,7 +229,8 @@ def pack(docs: DataFrame, ranks_path: str, window: int = WINDOW, end_id: int = E
     at = ranked.join(steps, F.col("length") == F.col("plan_length")).withColumn(
         "s", F.element_at(F.filter("steps", lambda x: x["rank"] <= F.col("r")), -1))
     i = F.col("r") - F.col("s.rank")
-    return at.select(*pieces.columns, (F.col("s.base") + F.floor(i / F.col("s.each"))).alias("sequence_id"),
+    columns = [F.transform("ids", lambda x: x.cast("int") + SHIFT).alias("ids") if short and c == "ids" else F.col(c) for c in pieces.columns]
+    return at.select(*columns, (F.col("s.base") + F.floor(i / F.col("s.each"))).alias("sequence_id"),
                      (F.col("s.first") + (i % F.col("s.each")) * F.col("length")).alias("offset"))
 
 

@@ -115,3 +115,22 @@ def test_parts_do_not_change_the_ids(text):
     cut = list(packing.parts(text, 7))
     assert "".join(cut) == text
     assert [i for p in cut for i in enc.encode_ordinary(p)] == reference_ids([text])[0][:-1]
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\t", "\r\n \u3000"])
+def test_long_white_space_has_the_librarys_ids(space):
+    for n in (9_999, 10_000, 10_001, 1_200_000):
+        run = (space * n)[:n]
+        texts = [run, "a" + run, run + "b", "a " + run + "b c" + run + "\n!", "x" + run + "\x1cq"]
+        enc = packing.encoder(bpe_ranks())
+        for text, want in zip(texts, reference_ids(texts), strict=True):
+            got = np.concatenate([packing.token_ids(enc, part) for part in packing.parts(text)])
+            assert np.array_equal(got, want[:-1])
+
+
+def test_five_million_blanks_are_packed(spark):
+    df = spark.createDataFrame([(1, " " * 5_000_000 + "end"), (2, "\n" * 1_500_000)], "doc_id long, text string")
+    rows = packing.pack(df, bpe_ranks()).collect()
+    for doc in (1, 2):
+        mine = sorted((r.start, r.length) for r in rows if r.doc_id == doc)
+        assert sum(n for _, n in mine) == next(r.doc_tokens for r in rows if r.doc_id == doc)
