@@ -17,9 +17,11 @@ that goes to the shorter suffix's distribution. A token is scored in the longest
 a rare word's probability is its class's times its discounted share of the class, and an unseen word
 gets what the discounts of its class left over. The base's limits are shares of the corpus, so it has a bounded size.
 
-Texts are scored by cells of ``CELL`` bytes or so: a cell asks once for each of its distinct words and word sequences
-that the tables may hold, one join answers, and the answers meet the cell's texts. So a hot sequence
-costs a row a cell, not one a token. A bitmap of 16 MB at most (``neardup.id_bitmap``) only skips work.
+Counting, asking and answering deal sequences to parts by their key; a task sends one packed value a part, not a row a
+sequence, and numpy merges the values of a part. Texts are scored by cells of ``CELL`` bytes or so: a cell asks once
+for each of its distinct words and word sequences that the tables may hold, each part answers, and the answers meet the cell's
+texts. So a hot sequence costs an entry a cell, not one a token. The documents are read several times and must lie
+still: pass a written table. A bitmap of 16 MB at most (``neardup.id_bitmap``) only skips work.
 
 Words are told apart by 64-bit hashes. Cases: a null text is empty, and an empty one is its end alone; texts
 without words likewise; null ids count as training rows unless the caller says otherwise; repeated rows are scored each;
@@ -29,6 +31,7 @@ names. No documents: no rows.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -38,10 +41,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from .. import fs
 from .common import materialize, short_batches
 from .neardup import _slots, id_bitmap
 from .tokens import chunks, mixed, releasing, words
@@ -51,6 +55,7 @@ DEPTH, MIN_COUNT = 3, 2
 CELL = 16 << 20  # bytes of text
 END = 0x20  # stands for the end of a text and for its beginning; no word has this last byte
 HELD = 1 << 20  # distinct keys that a task counts before it passes them on
+PART_TOKENS, LEAST_PARTS = 1 << 22, 16
 
 
 class Words(NamedTuple):
@@ -219,8 +224,49 @@ def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _followers(depth: int, bitmap: bytes | None):
-    """An Arrow pass that counts next words: rows (x, w, c), aggregated within the task.
+def _parted(keys: np.ndarray, parts: int) -> list[np.ndarray]:
+    """For each part that some keys belong to: (part, their places)."""
+    of = (keys % np.uint64(parts)).astype(np.int64)
+    by = np.argsort(of, kind="stable")
+    cuts = np.searchsorted(of[by], np.arange(parts + 1))
+    return [(p, by[a:b]) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+
+
+def _pack(x: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
+    """Counts as one value: each context once with the number of its words, words as places in a list of the distinct ones."""
+    by = np.argsort(x, kind="stable")
+    x, w, c = x[by], w[by], c[by]
+    contexts, runs = np.unique(x, return_counts=True)
+    distinct, code = np.unique(w, return_inverse=True)
+    return b"".join(a.tobytes() for a in (np.array([len(contexts), len(distinct), len(x)], "<u4"), contexts, distinct, runs.astype("<u4"),
+                                          code.astype("<u4"), c.astype("<u4")))
+
+
+def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, m, size = (int(v) for v in np.frombuffer(block, "<u4", 3))
+    contexts, distinct = (np.frombuffer(block, np.uint64, k, at) for k, at in ((n, 12), (m, 12 + 8 * n)))
+    at = 12 + 8 * (n + m)
+    runs, code, c = (np.frombuffer(block, "<u4", k, at + 4 * skip) for k, skip in ((n, 0), (size, n), (size, n + size)))
+    return np.repeat(contexts, runs), distinct[code], c.astype(np.int64)
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """The sequences of one part that occur ``MIN_COUNT`` times or more: rows (x, w, c)."""
+    blocks = [_unpack(b.as_py()) for b in table.column("block")]
+    x, w, c = (np.concatenate([b[i] for b in blocks]) if blocks else np.zeros(0, np.int64) for i in range(3))
+    x, w, c = (a.astype(k) for a, k in ((x, np.uint64), (w, np.uint64), (c, np.int64)))
+    g = _gram(x, w)
+    by = np.argsort(g, kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], np.diff(g[by]) != 0])) if len(g) else np.zeros(0, np.int64)
+    total = np.add.reduceat(c[by], new) if len(g) else c
+    some = total >= MIN_COUNT
+    at = by[new[some]]
+    return pa.table({"x": x[at].view(np.int64), "w": w[at].view(np.int64), "c": total[some]})
+
+
+def _followers(depth: int, bitmap: bytes | None, parts: int):
+    """An Arrow pass that counts next words: rows (part, block), aggregated within the task; a block holds the counts of one
+    part of the sequences, so that what is shuffled is a few large values, not a row for each sequence.
 
     ``bitmap`` rules out sequences a word shorter that are not entries: no longer one that holds them can be one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +281,9 @@ def _followers(depth: int, bitmap: bytes | None):
             return g[new], x[new], w[new], np.add.reduceat(c, new) if len(g) else c
 
         def rows(g, x, w, c):
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c)], ["x", "w", "c"])
+            mine = [(p, _pack(x[at], w[at], c[at])) for p, at in _parted(g, parts)]
+            return pa.RecordBatch.from_arrays([pa.array([m[0] for m in mine], pa.int32()), pa.array([m[1] for m in mine], pa.binary())],
+                                              ["part", "block"])
 
         grams = _Grams()
         for batch in batches:
@@ -273,6 +321,21 @@ def _symbols(chunk):
     return _keyed(chunk, w), text, is_word, chunk.goes_on
 
 
+def _forget(spark: SparkSession, *written: DataFrame) -> None:
+    """Delete tables of this run that nothing later reads, and let Spark's cleaner drop the shuffle files that nothing
+    refers to any more (it acts when the driver's JVM collects garbage, by itself only every half hour)."""
+    for df in written:
+        if files := df.inputFiles():
+            fs.delete_folder(spark, files[0].rsplit("/", 1)[0])
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _parts(tokens: int) -> int:
+    """In how many parts the sequences of so many tokens are counted and looked up, one in a task's memory at a time."""
+    return max(LEAST_PARTS, -(-tokens // PART_TOKENS))
+
+
 @F.pandas_udf(LongType())
 def _key(before: pd.Series, word: pd.Series) -> pd.Series:
     return pd.Series(_gram(before.to_numpy().astype(np.int64).view(np.uint64), word.to_numpy().astype(np.int64).view(np.uint64)).view(np.int64))
@@ -287,10 +350,10 @@ def _tables(rows: DataFrame, counts: DataFrame, n: int, texts: int) -> DataFrame
     end = spark.createDataFrame([(END, texts)], "k long, c long").where("c > 0")
     level = counts.select("k", "c").unionByName(end).select(
         F.col("k").alias("g"), "c", F.lit(None).cast("long").alias("s"), (F.col("c") / F.lit(float(max(n, 1)))).alias("p"), F.lit(0.0).alias("a"))
-    out, bitmap = [], None
+    out, levels, bitmap, parts = [], [], None, _parts(n)
     for depth in range(1, DEPTH + 1):
-        found = rows.mapInArrow(releasing(_followers(depth, bitmap)), "x long, w long, c long").groupBy("x", "w").agg(
-            F.sum("c").alias("c")).where(F.col("c") >= MIN_COUNT)
+        found = rows.mapInArrow(releasing(_followers(depth, bitmap, parts)), "part int, block binary").groupBy("part").applyInArrow(
+            _repeated, "x long, w long, c long")
         found = found.join(level.select(F.col("g").alias("x"), F.col("c").alias("total"), F.col("s").alias("sx")), "x")
         shorter = F.col("w") if depth == 1 else _key("sx", "w")
         found = found.select("x", _key("x", "w").alias("g"), shorter.alias("s"), "c", ((F.col("c") - DISCOUNT) / F.col("total")).alias("q"))
@@ -305,10 +368,15 @@ def _tables(rows: DataFrame, counts: DataFrame, n: int, texts: int) -> DataFrame
             "g", "c", "s", F.when(F.col("stays"), F.col("q") + F.col("rest") * F.col("sp")).otherwise(F.col("sp")).alias("p"),
             F.when(F.col("stays"), F.col("q") + F.col("rest") * F.col("sa")).otherwise(F.col("sa")).alias("a"), "stays"), "tree-level")
         none = F.lit(None).cast("double")
+        del tried, judged, rest
+        _forget(spark, found)
+        levels += [level, contexts]
         out += [level.where("stays").select("g", "a", none.alias("rest")), contexts.where("stays").select(F.col("x").alias("g"), none.alias("a"), "rest")]
         if depth < DEPTH:
             bitmap = id_bitmap(level, "g")
-    return materialize(reduce(DataFrame.unionByName, out).groupBy("g").agg(F.max("a").alias("a"), F.max("rest").alias("rest")), "tree-tables")
+    tables = materialize(reduce(DataFrame.unionByName, out).groupBy("g").agg(F.max("a").alias("a"), F.max("rest").alias("rest")), "tree-tables")
+    _forget(spark, *levels)
+    return tables
 
 
 def _next_symbols(known: Words, keep: np.ndarray, pairs: np.ndarray):
@@ -442,14 +510,16 @@ def _in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell + (ends - length) // CELL)], [*batch.schema.names, "cell"])
 
 
-def _asks(known: Words, bitmap: bytes):
-    """An Arrow pass over the rows: (cell, g), the distinct keys that a cell asks for."""
+def _asks(known: Words, bitmap: bytes, parts: int):
+    """An Arrow pass over the rows: (part, cell, keys), the distinct keys of a part that a cell asks for, sorted, as one value."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, now, held, n = np.frombuffer(bitmap, dtype=np.uint8), None, [], 0
 
         def rows():
             g = np.unique(np.concatenate([*held, np.array([END], dtype=np.uint64)]))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(g), now, dtype=np.int64)), pa.array(g.view(np.int64))], ["cell", "g"])
+            mine = [(p, g[at].tobytes()) for p, at in _parted(g, parts)]
+            return pa.RecordBatch.from_arrays([pa.array([m[0] for m in mine], pa.int32()), pa.array([now] * len(mine), pa.int64()),
+                                               pa.array([m[1] for m in mine], pa.binary())], ["part", "cell", "keys"])
 
         for batch in batches:
             cells = batch.column("cell").to_numpy()
@@ -477,6 +547,42 @@ def _asks(known: Words, bitmap: bytes):
     return run
 
 
+def _answer(asked: pa.Table, told: pa.Table) -> pa.Table:
+    """Answers to the cells' keys of one part: per cell the keys that are known, and what is known of them."""
+    g = told.column("g").to_numpy().astype(np.int64).view(np.uint64)
+    by = np.argsort(g)
+    g = g[by]
+    value = lambda name, kind: np.nan_to_num(told.column(name).to_numpy().astype(np.float64), nan=-1.0)[by].astype(kind)
+    a, rest, c = value("a", np.float32), value("rest", np.float32), value("c", np.int64)
+    cells, blocks = [], []
+    for cell, keys in zip(asked.column("cell").to_pylist(), asked.column("keys"), strict=True):
+        k = np.frombuffer(keys.as_py(), np.uint64)
+        at = np.searchsorted(g, k)
+        hit = at < len(g)
+        hit[hit] = g[at[hit]] == k[hit]
+        at = at[hit]
+        cells.append(cell)
+        blocks.append(b"".join(v.tobytes() for v in (np.array([len(at)], "<u8"), k[hit], c[at], a[at], rest[at])))
+    return pa.table({"cell": pa.array(cells, pa.int64()), "block": pa.array(blocks, pa.binary())})
+
+
+def _answers(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys with (a, rest, c) of a cell; -1 where there is none."""
+    keys, a, rest, c = [], [], [], []
+    for value in table.column("block"):
+        block = value.as_py()
+        n = int(np.frombuffer(block, "<u8", 1)[0])
+        keys.append(np.frombuffer(block, np.uint64, n, 8))
+        c.append(np.frombuffer(block, np.int64, n, 8 + 8 * n))
+        a.append(np.frombuffer(block, np.float32, n, 8 + 16 * n))
+        rest.append(np.frombuffer(block, np.float32, n, 8 + 20 * n))
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0)
+    k = np.concatenate(keys)
+    by = np.argsort(k)
+    return k[by], *(np.concatenate(v)[by].astype(np.float64) for v in (a, rest, c))
+
+
 def _score(model_parts):
     """Scores the texts (left) of a cell by its answers (right)."""
     known, tree, class_tokens, class_words, discount, n_texts = model_parts
@@ -488,12 +594,16 @@ def _score(model_parts):
             unseen = np.log10(np.where(class_words > 0, discount * class_words / class_tokens, 1))
         share[known.symbols < known.heavy] = 0.0
         log_count = np.log10(known.counts + 1.0)
-        column = lambda name: right.column(name).to_numpy()
-        index = pd.Index(column("g").astype(np.int64))
+        answered, a, rest, count = _answers(right)
         # the last row answers keys that have no answer
-        value = lambda name, none: np.append(np.nan_to_num(column(name).astype(np.float64), nan=none), none)
-        a, rest, count = value("a", -1.0), value("rest", 1.0), value("c", 0.0)
-        where = lambda keys: index.get_indexer(keys.view(np.int64))
+        a, rest, count = (np.append(np.where(v >= 0, v, none), none) for v, none in ((a, -1.0), (rest, 1.0), (count, 0.0)))
+
+        def where(keys: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(answered, keys)
+            found = at < len(answered)
+            found[found] = answered[at[found]] == keys[found]
+            return np.where(found, at, -1)
+
         n_words, n_known = np.zeros(n, dtype=np.int64), np.full(n, int(n_texts > 0), dtype=np.int64)
         base, score = np.full(n, np.log10(n_texts + 1.0)), np.zeros(n)
         reader, grams, closed = _Reader(known), _Grams(), np.zeros(n, dtype=bool)
@@ -557,18 +667,23 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     rows = docs.withColumn("__held", F.coalesce(held_out, F.lit(False))).select(
         F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col("__held").alias("held_out"))
     m = learn(rows.where("not held_out"))
-    parts = (m.known, m.tree, np.maximum(m.class_tokens, 1), m.class_words, m.discount, m.texts)
+    model = (m.known, m.tree, np.maximum(m.class_tokens, 1), m.class_words, m.discount, m.texts)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    cells = materialize(rows.mapInArrow(_in_cells, f"doc_id {kind}, text string, held_out boolean, cell long"), "tree-cells")
-    asked = cells.select("cell", "text").mapInArrow(releasing(_asks(m.known, id_bitmap(m.tables, "g"))), "cell long, g long").distinct()
+    # not written: the rows are read again as they lie, and a task's rows are dealt to the same cells
+    cells = rows.mapInArrow(_in_cells, f"doc_id {kind}, text string, held_out boolean, cell long")
+    parts = _parts(m.tokens)
+    asked = cells.select("cell", "text").mapInArrow(releasing(_asks(m.known, id_bitmap(m.tables, "g"), parts)), "part int, cell long, keys binary")
     # rare words are answered by their counts
     rare = m.counts.where(F.col("c") * FREQUENT < m.tokens).select(
         F.col("k").alias("g"), F.lit(None).cast("float").alias("a"), F.lit(None).cast("float").alias("rest"), "c")
     told = m.tables.select("g", F.col("a").cast("float"), F.col("rest").cast("float"), F.lit(None).cast("long").alias("c"))
     told = told.unionByName(rare).groupBy("g").agg(F.max("a").alias("a"), F.max("rest").alias("rest"), F.max("c").alias("c"))
-    answers = asked.join(told, "g").select("cell", "g", "a", "rest", "c")
+    # the part of a key, as numpy takes it from the key without a sign
+    part = F.pmod(F.pmod("g", F.lit(parts)) + F.when(F.col("g") < 0, F.lit((1 << 64) % parts)).otherwise(F.lit(0)), F.lit(parts)).cast("int")
+    told = told.select(part.alias("part"), "g", "a", "rest", "c")
+    answers = asked.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_answer, "cell long, block binary")
     out = cells.groupBy("cell").cogroup(answers.groupBy("cell")).applyInArrow(
-        _score(parts), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
+        _score(model), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(m.tokens).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * float(np.log10(m.tokens + m.distinct + 1))).alias("base_score"), "score")
