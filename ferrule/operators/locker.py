@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import fs
 from ..functions import scalars as S
 from ..functions.types import DEFAULT_SHELF_LIFE_DAYS
+from ..session import ensure_checkpoint_dir
+from .apply import sequence_keys
 from .quarantine import row_map
 
 LOCKER_SCHEMA = ("day string, target_table string, item_id string, file string, authors string, mode string, "
@@ -72,11 +73,12 @@ def days(locker: DataFrame) -> DataFrame:
 def items_of_day(locker: DataFrame, day: str) -> DataFrame:
     """The day's items numbered in append order; sheet name ``mode_n``.
 
-    The window runs over the item list (one row per item), not over rows."""
+    Items are dealt out by range and numbered by the counts of the ranges before theirs: a day of very many
+    tabs is no single task's work."""
+    ensure_checkpoint_dir(locker.sparkSession)
     items = locker.where(F.col("day") == day).select(*ITEM_COLUMNS).distinct()
-    w = Window.partitionBy("day").orderBy("append_time", "item_id")
-    n = F.row_number().over(w).cast("bigint")
-    return items.withColumn("item_no", n).withColumn("sheet", F.concat_ws("_", "mode", F.col("item_no").cast("string")))
+    numbered = sequence_keys(items, "item_no", 0, ["append_time", "item_id", "target_table", "mode"])
+    return numbered.withColumn("sheet", F.concat_ws("_", "mode", F.col("item_no").cast("string")))
 
 
 def export_day(locker: DataFrame, day: str) -> tuple[DataFrame, DataFrame]:
