@@ -70,6 +70,12 @@ class TableSpec:
         return None
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """The side of a join that is never broadcast.  Spark takes a catalog's size from the file it is unfolded from, so
+    one of millions of columns looks small enough to broadcast, and breaks the driver."""
+    return df.hint("merge")
+
+
 @dataclass
 class Catalog:
     """The four metadata DataFrames of a catalog."""
@@ -82,7 +88,7 @@ class Catalog:
     def primary_keys(self) -> DataFrame:
         """Constraints joined to key columns on the 4-column key, PRIMARY KEY only."""
         c = self.constraints.where(F.col("constraint_type") == "PRIMARY KEY").alias("c")
-        k = self.key_columns.alias("k")
+        k = by_shuffle(self.key_columns).alias("k")
         return (c.join(k, on=[F.col("c.table_name") == F.col("k.table_name"),
                              F.col("c.catalog") == F.col("k.catalog"),
                              F.col("c.schema") == F.col("k.schema"),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .catalog import Catalog
+from .catalog import Catalog, by_shuffle
 
 
 def _one_row_per_table(catalog: Catalog) -> DataFrame:
@@ -21,7 +21,7 @@ def _one_row_per_table(catalog: Catalog) -> DataFrame:
     keys = catalog.primary_keys().groupBy(*name).agg(F.collect_set(F.lower("column_name")).alias("_keys"))
     both = ["_schema", "_table"]
     return (catalog.tables.select(*name).distinct().withColumn("_exists", F.lit(True))
-            .join(cols, both, "left").join(keys, both, "left"))
+            .join(by_shuffle(cols), both, "left").join(by_shuffle(keys), both, "left"))
 
 
 def tab_gates(envelopes: DataFrame, catalog: Catalog) -> DataFrame:
@@ -32,7 +32,7 @@ def tab_gates(envelopes: DataFrame, catalog: Catalog) -> DataFrame:
          .withColumn("_schema", F.when(F.col("_valid_name"), F.split("target_table", "[.]")[0]))
          .withColumn("_table", F.when(F.col("_valid_name"), F.split("target_table", "[.]")[1])))
     none = F.expr("cast(array() as array<string>)")
-    g = (e.join(_one_row_per_table(catalog), ["_schema", "_table"], "left")
+    g = (e.join(by_shuffle(_one_row_per_table(catalog)), ["_schema", "_table"], "left")
          .withColumn("_cols", F.coalesce("_cols", none)).withColumn("_keys", F.coalesce("_keys", none))
          .withColumn("_header", F.coalesce("header", none)))
     known, own_key = (lambda h: F.array_contains("_cols", F.lower(h))), (lambda h: F.array_contains("_keys", F.lower(h)))
@@ -62,6 +62,6 @@ def resolve_header(envelopes: DataFrame, catalog: Catalog) -> DataFrame:
     cols = catalog.columns.select(F.col("table_schema").alias("_schema"), F.col("table_name").alias("_table"),
                                   F.lower("column_name").alias("_lc"), "column_name", "data_type", "is_nullable",
                                   "char_max_len", "numeric_precision", "numeric_scale")
-    return (e.withColumn("_lc", F.lower("header_name")).join(cols, ["_schema", "_table", "_lc"], "left")
+    return (e.withColumn("_lc", F.lower("header_name")).join(by_shuffle(cols), ["_schema", "_table", "_lc"], "left")
             .select("tab", "target_table", F.col("position").cast("bigint").alias("position"), "header_name",
                     "column_name", "data_type", "is_nullable", "char_max_len", "numeric_precision", "numeric_scale"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.types import DATETIME_TYPES, INTEGER_LIMITS, INTEGER_TYPES, NUMERIC_LIMITS, NUMERIC_TYPES, TEXT_TYPES
-from .catalog import Catalog
+from .catalog import Catalog, by_shuffle
 from .rules import RULE_TEXT, TAB_GATES_HEAD, TAB_GATES_KEY
 
 MAX_PRECISION = 38
@@ -61,7 +61,7 @@ def tab_facts(tabs: DataFrame, catalog: Catalog) -> DataFrame:
     parts = F.split("target_table", "[.]")
     named = tabs.select("path", "tab", "header", F.when(S.is_schema_table("target_table"), parts[0]).alias("_schema"),
                         F.when(S.is_schema_table("target_table"), parts[1]).alias("_table"))
-    known = named.join(column_facts(catalog), ["_schema", "_table"], "left")
+    known = named.join(by_shuffle(column_facts(catalog)), ["_schema", "_table"], "left")
     cells = F.transform("header", lambda h: F.struct(h.alias("name"), F.try_element_at("_facts", F.lower(h)).alias("facts")))
     return known.select("path", "tab", cells.alias("_cells"))
 

@@ -115,3 +115,17 @@ def test_the_plan_does_not_grow_with_the_tables(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert all(few.count(node) == many.count(node) for node in ("Exchange", "SortMergeJoin", "FileScan", "Generate"))
     assert "explode(map_entries" not in few and many_tables(spark, SF_SMALL).select("target_table").distinct().count() > 100
+
+
+def test_no_catalog_is_broadcast(spark, tmp_path):
+    """A catalog unfolded from a small file may be huge: no look-up broadcasts it, whatever Spark takes its size for."""
+    from ferrule.operators import gates as G
+    from ferrule.plans import fixtures as X
+
+    spark.range(50).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    catalog = X.tenant_catalog(spark, str(tmp_path))
+    tabs = spark.createDataFrame([("Update_1", "c1.orders", ["o_orderkey", "zzz"], 3)],
+                                 "tab string, target_table string, header array<string>, n_rows bigint")
+    for df, n in ((G.resolve_header(tabs, catalog), 2), (G.tab_gates(tabs, catalog), 1), (catalog.primary_keys(), 150)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan and df.count() == n
