@@ -26,8 +26,8 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p))
 
 
-def files(spark: SparkSession, *paths: str) -> list[tuple[str, str, int]]:
-    """(path, URL-encoded path, modification time in ms) of the files at or under the paths, empty ones too."""
+def files(spark: SparkSession, *paths: str, empty: bool = True) -> list[tuple[str, str, int]]:
+    """(path, URL-encoded path, modification time in ms) of the files at or under the paths, as a rule empty ones too."""
     jvm, out = spark.sparkContext._jvm, []
     for path in paths:
         p, fs = _path(spark, path)
@@ -37,7 +37,7 @@ def files(spark: SparkSession, *paths: str) -> list[tuple[str, str, int]]:
             own = status.getPath()
             below = str(own.toUri().getPath())[len(str(p.toUri().getPath())):]
             hidden = any(part.startswith((".", "_")) for part in below.split("/") if part)
-            if not hidden:
+            if not hidden and (empty or status.getLen() > 0):
                 uri = jvm.org.apache.spark.paths.SparkPath.fromPath(own).urlEncoded()
                 out.append((own.toString(), uri, int(status.getModificationTime())))
     return sorted(out)

@@ -95,8 +95,10 @@ def run(spark: SparkSession, parsed: DataFrame, catalog: Catalog, store: TableSt
     if fs.exists(spark, cfg.locker_path):
         L.purge_written(spark, cfg.locker_path, settings, cfg.as_of)       # E4: at the start of every run
     parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
-    order = parsed.groupBy("path", "tab").agg(F.min("file_seq").alias("file_seq"), F.min("tab_seq").alias("tab_seq"),
-                                              F.max("authors").alias("authors"))
+    # texts as group keys: an aggregate that holds texts would sort all rows
+    order = parsed.groupBy("path", "tab", "authors").agg(F.min("file_seq").alias("file_seq"), F.min("tab_seq").alias("tab_seq"))
+    order = order.groupBy("path", "tab").agg(F.min("file_seq").alias("file_seq"), F.min("tab_seq").alias("tab_seq"),
+                                             F.max("authors").alias("authors"))
     env = EV.envelopes(parsed).join(order, ["path", "tab"])
     gates = tab_gates(env, catalog).select("path", "tab", "mode", "gate_id", "key_column")
     tabs = env.join(gates, ["path", "tab"]).persist(StorageLevel.MEMORY_AND_DISK)
@@ -113,9 +115,11 @@ def run_batch(spark: SparkSession, batch: DataFrame, catalog: Catalog, store: Ta
     row_no, and one text column per header cell; every tab has all of them."""
     header = [c for c in batch.columns if c not in (*LINEAGE_KEEP, "target_table")]
     names = F.array(*[F.lit(h) for h in header])
-    env = batch.groupBy("path", "tab").agg(
+    env = batch.groupBy("path", "tab", "target_table", "authors").agg(
+        F.min("file_seq").alias("file_seq"), F.min("tab_seq").alias("tab_seq"), F.count(F.lit(1)).alias("n_rows"))
+    env = env.groupBy("path", "tab").agg(
         F.min("target_table").alias("target_table"), F.min("file_seq").alias("file_seq"), F.min("tab_seq").alias("tab_seq"),
-        F.max("authors").alias("authors"), F.count(F.lit(1)).alias("n_rows")).withColumn("header", names)
+        F.max("authors").alias("authors"), F.sum("n_rows").alias("n_rows")).withColumn("header", names)
     tabs = env.join(tab_gates(env, catalog).select("path", "tab", "mode", "gate_id", "key_column"), ["path", "tab"])
     tabs = tabs.persist(StorageLevel.MEMORY_AND_DISK)
     rows = batch.select("path", "tab", "row_no", Q.row_map(header).alias("row")).join(
@@ -373,13 +377,14 @@ def _with_values(rows: DataFrame, final: DataFrame, spec) -> DataFrame:
 def run_inbox(spark: SparkSession, inbox: str, catalog: Catalog, store: TableStore, cfg: RunConfig,
               settings: DataFrame | None = None, archive: str | None = None) -> DataFrame:
     """Batch entry: every file of the inbox in one run; then the files move to ``archive``."""
-    from ..sources.workbook import inbox_files, read_inbox
+    from ..sources.workbook import csv_part, inbox_files, read_inbox
 
     files = inbox_files(spark, inbox)
     events = run(spark, _with_file_order(read_inbox(spark, inbox)), catalog, store, cfg, settings)
     if archive:
         for path in files:
-            fs.rename(spark, path, f"{archive.rstrip('/')}/{cfg.run_id}/{path.rsplit('/', 1)[-1]}")
+            name = "/".join(path.rsplit("/", 2 if csv_part(path) else 1)[1:])      # a part keeps its folder
+            fs.rename(spark, path, f"{archive.rstrip('/')}/{cfg.run_id}/{name}")
     return events
 
 

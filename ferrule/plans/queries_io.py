@@ -24,13 +24,14 @@ from .registry import register
 
 
 def write_csv_tabs(batch: DataFrame, header: list[str], path: str) -> None:
-    """One CSV file per tab under ``tab=<name>/``: A1 = table, row 2 = header, then data."""
+    """One CSV file per tab, in parts under ``tab=<name>.csv/``: A1 = table, row 2 = header, then data."""
+    batch = batch.withColumn("tab", F.concat("tab", F.lit(".csv")))
     tabs = batch.select("tab", "target_table").distinct()
     first = tabs.select("tab", F.lit(1).cast("bigint").alias("row_no"), F.col("target_table").alias("value"))
     second = tabs.select("tab", F.lit(2).cast("bigint").alias("row_no"), F.lit(",".join(header)).alias("value"))
     data = batch.select("tab", (F.col("row_no") + 2).alias("row_no"),
                         F.to_csv(F.struct(*[F.col(h) for h in header])).alias("value"))
-    (first.unionByName(second).unionByName(data).repartition("tab").sortWithinPartitions("tab", "row_no")
+    (first.unionByName(second).unionByName(data).repartitionByRange("tab", "row_no").sortWithinPartitions("tab", "row_no")
      .drop("row_no").write.mode("append").partitionBy("tab").text(path))
 
 

@@ -65,11 +65,11 @@ def envelopes(parsed: DataFrame) -> DataFrame:
     a first row has no target table (C2 rejects it), one without data rows counts 0 (C4).
     Parsers may mark a tab without any row by one with row_no 0."""
     row, cells = F.col("row_no"), F.col("cells")
-    tabs = parsed.groupBy("path", "tab").agg(
-        F.max(F.when(row == 1, F.trim(cells[0]))).alias("target_table"),
-        F.min_by(cells, F.when(row == 2, row)).alias("_h"),
-        F.max(F.when(row > 2, _filled(cells)).otherwise(0)).alias("_width"),
-        F.count(F.when(row > 2, 1)).alias("n_rows"))
+    # the two rows that name a tab are group keys: an aggregate that holds texts would sort all rows
+    named = parsed.groupBy("path", "tab", F.when(row == 1, F.trim(F.get(cells, F.lit(0)))).alias("_t"), F.when(row == 2, cells).alias("_h")).agg(
+        F.max(F.when(row > 2, _filled(cells)).otherwise(0)).alias("_width"), F.count(F.when(row > 2, 1)).alias("n_rows"))
+    tabs = named.groupBy("path", "tab").agg(F.max("_t").alias("target_table"), F.min("_h").alias("_h"), F.max("_width").alias("_width"),
+                                            F.sum("n_rows").alias("n_rows"))
     return tabs.select("path", "tab", "target_table", unique_names("_h", F.col("_width")).alias("header"), "n_rows")
 
 

@@ -147,13 +147,20 @@ def csv_rows(data: bytes, tab: str) -> list[tuple[str, int, int, list[str | None
 
 
 def csv_tab_name(path: str) -> str:
-    """Tab of a CSV file: a ``tab=<name>`` folder if there is one, else the file stem."""
-    m = re.search(r"/tab=([^/]+)/[^/]*$", path)
+    """Tab of a CSV file: a ``tab=<name>`` folder if there is one, else the file stem; of one in parts, its folder's."""
+    m = re.search(r"/tab=([^/]+)/[^/]*$", path) or re.search(r"/tab=([^/]+)\.(?:csv|txt)$", path, flags=re.I)
     if m:
         return unquote(m.group(1))
     return re.sub(r"\.(csv|txt)$", "", path.rsplit("/", 1)[-1], flags=re.I)
 
 
+def csv_part(path: str) -> tuple[str, int] | None:
+    """A CSV file may come in parts, as Spark writes it: the folder ``<name>.csv`` with files ``part-<n>...`` whose lines
+    follow each other.  Of such a part, its folder and number; records don't run over parts' ends unless quoted."""
+    m = re.search(r"^(.*\.(?:csv|txt))/part-(\d+)[^/]*\.(?:csv|txt)$", path, flags=re.I)
+    return (m.group(1), int(m.group(2))) if m else None
+
+
 def _stem(path: str) -> str:
     return unquote(path.rsplit("/", 1)[-1])
 
@@ -227,17 +234,17 @@ def read_csv_lines(spark: SparkSession, files: DataFrame, paths: list[str]) -> D
     """CSV files by splits: any number of tasks per file, each row with its line number.
 
     Spark cuts the files into blocks; the lines of a block are numbered by their place in its task
-    and moved on by the lines of the file's earlier blocks (one row per block).  Blank lines count but
+    and moved on by the lines of the earlier blocks of the file and its parts (one row per block).  Blank lines count but
     give no row.  Cells are cut out by expressions: no Python touches a line.  Files in which a quoted cell runs over
     several lines are for ``read_csv_records``."""
     lines = spark.read.text([_literal(p) for p in paths]).select(
         "value", F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"))
     blocks = lines.groupBy("uri", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("skip", F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1)
-    blocks = blocks.withColumn("file", _one_spelling("uri")).join(
-        files.select(F.col("uri").alias("file"), "path", "tab"), "file").select("uri", "block", "path", "tab", "skip")
+    blocks = blocks.withColumn("file", _one_spelling("uri")).join(files.select(F.col("uri").alias("file"), "path", "tab", "part"), "file")
+    earlier = Window.partitionBy("path").orderBy("part", "uri", "block").rowsBetween(Window.unboundedPreceding, -1)
+    skip = F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1
+    blocks = blocks.select("uri", "block", "path", "tab", skip.alias("skip"))
     row_no = F.col("at") + F.col("skip")
     numbered = lines.join(blocks, ["uri", "block"]).select(
         "path", "tab", row_no.alias("row_no"),
@@ -308,10 +315,10 @@ def _line_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _block_starts(blocks: pd.DataFrame) -> pd.DataFrame:
     """Of one file's blocks (one row each): whether each starts inside a quoted cell, and the records before it."""
     out, inside, n = [], False, 0
-    for r in blocks.sort_values("block").itertuples():
-        out.append((r.uri, r.block, inside, n))
+    for r in blocks.sort_values(["part", "uri", "block"]).itertuples():
+        out.append((r.uri, r.block, r.path, r.part, inside, n))
         inside, n = bool(r.end1 if inside else r.end0), n + int(r.n1 if inside else r.n0)
-    return pd.DataFrame(out, columns=["uri", "block", "inside", "before"])
+    return pd.DataFrame(out, columns=["uri", "block", "path", "part", "inside", "before"])
 
 
 def _parse_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -333,43 +340,52 @@ def read_csv_records(spark: SparkSession, files: DataFrame, paths: list[str]) ->
     lines = text.mapInPandas(_line_states, "uri string, block bigint, line string, in0 boolean, in1 boolean, end0 boolean, "
                                            "end1 boolean, n0 bigint, n1 bigint").withColumn("at", F.monotonically_increasing_id())
     last = F.max_by(F.struct("end0", "end1", "n0", "n1"), "at").alias("l")
-    blocks = lines.groupBy("uri", "block").agg(last).select("uri", "block", "l.*").groupBy("uri").applyInPandas(
-        _block_starts, "uri string, block bigint, inside boolean, before bigint")
-    blocks = blocks.withColumn("file", _one_spelling("uri")).join(files.select(F.col("uri").alias("file"), "path"), "file")
+    blocks = lines.groupBy("uri", "block").agg(last).select("uri", "block", "l.*", _one_spelling("uri").alias("file"))
+    blocks = blocks.join(files.select(F.col("uri").alias("file"), "path", "part"), "file").groupBy("path").applyInPandas(
+        _block_starts, "uri string, block bigint, path string, part int, inside boolean, before bigint")
     of = lambda name: F.when(F.col("inside"), F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
-    placed = lines.join(blocks.drop("file"), ["uri", "block"]).select(
-        "path", (F.col("before") + of("n")).alias("row_no"), (of("in") | of("end")).alias("part"), "block", "at", "line")
-    whole = placed.where("not part").select("path", "row_no", F.array("line").alias("lines"))
-    parts = placed.where("part").groupBy("path", "row_no").agg(F.sort_array(F.collect_list(F.struct("block", "at", "line"))).alias("l"))
+    placed = lines.join(blocks, ["uri", "block"]).select(
+        "path", (F.col("before") + of("n")).alias("row_no"), (of("in") | of("end")).alias("cut"), "part", "uri", "block", "at", "line")
+    whole = placed.where("not cut").select("path", "row_no", F.array("line").alias("lines"))
+    parts = placed.where("cut").groupBy("path", "row_no").agg(
+        F.sort_array(F.collect_list(F.struct("part", "uri", "block", "at", "line"))).alias("l"))
     return whole.unionByName(parts.select("path", "row_no", F.col("l.line").alias("lines"))).mapInPandas(_parse_records, PARSED_SCHEMA)
 
 
 def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
     """A1+A2: every tab of the files as parsed cells, with the files' modification times.
 
-    CSV is read by splits; workbooks one file at a time.  Every file gives at least a row with row_no 0, so that an empty one is a tab too; other
+    CSV is read by splits, one in parts as one file; workbooks one file at a time.  Every file gives at least a row with row_no 0, so that an empty one is a tab too; other
     kinds of files and unreadable ones are a tab without rows."""
     if not paths:
         return spark.createDataFrame([], PARSED_SCHEMA + ", modificationTime timestamp")
     names = [{"path": p, "uri": re.sub("^file:/+", "file:///", u), "ms": ms} for p, u, ms in fs.files(spark, *paths)]
-    files = spark.createDataFrame([(r["path"], r["uri"], csv_tab_name(r["path"]), r["ms"]) for r in names],
-                                  "path string, uri string, tab string, ms bigint").select(
-        "path", "uri", "tab", F.timestamp_millis("ms").alias("modificationTime"))    # metadata: one row per file
-    text = [r["path"] for r in names if r["path"].lower().endswith(TEXT_SUFFIXES)]
-    whole = _broken_quotes(spark, text) if text else set()
-    by_split = [r["path"] for r in names if r["path"] in set(text) and r["uri"] not in whole]
-    by_record = [r["path"] for r in names if r["path"] in set(text) and r["uri"] in whole]
+    for r in names:
+        r["file"], r["part"] = csv_part(r["path"]) or (r["path"], 0)
+    files = spark.createDataFrame([(r["file"], r["uri"], csv_tab_name(r["file"]), r["part"]) for r in names],
+                                  "path string, uri string, tab string, part int")    # metadata: one row per file or part
+    times: dict[str, int] = {}
+    for r in names:
+        times[r["file"]] = max(r["ms"], times.get(r["file"], r["ms"]))
+    changed = spark.createDataFrame(list(times.items()), "path string, ms bigint").select(
+        "path", F.timestamp_millis("ms").alias("modificationTime"))
+    texts = [r for r in names if r["path"].lower().endswith(TEXT_SUFFIXES)]
+    text = [r["path"] for r in texts]
+    broken = _broken_quotes(spark, text) if text else set()
+    whole = {r["file"] for r in texts if r["uri"] in broken}      # with all its parts
+    by_split = [r["path"] for r in texts if r["file"] not in whole]
+    by_record = [r["path"] for r in texts if r["file"] in whole]
     by_file = sorted({r["path"] for r in names} - set(text))
     frames = []
     if text:
-        frames.append(spark.createDataFrame([(p, csv_tab_name(p), 1, 0, None, None) for p in text], PARSED_SCHEMA))
+        frames.append(spark.createDataFrame([(p, csv_tab_name(p), 1, 0, None, None) for p in sorted({r["file"] for r in texts})], PARSED_SCHEMA))
     if by_split:
         frames.append(read_csv_lines(spark, files, by_split))
     if by_record:
         frames.append(read_csv_records(spark, files, by_record))
     if by_file:
         frames.append(parse_files(_load(spark, by_file)))
-    return reduce(DataFrame.unionByName, frames).join(files.select("path", "modificationTime"), "path")
+    return reduce(DataFrame.unionByName, frames).join(changed, "path")
 
 
 def inbox_files(spark: SparkSession, inbox: str) -> list[str]:

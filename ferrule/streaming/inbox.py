@@ -15,7 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.workbook import read_paths
+from .. import fs
+from ..sources.workbook import csv_part, read_paths
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -39,9 +40,18 @@ def parsed_batch(files: DataFrame, batch_id: int) -> DataFrame:
     from ..plans.pipeline import _with_file_order
 
     paths = [r["path"] for r in files.select("path").collect()]
+    _check_parts(files.sparkSession, paths)
     return _with_file_order(read_paths(files.sparkSession, paths)).withColumn("batch_id", F.lit(batch_id))
 
 
+def _check_parts(spark: SparkSession, paths: list[str]) -> None:
+    """A CSV file in parts must come whole: rows of half a file would get wrong numbers and no header."""
+    here = {part for p in paths if (part := csv_part(p))}
+    for folder in sorted({f for f, _ in here}):
+        if lost := {part for p, _, _ in fs.files(spark, folder, empty=False) if (part := csv_part(p))} - here:
+            raise ValueError(f"{len(lost)} parts of {folder} are not in its micro-batch: move folders in whole, raise max_files_per_batch")
+
+
 def run_stream(spark: SparkSession, inbox: str, checkpoint: str,
                handle: Callable[[DataFrame, int], None], *, max_files_per_batch: int | None = None,
                archive_dir: str | None = None) -> None:

@@ -442,3 +442,56 @@ def test_no_python_reads_a_plain_csv_file(spark, tmp_path):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
     got = sorted((r.row_no, r.cells) for r in df.collect() if r.row_no)
     assert got == [(1, ["pub.orders"]), (2, ["o_orderkey", "o_orderstatus"]), (3, ["1", 'A, "B"']), (5, ["2", None])]
+
+
+def test_a_csv_file_in_parts_is_one_tab(spark, tmp_path):
+    """Parts are read in their order as one file: line numbers and quoted cells run on, parts past 99999 come last."""
+    from ferrule.plans.queries_io import write_csv_tabs
+    from ferrule.sources.workbook import read_inbox
+
+    for name, cell in (("plain", "x"), ("quoted", '"x\ny"')):
+        folder = tmp_path / "in" / f"tab=update_{name}.csv"
+        folder.mkdir(parents=True)
+        (folder / "part-99999-a.txt").write_text(f"pub.orders\nk,v\n1,{cell}\n")
+        (folder / "part-100000-a.txt").write_text(f"2,{cell}\n\n3,{cell}\n")
+    got = {}
+    for r in read_inbox(spark, str(tmp_path / "in")).where("row_no > 0").collect():
+        got.setdefault((r.path.rsplit("/", 1)[-1], r.tab), {})[r.row_no] = r.cells
+    for name, cell in (("plain", "x"), ("quoted", "x\ny")):
+        assert got.pop((f"tab=update_{name}.csv", f"update_{name}")) == {
+            1: ["pub.orders"], 2: ["k", "v"], 3: ["1", cell], 4: ["2", cell], 6: ["3", cell]}
+    assert not got
+    # the fixture's writer spreads a tab over tasks
+    batch = spark.range(20_000).selectExpr("'Update a' AS tab", "'pub.orders' AS target_table", "id * 3 AS row_no", "concat('v', id) AS v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_csv_tabs(batch, ["v"], str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "out" / "tab=Update a.csv").glob("part-*.txt"))) > 4
+    rows = EV.split_rows(read_inbox(spark, str(tmp_path / "out"))).select("tab", "row_no", F.col("row")["v"].alias("v")).collect()
+    assert sorted((r.tab, r.row_no, r.v) for r in rows) == [("Update a", i + 3, f"v{i}") for i in range(20_000)]
+
+
+def test_half_a_csv_file_in_parts_is_an_error_of_the_stream(spark, tmp_path):
+    import pytest
+
+    from ferrule.streaming.inbox import run_stream
+
+    folder = tmp_path / "in" / "update_x.csv"
+    folder.mkdir(parents=True)
+    (folder / "part-00000.csv").write_text("pub.orders\no_orderkey\n1\n")
+    (folder / "part-00001.csv").write_text("2\n")
+    seen = []
+    with pytest.raises(Exception, match="move folders in whole"):
+        run_stream(spark, str(tmp_path / "in"), str(tmp_path / "c1"), lambda df, b: seen.append(df.count()), max_files_per_batch=1)
+    assert not seen
+    run_stream(spark, str(tmp_path / "in"), str(tmp_path / "c2"), lambda df, b: seen.append(df.where("row_no > 0").count()))
+    assert seen == [4]
+
+
+def test_envelopes_sort_no_rows(spark):
+    parsed = spark.range(100).selectExpr("'p' AS path", "'t' AS tab", "id AS row_no", "array(string(id), 'a') AS cells")
+    plan = EV.envelopes(parsed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 2 and "HashAggregate(keys=[path" in plan      # only tabs are sorted, one row each
+    assert EV.envelopes(parsed).collect()[0].header == ["2", "a"]
