@@ -117,7 +117,9 @@ def validate_all_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Tabs of many tables, each with its own header, in one plan."""
     catalog = X.tenant_catalog(spark, sf)
     batch = many_tables(spark, sf)
-    tabs = batch.groupBy("path", "tab").agg(F.min("target_table").alias("target_table"), F.min("header").alias("header"), F.count("*").alias("n_rows"))
+    # texts as group keys: an aggregate that holds texts would sort all rows
+    named = batch.groupBy("path", "tab", "target_table", "header").agg(F.count("*").alias("n_rows"))
+    tabs = named.groupBy("path", "tab").agg(F.min("target_table").alias("target_table"), F.min("header").alias("header"), F.sum("n_rows").alias("n_rows"))
     gates = tab_gates(tabs, catalog).select("path", "tab", "mode", "gate_id", "key_column")
     judged = validate_tables(batch.drop("header").join(gates, ["path", "tab"]), tabs, catalog)
     return judged.groupBy("target_table", "tab", rule_key().alias("rule_key")).agg(F.count("*").alias("n_rows"))
