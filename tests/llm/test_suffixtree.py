@@ -2,6 +2,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -150,3 +151,87 @@ def test_tables_against_plain_counts(spark, monkeypatch):
         seq = [END, *words(dict(docs)[r.doc_id])]
         want = sum(math.log10(p(tuple(seq[max(0, i - suffixtree.DEPTH):i]), seq[i], 10 ** flat)) for i in range(1, len(seq)))
         assert r.score == pytest.approx(want, abs=1e-4), r
+
+
+def pieces_of(monkeypatch, texts, size):
+    """Rows of ``_pieces`` without Spark, texts read in small chunks and pieces of about ``size`` words."""
+    monkeypatch.setattr(suffixtree, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(suffixtree, "PIECE", size)
+    monkeypatch.setattr(tokens.chunks, "__defaults__", (100, 512))
+    batch = pa.table({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string()), "held_out": [i % 3 == 1 for i in range(len(texts))]})
+    return list(suffixtree._pieces(iter(batch.to_batches())))
+
+
+TEXTS = ["one two three four " * 90, "", None, "x y", "w" * 300 + " tail  " * 50, " " * 250 + "late", "a " + " " * 300]
+
+
+def test_pieces_hold_the_sequences_of_whole_texts(monkeypatch):
+    def read(size):
+        out = Counter()
+        for row in pieces_of(monkeypatch, TEXTS, size):
+            ids, piece = row.column("doc_id")[0].as_py(), suffixtree._Piece.load(row.column("piece")[0].as_py())
+            keys, text, place, is_word, back, levels = piece.sequences()
+            for d, (x, g) in enumerate(levels, start=1):
+                out.update((ids[t], d, int(a), int(b)) for t, a, b, n in zip(text, x, g, place, strict=True) if n >= d)
+            out.update((ids[t], 0, int(k), int(w)) for t, k, w in zip(text, keys[back[0]], is_word, strict=True))
+        return out
+
+    want = Counter()
+    for i, t in enumerate(TEXTS):
+        want[i] = len(words(t))
+    whole = read(1 << 20)
+    assert len(pieces_of(monkeypatch, TEXTS, 20)) > len(TEXTS)
+    assert read(20) == whole
+    assert Counter({i: sum(n for k, n in whole.items() if k[:2] == (i, 0)) for i in range(len(TEXTS))}) == want
+
+
+def test_training_reads_no_held_out_text(monkeypatch):
+    rows = pieces_of(monkeypatch, TEXTS, 20)
+    ends = sum(len(p.size) - p.goes_on for p in suffixtree._training(iter(rows)))
+    assert ends == sum(i % 3 != 1 for i in range(len(TEXTS)))
+
+
+def test_sequences_that_occur_once_are_not_sent(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 400)) for _ in range(60)] + ["uno dos tres cuatro", "b", "uno dos tres cuatro"]
+    rows, bits = pieces_of(monkeypatch, texts, 2000), 1 << 22
+    maps, by_part = np.zeros((suffixtree.DEPTH, suffixtree.RANGES, bits // suffixtree.RANGES // 8), np.uint8), {}
+    for r in suffixtree._taken_slots(bits)(iter(rows)):
+        for part, block in zip(r.column("part").to_pylist(), r.column("block").to_pylist(), strict=True):
+            by_part.setdefault(part, []).append(block)
+    for part, blocks in by_part.items():
+        found = suffixtree._taken_twice(bits)(pa.table({"part": [part] * len(blocks), "block": blocks}))
+        maps[part // suffixtree.RANGES, part % suffixtree.RANGES] = suffixtree._load(found.column("block")[0].as_py())[0]
+    value = SimpleNamespace(value=suffixtree._dump(*maps.reshape(suffixtree.DEPTH, -1)))
+    homes = suffixtree._Homes(4, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    sent, seen = Counter(), [Counter() for _ in range(suffixtree.DEPTH)]
+    for r in suffixtree._followers(value, homes)(iter(rows)):
+        for block in r.column("block").to_pylist():
+            arrays = suffixtree._load(block)[1:]
+            for d in range(1, suffixtree.DEPTH + 1):
+                sent[d] += len(arrays[0])
+                arrays = arrays[d + 2:]
+    for p in suffixtree._training(iter(rows)):
+        _, _, place, _, _, levels = p.sequences()
+        for d, (_, g) in enumerate(levels):
+            seen[d].update(g[place > d].tolist())
+    for d in range(1, suffixtree.DEPTH + 1):
+        twice = sum(n > 1 for n in seen[d - 1].values())
+        assert 0 < twice <= sent[d] < twice + 0.05 * len(seen[d - 1])
+
+
+def test_a_text_in_several_pieces_is_one_row(spark):
+    docs = [(1, "a b c " * 450_000), (2, "a b d")]  # more words than a piece has
+    rows = suffixtree.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), F.lit(False)).collect()
+    long = next(r for r in rows if r.doc_id == 1)
+    assert len(rows) == 2 and long.n_tokens == long.n_known == 1_350_001
+    assert long.base_score == pytest.approx(1_350_000 * math.log10(450_002 / 1_350_011), rel=1e-3)
+    assert -100 < long.score < 0  # each word follows from the one before
+
+
+def test_index_finds_what_is_there():
+    keys = np.unique(np.random.default_rng(7).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+    index = suffixtree._Index(keys)
+    assert np.array_equal(index.find(keys), np.arange(len(keys)))
+    assert (index.find(keys + np.uint64(1)) == len(keys)).all() and (index.find(np.array([2**64 - 1], np.uint64)) == len(keys)).all()
+    assert suffixtree._Index(keys[:0]).find(keys[:3]).tolist() == [0, 0, 0]
