@@ -49,18 +49,18 @@ from pyspark.sql import functions as F
 from .. import fs
 from .common import materialize, short_batches
 from .neardup import BITMAP_BITS
-from .tokens import chunks, mixed, releasing, words
+from .tokens import chunks, mixed, release, releasing, words
 
 ALPHABET, CONTEXTS, FREQUENT, ENTRIES, DIVERGENCE, DISCOUNT = 5_000, 1_000, 100_000, 400_000, 0.01, 0.5
 DEPTH, MIN_COUNT = 3, 2
-CELL = 32 << 20  # bytes of text
+CELL = 16 << 20  # bytes of text
 TURNS = 2  # in which the cells ask: what is shuffled at once is that share of the questions and of the tables
 PIECES = ["cell", "nr", "doc_id", "held", "piece"]
-PIECE = 1 << 20  # words that are laid out at once (and those of a chunk more)
+PIECE = 1 << 18  # words that are laid out at once (and those of a chunk more)
 RANGES = 16  # in which the slots of a level are merged
 END = 0x20  # stands for the end of a text and for its beginning; no word has this last byte
 HELD = 1 << 20  # distinct keys that a task counts before it passes them on
-SEQUENCES = 1 << 20  # places with a sequence of two words that a task holds before it passes them on
+SEQUENCES = 3 << 18  # places with a sequence of two words that a task holds before it passes them on
 PART_TOKENS, LEAST_PARTS = 1 << 22, 16
 
 
@@ -306,6 +306,7 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[_Piece]:
             keep = np.frombuffer(held.as_py(), bool) == 0
             if keep.any():
                 yield _Piece.load(value.as_py(), keep)
+                release()
 
 
 def _word_keys():
@@ -427,9 +428,10 @@ def _taken_slots(bits: int):
             for d, (_, g) in enumerate(levels, start=1):
                 held[d - 1].append((g[place >= d] & np.uint64(bits - 1)).astype(np.uint32))
             n += len(place)
-            if n > 4 * SEQUENCES:
+            if n > 2 * SEQUENCES:
                 yield rows()
                 held, n = [[] for _ in range(DEPTH)], 0
+                release()
         if n:
             yield rows()
 
@@ -459,7 +461,7 @@ def _repeated_slots(pieces: DataFrame, n: int) -> Broadcast:
     out = np.zeros((DEPTH, RANGES, bits // RANGES // 8), dtype=np.uint8)
     for r in found.collect():  # 2 MB a row at most
         out[r.part // RANGES, r.part % RANGES] = _load(bytes(r.block))[0]
-    return pieces.sparkSession.sparkContext.broadcast(_dump(*out.reshape(DEPTH, -1)))
+    return pieces.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
 class _Homes(NamedTuple):
@@ -489,16 +491,18 @@ def _followers(bitmaps: Broadcast, homes: _Homes):
     A block has the words of its sequences, then by kind their places there and their counts: entries of depth 1 to ``DEPTH``
     (words from the last one back) and the contexts of depth 2 to ``DEPTH`` (likewise)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _load(bitmaps.value)
+        bits = np.frombuffer(bitmaps.value, np.uint8).reshape(DEPTH, -1)
         held, lists, n, size = [[] for _ in range(DEPTH)], [], 0, 0
 
         def rows():
             code, distinct = pd.factorize(np.concatenate(lists))
+            code = code.astype(np.uint32)
             distinct, kinds, contexts = distinct.astype(np.uint64), [], []
             end = np.array([END], np.uint64)
             for d, some in enumerate(held, start=1):
                 g = np.concatenate([h[0] for h in some])
                 at, count = _merged(g, np.ones(len(g), np.int64))
+                count = count.astype(np.uint32)
                 fields = [code[np.concatenate([h[1][i] for h in some])[at]] for i in range(d + 1)]
                 word, earlier = distinct[fields[1]], distinct[fields[2]] if d > 1 else None
                 if d > 1:
@@ -528,7 +532,7 @@ def _followers(bitmaps: Broadcast, homes: _Homes):
                 for fields, count in mine:
                     fields = [place[f] for f in fields]
                     by = np.argsort(fields[1] << 32 | fields[0])
-                    out += [np.diff(fields[1][by], prepend=0), fields[0][by], *(f[by] for f in fields[2:]), count[by] - 1]
+                    out += [np.diff(fields[1][by], prepend=0), fields[0][by], *(f[by] for f in fields[2:]), count[by] - np.uint32(1)]
                 yield _blocks([(p, _dump(distinct[used], *out))])
 
         for piece in _training(batches):
@@ -544,6 +548,7 @@ def _followers(bitmaps: Broadcast, homes: _Homes):
             if n > SEQUENCES:
                 yield from rows()
                 held, lists, n, size = [[] for _ in range(DEPTH)], [], 0, 0
+                release()
         if lists:
             yield from rows()
 
@@ -869,7 +874,7 @@ def _earlier(piece: _Piece) -> list:
 def _asks(bitmaps: Broadcast, parts: int, turn: int):
     """What a cell's pieces ask the parts of a turn: rows (part, cell, keys), the distinct keys of a part, sorted, as one value."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, now, held = _load(bitmaps.value), None, []
+        bits, now, held = np.frombuffer(bitmaps.value, np.uint8).reshape(DEPTH, -1), None, []
 
         def rows():
             g = _distinct(np.concatenate(held))
@@ -884,6 +889,7 @@ def _asks(bitmaps: Broadcast, parts: int, turn: int):
                     held = []
                 now = cell
                 held.append(_questions(_Piece.load(value.as_py()), bits)[0])
+                release()
                 if sum(len(h) for h in held) > 4 * HELD:
                     held = [_distinct(np.concatenate(held))]
         if now is not None:
@@ -917,7 +923,8 @@ def _answer(asked: pa.Table, told: pa.Table) -> pa.Table:
 
 def _answers(table: pa.Table, keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, rest, c) of a cell's keys, and a last row for keys that have no answer: -1, 1 and 0."""
-    a, rest, c = np.full(len(keys) + 1, -1.0), np.ones(len(keys) + 1), np.zeros(len(keys) + 1)
+    n = len(keys) + 1
+    a, rest, c = np.full(n, -1.0, np.float32), np.ones(n, np.float32), np.zeros(n, np.int64)
     places = dict(_parted(_of_key(keys, parts), parts))
     for part, value in zip(table.column("part").to_pylist(), table.column("block"), strict=True):
         kind, *values = _load(value.as_py())
@@ -938,15 +945,19 @@ def _score(model_parts, bitmaps: Broadcast, parts: int):
         share[known.symbols < known.heavy] = 0.0
         log_count = np.log10(known.counts + 1.0)
         order = np.argsort(left.column("nr").to_numpy()).tolist()
-        pieces = [_Piece.load(left.column("piece")[row].as_py()) for row in order]
-        bits = _load(bitmaps.value)
-        asked = _distinct(np.concatenate([_questions(piece, bits)[0] for piece in pieces]))
+        load = lambda row: _Piece.load(left.column("piece")[row].as_py())
+        bits = np.frombuffer(bitmaps.value, np.uint8).reshape(DEPTH, -1)
+        asked = np.zeros(0, np.uint64)
+        for row in order:
+            asked = _distinct(np.concatenate([asked, _questions(load(row), bits)[0]]))
         a, rest, count = _answers(right, asked, parts)
+        release()
 
         where = _Index(asked).find
         ids, held, columns = [], [], [[] for _ in range(4)]
         begin = int(where(np.array([END], dtype=np.uint64))[0])
-        for row, piece in zip(order, pieces, strict=True):
+        for row in order:
+            piece = load(row)
             n, size = len(piece.size), piece.size
             _, (_, text, place, is_word, back, levels), places = _questions(piece, bits)
             found, symbol, one, two = _piece_symbols(known, piece, text, place, is_word)

@@ -202,7 +202,7 @@ def test_sequences_that_occur_once_are_not_sent(monkeypatch):
     for part, blocks in by_part.items():
         found = suffixtree._taken_twice(bits)(pa.table({"part": [part] * len(blocks), "block": blocks}))
         maps[part // suffixtree.RANGES, part % suffixtree.RANGES] = suffixtree._load(found.column("block")[0].as_py())[0]
-    value = SimpleNamespace(value=suffixtree._dump(*maps.reshape(suffixtree.DEPTH, -1)))
+    value = SimpleNamespace(value=maps.tobytes())
     homes = suffixtree._Homes(4, np.zeros(0, np.uint64), np.zeros(0, np.int64))
     sent, seen = Counter(), [Counter() for _ in range(suffixtree.DEPTH)]
     for r in suffixtree._followers(value, homes)(iter(rows)):
