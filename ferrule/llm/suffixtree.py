@@ -705,8 +705,8 @@ def _tables(pieces: DataFrame, counts: DataFrame, known: Words, n: int, texts: i
     spark, parts = pieces.sparkSession, _parts(n)
     bitmaps = _repeated_slots(pieces, n)
     _forget(spark)
-    many = known.counts * 4 * parts > n
-    shares = np.minimum(-(-known.counts[many] * 4 * parts // max(n, 1)), parts)
+    many = known.counts * parts > n
+    shares = np.minimum(-(-known.counts[many] * parts // max(n, 1)), parts)
     homes = _Homes(parts, known.hashes[many], shares)
     merged = _kept(pieces.select("held", "piece").mapInArrow(releasing(_followers(bitmaps, homes)), "part int, block binary").groupBy(
         "part").applyInArrow(_merge, "part int, block binary"), "tree-sequences")
