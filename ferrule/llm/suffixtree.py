@@ -182,10 +182,14 @@ def _dump(*arrays: np.ndarray) -> bytes:
     return b"".join([np.array(head, "<i8").tobytes(), *body])
 
 
-def _load(value: bytes) -> list[np.ndarray]:
+def _load(value: bytes, last: bool = False) -> list[np.ndarray]:
+    """``last``: of the arrays only the last one."""
     n = int(np.frombuffer(value, "<i8", 1)[0])
     at, out = 8 + 24 * n, []
-    for char, size, length in np.frombuffer(value, "<i8", 3 * n, 8).reshape(n, 3).tolist():
+    for i, (char, size, length) in enumerate(np.frombuffer(value, "<i8", 3 * n, 8).reshape(n, 3).tolist(), start=1):
+        if last and i < n:
+            at += length
+            continue
         kind = np.dtype(chr(char))
         raw = pa.decompress(value[at:at + length], decompressed_size=size * kind.itemsize, codec="zstd", asbytes=True) if size else b""
         out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, size).T).reshape(-1).view(kind))
@@ -383,6 +387,37 @@ def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
+def _possible(bits: np.ndarray, levels: list, place: np.ndarray) -> list[np.ndarray]:
+    """By depth the places of sequences that may occur twice: a slot of their own says so, and those of the two sequences inside."""
+    out, shorter = [], np.ones(len(place), dtype=bool)
+    for d, (_, g) in enumerate(levels, start=1):
+        inside = (place >= d) & shorter
+        if d > 1:
+            inside[1:] &= shorter[:-1]  # what stands before the piece is not known
+        at = np.flatnonzero(inside)
+        out.append(at[_maybe(bits[d - 1], g[at])])
+        shorter = np.zeros(len(place), dtype=bool)
+        shorter[out[-1]] = True
+    return out
+
+
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the place of each key there, their counts; a key and its place are sorted as one number where they fit."""
+    bits = len(keys).bit_length()
+    if len(keys) and int(keys.max()) >> (64 - bits) == 0:
+        packed = np.sort(keys << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64))
+        by, keys = (packed & np.uint64((1 << bits) - 1)).astype(np.int64), packed >> np.uint64(bits)
+    else:
+        by = np.argsort(keys)
+        keys = keys[by]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    at = np.empty(len(keys), dtype=np.int64)
+    at[by] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return keys[first], at, np.diff(first, append=len(keys))
+
+
 def _parted(of: np.ndarray, parts: int) -> list[np.ndarray]:
     """For each part that some keys belong to: (part, their places)."""
     by = np.argsort(of.astype(np.uint16) if parts <= 1 << 16 else of, kind="stable")
@@ -400,7 +435,7 @@ def _blocks(mine: list) -> pa.RecordBatch:
 
 def _merged(keys: np.ndarray, counts: np.ndarray):
     """The place of one of each distinct key, in the order of keys, and their summed counts."""
-    by = np.argsort(keys, kind="stable")
+    by = np.argsort(keys)
     new = np.flatnonzero(np.concatenate([[True], np.diff(keys[by]) != 0])) if len(keys) else np.zeros(0, np.int64)
     return by[new], np.add.reduceat(counts[by], new) if len(keys) else counts
 
@@ -488,66 +523,60 @@ class _Homes(NamedTuple):
 def _followers(bitmaps: Broadcast, homes: _Homes):
     """An Arrow pass over pieces that counts sequences of two words and more: rows (part, block), aggregated within the task.
 
-    A block has the words of its sequences, then by kind their places there and their counts: entries of depth 1 to ``DEPTH``
-    (words from the last one back) and the contexts of depth 2 to ``DEPTH`` (likewise)."""
+    A block has the sorted words of its sequences, then by depth (1 to ``DEPTH``) as many values as the words and the count take: the
+    places of the words before (depth 1) or of the entry one word shorter, as steps, nothing for the words that this entry has, the
+    places of the next words (depth 1) or of the earliest words, the counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmaps.value, np.uint8).reshape(DEPTH, -1)
-        held, lists, n, size = [[] for _ in range(DEPTH)], [], 0, 0
+        held, lists, n, size = [[] for _ in range(DEPTH)], [], [0] * DEPTH, 0
 
         def rows():
-            code, distinct = pd.factorize(np.concatenate(lists))
-            code = code.astype(np.uint32)
-            distinct, kinds, contexts = distinct.astype(np.uint64), [], []
-            end = np.array([END], np.uint64)
+            distinct, code, _ = _ranked(np.concatenate(lists))
+            width = np.uint64(len(distinct).bit_length())
+            low = (np.uint64(1) << width) - np.uint64(1)
+            kinds, at = [], None  # by depth: parts, entries (there may be several parts for one), parents, words, counts
             for d, some in enumerate(held, start=1):
-                g = np.concatenate([h[0] for h in some])
-                at, count = _merged(g, np.ones(len(g), np.int64))
-                count = count.astype(np.uint32)
-                fields = [code[np.concatenate([h[1][i] for h in some])[at]] for i in range(d + 1)]
-                word, earlier = distinct[fields[1]], distinct[fields[2]] if d > 1 else None
-                if d > 1:
-                    kinds.append((homes.of(word, earlier), fields, count))
-                else:  # all parts of a frequent word have what follows it
-                    times = homes.spread(word)
-                    which = np.repeat(np.arange(len(at)), times)
-                    part = (np.repeat(homes.base(word), times) + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)) % homes.parts
-                    kinds.append((part, [f[which] for f in fields], count[which]))
-                if d < DEPTH:  # as a context of the next depth
-                    last = distinct[fields[0]]
-                    some = np.flatnonzero(last != end)
-                    contexts.append((homes.of(last[some], word[some]), [f[some] for f in fields], count[some]))
-            kinds += contexts
-            dealt = [dict(_parted(part, homes.parts)) for part, _, _ in kinds]
-            none = np.zeros(0, np.int64)
+                first, last = (np.concatenate([h[i] for h in some]) for i in (0, 1))
+                parent = code[first] if d == 1 else at[first]
+                key, at, count = _ranked(parent.astype(np.uint64) << width | code[last].astype(np.uint64))
+                parent, word = (key >> width).astype(np.int64), (key & low).astype(np.int64)
+                which = np.arange(len(key))
+                if d == 1:  # all parts of a frequent word have what follows it
+                    before, times = parent, homes.spread(distinct[parent])
+                    which = np.repeat(which, times)
+                    part = (np.repeat(homes.base(distinct[parent]), times) + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)) % homes.parts
+                else:
+                    part = homes.of(distinct[before[parent]], distinct[word]) if d == 2 else part[parent]
+                kinds.append((dict(_parted(part, homes.parts)), which, parent, word, count))
+            none, place = np.zeros(0, np.int64), np.empty(max(len(distinct), *(len(k[4]) for k in kinds)), dtype=np.int64)
             for p in range(homes.parts):
-                used, out = np.zeros(len(distinct), dtype=bool), []
-                mine = [([f[by] for f in fields], count[by]) for (_, fields, count), by in
-                        ((kind, d.get(p, none)) for kind, d in zip(kinds, dealt, strict=True))]
-                for fields, _ in mine:
-                    for f in fields:
-                        used[f] = True
-                if not used.any():
+                mine = [which[dealt.get(p, none)] for dealt, which, _, _, _ in kinds]
+                if not len(mine[0]):
                     continue
-                place = np.cumsum(used) - 1
-                for fields, count in mine:
-                    fields = [place[f] for f in fields]
-                    by = np.argsort(fields[1] << 32 | fields[0])
-                    out += [np.diff(fields[1][by], prepend=0), fields[0][by], *(f[by] for f in fields[2:]), count[by] - np.uint32(1)]
+                used, out, blank = np.zeros(len(distinct), dtype=bool), [], np.zeros(0, np.int64)
+                for d, (some, (_, _, parent, word, _)) in enumerate(zip(mine, kinds, strict=True)):
+                    used[word[some]] = True
+                    if not d:
+                        used[parent[some]] = True
+                at_word = np.cumsum(used) - 1
+                for d, (some, (_, _, parent, word, count)) in enumerate(zip(mine, kinds, strict=True)):
+                    parents = place[parent[some]] if d else at_word[parent[some]]
+                    out += [np.diff(parents, prepend=0), *[blank] * d, at_word[word[some]], count[some] - 1]
+                    place[some] = np.arange(len(some))
                 yield _blocks([(p, _dump(distinct[used], *out))])
 
         for piece in _training(batches):
             keys, _, place, _, back, levels = piece.sequences()
-            at = np.arange(len(place))
-            for d, (_, g) in enumerate(levels, start=1):
-                at = at[place[at] >= d]
-                at = at[_maybe(bits[d - 1], g[at])]
-                held[d - 1].append((g[at], [(b[at] + size).astype(np.uint32) for b in back[:d + 1]]))
-                n += len(at) if d == 1 else 0
+            row = np.empty(len(place), dtype=np.uint32)  # of the sequence one word shorter
+            for d, at in enumerate(_possible(bits, levels, place), start=1):
+                held[d - 1].append(((back[1][at] + size).astype(np.uint32) if d == 1 else row[at], (back[0 if d == 1 else d][at] + size).astype(np.uint32)))
+                row[at] = np.arange(n[d - 1], n[d - 1] + len(at), dtype=np.uint32)
+                n[d - 1] += len(at)
             lists.append(keys)
             size += len(keys)
-            if n > SEQUENCES:
+            if n[0] > SEQUENCES:
                 yield from rows()
-                held, lists, n, size = [[] for _ in range(DEPTH)], [], 0, 0
+                held, lists, n, size = [[] for _ in range(DEPTH)], [], [0] * DEPTH, 0
                 release()
         if lists:
             yield from rows()
@@ -567,17 +596,20 @@ def _merge(table: pa.Table) -> pa.Table:
     """One part's sequences that occur ``MIN_COUNT`` times or more, as one value.
 
     Its words; places of the word before and the next word, and the count of depth 1 (in the order of keys); for each further depth
-    its contexts, their counts, and by entry the place of its context, of the entry of its shorter suffix, and its count."""
-    kinds = [*range(1, DEPTH + 1), *range(1, DEPTH)]
-    found = [[] for _ in kinds]
+    its contexts, and by entry the place of its context, of the entry of its shorter suffix, and its count."""
+    found = [[] for _ in range(DEPTH)]
     for value in table.column("block"):
         distinct, *rest = _load(value.as_py())
-        for kind, depth in enumerate(kinds):
-            mine, rest = [r.astype(np.int64) for r in rest[:depth + 2]], rest[depth + 2:]
-            found[kind].append([distinct[mine[1]], distinct[np.cumsum(mine[0])], *(distinct[m] for m in mine[2:-1]), mine[-1] + 1])
-    found = [[np.concatenate(column) for column in zip(*some, strict=True)] for some in found]
+        fields = []
+        for d in range(DEPTH):
+            (steps, *_, last, count), rest = rest[:d + 3], rest[d + 3:]
+            parent = np.cumsum(steps.astype(np.int64))
+            fields = [distinct[last], distinct[parent]] if not d else [*(f[parent] for f in fields), distinct[last]]
+            found[d].append([*fields, count.astype(np.int64) + 1])
     out, shorter = [], None
-    for depth, (*fields, count) in zip(kinds[:DEPTH], found, strict=False):
+    for depth in range(1, DEPTH + 1):
+        *fields, count = (np.concatenate(column) for column in zip(*found[depth - 1], strict=True))
+        found[depth - 1] = None
         g = _keys_of(fields)
         at, total = _merged(g, count)
         some = total >= MIN_COUNT
@@ -588,13 +620,37 @@ def _merge(table: pa.Table) -> pa.Table:
             out += [distinct, code[len(at):], code[:len(at)], total]
         else:
             x, code = np.unique(_keys_of(fields[1:]), return_inverse=True)
-            *before, times = found[DEPTH + depth - 2]
-            first, summed = _merged(key := _keys_of(before), times)
-            out += [x, summed[np.searchsorted(key[first], x)], code, np.searchsorted(shorter, _keys_of(fields[:-1])), total]
+            out += [x, code, np.searchsorted(shorter, _keys_of(fields[:-1])), total]
         shorter = g[at]
     return pa.table({"part": table.column("part").slice(0, 1).cast(pa.int32()), "block": pa.array([_dump(*out)], pa.binary())})
 
 
+def _totals(homes: _Homes, turn: int):
+    """An Arrow pass over merged parts: rows (part, block), the counts of sequences, for the parts of a turn that may have them as contexts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, value in zip(batch.column("part").to_pylist(), batch.column("block"), strict=True):
+                distinct, before, last, count, *deeper = _load(value.as_py())
+                before, last, entries = distinct[before], distinct[last], []
+                goes_on = homes.base(before) == part  # a frequent word's lie in several parts
+                for depth in range(1, DEPTH):
+                    if depth == 1:
+                        key = _gram(before, last)
+                    else:
+                        (x, code, shorter, count), deeper = deeper[:4], deeper[4:]
+                        before, last, key = before[shorter], last[shorter], _gram(x[code], last[shorter])
+                        goes_on = np.ones(len(key), dtype=bool)
+                    to = homes.of(last, before)
+                    some = goes_on & (last != np.uint64(END)) & (to % TURNS == turn)
+                    entries.append((key[some], count[some].astype(np.int64), to[some]))
+                key, count, to = (np.concatenate(e) for e in zip(*entries, strict=True))
+                by = np.argsort(key)
+                key, count, to = key[by], count[by], to[by]
+                yield _blocks([(p, _dump(key[at], count[at])) for p, at in _parted(to, homes.parts)])
+
+    return run
+
+
 def _asked_counts(known: Words):
     """An Arrow pass over merged parts: rows (part, k), the words that are not frequent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -608,15 +664,19 @@ def _asked_counts(known: Words):
 
 
 def _judged(known: Words, n: int, texts: int, homes: _Homes):
-    """The contexts and entries of a part (left) that stay, by the counts of its words (right): rows (part, block) by key."""
+    """The contexts and entries of a part (left) that stay, by the counts of its words and of its contexts (right): rows (part, block) by key."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return told([])
         distinct, wx, w, c, *deeper = _load(left.column("block")[0].as_py())
         at = known.find(distinct)
         counts = np.where(at >= 0, known.counts[at], 0) if len(known.counts) else np.zeros(len(distinct), np.int64)
-        asked = np.searchsorted(distinct, right.column("k").to_numpy().view(np.uint64))
-        counts[asked] = right.column("c").to_numpy()
+        asked = right.filter(right.column("block").is_null())
+        counts[np.searchsorted(distinct, asked.column("k").to_numpy().view(np.uint64))] = asked.column("c").to_numpy()
+        sums = [_load(b.as_py()) for b in right.column("block").drop_null()]
+        keys, sums = (np.concatenate([np.zeros(0, t), *(v[i] for v in sums)]) for i, t in enumerate((np.uint64, np.int64)))
+        by = np.argsort(keys)
+        keys, sums = keys[by], sums[by]
         counts[distinct == END] = texts
         word = distinct[w]
         entries, contexts = [], []
@@ -624,8 +684,8 @@ def _judged(known: Words, n: int, texts: int, homes: _Homes):
             if depth == 1:
                 x, total, sp, sa = distinct, counts, (counts / n)[w], np.zeros(len(w))
             else:
-                (x, total, wx, s, c), deeper = deeper[:5], deeper[5:]
-                word, sp, sa = word[s], p[s], a[s]
+                (x, wx, s, c), deeper = deeper[:4], deeper[4:]
+                word, sp, sa, total = word[s], p[s], a[s], sums[np.searchsorted(keys, x)]
             q = (c - DISCOUNT) / np.maximum(total, 1)[wx]
             rest = 1 - np.bincount(wx, weights=q, minlength=len(x))
             p = q + rest[wx] * sp
@@ -685,9 +745,8 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
 def _forget(spark: SparkSession, *written: DataFrame) -> None:
     """Delete tables of this run that nothing later reads, and let Spark's cleaner drop the shuffle files that nothing
     refers to any more (it acts when the driver's JVM collects garbage, by itself only every half hour)."""
-    for df in written:
-        if files := df.inputFiles():
-            fs.delete_folder(spark, files[0].rsplit("/", 1)[0])
+    for folder in {f.rsplit("/", 1)[0] for df in written for f in df.inputFiles()}:
+        fs.delete_folder(spark, folder)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -711,12 +770,18 @@ def _tables(pieces: DataFrame, counts: DataFrame, known: Words, n: int, texts: i
     merged = _kept(pieces.select("held", "piece").mapInArrow(releasing(_followers(bitmaps, homes)), "part int, block binary").groupBy(
         "part").applyInArrow(_merge, "part int, block binary"), "tree-sequences")
     _forget(spark)
-    asked = merged.mapInArrow(_asked_counts(known), "part int, k long").join(counts, "k")
-    tables = _kept(merged.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(
-        _judged(known, max(n, 1), texts, homes), "part int, block binary"), "tree-tables")
-    del asked
+    tables = []
+    for turn in range(TURNS):
+        some = merged.where(F.col("part") % TURNS == turn)
+        asked = some.mapInArrow(_asked_counts(known), "part int, k long").join(counts, "k").select("part", "k", "c", F.lit(None).cast("binary").alias("block"))
+        sums = merged.mapInArrow(releasing(_totals(homes, turn)), "part int, block binary")
+        asked = asked.unionByName(sums, allowMissingColumns=True)
+        tables.append(_kept(some.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(
+            _judged(known, max(n, 1), texts, homes), "part int, block binary"), "tree-tables"))
+        del some, asked, sums
+        _forget(spark)
     _forget(spark, merged)
-    return tables, bitmaps
+    return reduce(DataFrame.unionByName, tables), bitmaps
 
 
 def _next_symbols(known: Words, keep: np.ndarray, pairs: np.ndarray):
@@ -786,7 +851,10 @@ def _grow(table: list, parents: list[np.ndarray], rows: list, totals: np.ndarray
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many training texts end in each piece."""
     for batch in batches:
-        n = [len(p.size) - p.goes_on for p in _training([batch])]
+        n = []
+        for held, value in zip(batch.column("held"), batch.column("piece"), strict=True):
+            trains, goes_on = np.frombuffer(held.as_py(), bool) == 0, bool(_load(value.as_py(), last=True)[0][1])
+            n.append(int(trains.sum()) - int(goes_on and trains[-1]))
         yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
 
 
@@ -858,10 +926,9 @@ def _questions(piece: _Piece, bits: list[np.ndarray]):
     _, _, place, _, _, levels = mine
     # with those of the symbols that stand before the piece
     keys, places = [np.array([END], np.uint64), piece.words, *(k for k, _ in _earlier(piece))], []
-    for d, (_, g) in enumerate(levels, start=1):
-        at = np.flatnonzero(place >= d)
-        places.append(at[_maybe(bits[d - 1], g[at])])
-        keys.append(g[places[-1]])
+    for (_, g), at in zip(levels, _possible(bits, levels, place), strict=True):
+        places.append(at)
+        keys.append(g[at])
     return _distinct(np.concatenate(keys)), mine, places
 
 
