@@ -54,7 +54,8 @@ from .tokens import chunks, mixed, release, releasing, words
 ALPHABET, CONTEXTS, FREQUENT, ENTRIES, DIVERGENCE, DISCOUNT = 5_000, 1_000, 100_000, 400_000, 0.01, 0.5
 DEPTH, MIN_COUNT = 3, 2
 CELL = 16 << 20  # bytes of text
-TURNS = 2  # in which the cells ask: what is shuffled at once is that share of the questions and of the tables
+TURNS = 2  # in which parts are judged and asked: what is shuffled at once is that share of them
+CELL_TURNS = 2  # in which the cells ask and are scored
 PIECES = ["cell", "nr", "doc_id", "held", "piece"]
 PIECE = 1 << 18  # words that are laid out at once (and those of a chunk more)
 RANGES = 16  # in which the slots of a level are merged
@@ -62,6 +63,7 @@ END = 0x20  # stands for the end of a text and for its beginning; no word has th
 HELD = 1 << 20  # distinct keys that a task counts before it passes them on
 SEQUENCES = 3 << 18  # places with a sequence of two words that a task holds before it passes them on
 PART_TOKENS, LEAST_PARTS = 1 << 22, 16
+ENTRY_BITS = 1 << 26  # at most, in a level's bitmap of the sequences that the tables may hold
 
 
 class Words(NamedTuple):
@@ -231,16 +233,20 @@ class _Piece(NamedTuple):
         place[text == 0] += len(self.before) - 1
         return text, place, is_word
 
-    def sequences(self):
+    def keys(self):
         """All keys; by symbol its text, place and whether it is a word; the places among the keys of itself, of the one before,
-        up to that ``DEPTH`` before; by depth (key before, key) of the sequences. Those of a depth hold at places of at least the depth."""
+        up to that ``DEPTH`` before."""
         text, place, is_word = self.lay()
         keys = np.concatenate([self.words, np.array([END], np.uint64), self.before])
         end, m = len(self.words), len(self.before)
         line = np.full(DEPTH + len(text), end, dtype=np.int64)  # an end stands for the next text's beginning too
         line[DEPTH - m:DEPTH] = end + 1 + np.arange(m)
         line[DEPTH:][is_word] = self.code
-        back = [line[DEPTH - d:len(line) - d] for d in range(DEPTH + 1)]
+        return keys, text, place, is_word, [line[DEPTH - d:len(line) - d] for d in range(DEPTH + 1)]
+
+    def sequences(self):
+        """As ``keys``, and by depth (key before, key) of the sequences. Those of a depth hold at places of at least the depth."""
+        keys, text, place, is_word, back = self.keys()
         k, levels = keys[back[0]], []
         for d in range(DEPTH):
             if not d:
@@ -486,17 +492,36 @@ def _taken_twice(bits: int):
     return run
 
 
-def _repeated_slots(pieces: DataFrame, n: int) -> Broadcast:
-    """By level a bitmap that rules out sequences that occur once, as one value sent once for all later passes."""
+def _entry_slots(bits: int):
+    """As ``_taken_slots``, an Arrow pass over merged parts, of the sequences there."""
+    width = bits // RANGES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column("block"):
+                mine = []
+                for level, (_, _, g, _) in enumerate(_merged_levels(value.as_py())):
+                    slot = _distinct((g & np.uint64(bits - 1)).astype(np.uint32))
+                    cuts = np.searchsorted(slot, np.arange(RANGES + 1) * width)
+                    for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                        if b > a:
+                            mine.append((level * RANGES + r, _dump(np.diff(slot[a:b].astype(np.int64), prepend=r * width) << 1 | 1)))
+                yield _blocks(mine)
+
+    return run
+
+
+def _bitmaps(rows: DataFrame, slots, n: int, most: int) -> Broadcast:
+    """By level a bitmap of the slots that occur twice, as one value sent once for all later passes."""
     bits = 1 << 16
-    while bits < min(8 * n, BITMAP_BITS):
+    while bits < min(8 * n, most):
         bits *= 2
-    found = pieces.select("held", "piece").mapInArrow(releasing(_taken_slots(bits)), "part int, block binary").groupBy("part").applyInArrow(
+    found = rows.mapInArrow(releasing(slots(bits)), "part int, block binary").groupBy("part").applyInArrow(
         _taken_twice(bits), "part int, block binary")
     out = np.zeros((DEPTH, RANGES, bits // RANGES // 8), dtype=np.uint8)
     for r in found.collect():  # 2 MB a row at most
         out[r.part // RANGES, r.part % RANGES] = _load(bytes(r.block))[0]
-    return pieces.sparkSession.sparkContext.broadcast(out.tobytes())
+    return rows.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
 class _Homes(NamedTuple):
@@ -625,23 +650,28 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({"part": table.column("part").slice(0, 1).cast(pa.int32()), "block": pa.array([_dump(*out)], pa.binary())})
 
 
+def _merged_levels(value: bytes):
+    """Of a merged part, by depth of its entries: the words before the last one, the last ones, the keys, the counts."""
+    distinct, before, last, count, *deeper = _load(value)
+    before, last = distinct[before], distinct[last]
+    yield before, last, _gram(before, last), count
+    while deeper:
+        (x, code, shorter, count), deeper = deeper[:4], deeper[4:]
+        before, last = before[shorter], last[shorter]
+        yield before, last, _gram(x[code], last), count
+
+
 def _totals(homes: _Homes, turn: int):
     """An Arrow pass over merged parts: rows (part, block), the counts of sequences, for the parts of a turn that may have them as contexts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, value in zip(batch.column("part").to_pylist(), batch.column("block"), strict=True):
-                distinct, before, last, count, *deeper = _load(value.as_py())
-                before, last, entries = distinct[before], distinct[last], []
-                goes_on = homes.base(before) == part  # a frequent word's lie in several parts
-                for depth in range(1, DEPTH):
-                    if depth == 1:
-                        key = _gram(before, last)
-                    else:
-                        (x, code, shorter, count), deeper = deeper[:4], deeper[4:]
-                        before, last, key = before[shorter], last[shorter], _gram(x[code], last[shorter])
-                        goes_on = np.ones(len(key), dtype=bool)
+                entries = []
+                for depth, (before, last, key, count) in zip(range(1, DEPTH), _merged_levels(value.as_py()), strict=False):
                     to = homes.of(last, before)
-                    some = goes_on & (last != np.uint64(END)) & (to % TURNS == turn)
+                    some = (last != np.uint64(END)) & (to % TURNS == turn)
+                    if depth == 1:  # a frequent word's lie in several parts
+                        some &= homes.base(before) == part
                     entries.append((key[some], count[some].astype(np.int64), to[some]))
                 key, count, to = (np.concatenate(e) for e in zip(*entries, strict=True))
                 by = np.argsort(key)
@@ -651,18 +681,29 @@ def _totals(homes: _Homes, turn: int):
     return run
 
 
-def _asked_counts(known: Words):
-    """An Arrow pass over merged parts: rows (part, k), the words that are not frequent."""
+def _asked_words(known: Words, parts: int):
+    """An Arrow pass over merged parts: rows (part, home, block), the words that are not frequent, for the parts that count them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, value in zip(batch.column("part").to_pylist(), batch.column("block"), strict=True):
+            for home, value in zip(batch.column("part").to_pylist(), batch.column("block"), strict=True):
                 k = _load(value.as_py())[0]
-                k = k[(known.find(k) < 0) & (k != END)].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), part, np.int32)), pa.array(k)], ["part", "k"])
+                k = k[(known.find(k) < 0) & (k != np.uint64(END))]
+                blocks = _blocks([(p, _dump(k[at])) for p, at in _parted(_of_key(k, parts), parts)])
+                yield pa.RecordBatch.from_arrays([blocks.column(0), pa.array(np.full(len(blocks), home, np.int32)), blocks.column(1)], ["part", "home", "block"])
 
     return run
 
 
+def _word_counts(asked: pa.Table, words_: pa.Table) -> pa.Table:
+    """The counts (right) of the words that are asked for (left) in a part of the words: rows (part, block) by home."""
+    k, c = _load(words_.column("block")[0].as_py())[-2:] if words_.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    blocks = []
+    for value in asked.column("block"):
+        keys = _load(value.as_py())[0]
+        blocks.append(_dump(keys, c[np.searchsorted(k, keys)]))
+    return pa.table({"part": asked.column("home").cast(pa.int32()), "block": pa.array(blocks, pa.binary())})
+
+
 def _judged(known: Words, n: int, texts: int, homes: _Homes):
     """The contexts and entries of a part (left) that stay, by the counts of its words and of its contexts (right): rows (part, block) by key."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -671,12 +712,12 @@ def _judged(known: Words, n: int, texts: int, homes: _Homes):
         distinct, wx, w, c, *deeper = _load(left.column("block")[0].as_py())
         at = known.find(distinct)
         counts = np.where(at >= 0, known.counts[at], 0) if len(known.counts) else np.zeros(len(distinct), np.int64)
-        asked = right.filter(right.column("block").is_null())
-        counts[np.searchsorted(distinct, asked.column("k").to_numpy().view(np.uint64))] = asked.column("c").to_numpy()
-        sums = [_load(b.as_py()) for b in right.column("block").drop_null()]
+        sums = [_load(b.as_py()) for b in right.column("block")]
         keys, sums = (np.concatenate([np.zeros(0, t), *(v[i] for v in sums)]) for i, t in enumerate((np.uint64, np.int64)))
         by = np.argsort(keys)
         keys, sums = keys[by], sums[by]
+        rare = (at < 0) & (distinct != np.uint64(END))
+        counts[rare] = sums[np.searchsorted(keys, distinct[rare])]
         counts[distinct == END] = texts
         word = distinct[w]
         entries, contexts = [], []
@@ -721,16 +762,31 @@ def _told(entries, contexts, parts: int, words_=None) -> list:
     return [(p, _dump(*(x for d in dealt for x in d.get(p, none)))) for p in range(parts) if any(p in d for d in dealt)]
 
 
-def _told_counts(parts: int):
-    """An Arrow pass that packs rows (k, c) of words."""
+def _split_words(parts: int):
+    """An Arrow pass over pieces that counts words: rows (part, block), aggregated within the task."""
+    count = _count(_word_keys)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column("k").to_numpy().view(np.uint64), b.column("c").to_numpy()) for b in batches]
-        if held:
-            yield _blocks(_told(None, None, parts, tuple(np.concatenate(v) for v in zip(*held, strict=True))))
+        for rows in count(batches):
+            yield _blocks(_told(None, None, parts, (rows.column("k").to_numpy().view(np.uint64), rows.column("c").to_numpy())))
 
     return run
 
 
+def _merge_words(table: pa.Table) -> pa.Table:
+    found = [_load(b.as_py()) for b in table.column("block")]
+    k, c = (np.concatenate([f[i] for f in found]) for i in (-2, -1))
+    at, c = _merged(k, c.astype(np.int64))
+    return pa.table({"part": table.column("part").slice(0, 1).cast(pa.int32()), "block": pa.array([_dump(*found[0][:4], k[at], c)], pa.binary())})
+
+
+def _rows_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for value in batch.column("block"):
+            k, c = _load(value.as_py())[-2:]
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["k", "c"])
+
+
 def _kept(df: DataFrame, name: str) -> DataFrame:
     """``materialize``, which drops the shuffle files of the job when the table is written; nothing else reads them."""
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -753,32 +809,34 @@ def _forget(spark: SparkSession, *written: DataFrame) -> None:
 
 def _parts(tokens: int) -> int:
     """In how many parts the sequences of so many tokens are counted and looked up, one in a task's memory at a time."""
-    return max(LEAST_PARTS, -(-tokens // PART_TOKENS))
+    return -(-max(LEAST_PARTS, -(-tokens // PART_TOKENS)) // TURNS) * TURNS
 
 
-def _tables(pieces: DataFrame, counts: DataFrame, known: Words, n: int, texts: int) -> tuple[DataFrame, Broadcast]:
+def _tables(pieces: DataFrame, words_: DataFrame, parts: int, known: Words, n: int, texts: int) -> tuple[DataFrame, Broadcast]:
     """All contexts and entries that stay, as rows (part, block), see ``_told``; by level a bitmap of what may be an entry.
 
     As a context, a sequence leaves ``rest`` of its mass to its suffix; as a context with its next word, it has the
     probability ``a`` without the base's part."""
-    spark, parts = pieces.sparkSession, _parts(n)
-    bitmaps = _repeated_slots(pieces, n)
+    spark = pieces.sparkSession
+    repeated = _bitmaps(pieces.select("held", "piece"), _taken_slots, n, BITMAP_BITS)
     _forget(spark)
     many = known.counts * parts > n
     shares = np.minimum(-(-known.counts[many] * parts // max(n, 1)), parts)
     homes = _Homes(parts, known.hashes[many], shares)
-    merged = _kept(pieces.select("held", "piece").mapInArrow(releasing(_followers(bitmaps, homes)), "part int, block binary").groupBy(
+    merged = _kept(pieces.select("held", "piece").mapInArrow(releasing(_followers(repeated, homes)), "part int, block binary").groupBy(
         "part").applyInArrow(_merge, "part int, block binary"), "tree-sequences")
+    repeated.destroy()
     _forget(spark)
+    bitmaps = _bitmaps(merged, _entry_slots, n, ENTRY_BITS)
     tables = []
     for turn in range(TURNS):
         some = merged.where(F.col("part") % TURNS == turn)
-        asked = some.mapInArrow(_asked_counts(known), "part int, k long").join(counts, "k").select("part", "k", "c", F.lit(None).cast("binary").alias("block"))
-        sums = merged.mapInArrow(releasing(_totals(homes, turn)), "part int, block binary")
-        asked = asked.unionByName(sums, allowMissingColumns=True)
-        tables.append(_kept(some.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(
+        asked = some.mapInArrow(releasing(_asked_words(known, parts)), "part int, home int, block binary")
+        counts = asked.groupBy("part").cogroup(words_.groupBy("part")).applyInArrow(_word_counts, "part int, block binary")
+        sums = merged.mapInArrow(releasing(_totals(homes, turn)), "part int, block binary").unionByName(counts)
+        tables.append(_kept(some.groupBy("part").cogroup(sums.groupBy("part")).applyInArrow(
             _judged(known, max(n, 1), texts, homes), "part int, block binary"), "tree-tables"))
-        del some, asked, sums
+        del some, asked, counts, sums
         _forget(spark)
     _forget(spark, merged)
     return reduce(DataFrame.unionByName, tables), bitmaps
@@ -812,6 +870,8 @@ class Model(NamedTuple):
     known: Words
     tree: Tree
     counts: DataFrame  # (k, c) of every training word
+    words: DataFrame   # the same as rows (part, block), see ``_told``
+    parts: int
     tokens: int
     distinct: int
     texts: int
@@ -863,7 +923,10 @@ def learn(docs: DataFrame, text: str = "text") -> Model:
     short_batches(docs.sparkSession)
     pieces = docs if docs.columns == PIECES else _split(docs.withColumn("__id", F.lit(0)), "__id", text, F.lit(False))
     rows = pieces.select("held", "piece")
-    counts = _kept(rows.mapInArrow(releasing(_count(_word_keys)), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")), "tree-words")
+    parts = _parts(pieces.count() * PIECE)
+    counted = _kept(rows.mapInArrow(releasing(_split_words(parts)), "part int, block binary").groupBy("part").applyInArrow(
+        _merge_words, "part int, block binary"), "tree-words")
+    counts = counted.mapInArrow(releasing(_rows_of_words), "k long, c long")
     texts = int(rows.mapInArrow(_texts, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total.n) + texts, int(total.v) + (texts > 0)
@@ -917,19 +980,19 @@ def learn(docs: DataFrame, text: str = "text") -> Model:
             states = np.array(_grow(table, parents, followers(pairs, len(pairs)), pair_counts), dtype=np.int64)
             pairs, states = pairs[states >= 0], states[states >= 0]
     tree = Tree(one, pairs, states, np.log10(np.array(table)).astype(np.float32))
-    return Model(known, tree, counts, n, v, texts, discount, class_tokens, class_words, *_tables(pieces, counts, known, n, texts))
+    return Model(known, tree, counts, counted, parts, n, v, texts, discount, class_tokens, class_words,
+                 *_tables(pieces, counted, parts, known, n, texts))
 
 
 def _questions(piece: _Piece, bits: list[np.ndarray]):
-    """The distinct keys that a piece asks for; its ``sequences``, and by depth the places of those that may be an entry."""
-    mine = piece.sequences()
-    _, _, place, _, _, levels = mine
-    # with those of the symbols that stand before the piece
+    """The keys that a piece asks for: the end, its words, those of what stands before it, by depth those of sequences that may be an
+    entry; by depth the places of these."""
+    _, _, place, _, _, levels = piece.sequences()
     keys, places = [np.array([END], np.uint64), piece.words, *(k for k, _ in _earlier(piece))], []
     for (_, g), at in zip(levels, _possible(bits, levels, place), strict=True):
         places.append(at)
         keys.append(g[at])
-    return _distinct(np.concatenate(keys)), mine, places
+    return np.concatenate(keys), places
 
 
 def _earlier(piece: _Piece) -> list:
@@ -945,7 +1008,7 @@ def _asks(bitmaps: Broadcast, parts: int, turn: int):
 
         def rows():
             g = _distinct(np.concatenate(held))
-            mine = [(p, _dump(g[at])) for p, at in _parted(_of_key(g, parts), parts) if p % TURNS == turn]
+            mine = [(p, _dump(g[at])) for p, at in _parted(_of_key(g, parts), parts)]
             return pa.RecordBatch.from_arrays([pa.array([m[0] for m in mine], pa.int32()), pa.array([now] * len(mine), pa.int64()),
                                                pa.array([m[1] for m in mine], pa.binary())], ["part", "cell", "keys"])
 
@@ -955,7 +1018,8 @@ def _asks(bitmaps: Broadcast, parts: int, turn: int):
                     yield rows()
                     held = []
                 now = cell
-                held.append(_questions(_Piece.load(value.as_py()), bits)[0])
+                keys = _questions(_Piece.load(value.as_py()), bits)[0]
+                held.append(_distinct(keys[keys % np.uint64(TURNS) == turn]))  # the number of parts is a multiple of that of turns
                 release()
                 if sum(len(h) for h in held) > 4 * HELD:
                     held = [_distinct(np.concatenate(held))]
@@ -1014,19 +1078,24 @@ def _score(model_parts, bitmaps: Broadcast, parts: int):
         order = np.argsort(left.column("nr").to_numpy()).tolist()
         load = lambda row: _Piece.load(left.column("piece")[row].as_py())
         bits = np.frombuffer(bitmaps.value, np.uint8).reshape(DEPTH, -1)
-        asked = np.zeros(0, np.uint64)
+        questions = {}
         for row in order:
-            asked = _distinct(np.concatenate([asked, _questions(load(row), bits)[0]]))
+            keys, places = _questions(load(row), bits)
+            questions[row] = keys, [at.astype(np.uint32) for at in places]
+            release()
+        asked = _distinct(np.concatenate([keys for keys, _ in questions.values()]))
         a, rest, count = _answers(right, asked, parts)
         release()
 
         where = _Index(asked).find
         ids, held, columns = [], [], [[] for _ in range(4)]
-        begin = int(where(np.array([END], dtype=np.uint64))[0])
         for row in order:
             piece = load(row)
             n, size = len(piece.size), piece.size
-            _, (_, text, place, is_word, back, levels), places = _questions(piece, bits)
+            _, text, place, is_word, back = piece.keys()
+            keys, places = questions.pop(row)
+            asks = np.split(where(keys), np.cumsum([1, len(piece.words), *[1] * DEPTH, *(len(at) for at in places)])[:-1])
+            begin, own, earlier, entries = int(asks[0][0]), asks[1], asks[2:2 + DEPTH], asks[2 + DEPTH:]
             found, symbol, one, two = _piece_symbols(known, piece, text, place, is_word)
             state = tree.one[one]
             if len(tree.pairs):
@@ -1034,7 +1103,6 @@ def _score(model_parts, bitmaps: Broadcast, parts: int):
                 near = np.minimum(np.searchsorted(tree.pairs, pair), len(tree.pairs) - 1)
                 state = np.where(tree.pairs[near] == pair, tree.states[near], state)
             # by distinct word
-            own = where(piece.words)
             counted, hit = count[own], found >= 0
             last = (piece.words & np.uint64(255)).astype(np.int64)
             part, logs = np.zeros(len(own)), np.log10(counted + 1.0)
@@ -1051,11 +1119,11 @@ def _score(model_parts, bitmaps: Broadcast, parts: int):
             # the tables' part, from the shortest context to the longest
             upper, left_over = np.zeros(len(text)), np.ones(len(text))
             ends = np.concatenate([own, [begin]])[back[0]]
-            for d, ((_, g), at, (before, whole)) in enumerate(zip(levels, places, _earlier(piece), strict=True), start=1):
-                context = np.concatenate([where(before) if whole else [len(asked)], ends[:-1]])
+            for d, (at, here, before, (_, whole)) in enumerate(zip(places, entries, earlier, _earlier(piece), strict=True), start=1):
+                context = np.concatenate([before if whole else [len(asked)], ends[:-1]])
                 r = np.where(place >= d, rest[context], 1.0)
                 ends = np.full(len(text), len(asked))
-                ends[at] = where(g[at])
+                ends[at] = here
                 mine = a[ends]
                 upper = np.where(mine >= 0, mine, r * upper)
                 left_over *= r
@@ -1096,16 +1164,16 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     m = learn(pieces)
     model = (m.known, m.tree, np.maximum(m.class_tokens, 1), m.class_words, m.discount, m.texts)
     kind = pieces.schema["doc_id"].dataType.elementType.simpleString()
-    parts = _parts(m.tokens)
-    # rare words are answered by their counts
-    rare = m.counts.where(F.col("c") * FREQUENT < m.tokens).mapInArrow(releasing(_told_counts(parts)), "part int, block binary")
-    told = m.tables.unionByName(rare)
-    answers = [_answered(pieces, told, m.repeated, parts, turn) for turn in range(TURNS)]
-    n_tokens, log_tokens, tables, answers = m.tokens, float(np.log10(m.tokens + m.distinct + 1)), m.tables, reduce(DataFrame.unionByName, answers)
-    del rare, told
-    _forget(spark, tables)
-    out = pieces.groupBy("cell").cogroup(answers.groupBy("cell")).applyInArrow(
-        _score(model, m.repeated, parts), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
-    return out.select(
+    n_tokens, log_tokens = m.tokens, float(np.log10(m.tokens + m.distinct + 1))
+    told, scored = m.tables.unionByName(m.words), []
+    for turn in range(CELL_TURNS):
+        some = pieces.where(F.pmod(F.xxhash64("cell"), F.lit(CELL_TURNS)) == turn)
+        answers = [_answered(some, told, m.repeated, m.parts, t) for t in range(TURNS)]
+        scored.append(_kept(some.groupBy("cell").cogroup(reduce(DataFrame.unionByName, answers).groupBy("cell")).applyInArrow(
+            _score(model, m.repeated, m.parts), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"), "tree-scores"))
+        _forget(spark, *answers)
+    _forget(spark, told, pieces)
+    m.repeated.destroy()
+    return reduce(DataFrame.unionByName, scored).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * log_tokens).alias("base_score"), "score")
