@@ -33,6 +33,7 @@ names. No documents: no rows.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 from collections.abc import Iterator
 from functools import reduce
@@ -519,7 +520,9 @@ def _bitmaps(rows: DataFrame, slots, n: int, most: int) -> Broadcast:
     found = rows.mapInArrow(releasing(slots(bits)), "part int, block binary").groupBy("part").applyInArrow(
         _taken_twice(bits), "part int, block binary")
     out = np.zeros((DEPTH, RANGES, bits // RANGES // 8), dtype=np.uint8)
-    for r in found.collect():  # 2 MB a row at most
+    with _cleaned(rows.sparkSession):
+        blocks = found.collect()  # 2 MB a row at most
+    for r in blocks:
         out[r.part // RANGES, r.part % RANGES] = _load(bytes(r.block))[0]
     return rows.sparkSession.sparkContext.broadcast(out.tobytes())
 
@@ -609,11 +612,11 @@ def _followers(bitmaps: Broadcast, homes: _Homes):
     return run
 
 
-def _keys_of(fields: list[np.ndarray]) -> np.ndarray:
-    """Keys of sequences from their words, the last one first."""
-    g = fields[-1]
+def _keys_of(fields: list[np.ndarray], words_: np.ndarray | None = None) -> np.ndarray:
+    """Keys of sequences from their words (or the places of these in ``words_``), the last one first."""
+    g = fields[-1] if words_ is None else words_[fields[-1]]
     for f in fields[-2::-1]:
-        g = _gram(g, f)
+        g = _gram(g, f if words_ is None else words_[f])
     return g
 
 
@@ -622,30 +625,31 @@ def _merge(table: pa.Table) -> pa.Table:
 
     Its words; places of the word before and the next word, and the count of depth 1 (in the order of keys); for each further depth
     its contexts, and by entry the place of its context, of the entry of its shorter suffix, and its count."""
-    found = [[] for _ in range(DEPTH)]
-    for value in table.column("block"):
-        distinct, *rest = _load(value.as_py())
-        fields = []
-        for d in range(DEPTH):
-            (steps, *_, last, count), rest = rest[:d + 3], rest[d + 3:]
-            parent = np.cumsum(steps.astype(np.int64))
-            fields = [distinct[last], distinct[parent]] if not d else [*(f[parent] for f in fields), distinct[last]]
-            found[d].append([*fields, count.astype(np.int64) + 1])
-    out, shorter = [], None
+    blocks = [_load(value.as_py()) for value in table.column("block")]
+    distinct, code = np.unique(np.concatenate([b[0] for b in blocks]), return_inverse=True)
+    places = np.split(code.astype(np.uint32), np.cumsum([len(b.pop(0)) for b in blocks])[:-1])
+    out, shorter, fields = [], None, [[]] * len(blocks)  # by block the places of the words, the last one first
     for depth in range(1, DEPTH + 1):
-        *fields, count = (np.concatenate(column) for column in zip(*found[depth - 1], strict=True))
-        found[depth - 1] = None
-        g = _keys_of(fields)
-        at, total = _merged(g, count)
+        counts = []
+        for i, (block, own) in enumerate(zip(blocks, places, strict=True)):
+            (steps, *_, last, count), block[:] = block[:depth + 2], block[depth + 2:]
+            parent = np.cumsum(steps, dtype=np.int64)
+            fields[i] = [own[last], own[parent]] if depth == 1 else [*(f[parent] for f in fields[i]), own[last]]
+            counts.append(count)
+        words_ = [np.concatenate(column) for column in zip(*fields, strict=True)]
+        g = _keys_of(words_, distinct)
+        at, total = _merged(g, np.concatenate(counts).astype(np.int64) + 1)
         some = total >= MIN_COUNT
         at, total = at[some], total[some]
-        fields = [f[at] for f in fields]
+        words_ = [w[at] for w in words_]
         if depth == 1:
-            distinct, code = np.unique(np.concatenate(fields), return_inverse=True)
-            out += [distinct, code[len(at):], code[:len(at)], total]
+            used = np.zeros(len(distinct), dtype=bool)
+            used[words_[0]] = used[words_[1]] = True
+            place = np.cumsum(used) - 1
+            out += [distinct[used], place[words_[1]], place[words_[0]], total]
         else:
-            x, code = np.unique(_keys_of(fields[1:]), return_inverse=True)
-            out += [x, code, np.searchsorted(shorter, _keys_of(fields[:-1])), total]
+            x, code = np.unique(_keys_of(words_[1:], distinct), return_inverse=True)
+            out += [x, code, np.searchsorted(shorter, _keys_of(words_[:-1], distinct)), total]
         shorter = g[at]
     return pa.table({"part": table.column("part").slice(0, 1).cast(pa.int32()), "block": pa.array([_dump(*out)], pa.binary())})
 
@@ -787,17 +791,24 @@ def _rows_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["k", "c"])
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """``materialize``, which drops the shuffle files of the job when the table is written; nothing else reads them."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession):
+    """Spark drops the shuffle files of a job here when the job ends; nothing else reads them."""
+    conf, key = spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key, None)
     conf.set(key, "true")
     try:
-        return materialize(df, name)
+        yield
     finally:
         conf.unset(key) if before is None else conf.set(key, before)
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``materialize``, without the shuffle files of the job when the table is written."""
+    with _cleaned(df.sparkSession):
+        return materialize(df, name)
+
+
 def _forget(spark: SparkSession, *written: DataFrame) -> None:
     """Delete tables of this run that nothing later reads, and let Spark's cleaner drop the shuffle files that nothing
     refers to any more (it acts when the driver's JVM collects garbage, by itself only every half hour)."""

@@ -220,6 +220,47 @@ def test_sequences_that_occur_once_are_not_sent(monkeypatch):
         assert 0 < twice <= sent[d] < twice + 0.05 * len(seen[d - 1])
 
 
+def test_sequences_are_sent_with_what_they_share(monkeypatch):
+    """Blocks of several tasks' worth hold every count once, beside the entry one word shorter, and merge to plain counts."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, 300)) for _ in range(40)]
+    rows = pieces_of(monkeypatch, texts, 500)
+    bits = SimpleNamespace(value=np.full((suffixtree.DEPTH, 1 << 13), 255, np.uint8).tobytes())
+    often = np.sort(suffixtree._Piece.load(rows[0].column("piece")[0].as_py()).words)[:3]
+    homes = suffixtree._Homes(6, often, np.array([2, 6, 3]))
+    monkeypatch.setattr(suffixtree, "SEQUENCES", 3000)
+    by_part = {}
+    for r in suffixtree._followers(bits, homes)(iter(rows)):
+        for part, block in zip(r.column("part").to_pylist(), r.column("block").to_pylist(), strict=True):
+            by_part.setdefault(part, []).append(block)
+            _, *values = suffixtree._load(block)
+            assert [len(v) for v in values[4:5]] == [0] and [len(v) for v in values[8:10]] == [0, 0]  # words that the shorter entry has
+    assert max(len(b) for b in by_part.values()) > 2
+    got = [Counter() for _ in range(suffixtree.DEPTH)]
+    for part, blocks in by_part.items():
+        merged = suffixtree._merge(pa.table({"part": [part] * len(blocks), "block": blocks})).column("block")[0].as_py()
+        for d, (before, _, key, count) in enumerate(suffixtree._merged_levels(merged)):
+            mine = np.ones(len(key), bool) if d else homes.base(before) == part
+            assert not set(got[d]) & set(key[mine].tolist())
+            got[d].update(dict(zip(key[mine].tolist(), count[mine].tolist(), strict=True)))
+    want = [Counter() for _ in range(suffixtree.DEPTH)]
+    for p in suffixtree._training(iter(rows)):
+        _, _, place, _, _, levels = p.sequences()
+        for d, (_, g) in enumerate(levels):
+            want[d].update(g[place > d].tolist())
+    assert got == [Counter({k: c for k, c in w.items() if c > 1}) for w in want]
+
+
+def test_a_sequence_counts_only_if_those_inside_do():
+    g = np.arange(1, 7, dtype=np.uint64) * np.uint64(8)  # slots by depth
+    levels, place = [(g, g)] * suffixtree.DEPTH, np.array([1, 2, 3, 4, 1, 2])
+    bits = np.zeros((suffixtree.DEPTH, 16), np.uint8)
+    bits[0, [1, 2, 4, 5, 6]] = 1  # all but the third
+    bits[1:] = 1
+    found = suffixtree._possible(bits, levels, place)
+    assert [f.tolist() for f in found] == [[0, 1, 3, 4, 5], [1, 5], []]
+
+
 def test_a_text_in_several_pieces_is_one_row(spark):
     docs = [(1, "a b c " * 450_000), (2, "a b d")]  # more words than a piece has
     rows = suffixtree.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), F.lit(False)).collect()
