@@ -20,8 +20,8 @@ Texts are split into words once: ``_pieces`` writes the words of some texts as p
 and every later pass reads that. Counting deals a sequence by the word before its last one (for a frequent word, by the one
 before that too), so a part has all shorter suffixes of its contexts and judges them by itself; a task sends one packed
 value a part, not a row a sequence, and numpy merges the values of a part. A pass before it sends only slots of hashes,
-about a byte a sequence, to find the slots that occur twice; sequences of other slots occur once and are not sent (a
-bitmap of 16 MB at most a level, which only skips work). Texts are scored by cells of ``CELL`` bytes or so: a cell
+about a byte a sequence, to find the slots that occur twice; sequences of other slots, or with such a sequence inside, occur once
+and are not sent (a bitmap of 16 MB at most a level, which only skips work). Texts are scored by cells of ``CELL`` bytes or so: a cell
 asks once for each of its distinct words and word sequences that the tables may hold, each part answers in the order of
 the questions, and the answers meet the cell's texts. So a hot sequence costs an entry a cell, not one a token.
 
@@ -54,7 +54,7 @@ from .tokens import chunks, mixed, release, releasing, words
 
 ALPHABET, CONTEXTS, FREQUENT, ENTRIES, DIVERGENCE, DISCOUNT = 5_000, 1_000, 100_000, 400_000, 0.01, 0.5
 DEPTH, MIN_COUNT = 3, 2
-CELL = 16 << 20  # bytes of text
+CELL = 8 << 20  # bytes of text
 TURNS = 2  # in which parts are judged and asked: what is shuffled at once is that share of them
 CELL_TURNS = 2  # in which the cells ask and are scored
 PIECES = ["cell", "nr", "doc_id", "held", "piece"]
@@ -1089,12 +1089,12 @@ def _score(model_parts, bitmaps: Broadcast, parts: int):
         order = np.argsort(left.column("nr").to_numpy()).tolist()
         load = lambda row: _Piece.load(left.column("piece")[row].as_py())
         bits = np.frombuffer(bitmaps.value, np.uint8).reshape(DEPTH, -1)
-        questions = {}
+        questions, asked = {}, np.zeros(0, np.uint64)
         for row in order:
             keys, places = _questions(load(row), bits)
             questions[row] = keys, [at.astype(np.uint32) for at in places]
+            asked = _distinct(np.concatenate([asked, _distinct(keys)]))
             release()
-        asked = _distinct(np.concatenate([keys for keys, _ in questions.values()]))
         a, rest, count = _answers(right, asked, parts)
         release()
 
@@ -1146,6 +1146,7 @@ def _score(model_parts, bitmaps: Broadcast, parts: int):
                     column[-1][-1] += value[0]
                 if n > piece.runs_on:
                     column.append(value[own_texts])
+            release()
             ids.append(left.column("doc_id")[row].values.slice(int(piece.runs_on)))
             held.append(np.frombuffer(left.column("held")[row].as_py(), bool)[own_texts])
         return pa.Table.from_arrays(
