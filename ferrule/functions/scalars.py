@@ -247,7 +247,8 @@ def day_key_sql(ts: str) -> str:
 
 
 def base_name(path: Column | str) -> Column:
-    return F.regexp_extract(_col(path), r"([^/\\]*)$", 1)
+    # a regular expression would try every place of the path
+    return F.substring_index(F.substring_index(_col(path), "/", -1), "\\", -1)
 
 
 def base_name_sql(path: str) -> str:

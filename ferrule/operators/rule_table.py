@@ -133,7 +133,11 @@ def validate_tables(rows: DataFrame, tabs: DataFrame, catalog: Catalog) -> DataF
     """``rows`` (path, tab, mode, gate_id, key_column, row map) with rule_id, rule_column and rule_message; NULL is accepted.
 
     ``tabs`` has one row per (path, tab): target_table and header.  Rows may belong to any number of tables."""
-    joined = rows.join(tab_facts(tabs, catalog), ["path", "tab"])
+    return judge(rows.join(tab_facts(tabs, catalog), ["path", "tab"]))
+
+
+def judge(rows: DataFrame) -> DataFrame:
+    """``validate_tables`` for rows that have their tab's facts (``_cells``, see ``tab_facts``) with them."""
     key, update = F.col("key_column"), F.col("mode") == "update"
     entries = F.map_entries("row")
 
@@ -145,10 +149,11 @@ def validate_tables(rows: DataFrame, tabs: DataFrame, catalog: Catalog) -> DataF
         facts = s["facts"]
         own_key = update & F.coalesce(F.lower(s["name"]) == F.lower(key), F.lit(False))
         rule = F.when(facts.isNull(), "C6").otherwise(_let(cell(F.get(cells, i), s["name"]), lambda c: cell_rule(c, facts, own_key)))
-        return F.struct(rule.alias("rule_id"), s["name"].alias("rule_column"),
-                        F.when(facts.isNotNull(), facts["_type"]).alias("data_type"))
+        # nothing is made for a cell that is fine
+        return _let(rule, lambda r: F.when(r.isNotNull(), F.struct(
+            r.alias("rule_id"), s["name"].alias("rule_column"), F.when(facts.isNotNull(), facts["_type"]).alias("data_type"))))
 
-    failed = _let(entries, lambda cells: F.filter(F.transform("_cells", lambda s, i: judged(s, i, cells)), lambda r: r["rule_id"].isNotNull()))
+    failed = _let(entries, lambda cells: F.filter(F.transform("_cells", lambda s, i: judged(s, i, cells)), lambda r: r.isNotNull()))
     gate, none = F.col("gate_id"), F.lit(None).cast("string")
 
     def reject(rule_id: Column, column: Column = none, data_type: Column = none) -> Column:
@@ -162,5 +167,5 @@ def validate_tables(rows: DataFrame, tabs: DataFrame, catalog: Catalog) -> DataF
     texts = F.create_map(*[x for k, v in RULE_TEXT.items() for x in (F.lit(k), F.lit(v))])
     rule = F.col("_reject")
     message = F.concat(texts[rule["rule_id"]], F.coalesce(F.concat(F.lit(" ("), rule["data_type"], F.lit(")")), F.lit("")))
-    return joined.withColumn("_reject", outcome).drop("_cells").select(
-        *rows.columns, rule["rule_id"].alias("rule_id"), rule["rule_column"].alias("rule_column"), message.alias("rule_message"))
+    return rows.withColumn("_reject", outcome).select(
+        *[c for c in rows.columns if c != "_cells"], rule["rule_id"].alias("rule_id"), rule["rule_column"].alias("rule_column"), message.alias("rule_message"))

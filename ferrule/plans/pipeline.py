@@ -31,7 +31,7 @@ from ..operators import quarantine as Q
 from ..operators import rules as R
 from ..operators.catalog import Catalog, TableSpec
 from ..operators.gates import tab_gates
-from ..operators.rule_table import validate_tables
+from ..operators.rule_table import judge, tab_facts
 from ..operators.skipping import touched
 from ..operators.tables import PART, TableStore, part_key
 from ..session import scratch_dir
@@ -102,40 +102,53 @@ def run(spark: SparkSession, parsed: DataFrame, catalog: Catalog, store: TableSt
     env = EV.envelopes(parsed).join(order, ["path", "tab"])
     gates = tab_gates(env, catalog).select("path", "tab", "mode", "gate_id", "key_column")
     tabs = env.join(gates, ["path", "tab"]).persist(StorageLevel.MEMORY_AND_DISK)
-    split = EV.split_rows(parsed, tabs.withColumn("_header", F.col("header"))).persist(StorageLevel.MEMORY_AND_DISK)
-    events = run_rows(spark, tabs, split, catalog, store, cfg, settings)
-    for df in (split, tabs, parsed):
+    places = _places(parsed.where("row_no > 2").withColumn("chunk", EV.chunk()), tabs, catalog)
+    events = run_rows(spark, tabs, EV.split_rows(parsed, places.withColumn("_header", F.col("header"))), catalog, store, cfg, settings)
+    for df in (places, tabs, parsed):
         df.unpersist()
     return events
 
 
+def _places(rows: DataFrame, tabs: DataFrame, catalog: Catalog) -> DataFrame:
+    """What the rows of a tab need of it, with its columns' facts, once for each chunk of its rows: no task holds a whole tab.
+
+    It is made at once, so that Spark plans the join by its true size."""
+    places = EV.by_chunk(rows, tabs.join(tab_facts(tabs, catalog), ["path", "tab"])).persist(StorageLevel.MEMORY_AND_DISK)
+    places.count()
+    return places
+
+
 def run_batch(spark: SparkSession, batch: DataFrame, catalog: Catalog, store: TableStore, cfg: RunConfig,
               settings: DataFrame | None = None) -> DataFrame:
     """A large batch that arrives as a table (Parquet, JDBC, flattened XML): the lineage columns TAB, target_table and
     row_no, and one text column per header cell; every tab has all of them."""
     header = [c for c in batch.columns if c not in (*LINEAGE_KEEP, "target_table")]
     names = F.array(*[F.lit(h) for h in header])
-    env = batch.groupBy("path", "tab", "target_table", "authors").agg(
+    batch = batch.withColumn("_chunk", EV.chunk())
+    chunks = batch.groupBy("path", "tab", "target_table", "authors", F.col("_chunk").alias("chunk")).agg(
         F.min("file_seq").alias("file_seq"), F.min("tab_seq").alias("tab_seq"), F.count(F.lit(1)).alias("n_rows"))
-    env = env.groupBy("path", "tab").agg(
+    chunks = chunks.persist(StorageLevel.MEMORY_AND_DISK)
+    env = chunks.groupBy("path", "tab").agg(
         F.min("target_table").alias("target_table"), F.min("file_seq").alias("file_seq"), F.min("tab_seq").alias("tab_seq"),
         F.max("authors").alias("authors"), F.sum("n_rows").alias("n_rows")).withColumn("header", names)
     tabs = env.join(tab_gates(env, catalog).select("path", "tab", "mode", "gate_id", "key_column"), ["path", "tab"])
     tabs = tabs.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = batch.select("path", "tab", "row_no", Q.row_map(header).alias("row")).join(
-        tabs.withColumnRenamed("header", "_header").drop("n_rows"), ["path", "tab"])
+    places = _places(chunks, tabs, catalog)
+    rows = batch.select("path", "tab", F.col("_chunk").alias("chunk"), "row_no", Q.row_map(header).alias("row")).join(
+        places.withColumnRenamed("header", "_header").drop("n_rows"), ["path", "tab", "chunk"]).drop("chunk")
     events = run_rows(spark, tabs, rows, catalog, store, cfg, settings)
-    tabs.unpersist()
+    for df in (places, tabs, chunks):
+        df.unpersist()
     return events
 
 
 def run_rows(spark: SparkSession, tabs: DataFrame, rows: DataFrame, catalog: Catalog, store: TableStore, cfg: RunConfig,
              settings: DataFrame | None = None) -> DataFrame:
     """The run over judged tabs (one row each: TAB, target_table, header, mode, gate_id, key_column, n_rows) and their
-    data rows (TAB, target_table, mode, gate_id, key_column, _header, row_no, row map)."""
+    data rows (TAB, target_table, mode, gate_id, key_column, _header, _cells, row_no, row map)."""
     looked = ~_stopped()
     # all rows of all tables are judged in one plan; what a table's keys reject (D2) is found with its changes
-    judged = _written(validate_tables(rows.where(looked), tabs.where(looked), catalog))
+    judged = _written(judge(rows.where(looked)))
     _write_dynamic(_gated(tabs, rows, cfg.run_id).unionByName(_rejected(judged, cfg.run_id)), cfg.quarantine_path, ["run_id", "part"])
     shapes: dict[str, list[Shape]] = {}
     for r in tabs.where(looked & F.col("gate_id").isNull()).select("target_table", "mode", "header", "key_column").distinct().collect():
@@ -305,7 +318,8 @@ def _changes(table: str, spec, shapes: list[Shape], store: TableStore, inserted,
     for key in sorted({_key(spec, s) for s in shapes}):
         mine = [s for s in shapes if _key(spec, s) == key]
         batch = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
-            _with_set(s.accepted, key) for s in mine])
+            _with_set(s.accepted, key) for s in mine]).persist(StorageLevel.MEMORY_AND_DISK)      # cells are cast once
+        held.append(batch)
         # keys meet as the column's collation compares them; the target's rows are looked up by ranges and bits of the batch's keys
         collation = spec.column(key).collation
         alike = A.compared(F.col(key), collation).alias(A.COMPARED)
@@ -334,17 +348,21 @@ def _changes(table: str, spec, shapes: list[Shape], store: TableStore, inserted,
                 one = one.withColumn(f"_n_{c}", F.lit(None).cast(schema[c].dataType))
         old = hits.select(*[F.col(c).alias(f"_o_{c}") for c in needed], F.col(key).cast("string").alias("_key_text"), A.COMPARED, PART, "_born")
         found.append(one.join(old, A.COMPARED).where(F.col("_born").isNull() | (F.col("_born") < seq))
-                     .withColumn("_key", F.lit(key)).drop(A.COMPARED))
-    changes = reduce(DataFrame.unionByName, found)
-    w = Window.partitionBy(*[f"_o_{c}" for c in pk]).orderBy(*[f"_l_{c}" for c in ORDER])
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for c in columns:
-        given = F.when(F.array_contains("_set", c), F.struct(F.col(f"_n_{c}").alias("v")))
-        prev, now = F.last(given, ignorenulls=True).over(before), F.last(given, ignorenulls=True).over(after)
-        changes = changes.withColumn(f"_b_{c}", F.when(prev.isNotNull(), prev["v"]).otherwise(F.col(f"_o_{c}")))
-        changes = changes.withColumn(f"_a_{c}", now)
-    latest = F.row_number().over(Window.partitionBy(*[f"_o_{c}" for c in pk]).orderBy(*[F.desc(f"_l_{c}") for c in ORDER]))
-    return changes.withColumn("_latest", latest == 1), reduce(DataFrame.unionByName, missing), held
+                     .withColumn("_key", F.lit(key)))
+    # under one key, rows that are one target row already lie together by it
+    together = [A.COMPARED] if len(found) == 1 else []
+    changes = found[0] if together else reduce(DataFrame.unionByName, [f.drop(A.COMPARED) for f in found])
+    # all columns by one window: a window each would sort and copy the rows once for every column
+    w = Window.partitionBy(*together, *[f"_o_{c}" for c in pk]).orderBy(*[f"_l_{c}" for c in ORDER])
+    given = {c: F.when(F.array_contains("_set", c), F.struct(F.col(f"_n_{c}").alias("v"))) for c in columns}
+    changes = changes.select("*", *[g.alias(f"_g_{c}") for c, g in given.items()]).select(
+        "*", F.lead(F.lit(True)).over(w).isNull().alias("_latest"),
+        *[F.last(f"_g_{c}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_p_{c}") for c in columns])
+    changes = changes.select(
+        *[f"_l_{c}" for c in LINEAGE_KEEP], "_set", "_key", "_key_text", PART, "_born", "_latest", *[f"_o_{c}" for c in pk],
+        *[F.when(F.col(f"_p_{c}").isNotNull(), F.col(f"_p_{c}")["v"]).otherwise(F.col(f"_o_{c}")).alias(f"_b_{c}") for c in columns],
+        *[F.coalesce(f"_g_{c}", f"_p_{c}").alias(f"_a_{c}") for c in columns])
+    return changes, reduce(DataFrame.unionByName, missing), held
 
 
 def _key(spec, shape: Shape) -> str:

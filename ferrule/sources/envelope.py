@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 CELLS_SCHEMA = "path string, tab string, row_no bigint, cells array<string>"
+CHUNK_BITS = 16         # 65,536 row numbers of a tab are a chunk
 
 
 def normalize_cells(cells: Column | str) -> Column:
@@ -73,14 +74,26 @@ def envelopes(parsed: DataFrame) -> DataFrame:
     return tabs.select("path", "tab", "target_table", unique_names("_h", F.col("_width")).alias("header"), "n_rows")
 
 
+def chunk() -> Column:
+    """The chunk of its tab that a row belongs to, by its number."""
+    return F.coalesce(F.shiftright(F.col("row_no").try_cast("bigint"), CHUNK_BITS), F.lit(0))
+
+
+def by_chunk(rows: DataFrame, tabs: DataFrame) -> DataFrame:
+    """``tabs`` with one row for each chunk that a tab has ``rows`` of: rows that are joined to it by ``path, tab, chunk``
+    spread over the tasks, however many of them one tab holds."""
+    return rows.select("path", "tab", "chunk").distinct().join(tabs, ["path", "tab"])
+
+
 def split_rows(parsed: DataFrame, env: DataFrame | None = None) -> DataFrame:
-    """A3: data rows (row_no > 2) with their tab's columns of ``env`` and a header->cell map.
+    """A3: data rows (row_no > 2) with their tab's columns of ``env`` (one row per tab, or ``by_chunk``) and a header->cell map.
 
     Short rows are padded with NULL; a header is never narrower than its rows."""
     env = env if env is not None else envelopes(parsed)
-    rows = parsed.where(F.col("row_no") > 2).select("path", "tab", "row_no", "cells")
+    on = ["path", "tab", *(["chunk"] if "chunk" in env.columns else [])]
+    rows = parsed.where(F.col("row_no") > 2).select("path", "tab", "row_no", "cells", chunk().alias("chunk"))
     width = F.size("header")
     padded = F.slice(F.concat(normalize_cells("cells"), F.array_repeat(F.lit(None).cast("string"), width)), 1, width)
-    joined = rows.join(env, ["path", "tab"]).withColumn("row", F.map_from_arrays("header", padded))
+    joined = rows.join(env, on).withColumn("row", F.map_from_arrays("header", padded))
     return joined.select("path", "tab", "target_table", "row_no", "row",
-                         *[c for c in env.columns if c not in ("path", "tab", "target_table", "header", "n_rows")])
+                         *[c for c in env.columns if c not in (*on, "target_table", "header", "n_rows")])

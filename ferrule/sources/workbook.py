@@ -234,8 +234,8 @@ def read_csv_lines(spark: SparkSession, files: DataFrame, paths: list[str]) -> D
     """CSV files by splits: any number of tasks per file, each row with its line number.
 
     Spark cuts the files into blocks; the lines of a block are numbered by their place in its task
-    and moved on by the lines of the earlier blocks of the file and its parts (one row per block).  Blank lines count but
-    give no row.  Cells are cut out by expressions: no Python touches a line.  Files in which a quoted cell runs over
+    and moved on by the lines of the earlier blocks of the file and its parts (one row per block, which goes to every
+    task: no line is shuffled).  Blank lines count but give no row.  Cells are cut out by expressions: no Python touches a line.  Files in which a quoted cell runs over
     several lines are for ``read_csv_records``."""
     lines = spark.read.text([_literal(p) for p in paths]).select(
         "value", F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"),
@@ -246,7 +246,7 @@ def read_csv_lines(spark: SparkSession, files: DataFrame, paths: list[str]) -> D
     skip = F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1
     blocks = blocks.select("uri", "block", "path", "tab", skip.alias("skip"))
     row_no = F.col("at") + F.col("skip")
-    numbered = lines.join(blocks, ["uri", "block"]).select(
+    numbered = lines.join(F.broadcast(blocks), ["uri", "block"]).select(
         "path", "tab", row_no.alias("row_no"),
         F.when(row_no == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")).alias("value"))
     return numbered.where(F.col("value") != "").select(
@@ -385,7 +385,7 @@ def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
         frames.append(read_csv_records(spark, files, by_record))
     if by_file:
         frames.append(parse_files(_load(spark, by_file)))
-    return reduce(DataFrame.unionByName, frames).join(changed, "path")
+    return reduce(DataFrame.unionByName, frames).join(F.broadcast(changed), "path")      # one row per file, as listed here
 
 
 def inbox_files(spark: SparkSession, inbox: str) -> list[str]:

@@ -56,7 +56,8 @@ def run_stream(spark: SparkSession, inbox: str, checkpoint: str,
                handle: Callable[[DataFrame, int], None], *, max_files_per_batch: int | None = None,
                archive_dir: str | None = None) -> None:
     """Process everything available now, then stop; returns when all of it is done, or raises."""
-    q = (inbox_stream(spark, inbox, max_files_per_batch, archive_dir).writeStream
+    # the batch reader reads the files by splits; here they would be read whole
+    q = (inbox_stream(spark, inbox, max_files_per_batch, archive_dir).drop("content").writeStream
          .foreachBatch(lambda df, bid: handle(parsed_batch(df, bid), bid))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()

@@ -495,3 +495,91 @@ def test_envelopes_sort_no_rows(spark):
     plan = EV.envelopes(parsed)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate(") == 2 and plan.count("Sort [") <= 2      # all rows are hashed, only tabs are sorted
     assert EV.envelopes(parsed).collect()[0].header == ["2", "a"]
+
+
+def _parsed(spark, rows):
+    return spark.createDataFrame([(p, t, s, r, c, None, 1) for p, t, s, r, c in rows],
+                                 "path string, tab string, tab_seq int, row_no bigint, cells array<string>, authors string, file_seq bigint")
+
+
+def test_no_task_judges_a_whole_tab(spark, tmp_path, monkeypatch):
+    """A tab's rows are dealt out by chunks also where its facts are too large to go to every task."""
+    from ferrule.plans import pipeline
+
+    monkeypatch.setattr(EV, "CHUNK_BITS", 4)
+    tasks, written = [], pipeline._written
+    monkeypatch.setattr(pipeline, "_written", lambda judged: tasks.append(
+        judged.withColumn("task", F.spark_partition_id()).groupBy("tab").agg(
+            F.countDistinct("task").alias("tasks"), F.count("*").alias("n")).first()) or written(judged))
+    rows = [("f.csv", "update_a", 1, 1, ["pub.orders"]), ("f.csv", "update_a", 1, 2, ["o_orderkey", "o_orderstatus"]),
+            *(("f.csv", "update_a", 1, i + 3, [str(i), "A" if i % 3 else "too long"]) for i in range(600)),
+            ("g.csv", "nothing", 1, 1, ["pub.orders"]), ("g.csv", "nothing", 1, 2, ["o_orderkey"]), ("g.csv", "nothing", 1, 99, ["1"])]
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    cfg = _cfg(str(tmp_path / "out"), "w1")
+    try:
+        run(spark, _parsed(spark, rows), X.declared_catalog(spark, SF_SMALL), _store(spark, str(tmp_path / "tables")), cfg)
+    finally:
+        for k in held:
+            spark.conf.unset(k)
+    assert tasks[0].n == 600 and tasks[0].tasks > 4
+    rejected = spark.read.parquet(cfg.quarantine_path).groupBy("tab", "rule_id").agg(F.count("*").alias("n"), F.min("row_no").alias("lo")).collect()
+    got = {(r.tab, r.rule_id): (r.n, r.lo) for r in rejected}
+    assert got.pop(("nothing", "C1")) == (1, 99) and got[("update_a", "V1")] == (200, 3)
+
+
+def test_changes_of_a_row_are_chained_by_one_window(spark, tmp_path, monkeypatch):
+    """All columns that tabs change are followed in one pass over the sorted changes."""
+    from ferrule.plans import pipeline
+
+    plans, images = [], pipeline._before_images
+    monkeypatch.setattr(pipeline, "_before_images", lambda changes, table, cfg: plans.append(
+        changes._jdf.queryExecution().optimizedPlan().toString()) or images(changes, table, cfg))
+    header = ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_flags"]
+    rows = [("f.csv", "update_a", 1, 1, ["pub.orders"]), ("f.csv", "update_a", 1, 2, header), ("f.csv", "update_a", 1, 3, ["1", "A", None, "7"]),
+            ("f.csv", "update_b", 2, 1, ["pub.orders"]), ("f.csv", "update_b", 2, 2, header[:2]), ("f.csv", "update_b", 2, 3, ["1", "B"]),
+            ("f.csv", "update_c", 3, 1, ["pub.orders"]), ("f.csv", "update_c", 3, 2, header[:3]), ("f.csv", "update_c", 3, 3, ["1", None, "c"])]
+    store = _store(spark, str(tmp_path / "tables"))
+    old = store.read("pub.orders").where("o_orderkey = 1").first()
+    cfg = _cfg(str(tmp_path / "out"), "w1")
+    run(spark, _parsed(spark, rows), X.declared_catalog(spark, SF_SMALL), store, cfg)
+    assert len(plans) == 1 and plans[0].count("Window [") == 1
+    new = store.read("pub.orders").where("o_orderkey = 1").first()
+    assert (new.o_orderstatus, new.o_orderpriority, new.o_flags, new.o_totalprice) == (None, "c", 7, old.o_totalprice)
+    images = {r.item_id[-1]: r.row for r in spark.read.parquet(cfg.locker_path).collect()}
+    flags = str(old.o_flags)
+    assert {k: (v["o_orderstatus"], v.get("o_orderpriority"), v.get("o_flags")) for k, v in images.items()} == {
+        "a": (old.o_orderstatus, old.o_orderpriority, flags), "b": ("A", None, None), "c": ("B", None, None)}
+
+
+def test_lines_of_a_csv_file_are_not_shuffled(spark, tmp_path):
+    from ferrule.sources.workbook import read_inbox
+
+    (tmp_path / "update_a.csv").write_text("pub.orders\no_orderkey\n1\n")
+    df = read_inbox(spark, str(tmp_path))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+
+
+def test_the_stream_reads_no_contents(spark, tmp_path, monkeypatch):
+    """A file of the inbox may be larger than what one row can hold."""
+    from ferrule.streaming import inbox as ST
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "update_a.csv").write_text("pub.orders\no_orderkey\n1\n")
+    columns, batch = [], ST.parsed_batch
+    monkeypatch.setattr(ST, "parsed_batch", lambda files, n: columns.append(files.columns) or batch(files, n))
+    ST.run_stream(spark, str(tmp_path / "in"), str(tmp_path / "ckpt"), lambda df, n: df.count())
+    assert columns and "content" not in columns[0] and "path" in columns[0]
+
+
+def test_base_names_are_those_of_the_regular_expression(spark):
+    from ferrule.functions import scalars as S
+
+    paths = ["a/b/c.csv", "a\\b/c", "a/b\\c", "c", "", "/", "\\", "a/", "a/b\n", "ä/ö ü", "\n", "//x\\\\y", None]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = df.select(S.base_name("p"), F.regexp_extract("p", r"([^/\\]*)$", 1)).collect()
+    assert all(a == b for a, b in got)
